@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kokek.llm import media, mixing, pii, quality, token_counts
+from kokek.llm import lm_scores, media, mixing, near_dedup, pii, quality, substrings, token_counts
 from kokek.llm.common import documents
 
 #: Where the public vocabulary files are; see ``vocabulary``.
@@ -26,6 +26,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir))
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=4)
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score(documents(spark, sf_dir))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(documents(spark, sf_dir)).drop("media", "tile")
 
@@ -34,6 +42,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(documents(spark, sf_dir))
 
@@ -44,10 +56,59 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
+    "op4_lm_scores": op4_lm_scores,
     "op5_media_columns": op5_media_columns,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_near_dedup": rf"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, {_WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+shingle AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i+3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM split)),
+sized AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (
+  SELECT a, b FROM pair JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b WHERE 100 * pair.n >= 80 * (x.n + y.n - pair.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+named AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM named LEFT JOIN sized USING (doc_id)""",
+    "op4_lm_scores": rf"""
+WITH split AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+word AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM split),
+pair AS (SELECT doc_id, k, w, lag(w) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM word),
+one AS (SELECT w, count(*) AS n FROM word GROUP BY 1),
+two AS (SELECT before, w, count(*) AS n FROM pair WHERE before IS NOT NULL GROUP BY 1, 2),
+total AS (SELECT count(*) AS n FROM word),
+scored AS (
+  SELECT p.doc_id, p.before IS NOT NULL AND two.n < 2 AS back,
+    CASE WHEN p.before IS NULL THEN ln(one.n / total.n) WHEN two.n >= 2 THEN ln(two.n / context.n) ELSE ln(one.n / total.n) + ln(0.4) END AS s
+  FROM pair p CROSS JOIN total JOIN one ON one.w = p.w
+  LEFT JOIN two ON two.before = p.before AND two.w = p.w LEFT JOIN one context ON context.w = p.before),
+summed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (back) AS back, sum(s) AS s FROM scored GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backoff,
+  round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log_score
+FROM documents d LEFT JOIN summed USING (doc_id)""",
+    "op7_substring_dedup": rf"""
+WITH split AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+start AS (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM split WHERE len(w) >= 13),
+win AS (SELECT doc_id, k, array_to_string(w[k:k+12], ' ') AS g FROM start),
+late AS (SELECT doc_id, k FROM (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY g) AS low FROM win) WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, k + j AS k FROM late CROSS JOIN range(0, 13) AS r(j)),
+word AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM split),
+kept AS (
+  SELECT word.doc_id, count(*) AS n, count(gone.k) AS removed, coalesce(string_agg(w, ' ' ORDER BY word.k) FILTER (gone.k IS NULL), '') AS rest
+  FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)""",
+}

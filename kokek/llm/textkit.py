@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANKS = b" \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 20
@@ -38,7 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about ``limit`` bytes of text (one row at least)."""
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)).astype(np.int64)
     part = np.cumsum(sizes) // max(1, limit)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -48,7 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after another, and where each text starts (n + 1 offsets)."""
-    column = pa.compute.fill_null(column, "") if column.null_count else column
+    column = pc.fill_null(column, "") if column.null_count else column
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     _, offs, data = column.buffers()
     at = np.frombuffer(offs, dtype=np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -109,10 +110,16 @@ def windows(h: np.ndarray, words: Words, width: int) -> tuple[np.ndarray, np.nda
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     keep = np.flatnonzero(words.doc[:n] == words.doc[width - 1 :])
-    g = h[:n].copy()
-    for k in range(1, width):
-        g = mix(g * _GOLD + h[k : k + n])
-    return g[keep], keep
+    # A polynomial of word hashes, by doubling: run(a + b) = run(a) * base^b + run(b).
+    base, run, size = int(_GOLD), h, 1
+    for bit in bin(width)[3:]:
+        m = len(run) - size
+        run = run[:m] * np.uint64(pow(base, size, 1 << 64)) + run[size:]
+        size *= 2
+        if bit == "1":
+            run = run[:-1] * _GOLD + h[size : size + len(run) - 1]
+            size += 1
+    return mix(mix(run[:n]) + np.uint64(width))[keep], keep
 
 
 def per_row(flags: np.ndarray, at: np.ndarray) -> np.ndarray:

@@ -14,6 +14,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -130,7 +131,7 @@ def count_tokens(docs: DataFrame, vocabulary_path: str, limit: int = 512) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = counter(shared.value).count
         for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).cast(pa.int64())
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             n = np.fromiter((tokens(t) if t else 0 for t in (x.as_py() for x in batch.column(1))), np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), sizes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"]
