@@ -28,6 +28,8 @@ MARK = "▁"
 #: A unit: blanks with the word after them; no piece of the supported models goes beyond one.
 _UNIT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, UNKNOWN, BYTE, BPE = 1, 2, 6, 2
+#: Symbols up to which pairs are searched in a list; their cost if they are no piece.
+SHORT, NEVER = 48, float("inf")
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -83,12 +85,14 @@ class PieceTable:
 
 
 class Encoder(dict):
-    """Maps a unit to its piece ids; computes and remembers what it has not seen."""
+    """Maps a unit to its piece ids as little-endian 32-bit bytes; computes and remembers what it has
+    not seen. Units live in two generations, so that frequent ones stay when the older one goes."""
 
-    def __init__(self, table: PieceTable, remember: int = 500_000):
+    def __init__(self, table: PieceTable, remember: int = 400_000):
         super().__init__()
-        self.table, self.remember = table, remember
+        self.table, self.remember, self.older = table, remember, {}
         self.rank = {p: (-s, i) for i, (p, s, k) in enumerate(zip(table.pieces, table.scores, table.kinds)) if k == NORMAL}
+        self.cost, self.index = {p: c for p, (c, _) in self.rank.items()}, {p: i for p, (_, i) in self.rank.items()}
         self.byte = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(table.pieces, table.kinds)) if k == BYTE}
         self.unknown = table.kinds.index(UNKNOWN)
         self.plain = [bytes([int(p[3:5], 16)]) if k == BYTE else p.encode() if k == NORMAL else b"" for p, k in zip(table.pieces, table.kinds)]
@@ -99,6 +103,8 @@ class Encoder(dict):
     def merge(self, unit: str) -> list[int]:
         """Merges the adjacent pair of the best score (leftmost first) until none is a piece."""
         n, sym, rank = len(unit), list(unit), self.rank
+        if n <= SHORT:
+            return self.merge_short(sym)
         heap = [(s[0], i, 2) for i in range(n - 1) if (s := rank.get(unit[i : i + 2]))]
         heapify(heap)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -122,10 +128,35 @@ class Encoder(dict):
                 out += [rank[x][1]] if x in rank else self.fallback(x)
         return out
 
-    def __missing__(self, unit: str) -> np.ndarray:
-        ids = np.array(self.merge(unit), np.int32)
+    def merge_short(self, sym: list[str]) -> list[int]:
+        """The same for few symbols: the costs of all pairs are kept in a list, without a heap."""
+        cost, index = self.cost.get, self.index
+        pair = [cost(a + b, NEVER) for a, b in zip(sym, sym[1:])]
+        while pair:
+            best = min(pair)
+            if best == NEVER:
+                break
+            i = pair.index(best)
+            sym[i] += sym.pop(i + 1)
+            del pair[i]
+            if i:
+                pair[i - 1] = cost(sym[i - 1] + sym[i], NEVER)
+            if i < len(pair):
+                pair[i] = cost(sym[i] + sym[i + 1], NEVER)
+        out = []
+        for x in sym:
+            k = index.get(x)
+            out += self.fallback(x) if k is None else (k,)
+        return out
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit)
+        if ids is None:
+            merged = self.merge(unit)
+            ids = struct.pack(f"<{len(merged)}i", *merged)
         if len(unit) <= 64:
             if len(self) >= self.remember:
+                self.older = dict(self)
                 self.clear()
             self[unit] = ids
         return ids
@@ -133,7 +164,7 @@ class Encoder(dict):
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        return np.concatenate([self[u] for u in _UNIT.findall(MARK + text.replace(" ", MARK))])
+        return np.frombuffer(b"".join([self[u] for u in _UNIT.findall(MARK + text.replace(" ", MARK))]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join([self.plain[i] for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
