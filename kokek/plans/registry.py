@@ -15,6 +15,7 @@ from kokek.functions import suffixes as sx
 from kokek.functions.forms import Stem, forms, stem_key
 from kokek.operators import decompose as search
 from kokek.operators import rank, render
+from kokek.plans import searching
 from kokek.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -236,3 +237,54 @@ def fit_weights(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark)[1]
 QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark))
+
+
+def _joined(*names: str) -> str:
+    return ", ".join(f"array_to_string({n}, '+') AS {n}" for n in names)
+
+
+def searched(name: str, ask: str, words: str | None = None) -> None:
+    ORACLE_SQL[name] = searching.search_sql(LEXICON, None if words else WORDS, words or f"SELECT word FROM ({_VALUES}) v", ask)
+
+
+_ANALYSIS = f"root, pos, {_joined('chain', 'makes', 'forms')}, final_pos"
+searched("suffix_chains", f"SELECT word, root, pos, intensified, final_pos, {_joined('start', 'path', 'chain', 'makes', 'forms')} FROM chains")
+searched("decompose", f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses")
+searched("vowel_narrowing", f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses WHERE regexp_matches(word, '[iıuü]yor')")
+searched(
+    "decompose_distinct",
+    f"SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY cand_ord) - 1 AS INTEGER) AS cand_ord, {_ANALYSIS} FROM (SELECT *, row_number() OVER (PARTITION BY word, root, pos, chain, final_pos ORDER BY cand_ord) AS k FROM analyses) x WHERE k = 1",
+)
+searched("intensifier", "SELECT word, substr(word, 1, p) AS prefix, root FROM doubled WHERE k = 1")
+searched(
+    "segments",
+    """SELECT word, cand_ord, concat(root, CASE WHEN pos = 'verb' THEN '-' ELSE '' END) AS root_str, final_pos, len(chain) > 0 AS has_chain,
+    array_to_string(list_transform(forms, lambda f: CASE WHEN f = '' THEN '(ø)' ELSE f END), ' + ') AS suffixes_str, array_to_string(chain, ' + ') AS names_str,
+    array_to_string(list_transform(generate_series(0, len(forms)), lambda k: concat(root, array_to_string(forms[1:k], ''))), ' → ') AS formation_str FROM analyses""",
+)
+_NAMES, _IDS = [s.name for s in sx.SUFFIXES], [s.id for s in sx.SUFFIXES]
+searched(
+    "encode_chain",
+    f"SELECT word, cand_ord, array_to_string(list_transform(generate_series(1, len(chain)), lambda k: concat(coalesce({_IDS}[list_position({_NAMES}, chain[k])], 0), ':', CASE WHEN makes[k] = 'verb' THEN 1 ELSE 0 END)), ',') AS code FROM analyses",
+)
+_PART = "row_number() OVER (PARTITION BY word, root, names ORDER BY"
+searched(
+    "gold_match",
+    f"""SELECT gold_ord, word, cand_ord FROM (SELECT *, {_PART} gold_ord) AS k FROM {_GV}) a
+    JOIN (SELECT word, root, names, cand_ord, {_PART} cand_ord) AS k FROM (SELECT word, root, array_to_string(chain, '+') AS names, cand_ord FROM analyses) x) b USING (word, root, names, k)""",
+)
+searched(
+    "annotate_text",
+    f"""SELECT doc_id, string_agg(coalesce(analysis, token), chr(10) ORDER BY pos) AS value
+    FROM ({_DUCK_TOKENS}) t LEFT JOIN (SELECT word, array_to_string(list_concat([root], chain), '+') AS analysis FROM analyses WHERE cand_ord = 0) a ON a.word = token GROUP BY doc_id""",
+    f"SELECT DISTINCT token AS word FROM ({_DUCK_TOKENS}) d",
+)
+
+_GOLD_LINES = [
+    '{"word":"evler","root":"ev","suffixes":[{"name":"plural_ler","form":"ler","makes":"NOUN"}],"final_pos":"noun"}', "", "  ", "{broken", '{"word":"ev","root":"ev","final_pos":"noun"}', '{"root":"x"}',
+]
+QUERIES["gold_scan"] = lambda spark, sf_dir: source.parse_gold(spark.createDataFrame([(x,) for x in _GOLD_LINES], "value string")).select("word", "root", "final_pos", F.array_join("suffixes.name", "+").alias("names"))
+ORACLE_SQL["gold_scan"] = (
+    "SELECT word, root, final_pos, coalesce(array_to_string(names, '+'), '') AS names FROM (SELECT line ->> '$.word' AS word, line ->> '$.root' AS root, line ->> '$.final_pos' AS final_pos, line ->> '$.suffixes[*].name' AS names"
+    " FROM (VALUES " + ", ".join(f"('{x}')" for x in _GOLD_LINES) + ") v(line) WHERE json_valid(line)) x WHERE word IS NOT NULL"
+)

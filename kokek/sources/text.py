@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def tokenize(docs: DataFrame, turkish: bool = False) -> DataFrame:
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct stripped lines; blank ones go."""
-    return spark.read.text(path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
+    """Distinct stripped lines; blank ones go, a missing file has none."""
+    return read_lines(spark, path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
 def delete_words(lexicon: DataFrame, gone: DataFrame) -> DataFrame:
@@ -35,10 +36,28 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
+def parse_gold(lines: DataFrame) -> DataFrame:
+    """Gold rows of JSON lines in ``value``; blank and malformed ones are skipped, missing suffixes
+    are an empty list."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "malformed"}
+    rows = lines.select(F.from_json("value", f"{GOLD}, malformed string", options).alias("g")).select("g.*")
+    rows = rows.where("malformed is null and word is not null").drop("malformed")
+    return rows.withColumn("suffixes", F.coalesce("suffixes", F.array().cast("array<struct<name:string,form:string,makes:string>>")))
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a text file or folder in ``value``; of a missing one, none."""
+    try:
+        return spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "value string")
+
+
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold rows; blank and malformed lines are skipped, missing suffixes are an empty list."""
-    rows = spark.read.schema(GOLD).option("mode", "DROPMALFORMED").json(path)
-    return rows.where("word is not null").withColumn("suffixes", F.coalesce("suffixes", F.array().cast("array<struct<name:string,form:string,makes:string>>")))
+    """Gold rows of a JSON-lines file (see ``parse_gold``); none if there is no file."""
+    return parse_gold(read_lines(spark, path))
 
 
 def append_gold(rows: DataFrame, path: str) -> None:
