@@ -56,7 +56,7 @@ def last_vowel(w: str) -> str:
 class Lexicon:
     """Predicates over a dictionary whose words are held in the plan as one hashed set; verbs are
     listed as infinitives and ``ł`` marks a soft final l. Meant for dictionaries (up to about
-    10^5 words); larger sets go through ``sources.lexicon.lookup``, a join."""
+    10^5 words)."""
 
     def __init__(self, words: Iterable[str]):
         self.words = sorted({w.strip() for w in words if w.strip()})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kokek.functions.suffixes import SUFFIXES
@@ -75,8 +75,9 @@ def score(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     return features(candidates).join(weights, "feature", "left").groupBy("word", "cand_ord").agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("score"))
 
 
-def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: float = 0.5) -> DataFrame:
+def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: float = 0.5, begun: DataFrame | None = None) -> DataFrame:
     """feature, weight after gradient steps on the listwise loss, ended when all margins hold.
+    Training goes on from the weights in ``begun`` where it is given.
 
     ``labels`` has word and cand_ord of the right candidates; one step is one aggregate.
     """
@@ -86,6 +87,8 @@ def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: floa
     right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
     used = cut(features(rows))
     weights = used.select("feature").distinct().withColumn("weight", F.lit(0.0))
+    if begun is not None:
+        weights = cut(weights.unionByName(begun).groupBy("feature").agg(F.sum("weight").alias("weight")))
     for _ in range(steps):
         scored = cut(score(rows, weights).join(right, ["word", "cand_ord"], "left").withColumn("label", F.coalesce("label", F.lit(0))))
         if margin_check(scored).where("not ok").isEmpty():
@@ -94,3 +97,12 @@ def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: floa
         step = used.join(slope, ["word", "cand_ord"]).groupBy("feature").agg(F.sum("g").alias("g"))
         weights = cut(weights.join(step, "feature", "left").select("feature", (F.col("weight") - rate * F.coalesce("g", F.lit(0.0))).alias("weight")))
     return weights
+
+
+def save_weights(weights: DataFrame, path: str) -> None:
+    """A checkpoint of the ranker; ``path`` has to be new, as old weights may still be read."""
+    weights.select("feature", "weight").write.parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature string, weight double").parquet(path)

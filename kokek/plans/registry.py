@@ -16,6 +16,7 @@ from kokek.functions.forms import Stem, forms, stem_key
 from kokek.operators import decompose as search
 from kokek.operators import rank, render
 from kokek.plans import searching
+from kokek.session import gold_match
 from kokek.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,21 +207,6 @@ def gold(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(_GOLD)], "gold_ord int, word string, root string, names array<string>")
 
 
-def gold_match(candidates: DataFrame, gold_rows: DataFrame) -> DataFrame:
-    """gold_ord, word, cand_ord: each gold row with the first candidate not taken by an earlier one."""
-    keys = ["word", "root", "names"]
-    number = lambda df, by: df.withColumn("k", F.row_number().over(search_window(keys, by)))
-    a = number(gold_rows, "gold_ord")
-    b = number(candidates.select("word", "root", F.col("chain").alias("names"), "cand_ord"), "cand_ord")
-    return a.join(b, [*keys, "k"]).select("gold_ord", "word", "cand_ord")
-
-
-def search_window(keys: list[str], by: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys).orderBy(by)
-
-
 QUERIES["gold_match"] = lambda spark, sf_dir: gold_match(search.decompose(words_of(spark), LEXICON), gold(spark))
 QUERIES["gold_groups"] = lambda spark, sf_dir: gold(spark).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_ord", "root"))), lambda x: x.root), ",").alias("roots"), F.count(F.lit(1)).alias("n"))
 _GV = "(VALUES " + ", ".join(f"({k}, '{w}', '{r}', '{'+'.join(n)}')" for k, (w, r, n) in enumerate(_GOLD)) + ") g(gold_ord, word, root, names)"
