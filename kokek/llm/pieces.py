@@ -88,7 +88,7 @@ class Encoder(dict):
     """Maps a unit to its piece ids as little-endian 32-bit bytes; computes and remembers what it has
     not seen. Units live in two generations, so that frequent ones stay when the older one goes."""
 
-    def __init__(self, table: PieceTable, remember: int = 400_000):
+    def __init__(self, table: PieceTable, remember: int = 150_000):
         super().__init__()
         self.table, self.remember, self.older = table, remember, {}
         self.rank = {p: (-s, i) for i, (p, s, k) in enumerate(zip(table.pieces, table.scores, table.kinds)) if k == NORMAL}
