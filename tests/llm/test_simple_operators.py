@@ -42,6 +42,14 @@ def test_quality_against_brute_force(spark, rows):
     assert sum(r.kept for r in passed) > 0.9 * len(passed)
 
 
+def test_quality_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = (sorted(map(tuple, quality.quality(d).collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+    kept = sorted(r[0] for r in one if r[7])
+    assert sorted(r.doc_id for r in quality.passing(docs.repartition(5)).collect()) == kept
+
+
 def test_quality_odd_rows(odd, none):
     got = quality.quality(odd).collect()
     assert len(got) == len(cases.ODD)
