@@ -5,6 +5,9 @@ first DEPTH values of an order form a region; a region too heavy for one task is
 common prefixes until its parts fit, so that depth adapts to density. Inside a region, exact
 Jaccard tests along a breadth-first search join documents into stars; the stars' links are then
 contracted to components. Equal sets are one node from the start, so copies never form pairs.
+
+Longer prefixes lose candidates, so members of split regions are searched once more without loss:
+similar sets share one of their rarest shingles, and only members of different components meet.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kokek.llm.common import cut, maybe_broadcast, prepare
@@ -110,16 +113,24 @@ def _weighed(members: DataFrame) -> DataFrame:
     return members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
 
 
-def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
-    """rep, region: memberships of the regions to be searched, with regions of equal members once."""
+def _once(found: DataFrame) -> DataFrame:
+    """rep, region of regions with equal members once."""
+    lists = found.groupBy("region").agg(F.array_sort(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1).select("reps").distinct()
+    return lists.select(F.sha2(F.array_join("reps", ","), 256).alias("region"), F.explode("reps").alias("rep"))
+
+
+def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame | None]:
+    """rep, region: memberships of the regions to be searched; and rep, n_shingles of the members
+    of regions that had to be split, if any."""
     members = _regions(nodes, DEPTH)
     weights = cut(_weighed(members.drop("sig")))
     found = members.drop("sig").join(weights.where(F.col("weight") <= limit), "region").select("rep", "region")
-    heavy = weights.where(F.col("weight") > limit)
+    heavy, split = weights.where(F.col("weight") > limit), None
     for depth in DEEPER:
         if heavy.isEmpty():
             break
         inside = cut(members.join(heavy.select("region"), "region", "left_semi"))
+        split = inside.select("rep", "n_shingles").distinct() if split is None else split
         members = _regions(inside, depth)
         weights = cut(_weighed(members.drop("sig")))
         found = found.unionByName(members.join(weights.where(F.col("weight") <= limit), "region").select("rep", "region"))
@@ -132,8 +143,51 @@ def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> DataFrame:
         spread = first.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("weight") / limit).cast("long") - 1)))
         parts = rest.select("rep", F.xxhash64("region", share).alias("region")).unionByName(spread.select("rep", F.xxhash64("region", "share").alias("region")))
         found = found.unionByName(parts.distinct())
-    lists = found.groupBy("region").agg(F.array_sort(F.collect_set("rep")).alias("reps")).select("reps").distinct()
-    return lists.select(F.sha2(F.array_join("reps", ","), 256).alias("region"), F.explode("reps").alias("rep"))
+    return _once(found), split
+
+
+def _sliced(members: DataFrame, limit: int) -> DataFrame:
+    """rep, region: every pair of members (rep, n_shingles, component, region) of different
+    components meets in a region of bounded weight, made of two slices. Components heavier than
+    a slice have slices of their own, which do not meet each other."""
+    half = max(1, limit // 2)
+    own = members.groupBy("region", "component").agg(F.sum("n_shingles").alias("weight"))
+    light = own.where(F.col("weight") <= half).groupBy("region").agg(F.sum("weight").alias("light"))
+    count = F.ceil(F.when(F.col("weight") > half, F.col("weight")).otherwise(2 * F.col("light")) / half).cast("long")
+    sized = own.join(light, "region", "left").select("region", "component", F.when(F.col("weight") > half, F.col("component")).alias("pure"), count.alias("count"))
+    share = F.pmod(F.xxhash64(F.when(F.col("pure").isNull(), F.col("component")).otherwise(F.col("rep"))), F.col("count"))
+    placed = cut(members.join(sized, ["region", "component"]).select("rep", "region", "pure", F.xxhash64("region", F.coalesce("pure", F.lit(-1).cast("long")), share).alias("slice")))
+    slices_ = placed.select("region", "slice", "pure").distinct()
+    other = slices_.select("region", F.col("slice").alias("slice2"), F.col("pure").alias("pure2"))
+    pairs = slices_.join(other, "region").where("slice <= slice2 AND NOT coalesce(pure = pure2, false)")
+    sides = pairs.select("region", F.xxhash64("slice", "slice2").alias("pair"), F.explode(F.array_distinct(F.array("slice", "slice2"))).alias("slice"))
+    return placed.join(sides, ["region", "slice"]).select("rep", F.col("pair").alias("region"))
+
+
+def rarest(split: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, limit: int) -> DataFrame:
+    """rep, region: regions in which each two members of ``split`` at similarity ``percent`` or more
+    and of different components (``groups``) meet. With the shingles of all sets in one order,
+    rarest first, such sets share one of the first size - ceil(size * percent / 100) + 1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, n, component, s in zip(*(c.to_pylist() for c in batch.columns)):
+                own = np.frombuffer(s, np.int64)
+                same = [pa.array(np.full(len(own), x, np.int64)) for x in (rep, n, component)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(own)], ["rep", "n_shingles", "component", "shingle"])
+
+    fullest = split.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))  # rows with one id
+    named = fullest.join(groups.withColumnRenamed("a", "rep"), "rep", "left").select("rep", "n_shingles", F.coalesce("b", "rep").alias("component"))
+    own = named.join(sets, "rep").where("octet_length(shingles) = 8 * n_shingles").dropDuplicates(["rep"])
+    rows = cut(own.select("rep", "n_shingles", "component", "shingles").mapInArrow(run, "rep long, n_shingles long, component long, shingle long"))
+    common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
+    first = rows.join(common, "shingle").withColumn("place", place).where(f"n > 1 AND place <= n_shingles - ceil(n_shingles * {percent} / 100) + 1")
+    members = cut(first.select("rep", "n_shingles", "component", F.col("shingle").alias("region")))
+    weights = members.groupBy("region").agg(F.sum("n_shingles").alias("weight"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    light = members.join(weights.where(F.col("weight") <= limit).select("region"), "region", "left_semi").select("rep", "region")
+    heavy = members.join(weights.where(F.col("weight") > limit).select("region"), "region", "left_semi")
+    return _once(light.unionByName(_sliced(heavy, limit)))
 
 
 def stars(reps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -174,9 +228,11 @@ def stars(reps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
 
 
 def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
-    """a, b (a > b): confirmed links between representatives, one star for each region's groups."""
-    members = cut(candidates(nodes, limit))
-    wanted = cut(members.select("rep").distinct())
+    """a, b (a > b): links between representatives, contracted to the smallest of each component."""
+    found, split = candidates(nodes, limit)
+    members = cut(found)
+    wanted = members.select("rep") if split is None else members.select("rep").unionByName(split.select("rep"))
+    wanted = cut(wanted.distinct())
     named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = named.join(maybe_broadcast(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
 
@@ -194,8 +250,15 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: i
         found = stars(np.array(list(sets)), list(sets.values()), percent) if len(sets) > 1 else []
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
+    def searched(members: DataFrame) -> DataFrame:
+        return members.join(sets, "rep").groupBy("region").applyInArrow(search, "a long, b long").distinct()
+
     sets = cut(texts.mapInArrow(run, "rep long, shingles binary"))
-    return members.join(sets, "rep").groupBy("region").applyInArrow(search, "a long, b long").distinct()
+    groups = contract(searched(members))
+    if split is None:
+        return groups
+    again = rarest(split, sets, groups, percent, limit)
+    return contract(groups.unionByName(searched(cut(again))))
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -230,7 +293,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, lim
     rows = cut(sketch(docs, width))
     some = rows.where("node is not null and doc_id is not null")
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")))
-    groups = contract(_links(docs, nodes, width, percent, limit))
+    groups = _links(docs, nodes, width, percent, limit)
     named = nodes.join(groups.withColumnRenamed("a", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("b", "rep").alias("component"))
     # Nodes of one document that is linked with nothing need no join.
     moved = named.where("n > 1 or component != rep").select("node", "component")

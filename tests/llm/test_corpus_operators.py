@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tests.llm import cases
 
@@ -56,7 +57,27 @@ def test_near_duplicates_of_dense_groups(spark, limit):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want, _, _ = cases.components(list(enumerate(texts)))
     got = by_id(near_dedup.near_duplicates(docs, 4, limit=limit))
-    assert np.mean([got[i].component_id == c for i, c in want.items()]) >= (1.0 if limit > 10**6 else 0.97)
+    assert {i: r.component_id for i, r in got.items()} == want
+
+
+def test_split_regions_lose_no_link(spark):
+    """Every pair of different components at the threshold meets where regions are split, however
+    few links the forest left."""
+    rng = random.Random(5)
+    texts = [t for n in (40, 25, 2, 2, 2) for t in family(rng, 150, n, 0.022)]
+    sets = [(i, s) for i, s in enumerate(near_dedup.shingle_sets(pa.record_batch({"doc_id": list(range(len(texts))), "text": pa.array(texts)})))]
+    split = spark.createDataFrame([(i, len(s)) for i, s in sets], "rep long, n_shingles long")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in sets], "rep long, shingles binary")
+    none = spark.createDataFrame([], "a long, b long")
+    for limit in (10**6, 2000):
+        regions = {}
+        for r in near_dedup.rarest(split, held, none, 80, limit).collect():
+            regions.setdefault(r.region, set()).add(r.rep)
+        own = {i: set(s.tolist()) for i, s in sets}
+        met = {(a, b) for m in regions.values() for a in m for b in m if a < b}
+        linked = {(a, b) for a in own for b in own if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])}
+        assert linked and linked <= met
+        assert limit > 10**5 or max(sum(len(own[i]) for i in m) for m in regions.values()) <= 2 * limit
 
 
 def test_contract(spark):
