@@ -209,3 +209,9 @@ def form_rows() -> list[tuple]:
                 if form:
                     out.append((stem.key, start, target, s.id, s.name, s.group, s.unique, targets[target] * 1000 + k, j, form))
     return out
+
+
+@cache
+def form_lists() -> list[tuple]:
+    """(stem key, name, forms): all forms of every suffix after every stem, in order, empty ones too."""
+    return [(stem.key, name, forms(s, stem)) for stem in stems() for name, s in BY_NAME.items()]

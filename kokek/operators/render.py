@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kokek.functions.forms import form_lists, stem_key
 from kokek.functions.phonology import Lexicon
+from kokek.functions.suffixes import INTENSIFIER
 from kokek.operators import decompose as search
 from kokek.operators import rank
 from kokek.sources.text import tokenize
@@ -16,15 +18,60 @@ def format_analysis(root: Column, chain: Column) -> Column:
     return F.concat_ws("+", F.concat(F.array(root), chain))
 
 
-def segments(analyses: DataFrame) -> DataFrame:
-    """The surface pieces of each analysis: root_str, suffixes_str, names_str, formation_str. A
-    narrowed form is shown with its lost vowel in brackets; a form of no letters as (ø)."""
-    shown = F.transform("forms", lambda f: F.when(f == "", F.lit("(ø)")).otherwise(f))
-    stems = F.transform(F.sequence(F.lit(0), F.size("forms")), lambda k: F.concat(F.col("root"), F.array_join(F.slice("forms", F.lit(1), k), "")))
-    has = F.size("chain") > 0
-    return analyses.select(
-        "word", "cand_ord", F.concat("root", F.when(F.col("pos") == "verb", "-").otherwise("")).alias("root_str"), "final_pos", has.alias("has_chain"),
-        F.array_join(shown, " + ").alias("suffixes_str"), F.array_join("chain", " + ").alias("names_str"), F.array_join(stems, " → ").alias("formation_str"),
+def _step(k: int) -> dict[str, str]:
+    """How the ``k``-th suffix of a chain is found in the word: its first form at the cursor; before a
+    later -iyor, one without its last a or e; one that starts a letter earlier; else a guess."""
+    rest = "substr(word, cursor + 1)"
+    here = lambda form: f"cursor <= length(word) AND startswith({rest}, {form})"
+    short = "substr(f, 1, length(f) - 1)"
+    narrowed = f"transform(filter(opts, f -> right(f, 1) IN ('a', 'e') AND {here(short)}), f -> {short})"
+    return {
+        "exact": f"get(filter(opts, f -> {here('f')}), 0)",
+        "narrowed": f"IF(exists(slice(chain, {k + 2}, size(chain)), s -> contains(s, 'iyor')), get({narrowed}, 0), NULL)",
+        "earlier": "get(filter(opts, f -> f <> '' AND startswith(substr(word, cursor), f)), 0)",
+        "guess": "get(opts, 0)",
+    }
+
+
+def segments(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The surface pieces of each analysis: word, cand_ord, root_str, final_pos, has_chain,
+    suffixes_str, names_str, formation_str.
+
+    Forms are found anew along the written word, which may differ from the searched one where the
+    root is altered. A form of no letters shows as (ø), a guessed one with a question mark, and
+    a suffix without any form not at all. Without a chain the pieces are empty.
+    """
+    spark = analyses.sparkSession
+    lists = F.broadcast(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
+    at = "instr(word, root)"
+    rows = analyses.withColumn("twice", F.expr(f"size(chain) > 0 AND chain[0] = '{INTENSIFIER}' AND {at} > 1")).selectExpr(
+        "word", "cand_ord", "root", "pos", "final_pos", "chain", "IF(twice, 1, 0) AS begin",
+        f"length(root) + IF(twice, {at} - 1, 0) AS cursor", f"IF(twice, concat(substr(word, 1, {at} - 1), root), root) AS stem",
+        f"IF(twice, array(substr(word, 1, {at} - 1)), CAST(array() AS array<string>)) AS shown", "IF(twice, array(chain[0]), CAST(array() AS array<string>)) AS names",
+        "concat(root, IF(pos = 'verb', '-', '')) AS bare", f"IF(twice, array(concat(substr(word, 1, {at} - 1), root)), CAST(array() AS array<string>)) AS made",
+    )
+    rows = search.cut(rows)
+    carried = [c for c in rows.columns if c not in ("cursor", "stem", "shown", "names", "made")]
+    for k in range(rows.agg(F.max(F.size("chain"))).first()[0] or 0):
+        met = rows.withColumns({"fkey": F.expr(stem_key(lexicon, "stem")), "suffix": F.expr(f"get(chain, {k})")}).join(lists, ["fkey", "suffix"], "left")
+        met = met.withColumn("opts", F.expr(f"CASE WHEN suffix = '{INTENSIFIER}' THEN array(suffix) ELSE coalesce(opts, CAST(array() AS array<string>)) END"))
+        if k == 0:  # an altered root may be written with up to two letters less
+            fits = "i -> length(root) > i AND exists(opts, f -> startswith(substr(word, length(root) - i + 1), f))"
+            met = met.withColumn("cursor", F.expr(f"IF(begin > 0 OR startswith(word, root), cursor, length(root) - coalesce(get(filter(array(0, 1, 2), {fits}), 0), 0))"))
+        met = met.withColumns({name: F.expr(e) for name, e in _step(k).items()})
+        met = met.withColumn("found", F.expr("coalesce(exact, narrowed, earlier)")).withColumn("taken", F.expr("coalesce(found, guess)"))
+        on = f"size(chain) > {k} AND begin <= {k}"
+        rows = met.selectExpr(
+            *carried,
+            f"IF({on}, cursor - IF(exact IS NULL AND narrowed IS NULL AND earlier IS NOT NULL, 1, 0) + length(coalesce(taken, '')), cursor) AS cursor",
+            f"IF({on}, concat(stem, coalesce(taken, '')), stem) AS stem",
+            f"IF({on} AND taken IS NOT NULL, array_append(shown, CASE WHEN found IS NULL THEN concat(guess, '?') WHEN found = '' THEN '(ø)' ELSE found END), shown) AS shown",
+            f"IF({on} AND taken IS NOT NULL, array_append(names, suffix), names) AS names",
+            f"IF({on} AND found IS NOT NULL, array_append(made, concat(stem, found)), made) AS made",
+        )
+    return rows.selectExpr(
+        "word", "cand_ord", "concat(root, ' (', pos, ')') AS root_str", "final_pos", "size(chain) > 0 AS has_chain", "array_join(shown, ' + ') AS suffixes_str",
+        "array_join(names, ' + ') AS names_str", "IF(size(chain) > 0, array_join(concat(array(bare), made), ' → '), concat(bare, ' (no suffixes)')) AS formation_str",
     )
 
 

@@ -187,7 +187,7 @@ QUERIES["suffix_chains"] = lambda spark, sf_dir: _flat(search.suffix_chains(sear
 QUERIES["vowel_narrowing"] = lambda spark, sf_dir: _flat(search.decompose(words_of(spark).where("word rlike '[iıuü]yor'"), LEXICON))
 QUERIES["decompose"] = lambda spark, sf_dir: _flat(search.decompose(words_of(spark), LEXICON))
 QUERIES["decompose_distinct"] = lambda spark, sf_dir: _flat(search.decompose_distinct(words_of(spark), LEXICON))
-QUERIES["segments"] = lambda spark, sf_dir: render.segments(search.decompose(words_of(spark), LEXICON))
+QUERIES["segments"] = lambda spark, sf_dir: render.segments(search.decompose(words_of(spark), LEXICON), LEXICON)
 QUERIES["encode_chain"] = lambda spark, sf_dir: search.decompose(words_of(spark), LEXICON).select("word", "cand_ord", F.array_join(F.transform(rank.encode_chain(F.col("chain"), F.col("makes")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.cid.cast("string"))), ",").alias("code"))
 QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), LEXICON)
 QUERIES["sample_word"] = lambda spark, sf_dir: words_of(spark).orderBy(F.rand(7)).limit(1)
@@ -242,12 +242,7 @@ searched(
     f"SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY cand_ord) - 1 AS INTEGER) AS cand_ord, {_ANALYSIS} FROM (SELECT *, row_number() OVER (PARTITION BY word, root, pos, chain, final_pos ORDER BY cand_ord) AS k FROM analyses) x WHERE k = 1",
 )
 searched("intensifier", "SELECT word, substr(word, 1, p) AS prefix, root FROM doubled WHERE k = 1")
-searched(
-    "segments",
-    """SELECT word, cand_ord, concat(root, CASE WHEN pos = 'verb' THEN '-' ELSE '' END) AS root_str, final_pos, len(chain) > 0 AS has_chain,
-    array_to_string(list_transform(forms, lambda f: CASE WHEN f = '' THEN '(ø)' ELSE f END), ' + ') AS suffixes_str, array_to_string(chain, ' + ') AS names_str,
-    array_to_string(list_transform(generate_series(0, len(forms)), lambda k: concat(root, array_to_string(forms[1:k], ''))), ' → ') AS formation_str FROM analyses""",
-)
+searched("segments", searching.segments_ask(LEXICON))
 _NAMES, _IDS = [s.name for s in sx.SUFFIXES], [s.id for s in sx.SUFFIXES]
 searched(
     "encode_chain",

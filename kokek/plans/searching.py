@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import cache
 
 from kokek.functions import phonology as ph
-from kokek.functions.forms import form_rows, stem_key
+from kokek.functions.forms import form_lists, form_rows, stem_key
 from kokek.functions.phonology import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
 
@@ -84,3 +84,36 @@ analyses AS (
     CASE WHEN intensified THEN list_concat(['{INTENSIFIER}'], chain) ELSE chain END AS chain, CASE WHEN intensified THEN list_concat(['noun'], makes) ELSE makes END AS makes,
     CASE WHEN intensified THEN list_concat([''], forms) ELSE forms END AS forms FROM chains)
 {ask}"""
+
+
+def segments_ask(lexicon: Lexicon) -> str:
+    """The surface pieces of ``analyses`` as a recursion over chains, to be asked of ``search_sql``."""
+    same: dict[tuple, list[int]] = {}
+    numbers: dict[str, int] = {}
+    for key, name, forms in form_lists():
+        same.setdefault((name, *forms), []).append(numbers.setdefault(key, len(numbers) + 1))
+    same[(INTENSIFIER, INTENSIFIER)] = list(numbers.values())
+    rows = ", ".join(f"({keys}, '{name}', CAST({forms} AS VARCHAR[]))" for (name, *forms), keys in same.items())
+    first = lambda test, what="opts": f"list_filter({what}, lambda f: {test})[1]"
+    here = "c <= length(word) AND starts_with(substr(word, c + 1), {})"
+    less = "left(f, length(f) - 1)"
+    offsets = " ".join(f"WHEN length(root) > {i} AND len(list_filter(opts, lambda f: starts_with(substr(word, length(root) - {i} + 1), f))) > 0 THEN length(root) - {i}" for i in range(3))
+    return f""", lists AS (SELECT unnest(keys) AS fkey, suffix, opts FROM (VALUES {rows}) v(keys, suffix, opts)),
+fold AS (
+  SELECT word, cand_ord, root, pos, final_pos, chain, CASE WHEN front <> '' THEN 1 ELSE 0 END AS k, length(front) + length(root) AS cursor, concat(front, root) AS stem,
+    CASE WHEN front <> '' THEN [front] ELSE CAST([] AS VARCHAR[]) END AS shown, CASE WHEN front <> '' THEN [chain[1]] ELSE CAST([] AS VARCHAR[]) END AS names,
+    list_concat([concat(root, CASE WHEN pos = 'verb' THEN '-' ELSE '' END)], CASE WHEN front <> '' THEN [concat(front, root)] ELSE CAST([] AS VARCHAR[]) END) AS made
+  FROM (SELECT *, CASE WHEN coalesce(chain[1], '') = '{INTENSIFIER}' AND strpos(word, root) > 1 THEN left(word, strpos(word, root) - 1) ELSE '' END AS front FROM analyses) a
+  UNION ALL
+  SELECT word, cand_ord, root, pos, final_pos, chain, k + 1,
+    c - CASE WHEN exact IS NULL AND narrow IS NULL AND early IS NOT NULL THEN 1 ELSE 0 END + length(coalesce(exact, narrow, early, opts[1], '')), concat(stem, coalesce(exact, narrow, early, opts[1], '')),
+    CASE WHEN coalesce(exact, narrow, early) IS NOT NULL THEN list_append(shown, coalesce(nullif(coalesce(exact, narrow, early), ''), '(ø)')) WHEN len(opts) > 0 THEN list_append(shown, concat(opts[1], '?')) ELSE shown END,
+    CASE WHEN coalesce(exact, narrow, early, opts[1]) IS NOT NULL THEN list_append(names, chain[k + 1]) ELSE names END,
+    CASE WHEN coalesce(exact, narrow, early) IS NOT NULL THEN list_append(made, concat(stem, coalesce(exact, narrow, early))) ELSE made END
+  FROM (
+    SELECT *, {first(here.format("f"))} AS exact, {first("f <> '' AND starts_with(substr(word, c), f)")} AS early,
+      CASE WHEN len(list_filter(chain[k + 2:], lambda s: contains(s, 'iyor'))) > 0 THEN (list_transform(list_filter(opts, lambda f: right(f, 1) IN ('a', 'e') AND {here.format(less)}), lambda f: {less}))[1] END AS narrow
+    FROM (SELECT w.*, opts, CASE WHEN k > 0 OR starts_with(word, root) THEN cursor {offsets} ELSE cursor END AS c
+      FROM (SELECT *, list_position({list(numbers)}, {stem_key(lexicon, "stem")}) AS own FROM fold WHERE k < len(chain)) w JOIN lists ON fkey = own AND suffix = chain[k + 1]) x) y)
+SELECT word, cand_ord, concat(root, ' (', pos, ')') AS root_str, final_pos, len(chain) > 0 AS has_chain, array_to_string(shown, ' + ') AS suffixes_str, array_to_string(names, ' + ') AS names_str,
+  CASE WHEN len(chain) > 0 THEN array_to_string(made, ' → ') ELSE concat(made[1], ' (no suffixes)') END AS formation_str FROM fold WHERE k = len(chain)"""

@@ -81,7 +81,7 @@ class Session:
         """word, analysis, score, and the surface pieces of each word's best analysis."""
         scored = self.analyze(words).withColumn("score", F.coalesce("score", F.lit(0.0)))
         best = rank.best_per_word(scored).select("word", "cand_ord")
-        shown = render.segments(scored).drop("final_pos", "has_chain")
+        shown = render.segments(scored, self.lexicon).drop("final_pos", "has_chain")
         chosen = scored.join(best, ["word", "cand_ord"]).select("word", "cand_ord", render.format_analysis(F.col("root"), F.col("chain")).alias("analysis"), "score")
         return chosen.join(shown, ["word", "cand_ord"])
 

@@ -66,3 +66,18 @@ def test_training_prefers_the_gold_analysis(spark):
     best = {r.word: r.cand_ord for r in rank.best_per_word(rank.score(found, weights)).collect()}
     assert best["evler"] == gold.first().cand_ord
     assert found.where(f"word = 'kitaplar' AND cand_ord = {best['kitaplar']}").first().chain == ["conjugation_3pl"]
+
+
+def test_segments_of_forms_that_the_word_does_not_show(spark):
+    """Hand-traced: a guess, a letter shared by root and suffix, a root written with less, no form."""
+    rows = [
+        ("xyz", 0, "ev", "noun", ["plural_ler"], "noun"), ("evlerxx", 0, "ev", "noun", ["plural_ler", "dative_e", "plural_ler"], "noun"),
+        ("burnu", 0, "burun", "noun", ["posessive_3sg"], "noun"), ("al", 0, "al", "verb", [], "verb"),
+    ]
+    analyses = spark.createDataFrame(rows, "word string, cand_ord int, root string, pos string, chain array<string>, final_pos string")
+    got = {r.word: (r.suffixes_str, r.names_str, r.formation_str) for r in render.segments(analyses, Lexicon(["ev", "burun", "almak"])).collect()}
+    assert got["xyz"] == ("ler?", "plural_ler", "ev")
+    assert got["evlerxx"] == ("ler + e? + ler?", "plural_ler + dative_e + plural_ler", "ev → evler")
+    assert got["burnu"] == ("u", "posessive_3sg", "burun → burunu")
+    assert got["al"] == ("", "", "al- (no suffixes)")
+    assert render.segments(analyses.limit(0), Lexicon(["ev"])).count() == 0
