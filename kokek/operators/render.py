@@ -18,6 +18,29 @@ def format_analysis(root: Column, chain: Column) -> Column:
     return F.concat_ws("+", F.concat(F.array(root), chain))
 
 
+def _offered(rows: DataFrame, lexicon: Lexicon, k: int) -> DataFrame:
+    """Adds ``suffix``, the ``k``-th of the chain, and ``opts``, all its forms after ``stem``."""
+    lists = F.broadcast(rows.sparkSession.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
+    met = rows.withColumns({"fkey": F.expr(stem_key(lexicon, "stem")), "suffix": F.expr(f"get(chain, {k})")}).join(lists, ["fkey", "suffix"], "left")
+    return met.withColumn("opts", F.expr(f"CASE WHEN suffix = '{INTENSIFIER}' THEN array(suffix) ELSE coalesce(opts, CAST(array() AS array<string>)) END"))
+
+
+def _longest(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.size("chain"))).first()[0] or 0
+
+
+def gold_rows(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """word, cand_ord, root, suffixes (name, form, makes), final_pos: confirmed analyses as they are
+    logged. A form is the suffix's first one after the stem so far, whatever the word shows; it
+    is empty where the suffix has none."""
+    rows = search.cut(analyses.selectExpr("word", "cand_ord", "root", "chain", "makes", "final_pos", "root AS stem", "CAST(array() AS array<string>) AS made"))
+    for k in range(_longest(rows)):
+        met = _offered(rows, lexicon, k).withColumn("form", F.expr("coalesce(get(opts, 0), '')"))
+        rows = met.selectExpr("word", "cand_ord", "root", "chain", "makes", "final_pos", "concat(stem, form) AS stem", f"IF(size(chain) > {k}, array_append(made, form), made) AS made")
+    suffixes = "transform(chain, (c, i) -> named_struct('name', c, 'form', made[i], 'makes', upper(makes[i]))) AS suffixes"
+    return rows.selectExpr("word", "cand_ord", "root", suffixes, "final_pos")
+
+
 def _step(k: int) -> dict[str, str]:
     """How the ``k``-th suffix of a chain is found in the word: its first form at the cursor; before a
     later -iyor, one without its last a or e; one that starts a letter earlier; else a guess."""
@@ -41,8 +64,6 @@ def segments(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
     root is altered. A form of no letters shows as (ø), a guessed one with a question mark, and
     a suffix without any form not at all. Without a chain the pieces are empty.
     """
-    spark = analyses.sparkSession
-    lists = F.broadcast(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
     at = "instr(word, root)"
     rows = analyses.withColumn("twice", F.expr(f"size(chain) > 0 AND chain[0] = '{INTENSIFIER}' AND {at} > 1")).selectExpr(
         "word", "cand_ord", "root", "pos", "final_pos", "chain", "IF(twice, 1, 0) AS begin",
@@ -52,9 +73,8 @@ def segments(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
     rows = search.cut(rows)
     carried = [c for c in rows.columns if c not in ("cursor", "stem", "shown", "names", "made")]
-    for k in range(rows.agg(F.max(F.size("chain"))).first()[0] or 0):
-        met = rows.withColumns({"fkey": F.expr(stem_key(lexicon, "stem")), "suffix": F.expr(f"get(chain, {k})")}).join(lists, ["fkey", "suffix"], "left")
-        met = met.withColumn("opts", F.expr(f"CASE WHEN suffix = '{INTENSIFIER}' THEN array(suffix) ELSE coalesce(opts, CAST(array() AS array<string>)) END"))
+    for k in range(_longest(rows)):
+        met = _offered(rows, lexicon, k)
         if k == 0:  # an altered root may be written with up to two letters less
             fits = "i -> length(root) > i AND exists(opts, f -> startswith(substr(word, length(root) - i + 1), f))"
             met = met.withColumn("cursor", F.expr(f"IF(begin > 0 OR startswith(word, root), cursor, length(root) - coalesce(get(filter(array(0, 1, 2), {fits}), 0), 0))"))

@@ -211,8 +211,7 @@ QUERIES["gold_match"] = lambda spark, sf_dir: gold_match(search.decompose(words_
 QUERIES["gold_groups"] = lambda spark, sf_dir: gold(spark).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_ord", "root"))), lambda x: x.root), ",").alias("roots"), F.count(F.lit(1)).alias("n"))
 _GV = "(VALUES " + ", ".join(f"({k}, '{w}', '{r}', '{'+'.join(n)}')" for k, (w, r, n) in enumerate(_GOLD)) + ") g(gold_ord, word, root, names)"
 ORACLE_SQL["gold_groups"] = f"SELECT word, string_agg(root, ',' ORDER BY gold_ord) AS roots, count(*) AS n FROM {_GV} GROUP BY word"
-QUERIES["gold_json"] = lambda spark, sf_dir: gold(spark).select("gold_ord", F.to_json(F.struct("word", "root", F.array_join("names", "+").alias("names"))).alias("line"))
-ORACLE_SQL["gold_json"] = f"""SELECT gold_ord, concat('{{"word":"', word, '","root":"', root, '","names":"', names, '"}}') AS line FROM {_GV}"""
+QUERIES["gold_json"] = lambda spark, sf_dir: render.gold_rows(search.decompose(words_of(spark), LEXICON), LEXICON).select("word", "cand_ord", F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line"))
 
 
 def fit_weights(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -243,6 +242,7 @@ searched(
 )
 searched("intensifier", "SELECT word, substr(word, 1, p) AS prefix, root FROM doubled WHERE k = 1")
 searched("segments", searching.segments_ask(LEXICON))
+searched("gold_json", searching.gold_ask(LEXICON))
 _NAMES, _IDS = [s.name for s in sx.SUFFIXES], [s.id for s in sx.SUFFIXES]
 searched(
     "encode_chain",

@@ -86,19 +86,39 @@ analyses AS (
 {ask}"""
 
 
-def segments_ask(lexicon: Lexicon) -> str:
-    """The surface pieces of ``analyses`` as a recursion over chains, to be asked of ``search_sql``."""
+def _lists_sql(lexicon: Lexicon) -> tuple[str, str]:
+    """``lists`` (fkey, suffix, opts) of all forms, and the key in it of a ``stem``."""
     same: dict[tuple, list[int]] = {}
     numbers: dict[str, int] = {}
     for key, name, forms in form_lists():
         same.setdefault((name, *forms), []).append(numbers.setdefault(key, len(numbers) + 1))
     same[(INTENSIFIER, INTENSIFIER)] = list(numbers.values())
     rows = ", ".join(f"({keys}, '{name}', CAST({forms} AS VARCHAR[]))" for (name, *forms), keys in same.items())
+    return f"lists AS (SELECT unnest(keys) AS fkey, suffix, opts FROM (VALUES {rows}) v(keys, suffix, opts))", f"list_position({list(numbers)}, {stem_key(lexicon, 'stem')})"
+
+
+def gold_ask(lexicon: Lexicon) -> str:
+    """Every one of ``analyses`` as a logged JSON line, to be asked of ``search_sql``."""
+    lists, own = _lists_sql(lexicon)
+    item = """concat('{"name":"', chain[i], '","form":"', made[i], '","makes":"', upper(makes[i]), '"}')"""
+    return f""", {lists},
+fold AS (
+  SELECT word, cand_ord, root, final_pos, chain, makes, 0 AS k, root AS stem, CAST([] AS VARCHAR[]) AS made FROM analyses
+  UNION ALL
+  SELECT word, cand_ord, root, final_pos, chain, makes, k + 1, concat(stem, coalesce(opts[1], '')), list_append(made, coalesce(opts[1], ''))
+  FROM (SELECT *, {own} AS own FROM fold WHERE k < len(chain)) w JOIN lists ON fkey = own AND suffix = chain[k + 1])
+SELECT word, cand_ord, concat('{{"word":"', word, '","root":"', root, '","suffixes":[', array_to_string(list_transform(generate_series(1, len(chain)), lambda i: {item}), ','), '],"final_pos":"', final_pos, '"}}') AS line
+FROM fold WHERE k = len(chain)"""
+
+
+def segments_ask(lexicon: Lexicon) -> str:
+    """The surface pieces of ``analyses`` as a recursion over chains, to be asked of ``search_sql``."""
+    lists, own = _lists_sql(lexicon)
     first = lambda test, what="opts": f"list_filter({what}, lambda f: {test})[1]"
     here = "c <= length(word) AND starts_with(substr(word, c + 1), {})"
     less = "left(f, length(f) - 1)"
     offsets = " ".join(f"WHEN length(root) > {i} AND len(list_filter(opts, lambda f: starts_with(substr(word, length(root) - {i} + 1), f))) > 0 THEN length(root) - {i}" for i in range(3))
-    return f""", lists AS (SELECT unnest(keys) AS fkey, suffix, opts FROM (VALUES {rows}) v(keys, suffix, opts)),
+    return f""", {lists},
 fold AS (
   SELECT word, cand_ord, root, pos, final_pos, chain, CASE WHEN front <> '' THEN 1 ELSE 0 END AS k, length(front) + length(root) AS cursor, concat(front, root) AS stem,
     CASE WHEN front <> '' THEN [front] ELSE CAST([] AS VARCHAR[]) END AS shown, CASE WHEN front <> '' THEN [chain[1]] ELSE CAST([] AS VARCHAR[]) END AS names,
@@ -114,6 +134,6 @@ fold AS (
     SELECT *, {first(here.format("f"))} AS exact, {first("f <> '' AND starts_with(substr(word, c), f)")} AS early,
       CASE WHEN len(list_filter(chain[k + 2:], lambda s: contains(s, 'iyor'))) > 0 THEN (list_transform(list_filter(opts, lambda f: right(f, 1) IN ('a', 'e') AND {here.format(less)}), lambda f: {less}))[1] END AS narrow
     FROM (SELECT w.*, opts, CASE WHEN k > 0 OR starts_with(word, root) THEN cursor {offsets} ELSE cursor END AS c
-      FROM (SELECT *, list_position({list(numbers)}, {stem_key(lexicon, "stem")}) AS own FROM fold WHERE k < len(chain)) w JOIN lists ON fkey = own AND suffix = chain[k + 1]) x) y)
+      FROM (SELECT *, {own} AS own FROM fold WHERE k < len(chain)) w JOIN lists ON fkey = own AND suffix = chain[k + 1]) x) y)
 SELECT word, cand_ord, concat(root, ' (', pos, ')') AS root_str, final_pos, len(chain) > 0 AS has_chain, array_to_string(shown, ' + ') AS suffixes_str, array_to_string(names, ' + ') AS names_str,
   CASE WHEN len(chain) > 0 THEN array_to_string(made, ' → ') ELSE concat(made[1], ' (no suffixes)') END AS formation_str FROM fold WHERE k = len(chain)"""

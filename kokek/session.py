@@ -97,7 +97,7 @@ class Session:
     def train(self, choices: DataFrame, prune: bool = True) -> DataFrame:
         """Takes confirmed analyses (word, cand_ord) of ambiguous words: logs them, trains on them, and
         drops confirmed derived words from the dictionary. Returns word, status: no_analysis,
-        unambiguous, unknown_choice or trained. Logged forms are those matched in the word."""
+        unambiguous, unknown_choice or trained. Logged forms are each suffix's first, as ``gold_rows`` says."""
         asked = search.cut(choices.select("word", "cand_ord").distinct())
         found = search.cut(search.decompose(asked.select("word").distinct(), self.lexicon))
         counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
@@ -109,8 +109,7 @@ class Session:
         )
         if taken.isEmpty():
             return outcome
-        suffixes = F.expr("transform(chain, (c, i) -> named_struct('name', c, 'form', forms[i], 'makes', upper(makes[i])))")
-        source.append_gold(taken.select("word", "root", suffixes.alias("suffixes"), "final_pos"), f"{self.folder}/gold")
+        source.append_gold(render.gold_rows(taken, self.lexicon).drop("cand_ord"), f"{self.folder}/gold")
         self._learn(found, taken, rank.STEPS)
         if prune:
             self.delete(taken.where("root <> word").select("word").distinct(), infinitives=True)

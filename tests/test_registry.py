@@ -81,3 +81,10 @@ def test_segments_of_forms_that_the_word_does_not_show(spark):
     assert got["burnu"] == ("u", "posessive_3sg", "burun → burunu")
     assert got["al"] == ("", "", "al- (no suffixes)")
     assert render.segments(analyses.limit(0), Lexicon(["ev"])).count() == 0
+
+
+def test_logged_forms_are_the_first_ones(spark):
+    rows = [("kitaba", 0, "kitap", "noun", ["dative_e", "conjugation_3sg"], ["noun", "noun"], "noun"), ("ev", 0, "ev", "noun", [], [], "noun")]
+    analyses = spark.createDataFrame(rows, "word string, cand_ord int, root string, pos string, chain array<string>, makes array<string>, final_pos string")
+    got = {r.word: [(s.name, s.form, s.makes) for s in r.suffixes] for r in render.gold_rows(analyses, Lexicon(["ev", "kitap"])).collect()}
+    assert got["ev"] == [] and [s[1:] for s in got["kitaba"]][0] == ("a", "NOUN")
