@@ -88,3 +88,11 @@ def test_logged_forms_are_the_first_ones(spark):
     analyses = spark.createDataFrame(rows, "word string, cand_ord int, root string, pos string, chain array<string>, makes array<string>, final_pos string")
     got = {r.word: [(s.name, s.form, s.makes) for s in r.suffixes] for r in render.gold_rows(analyses, Lexicon(["ev", "kitap"])).collect()}
     assert got["ev"] == [] and [s[1:] for s in got["kitaba"]][0] == ("a", "NOUN")
+
+
+def test_tokens_of_odd_texts(spark):
+    texts = ["Türkiye'nin A-b,c x　y\x85z\x1cq İI ΟΔΟΣ ΑΣ, Σ Σ'Α ß", "", " ' ", "“a” – b… ​c᠎d e", "x" * 100_000 + " y"]
+    drop = str.maketrans({c: None for c in "'’"} | {c: " " for c in r"""!"#$%&()*+,-./:;<=>?@[\]^_`{|}~"""})
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: r.t for r in docs.select("doc_id", text.tokens_of(docs.text).alias("t")).collect()}
+    assert got == {k: [w.lower() for w in t.translate(drop).split()] for k, t in enumerate(texts)} | {9: None}
