@@ -100,8 +100,7 @@ def on_scores(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> No
     """A ranking operator over candidates made from tokens."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = tokens(spark, sf_dir).where("pos < 40")
-        scored = rows.selectExpr("CAST(doc_id AS STRING) AS word", "pos AS cand_ord", "((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score", "CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label")
+        scored = tokens(spark, sf_dir).selectExpr("CAST(doc_id AS STRING) AS word", "pos AS cand_ord", "((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score", "CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label")
         return plan(scored)
 
     QUERIES[name] = run
