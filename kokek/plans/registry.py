@@ -45,13 +45,22 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.tokenize(docs(spark, sf_dir))
 
 
+def words_of(spark: SparkSession, held: DataFrame) -> DataFrame:
+    """The distinct tokens of ``held`` and WORDS."""
+    return held.select(F.col("token").alias("word")).union(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct()
+
+
+def table_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_of(spark, tokens(spark, sf_dir))
+
+
 def shared(name: str, statement: str, oracle: str | None = None) -> None:
     """A statement over tokens (doc_id, pos, token) and words (their distinct ones and WORDS)."""
     words = f"SELECT DISTINCT token AS word FROM tokens UNION {_VALUES}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         held = tokens(spark, sf_dir)
-        words_df = held.select(F.col("token").alias("word")).union(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct()
+        words_df = words_of(spark, held)
         text = statement.replace("{", "{{").replace("}", "}}").replace("@tokens", "{tokens}").replace("@words", "{words}")
         return spark.sql(text, tokens=held, words=words_df)
 
@@ -93,6 +102,18 @@ shared(
 )
 shared("ambiguity", "SELECT CASE WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'two' ELSE 'many' END AS route, count(*) AS words FROM (SELECT token, count(*) AS n FROM @tokens GROUP BY token) x GROUP BY 1")
 
+
+
+def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by their number of analyses."""
+    words = table_words(spark, sf_dir)
+    n = words.join(search.decompose(words, LEXICON).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
+    route = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "one").when(F.col("n") == 2, "two").otherwise("many")
+    return n.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("words"))
+
+
+QUERIES["ambiguity"] = ambiguity
+
 _SCORED = "SELECT CAST(doc_id AS VARCHAR(30)) AS word, pos AS cand_ord, ((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score, CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label FROM tokens WHERE pos < 40"
 
 
@@ -162,17 +183,13 @@ QUERIES["parse_choices"] = lambda spark, sf_dir: spark.createDataFrame([(x,) for
 ORACLE_SQL["parse_choices"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', " + ("CAST(NULL AS VARCHAR)" if c is None else f"'{','.join(map(str, c))}'") + ")" for x, c in zip(_LINES, _CHOSEN)) + ") v(line, chosen)"
 
 
-def words_of(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in WORDS], "word string")
-
-
 _W = f"({_VALUES})"
 QUERIES["prefix_splits"] = lambda spark, sf_dir: search.prefix_splits(tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct())
 ORACLE_SQL["prefix_splits"] = f"WITH tokens AS ({_DUCK_TOKENS}), w AS (SELECT DISTINCT token AS word FROM tokens) SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM w) x"
-QUERIES["root_lookup"] = lambda spark, sf_dir: search.root_lookup(words_of(spark), LEXICON)
+QUERIES["root_lookup"] = lambda spark, sf_dir: search.root_lookup(table_words(spark, sf_dir), LEXICON)
 _CUTS = f"(SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM {_W} w) x) c"
 ORACLE_SQL["root_lookup"] = f"SELECT *, 'noun' AS pos FROM {_CUTS} WHERE {L.noun_by_rule('root')} UNION ALL SELECT *, 'verb' AS pos FROM {_CUTS} WHERE {L.verb_by_rule('root')}"
-QUERIES["altered_roots"] = lambda spark, sf_dir: search.altered_roots(words_of(spark), LEXICON)
+QUERIES["altered_roots"] = lambda spark, sf_dir: search.altered_roots(table_words(spark, sf_dir), LEXICON)
 _ALTERED = " UNION ALL ".join(f"SELECT word, split, root AS surface, rest, {k} AS cand_ord, {lemma} AS lemma FROM {_CUTS} WHERE NOT {L.noun_by_rule('root')} AND NOT {L.verb_by_rule('root')} AND {ok}" for k, (ok, lemma) in enumerate(ph.root_candidates(L, "root")))
 ORACLE_SQL["altered_roots"] = f"WITH c AS ({_ALTERED}) " + " UNION ALL ".join(f"SELECT word, split, surface, cand_ord, lemma, '{p}' AS pos, concat(lemma, rest) AS virtual_word FROM c WHERE {f('lemma')}" for p, f in (("noun", L.noun_by_rule), ("verb", L.verb_by_rule)))
 
@@ -181,15 +198,15 @@ def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(F.col(n).cast("array<string>"), "+").alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes])
 
 
-QUERIES["intensifier"] = lambda spark, sf_dir: search.intensified(words_of(spark), LEXICON)
-QUERIES["suffix_chains"] = lambda spark, sf_dir: _flat(search.suffix_chains(search.starts(words_of(spark), LEXICON), LEXICON))
-QUERIES["vowel_narrowing"] = lambda spark, sf_dir: _flat(search.decompose(words_of(spark).where("word rlike '[iıuü]yor'"), LEXICON))
-QUERIES["decompose"] = lambda spark, sf_dir: _flat(search.decompose(words_of(spark), LEXICON))
-QUERIES["decompose_distinct"] = lambda spark, sf_dir: _flat(search.decompose_distinct(words_of(spark), LEXICON))
-QUERIES["segments"] = lambda spark, sf_dir: render.segments(search.decompose(words_of(spark), LEXICON), LEXICON)
-QUERIES["encode_chain"] = lambda spark, sf_dir: search.decompose(words_of(spark), LEXICON).select("word", "cand_ord", F.array_join(F.transform(rank.encode_chain(F.col("chain"), F.col("makes")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.cid.cast("string"))), ",").alias("code"))
+QUERIES["intensifier"] = lambda spark, sf_dir: search.intensified(table_words(spark, sf_dir), LEXICON)
+QUERIES["suffix_chains"] = lambda spark, sf_dir: _flat(search.suffix_chains(search.starts(table_words(spark, sf_dir), LEXICON), LEXICON))
+QUERIES["vowel_narrowing"] = lambda spark, sf_dir: _flat(search.decompose(table_words(spark, sf_dir).where("word rlike '[iıuü]yor'"), LEXICON))
+QUERIES["decompose"] = lambda spark, sf_dir: _flat(search.decompose(table_words(spark, sf_dir), LEXICON))
+QUERIES["decompose_distinct"] = lambda spark, sf_dir: _flat(search.decompose_distinct(table_words(spark, sf_dir), LEXICON))
+QUERIES["segments"] = lambda spark, sf_dir: render.segments(search.decompose(table_words(spark, sf_dir), LEXICON), LEXICON)
+QUERIES["encode_chain"] = lambda spark, sf_dir: search.decompose(table_words(spark, sf_dir), LEXICON).select("word", "cand_ord", F.array_join(F.transform(rank.encode_chain(F.col("chain"), F.col("makes")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.cid.cast("string"))), ",").alias("code"))
 QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), LEXICON)
-QUERIES["sample_word"] = lambda spark, sf_dir: words_of(spark).orderBy(F.rand(7)).limit(1)
+QUERIES["sample_word"] = lambda spark, sf_dir: spark.createDataFrame([(w,) for w in WORDS], "word string").orderBy(F.rand(7)).limit(1)
 
 
 def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,21 +223,21 @@ def gold(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(_GOLD)], "gold_ord int, word string, root string, names array<string>")
 
 
-QUERIES["gold_match"] = lambda spark, sf_dir: gold_match(search.decompose(words_of(spark), LEXICON), gold(spark))
+QUERIES["gold_match"] = lambda spark, sf_dir: gold_match(search.decompose(table_words(spark, sf_dir), LEXICON), gold(spark))
 QUERIES["gold_groups"] = lambda spark, sf_dir: gold(spark).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_ord", "root"))), lambda x: x.root), ",").alias("roots"), F.count(F.lit(1)).alias("n"))
 _GV = "(VALUES " + ", ".join(f"({k}, '{w}', '{r}', '{'+'.join(n)}')" for k, (w, r, n) in enumerate(_GOLD)) + ") g(gold_ord, word, root, names)"
 ORACLE_SQL["gold_groups"] = f"SELECT word, string_agg(root, ',' ORDER BY gold_ord) AS roots, count(*) AS n FROM {_GV} GROUP BY word"
-QUERIES["gold_json"] = lambda spark, sf_dir: render.gold_rows(search.decompose(words_of(spark), LEXICON), LEXICON).select("word", "cand_ord", F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line"))
+QUERIES["gold_json"] = lambda spark, sf_dir: render.gold_rows(search.decompose(table_words(spark, sf_dir), LEXICON), LEXICON).select("word", "cand_ord", F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line"))
 
 
-def fit_weights(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    found = search.cut(search.decompose(words_of(spark), LEXICON))
+def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = search.cut(search.decompose(table_words(spark, sf_dir), LEXICON))
     labels = gold_match(found, gold(spark)).select("word", "cand_ord")
-    return found, rank.fit(found, labels, steps=5)
+    return found, rank.fit(found, labels)
 
 
-QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark)[1]
-QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark))
+QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark, sf_dir)[1]
+QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))
 
 
 def _joined(*names: str) -> str:
