@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kokek.llm.common import prepare
-from kokek.llm.textkit import Words, flat, slices
+from kokek.llm.textkit import flat, slices
 
 #: Most labelled findings a forest is trained on.
 TRAIN_ROWS = 20_000
@@ -24,6 +24,12 @@ NEAR = 48
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_=\-]{{{SHORTEST},}}")
 _WORD = re.compile(r"[A-Za-z]+")
+QUOTES = "\"'`"
+_ASSIGNED = re.compile(r"[=:]+>?")
+_NAME = re.compile(r"[A-Za-z](?:[A-Za-z0-9_\-]|\.(?=[A-Za-z]))*")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Closing quotes, marks and an "is" before a value; then a quoted string or all up to a blank.
+_VALUE = re.compile(r"[\"'`)\]]?\s*(?:(?:[=:]+>?|is\b)\s*)?(?:" + "|".join(f"{q}([^{q}\n]*){q}" for q in QUOTES) + r"|[\"'`]?([^\s\"'`]+))")
 
 # Words that speak for or against a secret near a candidate, and a small dictionary.
 FOR = frozenset("token secret password passwd pwd key apikey api auth bearer credential credentials private access client jwt session".split())
@@ -135,17 +141,24 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     pick = lambda chars, a, b: "".join(rng.choices(chars, k=rng.randint(a, b)))
     words = lambda k: "".join(w.title() if rng.random() < 0.5 else w for w in rng.sample(sorted(DICTIONARY), k))
     prose = lambda: " ".join(rng.sample(sorted(DICTIONARY), 4))
+
+    def password() -> str:
+        """A word with digits and marks in it, or random characters."""
+        if rng.random() < 0.5:
+            return rng.choice(sorted(DICTIONARY)).title().replace("o", "0").replace("e", "3") + rng.choice("!@#$%&*.") + pick(alnum[52:], 1, 4)
+        return pick(alnum, 3, 8) + rng.choice("!@#$%&*.") + pick(alnum, 2, 6) + pick(alnum[52:], 1, 2)
+
     out = []
     for _ in range(n):
         assign = rng.choice(['{} = "', "{}: ", '"{}": "', "{}=", "export {}='", "Authorization {} "])
         path = rng.choice(["src/main.py", "config/settings.yml", "app.env", "docs/readme", "tests/fixture.json", "src3", "lib/data.lock"])
         if rng.random() < 0.5:
-            secret = rng.choice([lambda: pick("0123456789abcdef", 32, 64), lambda: pick(alnum, 20, 48), lambda: pick(alnum + "+/", 40, 64) + "==", lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16, 16), lambda: "gh" + "p_" + pick(alnum, 36, 36)])()
+            secret = rng.choice([lambda: pick("0123456789abcdef", 32, 64), lambda: pick(alnum, 20, 48), lambda: pick(alnum + "+/", 40, 64) + "==", lambda: "AKIA" + pick(alnum[:26] + "0123456789", 16, 16), lambda: "gh" + "p_" + pick(alnum, 36, 36), lambda: pick(alnum[:52], 24, 48), lambda: pick(alnum[52:], 16, 32), lambda: ".".join(pick(alnum, 8, 15) for _ in range(3)), password, password])()
             out.append((secret, prose() + " " + assign.format(rng.choice(sorted(FOR))), rng.choice(['" ', "' ", " "]) + prose(), path, 1))
         else:
             hexed = lambda: pick("0123456789abcdef", 32, 64)
             uuid = lambda: "-".join(pick("0123456789abcdef", k, k) for k in (8, 4, 4, 4, 12))
-            kind = rng.randrange(6)
+            kind = rng.randrange(12)
             if kind == 0:
                 row = (hexed(), prose() + " " + assign.format(rng.choice(sorted(AGAINST))))
             elif kind == 1:
@@ -156,10 +169,17 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
                 row = ("/".join(rng.sample(sorted(DICTIONARY), 4)) + pick("0123456789", 1, 2), prose() + " ")
             elif kind == 4:
                 row = (rng.choice(["your", "example", "test", "dummy"]) + rng.choice("-_") + words(2) + rng.choice("-_") + "0123456789"[: rng.randint(1, 10)], prose() + " " + assign.format(rng.choice(sorted(FOR))))
+            elif kind in (5, 6):
+                row = (rng.choice(sorted(DICTIONARY)) + rng.choice(["", "", ".", "s", "ing"]), prose() + rng.choice([" ", ": ", " = "]))
+            elif kind in (7, 8):
+                row = (rng.choice(sorted(DICTIONARY)) + rng.choice(["", "", ".", "s", "ing"]), prose() + " " + rng.choice(sorted(FOR)) + rng.choice([" ", " ", ": ", " is ", "="]))
+            elif kind == 9:
+                row = (pick(alnum[52:], 1, 8), prose() + rng.choice([" = ", ": ", "="]))
+            elif kind == 10:
+                row = ("//www." + words(2).lower() + rng.choice([".com", ".org", ".net"]) + "/" + rng.choice(["", words(1).lower()]), prose() + " https:")
             else:
                 row = (rng.choice("x0A") * rng.randint(15, 40) + "1", prose() + " " + assign.format(rng.choice(sorted(FOR))))
-            if len(row[0]) >= SHORTEST:
-                out.append((*row, rng.choice(['" ', " "]) + prose(), path, 0))
+            out.append((*row, rng.choice(['" ', " "]) + prose(), path, 0))
     return out
 
 
@@ -170,28 +190,29 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, limit: i
     return Forest(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
-def candidates(data: bytes, words: Words, row: int, start: int) -> Iterator[tuple[int, int, str, str, str]]:
-    """(start, end, string, text before, text after) in one text; positions are code points."""
-    for k in range(words.first[row], words.first[row + 1]):
-        a, b = int(words.start[k]), int(words.end[k])
-        if b - a < SHORTEST:
-            continue
-        word = data[a:b].decode()
-        for m in _RUN.finditer(word):
-            found = m[0]
-            if not any(c.isdigit() for c in found) or found.isdigit():
-                continue
-            before = data[max(start, a - NEAR) : a].decode("utf-8", "ignore") + word[: m.start()][-NEAR:]
-            after = word[m.end() :][:NEAR] + data[b : b + NEAR].decode("utf-8", "ignore")
-            at = len(data[start:a].decode()) + m.start()
-            yield at, at + len(found), found, before, after
+def candidates(text: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, string, text before, text after), in order and once each: runs of key characters, and
+    whatever follows an assignment or a name with a credential word in it."""
+    spans = {m.span() for m in _RUN.finditer(text)}
+    after = [m.end() for m in _ASSIGNED.finditer(text)]
+    after += [m.end() for m in _NAME.finditer(text) if FOR & {w.lower() for w in _PART.findall(m[0])} or FOR & {w.lower() for w in _WORD.findall(m[0])}]
+    for at in after:
+        m = _VALUE.match(text, at)
+        if m:
+            a, b = m.span(m.lastindex)
+            while m.lastindex == len(QUOTES) + 1 and b > a and text[b - 1] in ",;":
+                b -= 1
+            if b > a:
+                spans.add((a, b))
+    for a, b in sorted(spans):
+        yield a, b, text[a:b], text[max(0, a - NEAR) : a], text[b : b + NEAR]
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_candidates, n_secrets, findings ("start:end:score" of each secret, comma-joined).
 
-    ``source`` serves as the path. Candidates are runs of 16 or more key characters with a digit,
-    in whole texts. Null and empty texts have none; a null source is an empty path; repeated rows
+    ``source`` serves as the path. Candidates are runs of 16 or more key characters and all strings
+    after an assignment or a credential word, in whole texts. Null and empty texts have none; a null source is an empty path; repeated rows
     are found alike; null ids stay null; an empty table gives an empty one.
     """
     prepare(docs.sparkSession)
@@ -201,11 +222,10 @@ def scan(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, at = flat(part.column(1))
-                words, data, paths = Words(raw, at), raw.tobytes(), part.column(2).to_pylist()
+                data, paths = raw.tobytes(), part.column(2).to_pylist()
                 rows, found = [], []
-                long = np.unique(words.doc[words.end - words.start >= SHORTEST])
-                for i in long.tolist():
-                    for c in candidates(data[: at[i + 1]], words, i, int(at[i])):
+                for i in range(part.num_rows):
+                    for c in candidates(data[at[i] : at[i + 1]].decode("utf-8", "replace")):
                         rows.append(i)
                         found.append(c)
                 score = shared.value.predict(np.array([features(c[2], c[3], c[4], paths[i] or "") for i, c in zip(rows, found)])) if rows else np.zeros(0)
