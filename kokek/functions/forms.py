@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import cache
 from itertools import product
 
-from kokek.functions.phonology import HARD, VOWELS, Lexicon, is_in, last, listed
+from kokek.functions.phonology import HARD, VOWELS, is_in, last, listed, minor
 from kokek.functions.suffixes import BY_NAME, Suffix, arcs
 
 # Stem endings that some rules ask for.
@@ -49,8 +49,8 @@ class Stem:
         return self.tail in "vc"
 
 
-def stem_key(lexicon: Lexicon, w: str) -> str:
-    """The same key of a word, as SQL."""
+def stem_key(w: str, soft: str, verb: str, verb2: str) -> str:
+    """The same key of a word, as SQL; ``soft``, ``verb`` and ``verb2`` are its dictionary flags."""
     two = f"right({w}, 2)"
     ending = (
         f"CASE WHEN {two} IN {listed(PAST)} THEN 'past' WHEN {two} IN {listed(CONDITION)} THEN 'condition' WHEN {two} IN {listed(NEGATION)} THEN 'negation'"
@@ -58,8 +58,7 @@ def stem_key(lexicon: Lexicon, w: str) -> str:
         f" WHEN {is_in(last(w), 'nlr')} THEN {last(w)} WHEN {is_in(last(w), HARD)} THEN 'hard' ELSE 'other' END"
     )
     flag = lambda c: f"CASE WHEN {c} THEN '1' ELSE '0' END"
-    shorter = f"substr({w}, 1, greatest(length({w}) - 2, 0))"
-    return f"concat(coalesce({lexicon.minor(w)}, 'NONE'), ':', {ending}, ':', {flag(f'length({w}) > 2')}, {flag(lexicon.verb(w))}, {flag(lexicon.verb(shorter))})"
+    return f"concat(coalesce({minor(w, soft)}, 'NONE'), ':', {ending}, ':', {flag(f'length({w}) > 2')}, {flag(verb)}, {flag(verb2)})"
 
 
 def stems() -> Iterator[Stem]:

@@ -1,7 +1,8 @@
 """Phonology as SQL expressions.
 
 Every function takes SQL text for a word and returns SQL text, so that expressions stay inside
-code generation, compose freely and run on any engine that knows the same few string functions.
+code generation and compose freely. Where a rule asks the dictionary, it takes a boolean column of
+the table joined by ``kokek.functions.lexicon`` instead of a word list.
 """
 
 from __future__ import annotations
@@ -53,72 +54,31 @@ def last_vowel(w: str) -> str:
     return f"regexp_extract({w}, '([{VOWELS}])[^{VOWELS}]*$', 1)"
 
 
-class Lexicon:
-    """Predicates over a dictionary whose words are held in the plan as one hashed set; verbs are
-    listed as infinitives and ``ł`` marks a soft final l. Meant for dictionaries (up to about
-    10^5 words)."""
+def major(w: str, soft: str) -> str:
+    """BACK or FRONT by the last vowel, null without one; a soft final l counts as front."""
+    v = last_vowel(w)
+    return f"(CASE WHEN {soft} THEN 'FRONT' WHEN {is_in(v, BACK)} THEN 'BACK' WHEN {v} <> '' THEN 'FRONT' END)"
 
-    def __init__(self, words: Iterable[str]):
-        self.words = sorted({w.strip() for w in words if w.strip()})
-        soft = {w[:-1] + "l" for w in self.words if w.endswith("ł")}
-        nouns = soft | set(self.words)
 
-        def ends_infinitive(root: str) -> str:
-            vowels = [c for c in root if c in VOWELS]
-            return "mak" if vowels and vowels[-1] in BACK and root not in soft else "mek"
+def back(w: str, soft: str) -> str:
+    return f"coalesce({major(w, soft)} = 'BACK', false)"
 
-        verbs = {w[:-3] for w in self.words if w[-3:] in ("mak", "mek") and w[-3:] == ends_infinitive(w[:-3])} - set(NEVER_VERBS)
-        self._words, self._soft, self._nouns, self._verbs = (listed(sorted(x) or [" "]) for x in (self.words, soft, nouns, verbs))
-        self._stems = listed(sorted(self._surfaces(nouns | verbs)) or [" "])
 
-    @staticmethod
-    def _surfaces(lemmas: set[str]) -> set[str]:
-        """Every surface stem from which a root candidate can lead to one of the lemmas."""
-        softer = {"p": "b", "ç": "c", "t": "d", "k": "ğg"}
-        voiced = {y for x in lemmas for y in (x, *(x[:-1] + c for c in softer.get(x[-1:], "")))}
-        dropped = {x[:-2] + x[-1] for x in voiced if x[-2:-1] in tuple("ıiuü")}
-        return voiced | dropped | {x[:-1] for x in lemmas if x[-1:] in ("a", "e")}
+def minor(w: str, soft: str) -> str:
+    v = last_vowel(w)
+    return f"(CASE WHEN {v} = '' THEN NULL ELSE concat(CASE WHEN {back(w, soft)} THEN 'BACK' ELSE 'FRONT' END, CASE WHEN {is_in(v, ROUND)} THEN '_ROUND' ELSE '_WIDE' END) END)"
 
-    def soft(self, w: str) -> str:
-        return f"({w} IN {self._soft})"
 
-    def noun(self, w: str) -> str:
-        return f"({w} IN {self._nouns})"
+def infinitive(w: str, soft: str) -> str:
+    return f"concat({w}, CASE WHEN {back(w, soft)} THEN 'mak' ELSE 'mek' END)"
 
-    def verb(self, w: str) -> str:
-        return f"({w} IN {self._verbs})"
 
-    def may_be_altered(self, w: str) -> str:
-        """A cheap test that every stem with root candidates passes."""
-        return f"({w} IN {self._stems})"
+def apply_major(w: str, base: str, soft: str) -> str:
+    return f"(CASE WHEN {back(w, soft)} THEN translate({base}, 'eiüö', 'aıuo') ELSE {base} END)"
 
-    def major(self, w: str) -> str:
-        v = last_vowel(w)
-        return f"(CASE WHEN {self.soft(w)} THEN 'FRONT' WHEN {is_in(v, BACK)} THEN 'BACK' WHEN {v} <> '' THEN 'FRONT' END)"
 
-    def back(self, w: str) -> str:
-        return f"coalesce({self.major(w)} = 'BACK', false)"
-
-    def minor(self, w: str) -> str:
-        v = last_vowel(w)
-        return f"(CASE WHEN {v} = '' THEN NULL ELSE concat(CASE WHEN {self.back(w)} THEN 'BACK' ELSE 'FRONT' END, CASE WHEN {is_in(v, ROUND)} THEN '_ROUND' ELSE '_WIDE' END) END)"
-
-    def infinitive(self, w: str) -> str:
-        return f"concat({w}, CASE WHEN {self.back(w)} THEN 'mak' ELSE 'mek' END)"
-
-    def noun_by_rule(self, w: str) -> str:
-        """The same as ``noun``, word by word."""
-        return f"(length({w}) > 0 AND ({w} IN {self._words} OR ({last(w)} = 'l' AND concat({cut_last(w)}, 'ł') IN {self._words})))"
-
-    def verb_by_rule(self, w: str) -> str:
-        """The same as ``verb``, by the infinitive of each word."""
-        return f"({w} NOT IN {listed(NEVER_VERBS)} AND {self.infinitive(w)} IN {self._words})"
-
-    def apply_major(self, w: str, base: str) -> str:
-        return f"(CASE WHEN {self.back(w)} THEN translate({base}, 'eiüö', 'aıuo') ELSE {base} END)"
-
-    def apply_minor(self, w: str, base: str) -> str:
-        return f"(CASE {self.minor(w)} WHEN 'BACK_ROUND' THEN replace({base}, 'ı', 'u') WHEN 'FRONT_ROUND' THEN replace({base}, 'i', 'ü') ELSE {base} END)"
+def apply_minor(w: str, base: str, soft: str) -> str:
+    return f"(CASE {minor(w, soft)} WHEN 'BACK_ROUND' THEN replace({base}, 'ı', 'u') WHEN 'FRONT_ROUND' THEN replace({base}, 'i', 'ü') ELSE {base} END)"
 
 
 def harden(w: str, suffix: str) -> str:
@@ -138,15 +98,12 @@ def restored(w: str, vowel: str) -> str:
     return f"concat({cut_last(w)}, '{vowel}', {last(w)})"
 
 
-def root_candidates(lexicon: Lexicon, w: str) -> list[tuple[str, str]]:
-    """(condition, lemma) of each possible root behind a surface stem, in order; duplicates stay."""
-    known = lambda x: f"({lexicon.noun(x)} OR {lexicon.verb(x)})"
-    out = [(f"length({w}) > 0 AND {known(unsoften(w))}", unsoften(w))]
+def root_candidates(w: str) -> list[tuple[str, str]]:
+    """(condition, lemma) of each possible root behind a surface stem that is no root itself, in
+    order; duplicates stay, and whether a lemma is in the dictionary is left to a join."""
+    out = [(f"length({w}) > 0", unsoften(w))]
     middle = f"length({w}) > 2 AND length({w}) < 10 AND {ends_with_consonant(w)}"
     for vowel in "ıiuü":
         x = restored(w, vowel)
-        out += [(f"{middle} AND {known(x)}", x), (f"{middle} AND {known(unsoften(x))}", unsoften(x))]
-    for vowel in "ae":
-        x = f"concat({w}, '{vowel}')"
-        out.append((f"length({w}) > 1 AND NOT {lexicon.noun(w)} AND {known(x)}", x))
-    return out
+        out += [(middle, x), (middle, unsoften(x))]
+    return out + [(f"length({w}) > 1", f"concat({w}, '{vowel}')") for vowel in "ae"]

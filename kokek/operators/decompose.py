@@ -1,41 +1,36 @@
 """All root-and-suffix analyses of words.
 
 The search runs level by level: a state is a stem, the text after it and the chain so far. One
-level joins states to the form table on (features of the stem, part of speech), keeps forms
-the remaining text starts with, and drops states another path has reached already. States are
-spread by word, so a level is one broadcast join without any collection.
+level joins states to the form table on (features of the stem, part of speech, next letter),
+keeps forms the remaining text starts with, and drops states another path has reached already.
+States stay where their word is, so that a level groups them without a shuffle.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import form_rows, stem_key
-from kokek.functions.phonology import Lexicon
+from kokek.functions.forms import form_rows
+from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
 
-#: Levels are bounded by twice a word's length; this only guards against a broken table.
-MOST_LEVELS = 80
 NARROWED = "(iyor|ıyor|uyor|üyor)"
 _FORM = "fkey string, start string, target string, suffix_id int, suffix string, grp int, only_once boolean, arc int, form_ord int, form string"
+_tables: dict[str, DataFrame] = {}
 
 
 def form_table(spark: SparkSession) -> DataFrame:
-    """The forms of all suffixes (a table of fixed size)."""
-    return spark.createDataFrame(form_rows(), _FORM)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kokek-"))
-    return df.checkpoint()
+    """The forms of all suffixes (a table of fixed size), with ``head``, the letter the remaining
+    text must begin with: the form's own or, for a lone narrowed vowel, that of what follows it."""
+    key = spark.sparkContext.applicationId
+    if key not in _tables:
+        rows = spark.createDataFrame(form_rows(), _FORM)
+        heads = "explode(IF(form IN ('a', 'e'), array(form, 'ı', 'i', 'u', 'ü'), array(substr(form, 1, 1)))) AS head"
+        _tables[key] = cut(rows.selectExpr("*", heads))
+    return _tables[key]
 
 
 def prefix_splits(words: DataFrame) -> DataFrame:
@@ -44,24 +39,19 @@ def prefix_splits(words: DataFrame) -> DataFrame:
     return cuts.selectExpr("word", "split", "substr(word, 1, split) AS root", "substr(word, split + 1) AS rest")
 
 
+_KINDS = "filter(array(if(noun, 'noun', null), if(verb, 'verb', null)), x -> x is not null)"
+
+
 def root_lookup(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Prefixes that are dictionary roots, once for each part of speech."""
-    splits = prefix_splits(words)
-    flags = splits.withColumns({"noun": F.expr(lexicon.noun("root")), "verb": F.expr(lexicon.verb("root"))})
-    kinds = F.expr("filter(array(if(noun, 'noun', null), if(verb, 'verb', null)), x -> x is not null)")
-    return flags.select("word", "split", "root", "rest", F.explode(kinds).alias("pos"))
+    return lexicon.roots(prefix_splits(words), "root").select("word", "split", "root", "rest", F.explode(F.expr(_KINDS)).alias("pos"))
 
 
 def altered_roots(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Lemmas behind prefixes that are no roots themselves: word, split, surface, cand_ord, lemma,
     pos, virtual_word. A lemma reached twice is listed twice."""
-    splits = prefix_splits(words).where(f"{lexicon.may_be_altered('root')} AND NOT {lexicon.noun('root')} AND NOT {lexicon.verb('root')}")
-    options = ph.root_candidates(lexicon, "root")
-    made = ", ".join(f"CASE WHEN {ok} THEN named_struct('cand_ord', {k}, 'lemma', {lemma}) END" for k, (ok, lemma) in enumerate(options))
-    found = splits.selectExpr("word", "split", "root AS surface", "rest", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS c").select("word", "split", "surface", "rest", "c.*")
-    flags = found.withColumns({"noun": F.expr(lexicon.noun("lemma")), "verb": F.expr(lexicon.verb("lemma"))})
-    kinds = F.expr("filter(array(if(noun, 'noun', null), if(verb, 'verb', null)), x -> x is not null)")
-    return flags.select("word", "split", "surface", "cand_ord", "lemma", F.explode(kinds).alias("pos"), F.concat("lemma", "rest").alias("virtual_word"))
+    found = lexicon.altered(prefix_splits(words).withColumnRenamed("root", "surface"), "surface")
+    return found.select("word", "split", "surface", "cand_ord", "lemma", F.explode(F.expr(_KINDS)).alias("pos"), F.concat("lemma", "rest").alias("virtual_word"))
 
 
 def intensified(words: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -72,7 +62,8 @@ def intensified(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     extended = "IF(substr(word, v + 3, 1) IN ('a', 'e') AND v + 3 < length(word), array(v + 2, v + 3), array(v + 2))"
     tails = rows.select("word", "v", F.expr(f"explode({extended})").alias("p")).selectExpr("word", "v", "p", "substr(word, p + 1) AS tail")
     tails = tails.where("length(tail) > 1 AND startswith(tail, substr(word, 1, v + 1))")
-    roots = tails.select("word", "p", F.expr("explode(transform(sequence(2, length(tail)), k -> substr(tail, 1, k)))").alias("root")).where(lexicon.noun("root"))
+    roots = tails.select("word", "p", F.expr("explode(transform(sequence(2, length(tail)), k -> substr(tail, 1, k)))").alias("root"))
+    roots = lexicon.roots(roots, "root").where("noun")
     return roots.groupBy("word").agg(F.max_by(F.struct("p", "root"), F.struct(-F.col("p"), F.length("root"))).alias("best")).selectExpr("word", "substr(word, 1, best.p) AS prefix", "best.root AS root")
 
 
@@ -94,16 +85,18 @@ def _allowed() -> str:
 def suffix_chains(begun: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Complete chains of the searches in ``begun`` (columns as of ``starts``): word, start, root, pos,
     intensified, path, chain, makes, final_pos, forms."""
-    spark = begun.sparkSession
-    table = F.broadcast(form_table(spark))
+    table = F.broadcast(form_table(begun.sparkSession))
     nothing = "array()"
     states = begun.selectExpr("*", "pos AS at", "root AS stem", "CAST(NULL AS int) AS last_group", f"CAST({nothing} AS array<int>) AS path", f"CAST({nothing} AS array<string>) AS chain", f"CAST({nothing} AS array<string>) AS makes", f"CAST({nothing} AS array<string>) AS forms")
     names = states.columns
-    states, done = cut(states), []
-    for _ in range(MOST_LEVELS):
-        done.append(states.where("rest = ''"))
-        open_ = states.where("rest <> ''").withColumn("fkey", F.expr(stem_key(lexicon, "stem")))
-        met = open_.alias("o").join(table.alias("t"), (F.col("o.fkey") == F.col("t.fkey")) & (F.col("o.at") == F.col("t.start")))
+    states = cut(states.repartition("word"))
+    # A form takes a letter at least, but for a lone narrowed vowel, whose next form takes four.
+    most = 2 * (states.agg(F.max(F.length("rest"))).first()[0] or 0) + 2
+    done = []
+    for level in range(most + 1):
+        done.append(states.where("rest = ''").drop("rest", "stem", "last_group"))
+        open_ = lexicon.keyed(states.where("rest <> ''"), "stem").withColumn("head", F.substring("rest", 1, 1))
+        met = open_.alias("o").join(table.alias("t"), (F.col("o.fkey") == F.col("t.fkey")) & (F.col("o.at") == F.col("t.start")) & (F.col("o.head") == F.col("t.head")))
         met = met.where(f"{_allowed()} AND NOT (only_once AND array_contains(chain, suffix)) AND length(form) <= length(rest)")
         whole = "startswith(rest, form)"
         narrow = f"right(form, 1) IN ('a', 'e') AND startswith(rest, substr(form, 1, length(form) - 1)) AND substr(rest, length(form), 4) RLIKE '^{NARROWED}$'"
@@ -117,6 +110,8 @@ def suffix_chains(begun: DataFrame, lexicon: Lexicon) -> DataFrame:
         states = cut(same.select("s.*"))
         if states.isEmpty():
             break
+        if level == most:
+            raise RuntimeError("states remain beyond the longest possible chain")
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

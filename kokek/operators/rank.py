@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut
 from kokek.functions.suffixes import SUFFIXES
 
 TEMPERATURE, MARGIN, STEPS = 0.7, 0.5, 20
@@ -46,8 +47,19 @@ def _soft(scored: DataFrame) -> DataFrame:
 
 def listwise_loss(scored: DataFrame) -> DataFrame:
     """One row: mean over words of -log(probability of the labelled candidate + 1e-8)."""
-    each = _soft(scored).groupBy("word").agg((-F.log(F.sum(F.col("p") * F.col("label")) + F.lit(1e-8))).alias("loss"))
-    return each.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+    return word_losses(scored).agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("loss"))
+
+
+def word_losses(scored: DataFrame) -> DataFrame:
+    """word, loss: -log(probability of the labelled candidates + 1e-8)."""
+    return _soft(scored).groupBy("word").agg((-F.log(F.sum(F.col("p") * F.col("label")) + F.lit(1e-8))).alias("loss"))
+
+
+def loss_stats(losses: DataFrame, recent: int = 20) -> DataFrame:
+    """One row over (step, loss): how many, the latest, the best, and the mean of the last ``recent``
+    ones; nulls where there are none. Steps do not repeat."""
+    newest = losses.orderBy(F.desc("step")).limit(recent).agg(F.max_by("loss", "step").alias("latest"), F.avg("loss").alias("recent"))
+    return losses.agg(F.count(F.lit(1)).alias("n"), F.min("loss").alias("best")).join(F.broadcast(newest), F.lit(True)).select("n", "latest", "best", "recent")  # one row each
 
 
 def margin_check(scored: DataFrame) -> DataFrame:
@@ -81,8 +93,6 @@ def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: floa
 
     ``labels`` has word and cand_ord of the right candidates; one step is one aggregate.
     """
-    from kokek.operators.decompose import cut
-
     rows = cut(candidates.join(labels.select("word").distinct(), "word", "left_semi"))
     right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
     used = cut(features(rows))

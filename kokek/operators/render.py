@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kokek.functions.forms import form_lists, stem_key
-from kokek.functions.phonology import Lexicon
+from kokek.functions.forms import form_lists
+from kokek.functions.lexicon import BROADCAST_WORDS, Lexicon
 from kokek.functions.suffixes import INTENSIFIER
 from kokek.operators import decompose as search
 from kokek.operators import rank
-from kokek.sources.text import tokenize
+from kokek.sources.text import tokenize, tokens_of
 
 
 def format_analysis(root: Column, chain: Column) -> Column:
@@ -18,10 +18,20 @@ def format_analysis(root: Column, chain: Column) -> Column:
     return F.concat_ws("+", F.concat(F.array(root), chain))
 
 
+_tables: dict[str, DataFrame] = {}
+
+
+def list_table(spark: SparkSession) -> DataFrame:
+    """fkey, suffix, opts: all forms of each suffix after each kind of stem (a table of fixed size)."""
+    key = spark.sparkContext.applicationId
+    if key not in _tables:
+        _tables[key] = search.cut(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
+    return _tables[key]
+
+
 def _offered(rows: DataFrame, lexicon: Lexicon, k: int) -> DataFrame:
     """Adds ``suffix``, the ``k``-th of the chain, and ``opts``, all its forms after ``stem``."""
-    lists = F.broadcast(rows.sparkSession.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
-    met = rows.withColumns({"fkey": F.expr(stem_key(lexicon, "stem")), "suffix": F.expr(f"get(chain, {k})")}).join(lists, ["fkey", "suffix"], "left")
+    met = lexicon.keyed(rows, "stem").withColumn("suffix", F.expr(f"get(chain, {k})")).join(F.broadcast(list_table(rows.sparkSession)), ["fkey", "suffix"], "left")
     return met.withColumn("opts", F.expr(f"CASE WHEN suffix = '{INTENSIFIER}' THEN array(suffix) ELSE coalesce(opts, CAST(array() AS array<string>)) END"))
 
 
@@ -95,6 +105,14 @@ def segments(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
     )
 
 
+def parse_choices(line: Column, most: int | Column) -> Column:
+    """Chosen numbers in order, once each; null if any part is no number from 1 to ``most``."""
+    parts = F.filter(F.split(F.translate(line, ",-/", "   "), r"\s+"), lambda x: x != "")
+    numbers = F.transform(parts, lambda x: x.try_cast("int"))
+    bad = F.exists(numbers, lambda x: x.isNull() | (x < 1) | (x > most))
+    return F.when((F.size(parts) > 0) & ~bad, F.array_distinct(numbers))
+
+
 def option_view(scored: DataFrame) -> DataFrame:
     return rank.rank_candidates(scored).select("word", "cand_ord", F.format_string("%d. %.4f", F.col("shown"), F.col("score")).alias("line"))
 
@@ -114,9 +132,14 @@ def best_analyses(words: DataFrame, lexicon: Lexicon, weights: DataFrame | None
 
 def annotate(docs: DataFrame, lexicon: Lexicon, weights: DataFrame | None = None) -> DataFrame:
     """doc_id, value: every token by its best analysis (or itself), newline-joined in token order.
-    Each distinct token is analysed once."""
+    Each distinct token is analysed once; a document without tokens has an empty value."""
     tokens = tokenize(docs)
     best = best_analyses(tokens.select(F.col("token").alias("word")).distinct(), lexicon, weights)
-    lines = tokens.join(best.select(F.col("word").alias("token"), "analysis"), "token", "left").withColumn("line", F.coalesce("analysis", "token"))
+    # Only tokens that have an analysis are joined; few of a text's words, and broadcast while few.
+    known = search.cut(best.select(F.col("word").alias("token"), "analysis"))
+    small = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    lines = tokens.join(F.broadcast(known) if small else known, "token", "left").withColumn("line", F.coalesce("analysis", "token"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
-    return lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("value"))
+    texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("value"))
+    bare = docs.where(F.coalesce(F.size(tokens_of(F.col("text"))), F.lit(0)) <= 0).select("doc_id", F.lit("").alias("value"))
+    return texts.unionByName(bare)

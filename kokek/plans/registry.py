@@ -1,29 +1,37 @@
-"""Queries of the morphological engine, with the same statements in DuckDB's SQL.
+"""Queries of the morphological engine, with statements in DuckDB's SQL.
 
-Statements that both engines can read are written once; only the token source differs.
+Every query reads the whole of ``documents``. Its words are the table's distinct tokens and a fixed
+list; its dictionary is a fixed list and the tokens of three letters or more that a twentieth of the
+documents have, so that both grow out of the table. The DuckDB statements are written by hand (``oracles``,
+``searching``) and share no code with the engine but its table of forms.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut, shared_folder
 from kokek.functions import phonology as ph
 from kokek.functions import suffixes as sx
-from kokek.functions.forms import Stem, forms, stem_key
+from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
 from kokek.operators import rank, render
+from kokek.plans import oracles as o
 from kokek.plans import searching
-from kokek.session import gold_match
+from kokek.session import gold_match, pruned
 from kokek.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORDS = """ev kitap kitabı burun burnu gelmek geliyor beklemek bekliyor mavi masmavi okul göz hał hal al almak evler
 evlerimizden okulumuzdakiler gelmeyecek arasında ası su suyu gözlükçü güzel güzelleşiyor araba arabadan brr git gidecek""".split()
-LEXICON = ph.Lexicon("ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak gitmek".split())
+LISTED = "ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak gitmek".split()
+#: Stems of every harmony, ending and length that a form rule can ask for; every other one is a verb.
+STEMS = [f"{a}{v}{b}" for a in ("", "b", "br") for v in ph.VOWELS for b in ("", "n", "l", "r", "k", "z", "di", "dı", "tu", "tü", "se", "sa", "me", "ma", "bin", "bın", "bun", "bün", "bi", "be")] + ["b", "br", "brk", "brl", "brn", "bdr"]
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,7 +42,16 @@ _DUCK_TOKENS = (
     + source.BLANKS.replace(r"\u", r"\x").replace(r"\x1680", r"\x{1680}").replace(r"\x2000-\x200A\x2028\x2029\x202F\x205F\x3000", r"\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}")
     + "'), lambda x: x <> '') AS l FROM documents))"
 )
-_VALUES = "SELECT col0 AS word FROM (VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ") AS v(col0)"
+
+
+def _rows(words: list[str]) -> str:
+    return "SELECT col0 AS word FROM (VALUES " + ", ".join(f"('{w}')" for w in words) + ") AS v(col0)"
+
+
+_TOKENS = f"tokens AS MATERIALIZED ({_DUCK_TOKENS})"
+_COMMON = f"""{_TOKENS}, words AS MATERIALIZED (SELECT token AS word FROM tokens UNION {_rows(WORDS)}),
+lex AS MATERIALIZED ({_rows(LISTED)} UNION SELECT token FROM (SELECT DISTINCT doc_id, token FROM tokens WHERE length(token) > 2) d
+  GROUP BY token HAVING count(*) * 20 >= (SELECT count(*) FROM documents))"""
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,18 +62,33 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source.tokenize(docs(spark, sf_dir))
 
 
+def listed(spark: SparkSession, words: list[str]) -> DataFrame:
+    return spark.createDataFrame([(w,) for w in words], "word string")
+
+
 def words_of(spark: SparkSession, held: DataFrame) -> DataFrame:
     """The distinct tokens of ``held`` and WORDS."""
-    return held.select(F.col("token").alias("word")).union(spark.createDataFrame([(w,) for w in WORDS], "word string")).distinct()
+    return held.select(F.col("token").alias("word")).union(listed(spark, WORDS)).distinct()
 
 
 def table_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words_of(spark, tokens(spark, sf_dir))
 
 
+def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LISTED and the tokens of three letters or more that a twentieth of the documents have."""
+    held = tokens(spark, sf_dir).where("length(token) > 2").distinct().select("doc_id", "token").distinct()
+    least = docs(spark, sf_dir).agg((F.count(F.lit(1)) / 20).alias("least"))  # one row
+    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(least), F.col("n") >= F.col("least"))
+    return often.select(F.col("token").alias("word")).union(listed(spark, LISTED)).distinct()
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> Lexicon:
+    return Lexicon(dictionary_words(spark, sf_dir))
+
+
 def shared(name: str, statement: str, oracle: str | None = None) -> None:
     """A statement over tokens (doc_id, pos, token) and words (their distinct ones and WORDS)."""
-    words = f"SELECT DISTINCT token AS word FROM tokens UNION {_VALUES}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         held = tokens(spark, sf_dir)
@@ -65,56 +97,63 @@ def shared(name: str, statement: str, oracle: str | None = None) -> None:
         return spark.sql(text, tokens=held, words=words_df)
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"WITH tokens AS ({_DUCK_TOKENS}), words AS ({words}) {oracle or statement.replace('@', '')}"
-
-
-L = LEXICON
-_CHOICE = "regexp_replace(token, '[,/-]', ' ')"
-for _name, _what in {
-    "first_vowel": f"CAST({ph.first_vowel('word')} AS BIGINT) AS place",
-    "ends_class": f"{ph.ends_with_vowel('word')} AS vowel, {ph.ends_with_consonant('word')} AS consonant",
-    "no_vowels": f"{ph.no_vowels('word')} AS bare",
-    "major_harmony": f"{L.major('word')} AS major",
-    "minor_harmony": f"{L.minor('word')} AS minor",
-    "apply_major": ", ".join(f"{L.apply_major('word', repr(b))} AS b{k}" for k, b in enumerate(("ler", "siniz", "cağız"))),
-    "apply_minor": ", ".join(f"{L.apply_minor('word', repr(b))} AS b{k}" for k, b in enumerate(("im", "ım", "iyor"))),
-    "harden": ", ".join(f"{ph.harden('word', repr(b))} AS b{k}" for k, b in enumerate(("de", "ci", "gi", "ğe", "ler", ""))),
-    "soften": f"{ph.soften('word')} AS soft, {ph.unsoften('word')} AS hard",
-    "infinitive": f"{L.infinitive('word')} AS infinitive",
-    "stem_features": f"{stem_key(L, 'word')} AS fkey",
-    "format_analysis": "concat(word, '+plural_ler') AS text",
-}.items():
-    shared(_name, f"SELECT word, {_what} FROM @words")
+    ORACLE_SQL[name] = f"WITH {_COMMON} {oracle or statement.replace('@', '')}"
+
+
+def phonology(name: str, columns: dict[str, tuple[str, str]]) -> None:
+    """Expressions on every word: (the engine's, over word and its flag soft; DuckDB's)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        marked = dictionary(spark, sf_dir).marked(table_words(spark, sf_dir), "word", "soft")
+        return marked.selectExpr("word", *(f"{own} AS {c}" for c, (own, _) in columns.items()))
+
+    QUERIES[name] = run
+    ORACLE_SQL[name] = f"WITH {_COMMON} SELECT word, {', '.join(f'{duck} AS {c}' for c, (_, duck) in columns.items())} FROM words"
+
+
+phonology("first_vowel", {"place": (f"CAST({ph.first_vowel('word')} AS BIGINT)", "CAST(coalesce(list_position(list_transform(string_split(word, ''), lambda c: contains('aıoueiöü', c)), true), 0) - 1 AS BIGINT)")})
+phonology("ends_class", {"vowel": (ph.ends_with_vowel("word"), "regexp_matches(word, '[aıoueiöü]$')"), "consonant": (ph.ends_with_consonant("word"), "regexp_matches(word, '[^aıoueiöü]$')")})
+phonology("no_vowels", {"bare": (ph.no_vowels("word"), "translate(word, 'aıoueiöü', '') = word")})
+phonology("major_harmony", {"major": (ph.major("word", "soft"), o.major("word"))})
+phonology("minor_harmony", {"minor": (ph.minor("word", "soft"), o.minor("word"))})
+phonology("apply_major", {f"b{k}": (ph.apply_major("word", repr(b), "soft"), o.apply_major("word", repr(b))) for k, b in enumerate(("ler", "siniz", "cağız"))})
+phonology("apply_minor", {f"b{k}": (ph.apply_minor("word", repr(b), "soft"), o.apply_minor("word", repr(b))) for k, b in enumerate(("im", "ım", "iyor"))})
+phonology("harden", {f"b{k}": (ph.harden("word", repr(b)), o.harden("word", repr(b)) if b else "''") for k, b in enumerate(("de", "ci", "gi", "ğe", "ler", ""))})
+phonology("soften", {"soft_form": (ph.soften("word"), o.soften("word")), "hard_form": (ph.unsoften("word"), o.unsoften("word"))})
+phonology("infinitive", {"infinitive": (ph.infinitive("word", "soft"), o.infinitive("word"))})
+QUERIES["stem_features"] = lambda spark, sf_dir: dictionary(spark, sf_dir).keyed(table_words(spark, sf_dir), "word").select("word", "fkey")
+ORACLE_SQL["stem_features"] = f"WITH {_COMMON} SELECT word, {o.stem_key('word')} AS fkey FROM words"
 
 shared("tokenize", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, token FROM @tokens")
 shared("vocab", "SELECT DISTINCT token FROM @tokens")
 shared("text_stats", "SELECT count(*) AS n_tokens, count(DISTINCT token) AS n_words, count(DISTINCT doc_id) AS n_docs FROM @tokens")
-shared("lexicon_scan", "SELECT token AS word, count(DISTINCT doc_id) AS n_docs FROM @tokens GROUP BY token HAVING count(DISTINCT doc_id) >= 3")
-shared("lexicon_delete", "SELECT w.word FROM @words w LEFT JOIN (SELECT DISTINCT token FROM @tokens WHERE length(token) > 6) d ON d.token = w.word WHERE d.token IS NULL")
-shared("lexicon_prune", f"SELECT w.word FROM @words w WHERE NOT ({L.noun('w.word')} AND length(w.word) > 3) AND w.word NOT IN ('gelmek', 'almak')")
-shared("noun_lookup", f"SELECT word FROM @words WHERE {L.noun('word')}", f"SELECT word FROM words WHERE {L.noun_by_rule('word')}")
-shared("verb_lookup", f"SELECT word FROM @words WHERE {L.verb('word')}", f"SELECT word FROM words WHERE {L.verb_by_rule('word')}")
-_OPTIONS = list(enumerate(ph.root_candidates(L, "word")))
-shared(
-    "root_candidates",
-    " UNION ALL ".join(f"SELECT word, {k} AS cand_ord, {lemma} AS lemma FROM @words WHERE {L.may_be_altered('word')} AND {ok}" for k, (ok, lemma) in _OPTIONS),
-    " UNION ALL ".join(f"SELECT word, {k} AS cand_ord, {lemma} AS lemma FROM words WHERE {ok}" for k, (ok, lemma) in _OPTIONS),
-)
-shared("ambiguity", "SELECT CASE WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'two' ELSE 'many' END AS route, count(*) AS words FROM (SELECT token, count(*) AS n FROM @tokens GROUP BY token) x GROUP BY 1")
 
 
+def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token, padded and with blank lines between, as a dictionary file that is then read."""
+    path = f"{shared_folder(spark)}/{source.fresh('lexicon')}"
+    lines = tokens(spark, sf_dir).select(F.explode(F.array(F.concat(F.lit(" "), "token", F.lit("  ")), F.lit(" "))).alias("value"))
+    source.write_text(lines, path)
+    return source.read_lexicon(spark, path)
+
+
+QUERIES["lexicon_scan"] = lexicon_scan
+ORACLE_SQL["lexicon_scan"] = f"WITH {_TOKENS} SELECT DISTINCT token AS word FROM tokens"
+QUERIES["lexicon_delete"] = lambda spark, sf_dir: source.delete_words(table_words(spark, sf_dir), tokens(spark, sf_dir).where("length(token) > 6").select(F.col("token").alias("word")))
+ORACLE_SQL["lexicon_delete"] = f"WITH {_COMMON} SELECT word FROM words EXCEPT SELECT token FROM tokens WHERE length(token) > 6"
 
-def ambiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words by their number of analyses."""
-    words = table_words(spark, sf_dir)
-    n = words.join(search.decompose(words, LEXICON).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
-    route = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "one").when(F.col("n") == 2, "two").otherwise("many")
-    return n.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("words"))
 
+def looked_up(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary(spark, sf_dir).marked(table_words(spark, sf_dir), "word", kind).where(kind).select("word")
 
-QUERIES["ambiguity"] = ambiguity
 
-_SCORED = "SELECT CAST(doc_id AS VARCHAR(30)) AS word, pos AS cand_ord, ((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score, CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label FROM tokens WHERE pos < 40"
+QUERIES["noun_lookup"], QUERIES["verb_lookup"] = partial(looked_up, "noun"), partial(looked_up, "verb")
+ORACLE_SQL["noun_lookup"] = f"WITH {_COMMON} SELECT word FROM words WHERE {o.noun('word')}"
+ORACLE_SQL["verb_lookup"] = f"WITH {_COMMON} SELECT word FROM words WHERE {o.verb('word')}"
+QUERIES["root_candidates"] = lambda spark, sf_dir: dictionary(spark, sf_dir).altered(table_words(spark, sf_dir), "word").select("word", "cand_ord", "lemma")
+ORACLE_SQL["root_candidates"] = f"WITH {_COMMON} " + " UNION ALL ".join(f"SELECT word, {k} AS cand_ord, {lemma} AS lemma FROM words WHERE NOT {o.noun('word')} AND NOT {o.verb('word')} AND {ok}" for k, (ok, lemma) in enumerate(o.root_candidates("word")))
+
+_SCORED = "SELECT CAST(doc_id AS VARCHAR(30)) AS word, pos AS cand_ord, ((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score, CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label FROM tokens"
 
 
 def on_scores(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> None:
@@ -125,7 +164,7 @@ def on_scores(name: str, plan: Callable[[DataFrame], DataFrame], sql: str) -> No
         return plan(scored)
 
     QUERIES[name] = run
-    ORACLE_SQL[name] = f"WITH tokens AS ({_DUCK_TOKENS}), scored AS ({_SCORED}) {sql}"
+    ORACLE_SQL[name] = f"WITH {_TOKENS}, scored AS ({_SCORED}) {sql}"
 
 
 on_scores("best_per_word", rank.best_per_word, "SELECT word, cand_ord, score FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score DESC, cand_ord) AS k FROM scored) x WHERE k = 1")
@@ -151,8 +190,9 @@ on_scores(
     "SELECT word, array_to_string(list_concat(l, list_transform(range(0, CAST(m - len(l) AS BIGINT)), lambda i: 0)), ',') AS padded, CAST(m - len(l) AS BIGINT) AS n_masked FROM (SELECT word, list(cand_ord + 1 ORDER BY cand_ord) AS l, max(count(*)) OVER () AS m FROM scored GROUP BY word) x",
 )
 on_scores(
-    "loss_stats", lambda s: s.groupBy("word").agg(F.max("score").alias("loss")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("loss"), 6).alias("mean"), F.min("loss").alias("best")),
-    "SELECT count(*) AS n, round(avg(loss), 6) AS mean, min(loss) AS best FROM (SELECT word, max(score) AS loss FROM scored GROUP BY word) x",
+    "loss_stats", lambda s: rank.loss_stats(rank.word_losses(s).select(F.col("word").cast("long").alias("step"), F.round("loss", 6).alias("loss"))).select("n", F.round("latest", 6).alias("latest"), F.round("best", 6).alias("best"), F.round("recent", 5).alias("recent")),
+    """, losses AS (SELECT CAST(word AS BIGINT) AS step, round(-ln(sum(label * exp(score / 0.7)) / sum(exp(score / 0.7)) + 1e-8), 6) AS loss FROM scored GROUP BY 1)
+    SELECT count(*) AS n, arg_max(loss, step) AS latest, min(loss) AS best, round(avg(loss) FILTER (k <= 20), 5) AS recent FROM (SELECT *, row_number() OVER (ORDER BY step DESC) AS k FROM losses) x""",
 )
 
 
@@ -167,121 +207,154 @@ _S = "(VALUES " + ", ".join(f"({s.id}, '{s.list}', '{s.comes_to}', '{s.name}')"
 _A = "(VALUES ('noun', 'noun', 'n2n', 'v2n'), ('noun', 'verb', 'n2v', 'v2v'), ('verb', 'noun', 'v2n', 'n2n'), ('verb', 'verb', 'v2v', 'n2v')) a(start_pos, target_pos, own, other)"
 ORACLE_SQL["suffix_arcs"] = f"SELECT start_pos, target_pos, CAST(row_number() OVER (PARTITION BY start_pos, target_pos ORDER BY list <> own, id) - 1 AS INTEGER) AS arc_ord, id AS suffix_id, name FROM {_A} JOIN {_S} ON list = own OR (list = other AND comes_to = 'both')"
 
-_LINES = ["1,2 2/3", "6", "a", "", "3-1", " 5 ", "0"]
-_CHOSEN = [[1, 2, 3], None, None, None, [3, 1], [5], None]
-
 
-def parse_choices(line, most: int):
-    """Chosen numbers in order, once each; null if any part is no number from 1 to ``most``."""
-    parts = F.filter(F.split(F.translate(line, ",-/", "   "), r"\s+"), lambda x: x != "")
-    numbers = F.transform(parts, lambda x: x.try_cast("int"))
-    bad = F.exists(numbers, lambda x: x.isNull() | (x < 1) | (x > most))
-    return F.when((F.size(parts) > 0) & ~bad, F.array_distinct(numbers))
+def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of numbers, and tokens as they are, for choosing among five."""
+    made = "IF(pos % 4 = 0, token, concat(' ', pos % 7, IF(pos % 3 = 0, ',', '/'), length(token), '-', doc_id % 4, ' ', pos % 7))"
+    lines = tokens(spark, sf_dir).selectExpr(f"{made} AS line").union(spark.createDataFrame([("",), (" 5 ",), ("1,2 2/3",)], "line string")).distinct()
+    return lines.select("line", F.array_join(render.parse_choices(F.col("line"), 5).cast("array<string>"), ",").alias("chosen"))
 
 
-QUERIES["parse_choices"] = lambda spark, sf_dir: spark.createDataFrame([(x,) for x in _LINES], "line string").select("line", F.array_join(parse_choices(F.col("line"), 5).cast("array<string>"), ",").alias("chosen"))
-ORACLE_SQL["parse_choices"] = "SELECT * FROM (VALUES " + ", ".join(f"('{x}', " + ("CAST(NULL AS VARCHAR)" if c is None else f"'{','.join(map(str, c))}'") + ")" for x, c in zip(_LINES, _CHOSEN)) + ") v(line, chosen)"
+QUERIES["parse_choices"] = choices
+ORACLE_SQL["parse_choices"] = f"""WITH {_TOKENS}, lines AS (
+  SELECT CASE WHEN pos % 4 = 0 THEN token ELSE concat(' ', pos % 7, CASE WHEN pos % 3 = 0 THEN ',' ELSE '/' END, length(token), '-', doc_id % 4, ' ', pos % 7) END AS line FROM tokens UNION VALUES (''), (' 5 '), ('1,2 2/3')),
+parts AS (SELECT line, list_filter(string_split_regex(line, '[-,/ ]'), lambda x: x <> '') AS p FROM lines),
+numbers AS (SELECT line, CASE WHEN len(p) > 0 AND len(list_filter(p, lambda x: NOT regexp_full_match(x, '0*[1-5]'))) = 0 THEN list_transform(p, lambda x: CAST(x AS INTEGER)) END AS n FROM parts)
+SELECT line, array_to_string(list_transform(list_filter(n, lambda x, i: list_position(n, x) = i), lambda x: CAST(x AS VARCHAR)), ',') AS chosen FROM numbers"""
 
-
-_W = f"({_VALUES})"
 QUERIES["prefix_splits"] = lambda spark, sf_dir: search.prefix_splits(tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct())
-ORACLE_SQL["prefix_splits"] = f"WITH tokens AS ({_DUCK_TOKENS}), w AS (SELECT DISTINCT token AS word FROM tokens) SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM w) x"
-QUERIES["root_lookup"] = lambda spark, sf_dir: search.root_lookup(table_words(spark, sf_dir), LEXICON)
-_CUTS = f"(SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM {_W} w) x) c"
-ORACLE_SQL["root_lookup"] = f"SELECT *, 'noun' AS pos FROM {_CUTS} WHERE {L.noun_by_rule('root')} UNION ALL SELECT *, 'verb' AS pos FROM {_CUTS} WHERE {L.verb_by_rule('root')}"
-QUERIES["altered_roots"] = lambda spark, sf_dir: search.altered_roots(table_words(spark, sf_dir), LEXICON)
-_ALTERED = " UNION ALL ".join(f"SELECT word, split, root AS surface, rest, {k} AS cand_ord, {lemma} AS lemma FROM {_CUTS} WHERE NOT {L.noun_by_rule('root')} AND NOT {L.verb_by_rule('root')} AND {ok}" for k, (ok, lemma) in enumerate(ph.root_candidates(L, "root")))
-ORACLE_SQL["altered_roots"] = f"WITH c AS ({_ALTERED}) " + " UNION ALL ".join(f"SELECT word, split, surface, cand_ord, lemma, '{p}' AS pos, concat(lemma, rest) AS virtual_word FROM c WHERE {f('lemma')}" for p, f in (("noun", L.noun_by_rule), ("verb", L.verb_by_rule)))
+_CUTS = "cuts AS (SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM words) x)"
+ORACLE_SQL["prefix_splits"] = f"WITH {_TOKENS}, words AS (SELECT DISTINCT token AS word FROM tokens), {_CUTS} SELECT * FROM cuts"
+QUERIES["root_lookup"] = lambda spark, sf_dir: search.root_lookup(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+ORACLE_SQL["root_lookup"] = f"WITH {_COMMON}, {_CUTS} SELECT *, 'noun' AS pos FROM cuts WHERE {o.noun('root')} UNION ALL SELECT *, 'verb' AS pos FROM cuts WHERE {o.verb('root')}"
+QUERIES["altered_roots"] = lambda spark, sf_dir: search.altered_roots(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+_ALTERED = " UNION ALL ".join(f"SELECT word, split, root AS surface, rest, {k} AS cand_ord, {lemma} AS lemma FROM cuts WHERE NOT {o.noun('root')} AND NOT {o.verb('root')} AND {ok}" for k, (ok, lemma) in enumerate(o.root_candidates("root")))
+ORACLE_SQL["altered_roots"] = f"WITH {_COMMON}, {_CUTS}, c AS ({_ALTERED}) " + " UNION ALL ".join(f"SELECT word, split, surface, cand_ord, lemma, '{p}' AS pos, concat(lemma, rest) AS virtual_word FROM c WHERE {f('lemma')}" for p, f in (("noun", o.noun), ("verb", o.verb)))
 
 
 def _flat(df: DataFrame) -> DataFrame:
     return df.select(*[F.array_join(F.col(n).cast("array<string>"), "+").alias(n) if t.startswith("array") else F.col(n) for n, t in df.dtypes])
 
 
-QUERIES["intensifier"] = lambda spark, sf_dir: search.intensified(table_words(spark, sf_dir), LEXICON)
-QUERIES["suffix_chains"] = lambda spark, sf_dir: _flat(search.suffix_chains(search.starts(table_words(spark, sf_dir), LEXICON), LEXICON))
-QUERIES["vowel_narrowing"] = lambda spark, sf_dir: _flat(search.decompose(table_words(spark, sf_dir).where("word rlike '[iıuü]yor'"), LEXICON))
-QUERIES["decompose"] = lambda spark, sf_dir: _flat(search.decompose(table_words(spark, sf_dir), LEXICON))
-QUERIES["decompose_distinct"] = lambda spark, sf_dir: _flat(search.decompose_distinct(table_words(spark, sf_dir), LEXICON))
-QUERIES["segments"] = lambda spark, sf_dir: render.segments(search.decompose(table_words(spark, sf_dir), LEXICON), LEXICON)
-QUERIES["encode_chain"] = lambda spark, sf_dir: search.decompose(table_words(spark, sf_dir), LEXICON).select("word", "cand_ord", F.array_join(F.transform(rank.encode_chain(F.col("chain"), F.col("makes")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.cid.cast("string"))), ",").alias("code"))
-QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), LEXICON)
-QUERIES["sample_word"] = lambda spark, sf_dir: spark.createDataFrame([(w,) for w in WORDS], "word string").orderBy(F.rand(7)).limit(1)
+def _joined(*names: str) -> str:
+    return ", ".join(f"array_to_string({n}, '+') AS {n}" for n in names)
 
 
-def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stems = [Stem("BACK_WIDE", "hard", True, False, False), Stem("FRONT_WIDE", "negation", True, True, True), Stem("FRONT_ROUND", "other", True, False, False)]
-    rows = [(t.key, s.name, k, f) for t in stems for s in sx.SUFFIXES for k, f in enumerate(forms(s, t))]
-    return spark.createDataFrame(rows, "fkey string, suffix string, form_ord int, form string")
+def searched(name: str, plan: Callable[[DataFrame, Lexicon], DataFrame], ask: str) -> None:
+    """``plan`` over the words and the dictionary of a table; ``ask`` of ``searching.search_sql``."""
+    QUERIES[name] = lambda spark, sf_dir: plan(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+    ORACLE_SQL[name] = searching.search_sql(_COMMON, ask)
 
 
-QUERIES["suffix_forms"] = suffix_forms
-_GOLD = [("evler", "ev", ["plural_ler"]), ("evler", "ev", ["conjugation_3pl"]), ("burnu", "burun", ["posessive_3sg"]), ("burnu", "burun", ["posessive_3sg"]), ("kitap", "kitap", []), ("xyz", "x", [])]
+def on_analyses(name: str, plan: Callable[[DataFrame, Lexicon], DataFrame], ask: str) -> None:
+    """``plan`` over all analyses of a table's words."""
+    searched(name, lambda words, lexicon: plan(cut(search.decompose(words, lexicon)), lexicon), ask)
 
 
-def gold(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *r) for k, r in enumerate(_GOLD)], "gold_ord int, word string, root string, names array<string>")
+_ANALYSIS = f"root, pos, {_joined('chain', 'makes', 'forms')}, final_pos"
+searched("intensifier", search.intensified, "SELECT word, substr(word, 1, p) AS prefix, root FROM doubled WHERE k = 1")
+searched("suffix_chains", lambda words, lexicon: _flat(search.suffix_chains(search.starts(words, lexicon), lexicon)), f"SELECT word, root, pos, intensified, final_pos, {_joined('start', 'path', 'chain', 'makes', 'forms')} FROM chains")
+searched("decompose", lambda words, lexicon: _flat(search.decompose(words, lexicon)), f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses")
+searched("vowel_narrowing", lambda words, lexicon: _flat(search.decompose(words.where("word rlike '[iıuü]yor'"), lexicon)), f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses WHERE regexp_matches(word, '[iıuü]yor')")
+searched(
+    "decompose_distinct", lambda words, lexicon: _flat(search.decompose_distinct(words, lexicon)),
+    f"SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY cand_ord) - 1 AS INTEGER) AS cand_ord, {_ANALYSIS} FROM (SELECT *, row_number() OVER (PARTITION BY word, root, pos, chain, final_pos ORDER BY cand_ord) AS k FROM analyses) x WHERE k = 1",
+)
+on_analyses("segments", render.segments, searching.segments_ask())
+on_analyses("gold_json", lambda found, lexicon: render.gold_rows(found, lexicon).select("word", "cand_ord", F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line")), searching.gold_ask())
+on_analyses("format_analysis", lambda found, _: found.select("word", "cand_ord", render.format_analysis(F.col("root"), F.col("chain")).alias("text")), "SELECT word, cand_ord, concat(root, CASE WHEN len(chain) > 0 THEN concat('+', array_to_string(chain, '+')) ELSE '' END) AS text FROM analyses")
+_NAMES, _IDS = [s.name for s in sx.SUFFIXES], [s.id for s in sx.SUFFIXES]
+on_analyses(
+    "encode_chain",
+    lambda found, _: found.select("word", "cand_ord", F.array_join(F.transform(rank.encode_chain(F.col("chain"), F.col("makes")), lambda x: F.concat_ws(":", x.sid.cast("string"), x.cid.cast("string"))), ",").alias("code")),
+    f"SELECT word, cand_ord, array_to_string(list_transform(generate_series(1, len(chain)), lambda k: concat(coalesce({_IDS}[list_position({_NAMES}, chain[k])], 0), ':', CASE WHEN makes[k] = 'verb' THEN 1 ELSE 0 END)), ',') AS code FROM analyses",
+)
 
 
-QUERIES["gold_match"] = lambda spark, sf_dir: gold_match(search.decompose(table_words(spark, sf_dir), LEXICON), gold(spark))
-QUERIES["gold_groups"] = lambda spark, sf_dir: gold(spark).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_ord", "root"))), lambda x: x.root), ",").alias("roots"), F.count(F.lit(1)).alias("n"))
-_GV = "(VALUES " + ", ".join(f"({k}, '{w}', '{r}', '{'+'.join(n)}')" for k, (w, r, n) in enumerate(_GOLD)) + ") g(gold_ord, word, root, names)"
-ORACLE_SQL["gold_groups"] = f"SELECT word, string_agg(root, ',' ORDER BY gold_ord) AS roots, count(*) AS n FROM {_GV} GROUP BY word"
-QUERIES["gold_json"] = lambda spark, sf_dir: render.gold_rows(search.decompose(table_words(spark, sf_dir), LEXICON), LEXICON).select("word", "cand_ord", F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line"))
+def ambiguity(words: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Words by their number of analyses."""
+    n = words.join(search.decompose(words, lexicon).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
+    route = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "one").when(F.col("n") == 2, "two").otherwise("many")
+    return n.groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("words"))
 
 
-def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = search.cut(search.decompose(table_words(spark, sf_dir), LEXICON))
-    labels = gold_match(found, gold(spark)).select("word", "cand_ord")
-    return found, rank.fit(found, labels)
+searched("ambiguity", ambiguity, "SELECT CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' WHEN n = 2 THEN 'two' ELSE 'many' END AS route, count(*) AS words FROM words LEFT JOIN (SELECT word, count(*) AS n FROM analyses GROUP BY word) a USING (word) GROUP BY 1")
 
 
-QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark, sf_dir)[1]
-QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))
+def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary after each word's first analysis is confirmed: derived words and their infinitives go."""
+    held = cut(dictionary_words(spark, sf_dir))
+    lexicon = Lexicon(held)
+    derived = search.decompose(table_words(spark, sf_dir), lexicon).where("cand_ord = 0 AND root <> word").select("word")
+    return source.delete_words(held, pruned(held, derived, lexicon))
 
 
-def _joined(*names: str) -> str:
-    return ", ".join(f"array_to_string({n}, '+') AS {n}" for n in names)
+QUERIES["lexicon_prune"] = prune
+ORACLE_SQL["lexicon_prune"] = searching.search_sql(_COMMON, f", gone AS (SELECT word FROM analyses WHERE cand_ord = 0 AND root <> word AND word IN (SELECT word FROM lex)) SELECT word FROM lex WHERE word NOT IN (SELECT word FROM gone) AND word NOT IN (SELECT {o.infinitive('word')} FROM gone)")
 
+# Confirmed rows: of each word's analyses all but every third, and one with an unknown root.
+_CONFIRMED = "SELECT cand_ord AS gold_ord, word, CASE WHEN cand_ord % 5 = 4 THEN 'x' ELSE root END AS root, chain AS names FROM {} WHERE cand_ord % 3 <> 1"
 
-def searched(name: str, ask: str, words: str | None = None) -> None:
-    ORACLE_SQL[name] = searching.search_sql(LEXICON, None if words else WORDS, words or f"SELECT word FROM ({_VALUES}) v", ask)
+
+def confirmed(found: DataFrame) -> DataFrame:
+    return found.where("cand_ord % 3 <> 1").selectExpr("cand_ord AS gold_ord", "word", "IF(cand_ord % 5 = 4, 'x', root) AS root", "chain AS names")
 
 
-_ANALYSIS = f"root, pos, {_joined('chain', 'makes', 'forms')}, final_pos"
-searched("suffix_chains", f"SELECT word, root, pos, intensified, final_pos, {_joined('start', 'path', 'chain', 'makes', 'forms')} FROM chains")
-searched("decompose", f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses")
-searched("vowel_narrowing", f"SELECT word, cand_ord, {_ANALYSIS} FROM analyses WHERE regexp_matches(word, '[iıuü]yor')")
-searched(
-    "decompose_distinct",
-    f"SELECT word, CAST(row_number() OVER (PARTITION BY word ORDER BY cand_ord) - 1 AS INTEGER) AS cand_ord, {_ANALYSIS} FROM (SELECT *, row_number() OVER (PARTITION BY word, root, pos, chain, final_pos ORDER BY cand_ord) AS k FROM analyses) x WHERE k = 1",
-)
-searched("intensifier", "SELECT word, substr(word, 1, p) AS prefix, root FROM doubled WHERE k = 1")
-searched("segments", searching.segments_ask(LEXICON))
-searched("gold_json", searching.gold_ask(LEXICON))
-_NAMES, _IDS = [s.name for s in sx.SUFFIXES], [s.id for s in sx.SUFFIXES]
-searched(
-    "encode_chain",
-    f"SELECT word, cand_ord, array_to_string(list_transform(generate_series(1, len(chain)), lambda k: concat(coalesce({_IDS}[list_position({_NAMES}, chain[k])], 0), ':', CASE WHEN makes[k] = 'verb' THEN 1 ELSE 0 END)), ',') AS code FROM analyses",
-)
 _PART = "row_number() OVER (PARTITION BY word, root, names ORDER BY"
-searched(
-    "gold_match",
-    f"""SELECT gold_ord, word, cand_ord FROM (SELECT *, {_PART} gold_ord) AS k FROM {_GV}) a
-    JOIN (SELECT word, root, names, cand_ord, {_PART} cand_ord) AS k FROM (SELECT word, root, array_to_string(chain, '+') AS names, cand_ord FROM analyses) x) b USING (word, root, names, k)""",
+on_analyses(
+    "gold_match", lambda found, _: gold_match(found, confirmed(found)),
+    f"""SELECT gold_ord, word, cand_ord FROM (SELECT *, {_PART} gold_ord) AS k FROM ({_CONFIRMED.format("analyses")}) g) a
+    JOIN (SELECT word, root, chain AS names, cand_ord, row_number() OVER (PARTITION BY word, root, chain ORDER BY cand_ord) AS k FROM analyses) b USING (word, root, names, k)""",
+)
+on_analyses(
+    "gold_groups",
+    lambda found, _: confirmed(found).groupBy("word").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("gold_ord", "root"))), lambda x: x.root), ",").alias("roots"), F.count(F.lit(1)).alias("n")),
+    f"SELECT word, string_agg(root, ',' ORDER BY gold_ord) AS roots, count(*) AS n FROM ({_CONFIRMED.format('analyses')}) g GROUP BY word",
 )
-searched(
-    "annotate_text",
-    f"""SELECT doc_id, string_agg(coalesce(analysis, token), chr(10) ORDER BY pos) AS value
-    FROM ({_DUCK_TOKENS}) t LEFT JOIN (SELECT word, array_to_string(list_concat([root], chain), '+') AS analysis FROM analyses WHERE cand_ord = 0) a ON a.word = token GROUP BY doc_id""",
-    f"SELECT DISTINCT token AS word FROM ({_DUCK_TOKENS}) d",
+on_analyses(
+    "gold_scan",
+    lambda found, lexicon: source.parse_gold(
+        render.gold_rows(found, lexicon).select(F.to_json(F.struct("word", "root", "suffixes", "final_pos")).alias("line"), "cand_ord")
+        .select(F.explode(F.array("line", F.lit(" "), F.expr("substr(line, 1, length(line) - 1 - cand_ord % 3)"), F.expr("regexp_replace(line, '\"suffixes\":.*\"final_pos\"', '\"final_pos\"')"), F.lit('{"root":"x"}'))).alias("value"))
+    ).select("word", "root", "final_pos", F.array_join("suffixes.name", "+").alias("names")),
+    "SELECT word, root, final_pos, unnest([array_to_string(chain, '+'), '']) AS names FROM analyses",
+)
+
+QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), dictionary(spark, sf_dir))
+ORACLE_SQL["annotate_text"] = searching.search_sql(
+    _COMMON,
+    """SELECT d.doc_id, coalesce(value, '') AS value FROM documents d LEFT JOIN (
+      SELECT doc_id, string_agg(coalesce(analysis, token), chr(10) ORDER BY pos) AS value
+      FROM tokens t LEFT JOIN (SELECT word, array_to_string(list_concat([root], chain), '+') AS analysis FROM analyses WHERE cand_ord = 0) a ON a.word = token GROUP BY doc_id) v USING (doc_id)""",
 )
+QUERIES["sample_word"] = lambda spark, sf_dir: source.draw_words(table_words(spark, sf_dir), 5, seed=7)
+ORACLE_SQL["sample_word"] = f"WITH {_COMMON} SELECT word FROM words ORDER BY md5(concat('7:', word)), word LIMIT 5"
 
-_GOLD_LINES = [
-    '{"word":"evler","root":"ev","suffixes":[{"name":"plural_ler","form":"ler","makes":"NOUN"}],"final_pos":"noun"}', "", "  ", "{broken", '{"word":"ev","root":"ev","final_pos":"noun"}', '{"root":"x"}',
-]
-QUERIES["gold_scan"] = lambda spark, sf_dir: source.parse_gold(spark.createDataFrame([(x,) for x in _GOLD_LINES], "value string")).select("word", "root", "final_pos", F.array_join("suffixes.name", "+").alias("names"))
-ORACLE_SQL["gold_scan"] = (
-    "SELECT word, root, final_pos, coalesce(array_to_string(names, '+'), '') AS names FROM (SELECT line ->> '$.word' AS word, line ->> '$.root' AS root, line ->> '$.final_pos' AS final_pos, line ->> '$.suffixes[*].name' AS names"
-    " FROM (VALUES " + ", ".join(f"('{x}')" for x in _GOLD_LINES) + ") v(line) WHERE json_valid(line)) x WHERE word IS NOT NULL"
-)
+
+def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of every suffix after the first word of each kind of stem, among the table's words and STEMS."""
+    verbs = listed(spark, [w + ending for w in STEMS[::2] for ending in ("mak", "mek")])
+    lexicon = Lexicon(dictionary_words(spark, sf_dir).union(verbs))
+    keyed = lexicon.keyed(table_words(spark, sf_dir).union(listed(spark, STEMS)), "word")
+    stems = keyed.groupBy("fkey").agg(F.min("word").alias("stem"))
+    return stems.join(F.broadcast(render.list_table(spark)), "fkey").select("stem", "suffix", F.posexplode("opts").alias("form_ord", "form"))
+
+
+QUERIES["suffix_forms"] = suffix_forms
+_SUFFIX_ROWS = ", ".join(f"('{s.name}', '{s.base}', {str(s.major).lower()}, {str(s.minor).lower()}, {str(s.buffer).lower()}, '{s.rule}')" for s in sx.SUFFIXES)
+ORACLE_SQL["suffix_forms"] = f"""WITH {_COMMON.replace("lex AS MATERIALIZED (", f"lex AS MATERIALIZED ({_rows([w + e for w in STEMS[::2] for e in ('mak', 'mek')])} UNION ")},
+stem AS MATERIALIZED (SELECT min(word) AS w FROM (SELECT word, {o.stem_key("word")} AS fkey FROM (SELECT word FROM words UNION {_rows(STEMS)}) a) b GROUP BY fkey),
+fact AS MATERIALIZED (SELECT w, {o.facts("w")} FROM stem),
+suffix AS (SELECT * FROM (VALUES {_SUFFIX_ROWS}) v(suffix, base, major, minor, buffer, rule)),
+made AS (SELECT w, suffix, {o.forms_case()} AS l FROM fact CROSS JOIN suffix)
+SELECT w AS stem, suffix, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER) AS form_ord, unnest(l) AS form FROM made"""
+
+
+def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    found = cut(search.decompose(table_words(spark, sf_dir), dictionary(spark, sf_dir)))
+    labels = gold_match(found, confirmed(found)).where("gold_ord = 0").select("word", "cand_ord")
+    return found, rank.fit(found, labels)
+
+
+QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark, sf_dir)[1]
+QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))

@@ -1,50 +1,31 @@
 """The search for analyses as one recursive statement in DuckDB's SQL.
 
-It states the search a second time over the same fixed tables: a breadth-first recursion without
-dropping states on the way, whose repeats are removed at the end by the first path.
+It states the search a second time: a breadth-first recursion without dropping states on the way,
+whose repeats are removed at the end by the first path. Dictionary tests and stem keys are the
+hand-written ones of ``oracles``; of the engine it takes only the table of forms, which the query
+``suffix_forms`` holds against hand-written rules.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
-from kokek.functions import phonology as ph
-from kokek.functions.forms import form_lists, form_rows, stem_key
-from kokek.functions.phonology import Lexicon
+from kokek.functions.forms import form_lists, form_rows
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
+from kokek.plans import oracles as o
 
 _ENDINGS = ("iyor", "ıyor", "uyor", "üyor")
 
 
-def usable_forms(words: list[str] | None) -> dict[tuple, list[str]]:
-    """Forms that some part of the words (None: of any word) can match, with the stem keys they have."""
-
-    @cache
-    def usable(form: str) -> bool:
-        if words is None:
-            return True
-        cut = form[:-1] if form[-1] in "ae" else None
-        return any(form in w or (cut is not None and any(cut + e in w for e in _ENDINGS)) for w in words)
-
-    out: dict[tuple, list[str]] = {}
-    for key, *rest in form_rows():
-        if usable(rest[-1]):
-            out.setdefault(tuple(rest), []).append(key)
-    return out
-
-
-def starts_sql(lexicon: Lexicon, words: str) -> str:
-    """word, start, pos, root, rest, twice over a statement that gives ``word``."""
-    noun, verb = lexicon.noun_by_rule, lexicon.verb_by_rule
-    options = ph.root_candidates(lexicon, "root")
+def starts_sql() -> str:
+    """word, start, pos, root, rest, twice over ``words`` and ``lex``."""
+    noun, verb = o.noun, o.verb
+    options = o.root_candidates("root")
     altered = " UNION ALL ".join(f"SELECT word, split, rest, {k} AS k, {lemma} AS lemma FROM cuts WHERE NOT {noun('root')} AND NOT {verb('root')} AND {ok}" for k, (ok, lemma) in enumerate(options))
     both = lambda root: (("noun", 0, noun(root)), ("verb", 1, verb(root)))
     plain = " UNION ALL ".join(f"SELECT word, [1, split, 0, {n}] AS start, '{pos}' AS pos, root, rest, false AS twice FROM cuts WHERE {ok}" for pos, n, ok in both("root"))
     other = " UNION ALL ".join(f"SELECT word, [1, split, k, {n}] AS start, '{pos}' AS pos, lemma AS root, rest, false AS twice FROM altered WHERE {ok}" for pos, n, ok in both("lemma"))
-    return f"""words AS ({words}),
-cuts AS (SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM words) x),
+    return f"""cuts AS MATERIALIZED (SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM words) x),
 altered AS ({altered}),
-first_syllable AS (SELECT word, {ph.first_vowel("word")} AS v FROM words WHERE length(word) >= 4),
+first_syllable AS (SELECT word, length(regexp_extract(word, '^[^aıoueiöü]*')) AS v FROM words WHERE length(word) >= 4 AND regexp_matches(word, '[aıoueiöü]')),
 copied AS (
   SELECT word, v + 2 AS p, v FROM first_syllable WHERE v >= 0 AND substr(word, v + 2, 1) IN ('p', 's', 'r', 'm')
   UNION ALL SELECT word, v + 3, v FROM first_syllable WHERE v >= 0 AND substr(word, v + 2, 1) IN ('p', 's', 'r', 'm') AND substr(word, v + 3, 1) IN ('a', 'e')),
@@ -56,16 +37,18 @@ begun AS ({plain} UNION ALL {other}
   UNION ALL SELECT word, [0, 0, 0, 0], 'noun', root, substr(word, p + length(root) + 1), true FROM doubled WHERE k = 1)"""
 
 
-def search_sql(lexicon: Lexicon, words: list[str] | None, wanted: str, ask: str) -> str:
-    """``ask``, a SELECT over ``chains`` or ``analyses``, for the words the statement ``wanted`` gives;
-    ``words`` lists them where they are known beforehand."""
+def search_sql(words: str, ask: str) -> str:
+    """``ask``, a SELECT over ``chains`` or ``analyses``; ``words`` are the common tables before it,
+    among them ``words`` (word) and ``lex`` (word)."""
     pairs = ", ".join(str(a * 100 + b) for a in GROUPS for b in GROUPS if may_follow(a, b))
-    met = usable_forms(words)
+    met: dict[tuple, list[str]] = {}
+    for key, *rest in form_rows():
+        met.setdefault(tuple(rest), []).append(key)
     numbers = {key: k for k, key in enumerate(sorted({key for keys in met.values() for key in keys}), 1)}
     rows = ", ".join(f"({[numbers[key] for key in keys]}, '{start}', '{target}', '{name}', {group}, {str(once).lower()}, {arc}, {k}, '{form}')" for (start, target, _, name, group, once, arc, k, form), keys in met.items())
     endings = "(" + ", ".join(f"'{e}'" for e in _ENDINGS) + ")"
     short = "right(form, 1) IN ('a', 'e') AND starts_with(rest, left(form, length(form) - 1)) AND length(form) <= length(rest)"
-    return f"""WITH RECURSIVE {starts_sql(lexicon, wanted)},
+    return f"""WITH RECURSIVE {words}, {starts_sql()},
 listed AS (SELECT * FROM (VALUES {rows}) f(keys, source, target, suffix, grp, once, arc, k, form)),
 form AS (SELECT unnest(keys) AS fkey, source, target, suffix, grp, once, arc, k, form FROM listed),
 walk AS (
@@ -73,7 +56,7 @@ walk AS (
   UNION ALL
   SELECT word, start, pos, root, CASE WHEN starts_with(rest, form) THEN substr(rest, length(form) + 1) ELSE substr(rest, length(form)) END, twice, target, concat(stem, form), grp,
     list_concat(path, [arc, k]), list_append(chain, suffix), list_append(makes, target), list_append(forms, form)
-  FROM (SELECT *, list_position({list(numbers)}, {stem_key(lexicon, "stem")}) AS own FROM walk WHERE rest <> '') w JOIN form ON fkey = own AND source = kind
+  FROM (SELECT *, list_position({list(numbers)}, {o.stem_key("stem")}) AS own FROM walk WHERE rest <> '') w JOIN form ON fkey = own AND source = kind
   WHERE (was IS NULL OR was * 100 + grp IN ({pairs})) AND NOT (once AND list_contains(chain, suffix))
     AND (starts_with(rest, form) OR ({short} AND substr(rest, length(form), 4) IN {endings}))),
 chains AS (
@@ -86,7 +69,7 @@ analyses AS (
 {ask}"""
 
 
-def _lists_sql(lexicon: Lexicon) -> tuple[str, str]:
+def _lists_sql() -> tuple[str, str]:
     """``lists`` (fkey, suffix, opts) of all forms, and the key in it of a ``stem``."""
     same: dict[tuple, list[int]] = {}
     numbers: dict[str, int] = {}
@@ -94,12 +77,12 @@ def _lists_sql(lexicon: Lexicon) -> tuple[str, str]:
         same.setdefault((name, *forms), []).append(numbers.setdefault(key, len(numbers) + 1))
     same[(INTENSIFIER, INTENSIFIER)] = list(numbers.values())
     rows = ", ".join(f"({keys}, '{name}', CAST({forms} AS VARCHAR[]))" for (name, *forms), keys in same.items())
-    return f"lists AS (SELECT unnest(keys) AS fkey, suffix, opts FROM (VALUES {rows}) v(keys, suffix, opts))", f"list_position({list(numbers)}, {stem_key(lexicon, 'stem')})"
+    return f"lists AS (SELECT unnest(keys) AS fkey, suffix, opts FROM (VALUES {rows}) v(keys, suffix, opts))", f"list_position({list(numbers)}, {o.stem_key('stem')})"
 
 
-def gold_ask(lexicon: Lexicon) -> str:
+def gold_ask() -> str:
     """Every one of ``analyses`` as a logged JSON line, to be asked of ``search_sql``."""
-    lists, own = _lists_sql(lexicon)
+    lists, own = _lists_sql()
     item = """concat('{"name":"', chain[i], '","form":"', made[i], '","makes":"', upper(makes[i]), '"}')"""
     return f""", {lists},
 fold AS (
@@ -111,9 +94,9 @@ SELECT word, cand_ord, concat('{{"word":"', word, '","root":"', root, '","suffix
 FROM fold WHERE k = len(chain)"""
 
 
-def segments_ask(lexicon: Lexicon) -> str:
+def segments_ask() -> str:
     """The surface pieces of ``analyses`` as a recursion over chains, to be asked of ``search_sql``."""
-    lists, own = _lists_sql(lexicon)
+    lists, own = _lists_sql()
     first = lambda test, what="opts": f"list_filter({what}, lambda f: {test})[1]"
     here = "c <= length(word) AND starts_with(substr(word, c + 1), {})"
     less = "left(f, length(f) - 1)"

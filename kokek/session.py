@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kokek.functions.phonology import Lexicon
+from kokek.functions import phonology as ph
+from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
 from kokek.operators import rank, render
 from kokek.sources import text as source
 
-#: Most words of a dictionary, which is held in the plan.
-MOST_WORDS = 100_000
 EPOCHS = 5
 
 
@@ -31,6 +30,13 @@ def gold_match(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     return numbered(gold, "gold_ord").join(numbered(known, "cand_ord"), [*keys, "k"]).select("gold_ord", "word", "cand_ord")
 
 
+def pruned(words: DataFrame, gone: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The dictionary words that go with the words in ``gone``: those it has, and their infinitives."""
+    there = gone.select("word").join(words, "word", "left_semi").distinct()
+    also = lexicon.marked(there, "word", "soft").selectExpr(f"{ph.infinitive('word', 'soft')} AS word")
+    return words.select("word").join(there.unionByName(also), "word", "left_semi")
+
+
 class Session:
     """State under ``folder`` (shared by all executors): lexicon/, weights/, gold/ and losses/."""
 
@@ -57,10 +63,7 @@ class Session:
 
     def reload(self) -> None:
         """Reads the newest dictionary."""
-        rows = self.words().limit(MOST_WORDS + 1).collect()
-        if len(rows) > MOST_WORDS:
-            raise ValueError(f"a dictionary may hold {MOST_WORDS} words")
-        self.lexicon = Lexicon(r.word for r in rows)
+        self.lexicon = Lexicon(self.words())
 
     def weights(self) -> DataFrame | None:
         k = self._last("weights")
@@ -119,10 +122,7 @@ class Session:
         """Writes a dictionary without the words in ``gone`` that it has (and those words' infinitives) and
         returns by how many it is smaller."""
         old = self.words()
-        there = gone.select("word").join(old, "word", "left_semi")
-        if infinitives:
-            there = there.unionByName(there.selectExpr(f"{self.lexicon.infinitive('word')} AS word"))
-        hit = search.cut(old.join(there, "word", "left_semi"))
+        hit = search.cut(pruned(old, gone, self.lexicon) if infinitives else old.join(gone.select("word"), "word", "left_semi"))
         n = hit.count()
         if n:
             source.delete_words(old, hit).write.text(f"{self.folder}/lexicon/{self._last('lexicon') + 1}")
@@ -143,7 +143,7 @@ class Session:
 
     def review(self, n: int, seed: int = 0) -> DataFrame:
         """Scored analyses of ``n`` random dictionary words, for choosing."""
-        drawn = search.cut(self.words().orderBy(F.xxhash64(F.lit(seed), "word"), "word").limit(n))
+        drawn = search.cut(source.draw_words(self.words(), n, seed))
         return self.analyze(drawn)
 
     def sample(self, docs: DataFrame) -> DataFrame:
@@ -157,6 +157,4 @@ class Session:
             none = F.lit(None).cast("double")
             return gold.select("*", none.alias("latest"), none.alias("best"), none.alias("recent"))
         losses = self.spark.read.parquet(f"{self.folder}/losses").groupBy("step").agg(F.first("loss").alias("loss"))
-        newest = losses.orderBy(F.desc("step")).limit(20).agg(F.max_by("loss", "step").alias("latest"), F.avg("loss").alias("recent"))
-        best = losses.agg(F.min("loss").alias("best"))
-        return gold.join(F.broadcast(newest), F.lit(True)).join(F.broadcast(best), F.lit(True)).select("n_words", "n_gold", "latest", "best", "recent")  # one row each
+        return gold.join(F.broadcast(rank.loss_stats(losses)), F.lit(True)).select("n_words", "n_gold", "latest", "best", "recent")  # one row each

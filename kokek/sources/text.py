@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,11 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path).select(F.trim("value").alias("word")).where("word <> ''").distinct()
 
 
+def draw_words(lexicon: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """``n`` words (all, if there are fewer) in the order of a seeded hash; reruns agree."""
+    return lexicon.select("word").orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "word")), "word").limit(n)
+
+
 def delete_words(lexicon: DataFrame, gone: DataFrame) -> DataFrame:
     return lexicon.join(gone, "word", "left_anti")
 
@@ -70,10 +76,20 @@ def append_gold(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def fresh(name: str) -> str:
+    """A folder name that no other run has."""
+    return f"{name}-{uuid.uuid4().hex}"
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 
 
+def write_counter(spark: SparkSession, n: int, path: str) -> None:
+    """Replaces the integer that ``read_counter`` reads."""
+    write_text(spark.createDataFrame([(str(n),)], "value string"), path)
+
+
 def read_counter(spark: SparkSession, path: str) -> int:
     """The integer in a file; anything else counts as 0."""
     try:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from kokek.functions.phonology import Lexicon
+from kokek.functions.lexicon import Lexicon
 from kokek.operators.render import annotate
 
 

@@ -1,108 +1,112 @@
-"""The search against hand-traced analyses and an independent depth-first one."""
+"""The search against hand-traced analyses and against all ways to cut a word's remainder into pieces."""
+
+from collections import Counter
+from itertools import pairwise, product
 
 import pytest
 
-from kokek.functions.forms import ENDINGS, Stem, forms
-from kokek.functions.phonology import Lexicon
-from kokek.functions.suffixes import arcs, may_follow
+from kokek.functions.forms import Stem, form_lists, forms
+from kokek.functions.lexicon import Lexicon
+from kokek.functions.suffixes import BY_NAME, INTENSIFIER, arcs, may_follow
 from kokek.operators import decompose as d
 
-LEXICON = Lexicon("ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak".split())
-V = "aıoueiöü"
-
-
-def noun(w):
-    return bool(w) and (w in LEXICON.words or w[-1] == "l" and w[:-1] + "ł" in LEXICON.words)
-
-
-def harmony(w):
-    last = next((c for c in reversed(w) if c in V), None)
-    if w[-1:] == "l" and w[:-1] + "ł" in LEXICON.words:
-        return last, "FRONT"
-    return last, None if last is None else "BACK" if last in "aıou" else "FRONT"
-
-
-def verb(w):
-    return w not in ("e", "ha", "da", "ra", "ço") and noun(w + ("mak" if harmony(w)[1] == "BACK" else "mek"))
+LISTED = set("ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak".split())
+LEXICON = Lexicon(LISTED)
+SOFT = {w[:-1] + "l" for w in LISTED if w.endswith("ł")}
+NOUNS = LISTED | SOFT
+BACK, FRONT, CLOSE = "aıou", "eiöü", "ıiuü"
+VERBS = {w[:-3] for w in LISTED if w[-3:] == ("mak" if [c for c in w[:-3] if c in BACK + FRONT][-1:] in map(list, BACK) else "mek")}
+PIECES = {f for _, _, made in form_lists() for f in made if f}
+NARROWING = ("iyor", "ıyor", "uyor", "üyor")
+ENDINGS = {"past": [a + b for a in "dt" for b in CLOSE], "condition": ["se", "sa"], "negation": ["me", "ma"], "in": [c + "n" for c in CLOSE], "close": [*CLOSE], "open": [*"aoeö"], "n": "n", "l": "l", "r": "r", "hard": [*"fstkçşhp"]}
 
 
 def stem(w):
-    last, side = harmony(w)
-    h = "NONE" if last is None else side + ("_ROUND" if last in "ouöü" else "_WIDE")
-    two, c = w[-2:], w[-1]
-    sets = {"past": "di dı du dü ti tı tu tü", "condition": "se sa", "negation": "me ma", "in": "in ın un ün"}
-    e = next((k for k, x in sets.items() if two in x.split()), None)
-    e = e or ("close" if c in "ıiuü" else "open" if c in V else c if c in "nlr" else "hard" if c in "fstkçşhp" else "other")
-    assert e in ENDINGS
-    return Stem(h, e, len(w) > 2, verb(w), verb(w[:-2]))
-
-
-def chains(word, pos, root, chain, seen):
-    key = (len(root), pos, tuple(s.name for s in chain))
-    if key in seen:
-        return
-    seen.add(key)
-    rest = word[len(root) :]
-    if not rest:
-        yield [s.name for s in chain], pos
-        return
-    for target in ("noun", "verb"):
-        for a, b, _, s in arcs():
-            if (a, b) != (pos, target) or chain and not may_follow(chain[-1].group, s.group) or s.unique and s in chain:
-                continue
-            for f in forms(s, stem(root)):
-                if len(f) > len(rest):
-                    continue
-                if rest.startswith(f):
-                    yield from chains(word, target, root + f, [*chain, s], seen)
-                elif f and f[-1] in "ae" and rest.startswith(f[:-1]) and rest[len(f) - 1 :].startswith(("iyor", "ıyor", "uyor", "üyor")):
-                    yield from chains(root + f + rest[len(f) - 1 :], target, root + f, [*chain, s], seen)
-
-
-def lemmas(s):
-    def ok(x):
-        return noun(x) or verb(x)
-
-    def back(x):
-        x = x[:-1] + {"b": "p", "c": "ç", "d": "t", "ğ": "k", "g": "k"}.get(x[-1], x[-1])
-        return [x] if ok(x) else []
-
-    out = back(s)
-    if 2 < len(s) < 10 and s[-1] not in V:
-        for v in "ıiuü":
-            x = s[:-1] + v + s[-1]
-            out += ([x] if ok(x) else []) + back(x)
-    if not noun(s) and len(s) > 1:
-        out += [s + v for v in "ae" if ok(s + v)]
+    vowels = [c for c in w if c in BACK + FRONT]
+    side = "FRONT" if w in SOFT or vowels and vowels[-1] in FRONT else "BACK"
+    harmony = side + ("_ROUND" if vowels[-1] in "ouöü" else "_WIDE") if vowels else "NONE"
+    return Stem(harmony, next((k for k, tails in ENDINGS.items() if w.endswith(tuple(tails))), "other"), len(w) > 2, w in VERBS, w[:-2] in VERBS)
+
+
+def spellings(rest):
+    """Ways in which the remainder may have been written with an a or e that -iyor swallowed."""
+    spots = [i for i in range(len(rest)) if rest.startswith(NARROWING, i)]
+    for lost in product(("", "a", "e"), repeat=len(spots)):
+        at = dict(zip(spots, lost))
+        text, ends = "", set()
+        for i, c in enumerate(rest):
+            if at.get(i):
+                text += at[i]
+                ends.add(len(text))
+            text += c
+        yield text, ends
+
+
+def cuts(text, ends):
+    """Cuts of the text into possible pieces, each swallowed vowel ending one."""
+    for inner in product((False, True), repeat=max(0, len(text) - 1)):
+        at = [0, *(i + 1 for i, x in enumerate(inner) if x), *([len(text)] if text else [])]
+        pieces = [text[a:b] for a, b in pairwise(at)]
+        if ends <= set(at) and all(p in PIECES for p in pieces):
+            yield pieces
+
+
+def readings(root, pos, rest):
+    """Counter of (chain, final part of speech), one for each spelled length of a chain."""
+    found = set()
+    for text, ends in spellings(rest):
+        for pieces in cuts(text, ends):
+            stems = [root + "".join(pieces[:k]) for k in range(len(pieces))]
+            fitting = [[(a, b, s) for a, b, _, s in arcs() if p in forms(s, stem(w))] for w, p in zip(stems, pieces)]
+            for chosen in product(*fitting):
+                names = [s.name for *_, s in chosen]
+                kinds = [pos, *(b for _, b, _ in chosen)]
+                joined = all(a == k for (a, _, _), k in zip(chosen, kinds)) and all(may_follow(x.group, y.group) for (*_, x), (*_, y) in pairwise(chosen))
+                if joined and all(names.count(n) == 1 for n in names if BY_NAME[n].unique):
+                    found.add((len(text), tuple(names), kinds[-1]))
+    return Counter((names, final) for _, names, final in found)
+
+
+def hidden(lemma):
+    """Counter of the surfaces that a root may show, by how many rules lead from each back to it."""
+    voiced = [lemma[:-1] + c for c in {"p": "b", "ç": "c", "t": "d", "k": "ğg"}.get(lemma[-1], "")] + [lemma] * (lemma[-1] not in "bcdğg")
+    out = Counter(voiced)
+    for whole in [*voiced, lemma]:
+        if len(whole) > 3 and whole[-2] in CLOSE and len(whole) < 11 and whole[-1] not in BACK + FRONT:
+            out[whole[:-2] + whole[-1]] += 1
+    if lemma[-1] in "ae" and len(lemma) > 2:
+        out[lemma[:-1]] += 1
     return out
 
 
 def analyses(word):
-    out = []
-    for i in range(1, len(word) + 1):
-        root = word[:i]
-        tried = [(word, root)] if noun(root) or verb(root) else [(x + word[i:], x) for x in lemmas(root)]
-        for whole, r in tried:
-            for pos, is_pos in (("noun", noun), ("verb", verb)):
-                if is_pos(r):
-                    out += [(r, pos, c, f) for c, f in chains(whole, pos, r, [], set())]
+    out = Counter()
+    for root in sorted(NOUNS | VERBS):
+        kinds = ["noun"] * (root in NOUNS) + ["verb"] * (root in VERBS)
+        shown = {root: 1} | {s: n for s, n in hidden(root).items() if s not in NOUNS | VERBS}
+        for surface, times in shown.items():
+            if word.startswith(surface):
+                for pos in kinds:
+                    for (chain, final), n in readings(root, pos, word[len(surface) :]).items():
+                        out[root, pos, chain, final] += n * times
     return out
 
 
-WORDS = "kitap evler kitabı burnu geliyor bekliyor xyz evlerimizden okulumuzdakiler gelmeyecek alıyorlar güzelleşiyor hali suyu gözlükçü arabadan evin diyor alabildi evdekilerden bekleyen geldim".split()
+WORDS = "kitap evler kitabı burnu geliyor bekliyor xyz evlerimizden okulumuzda gelmeyecek alıyorlar güzelleşiyor hali suyu gözlükçü arabadan evin diyor alabildi evdekiler bekleyen geldim".split()
 
 
 def rows(spark, words):
     return spark.createDataFrame([(w,) for w in words], "word string")
 
 
-def test_against_depth_first_search(spark):
+def test_against_all_cuts(spark):
     got = {}
-    for r in d.decompose(rows(spark, WORDS), LEXICON).orderBy("word", "cand_ord").collect():
-        got.setdefault(r.word, []).append((r.root, r.pos, r.chain, r.final_pos))
+    for r in d.decompose(rows(spark, WORDS), LEXICON).collect():
+        if r.chain[:1] != [INTENSIFIER]:
+            got.setdefault(r.word, Counter())[r.root, r.pos, tuple(r.chain), r.final_pos] += 1
         assert len(r.chain) == len(r.makes) == len(r.forms)
     for w in WORDS:
-        assert got.get(w, []) == analyses(w), w
+        assert got.get(w, Counter()) == analyses(w), w
 
 
 def test_hand_traced(spark):
@@ -120,3 +124,16 @@ def test_hand_traced(spark):
 @pytest.mark.parametrize("words", [[], ["", None]])
 def test_nothing(spark, words):
     assert d.decompose(rows(spark, words), LEXICON).collect() == []
+
+
+def test_a_long_word_is_searched_to_its_end(spark):
+    word = "ev" + "leş" * 30 + "mek"
+    assert any(len(r.chain) > 50 for r in d.decompose(rows(spark, [word]), LEXICON).collect())
+
+
+def test_a_dictionary_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
+    from kokek.functions import lexicon
+
+    want = sorted(map(str, d.decompose(rows(spark, WORDS), LEXICON).collect()))
+    monkeypatch.setattr(lexicon, "BROADCAST_WORDS", 3)
+    assert sorted(map(str, d.decompose(rows(spark, WORDS), Lexicon(rows(spark, sorted(LISTED)))).collect())) == want

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from kokek.functions.phonology import Lexicon
+from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose, rank, render
 from kokek.plans import registry
 from kokek.sources import text
@@ -38,7 +38,7 @@ def test_entry(spark):
 def test_annotate_and_stream(spark, tmp_path):
     lexicon = Lexicon("ev gelmek kitap".split())
     docs = spark.createDataFrame([(1, "Evler, geliyor xyz."), (2, ""), (3, "kitap")], "doc_id long, text string")
-    want = {1: "ev+plural_ler\ngel+continuous_iyor\nxyz", 3: "kitap"}
+    want = {1: "ev+plural_ler\ngel+continuous_iyor\nxyz", 2: "", 3: "kitap"}
     assert {r.doc_id: r.value for r in render.annotate(docs, lexicon).collect()} == want
     docs.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in"))
@@ -54,6 +54,8 @@ def test_files(spark, tmp_path):
     (tmp_path / "gold").write_text('{"word":"evler","root":"ev","suffixes":[{"name":"plural_ler","form":"ler","makes":"NOUN"}],"final_pos":"noun"}\n\n{broken\n{"word":"ev","root":"ev","final_pos":"noun"}\n')
     assert sorted((r.word, len(r.suffixes)) for r in text.read_gold(spark, str(tmp_path / "gold")).collect()) == [("ev", 0), ("evler", 1)]
     assert text.read_counter(spark, str(tmp_path / "none")) == 0
+    text.write_counter(spark, 7, str(tmp_path / "counter"))
+    assert text.read_counter(spark, str(tmp_path / "counter")) == 7
     (tmp_path / "n").write_text("12\n")
     assert text.read_counter(spark, str(tmp_path / "n")) == 12
 
