@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut, shared_folder  # noqa: F401
+
 #: Rows of text in one Arrow batch; keeps a batch of ordinary documents near 2 MB.
 ARROW_ROWS = 512
 #: A side of a join with at most this many rows of a few fixed-width columns is broadcast;
@@ -24,17 +24,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a reliable checkpoint in the folder that ``spark.checkpoint.dir``
-    names; a temporary folder serves only where the session has none, as in tests."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kokek-"))
-    return df.checkpoint()
-
-
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint where the (materialised) side is counted to be small; else none, so that
     the join shuffles."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df.hint("shuffle_merge")
+
+
+def whole(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that helper columns beside it can clash with none."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kokek.llm.common import cut, maybe_broadcast, prepare
+from kokek.llm.common import cut, maybe_broadcast, prepare, whole
 
 WORDS = r"[^\x20\x09-\x0D]++"
 MAX_EPOCHS = 3
@@ -132,7 +132,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
 
 def _decided(docs: DataFrame, seed: int) -> DataFrame:
     rows = cut(_digest(docs, seed))
-    a, b = _ranked(rows).alias("a"), cut(_planned(rows)).alias("b")
+    a, b = _ranked(rows).alias("a"), maybe_broadcast(cut(_planned(rows))).alias("b")  # one row for each length
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
     times = (F.col("passes") + (F.col("rank") <= F.col("take")).cast("long")).alias("times")
     return a.join(b, same).select("a.doc_id", "a.source", "a.size", "a.h", "source_size", "target", times)
@@ -150,19 +150,37 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with their own columns.
+    """The documents of the mix, each as often as it is taken, with their own columns of any names.
 
     The choice is stated as one hash limit for each source and length, so that texts are not
-    shuffled while those limits are few. Identical rows share a hash and are taken together.
+    shuffled while those limits are few. Where rows alike in id and text lie on a limit, only some
+    of them may go in: such rows are added up, equal ones before the shuffle, and get their number
+    by running sums, so that copies agree with ``mix``. Texts without words go in once for each
+    whole pass over their source.
     """
     prepare(docs.sparkSession)
-    chosen = _decided(docs, seed)
     # Ranges and ranks go by unsigned hash, so limits compare as unsigned too.
-    flip = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))
-    limits = cut(chosen.groupBy("source", "size").agg(F.min("times").alias("low"), F.max("times").alias("high"), F.max_by("h", F.struct("times", flip("h"))).alias("limit")))
-    a = docs.withColumns({"__size": sizes_of(docs), "__h": F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))}).alias("a")
-    b = maybe_broadcast(limits).alias("b")
-    same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.__size") == F.col("b.size"))
-    times = F.when(flip("a.__h") <= flip("b.limit"), F.col("b.high")).otherwise(F.col("b.low"))
-    rows = a.join(b, same).select(*(F.col(f"a.{c}") for c in docs.columns), times.alias("__times"))
-    return rows.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), "__times"))).where("__times > 0").select(*docs.columns)
+    flip = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))
+    keys = ["source", "size"]
+    chosen = cut(_decided(docs, seed).select(*keys, flip(F.col("h")).alias("h"), "times"))
+    span = chosen.groupBy(*keys).agg(F.min("times").alias("low"), F.max("times").alias("high"), F.max_by("h", F.struct("times", "h")).alias("limit"))
+    span = maybe_broadcast(cut(span))
+    c, r = chosen.alias("c"), span.alias("r")
+    here = F.col("c.source").eqNullSafe(F.col("r.source")) & (F.col("c.size") == F.col("r.size")) & (F.col("c.h") == F.col("r.limit"))
+    at = c.join(r, here).groupBy("c.source", "c.size").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("times") == F.col("high")).cast("long")).alias("some"))
+    s, t = span.alias("s"), at.alias("t")
+    both = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.size") == F.col("t.size")))
+    limits = maybe_broadcast(cut(both.select("s.source", "s.size", "low", "high", "limit", "some", (F.col("some") < F.col("n")).alias("tied"))))
+
+    own = docs.select(whole(docs).alias("row"), F.col("source").alias("own"), sizes_of(docs).alias("n"), flip(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))).alias("place"))
+    met = own.join(limits, F.col("own").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
+    split = F.col("tied") & (F.col("place") == F.col("limit"))
+    plain = met.where(~split).select("row", F.when(F.col("place") <= F.col("limit"), F.col("high")).otherwise(F.col("low")).alias("copies"))
+    alike = met.where(split).groupBy("source", "size", "place", F.sha2(F.to_json("row"), 256).alias("key")).agg(
+        F.first("row").alias("row"), F.count(F.lit(1)).alias("m"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("some").alias("some")
+    )
+    before = F.sum("m").over(Window.partitionBy("source", "size", "place").orderBy("key")) - F.col("m")
+    more = F.least(F.greatest(F.col("some") - before, F.lit(0)), F.col("m"))
+    shared = alike.select("row", (F.col("low") * F.col("m") + (F.col("high") - F.col("low")) * more).alias("copies"))
+    every = plain.unionByName(shared).where("copies > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("k")).select("row.*")

@@ -101,3 +101,10 @@ def substring_dedup(rows, width=13):
         kept = [x for k, x in enumerate(w) if k not in gone]
         out[i] = (len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest())
     return out
+
+
+def same_rows(before, after, but=()):
+    """Every row of ``after`` is one of ``before`` in all columns (``but`` some), values included."""
+    assert after.columns == before.columns
+    plain = lambda df: [tuple(v for c, v in r.asDict().items() if c not in but) for r in df.collect()]
+    assert set(plain(after)) <= set(plain(before))
