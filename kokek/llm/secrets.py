@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from kokek.llm.common import prepare
 from kokek.llm.textkit import flat, slices
@@ -183,10 +184,24 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
     return out
 
 
-def train(findings: list[tuple[str, str, str, str, int]] | None = None, limit: int = TRAIN_ROWS) -> Forest:
-    """A forest on labelled findings, of which at most ``limit`` (by hash) are used."""
-    rows = labelled_findings() if findings is None else findings
-    rows = sorted(rows, key=lambda r: hashlib.md5(repr(r).encode()).digest())[:limit]
+FINDING = "candidate string, before string, after string, path string, label int"
+
+
+def bounded_findings(findings: DataFrame, limit: int = TRAIN_ROWS) -> list[tuple[str, str, str, str, int]]:
+    """At most ``limit`` rows of a table of labelled findings (columns as in FINDING), the same ones in
+    every run: repeated rows count once, rows without candidate or label not at all, other nulls are empty."""
+    known = findings.where("candidate <> '' AND label IS NOT NULL")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("before", "after", "path")]
+    rows = known.select("candidate", *texts, (F.col("label") > 0).cast("int").alias("label")).distinct()
+    key = F.md5(F.to_json(F.struct("candidate", "before", "after", "path", "label")))
+    return [tuple(r) for r in rows.orderBy(key).limit(limit).collect()]
+
+
+def train(findings: DataFrame | list[tuple[str, str, str, str, int]] | None = None, limit: int = TRAIN_ROWS) -> Forest:
+    """A forest on labelled findings, of which at most ``limit`` (by hash) are used; without any, or
+    with none in the table, on findings drawn from templates."""
+    rows = bounded_findings(findings, limit) if isinstance(findings, DataFrame) else findings
+    rows = sorted(rows or labelled_findings(), key=lambda r: hashlib.md5(repr(r).encode()).digest())[:limit]
     return Forest(np.array([features(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
