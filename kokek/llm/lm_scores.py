@@ -1,25 +1,31 @@
-"""Stupid back-off scores of documents from n-gram counts over all documents.
+"""Stupid back-off scores of documents from n-gram counts over all other documents.
 
-Count tables are partitioned by n-gram hash. Every block of documents explodes its n-grams, joins
-their distinct ones to those partitions and sums log scores for each document.
+A document's own n-grams do not count: else every one of them would have been seen, and nothing
+would ever back off. ``score`` keeps the count tables partitioned by n-gram hash, joins each block's
+distinct n-grams to them and sums log scores for each document. ``score_rows`` says the same with
+one row for each n-gram, in DataFrame operators alone; it shuffles many times the text.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from kokek.llm import blocks
 from kokek.llm.common import prepare
 from kokek.llm.textkit import Words, flat, mix, per_row, slices, windows
 
-ORDER, BACKOFF, MIN_COUNT = 2, 0.4, 2
+ORDER, BACKOFF, MIN_COUNT = 3, 0.4, 1
+#: Logarithms are rounded to multiples of 1 / GRID, so that sums are exact in any order.
+GRID = 1 << 20
 
 
-def _grams(part: pa.RecordBatch, order: int) -> tuple[Words, list[np.ndarray]]:
+def _grams(part: pa.RecordBatch, order: int, bits: int) -> tuple[Words, list[np.ndarray]]:
     """Hashes of the n-grams of each order that end at each word (0 where none does)."""
     w = Words(*flat(part.column("text")))
     h = w.hashes()
@@ -27,32 +33,40 @@ def _grams(part: pa.RecordBatch, order: int) -> tuple[Words, list[np.ndarray]]:
     for k in range(1, order + 1):
         g, at = windows(h, w, k) if k > 1 else (h, np.arange(len(h)))
         ends = np.zeros(len(h), np.uint64)
-        ends[at + k - 1] = np.maximum(mix(g ^ np.uint64(k << 56)), 1)
+        ends[at + k - 1] = np.maximum(mix(g ^ np.uint64(k << 56)) >> np.uint64(64 - bits), 1)
         out.append(ends)
     return w, out
 
 
-def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, block_bytes: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_backoff (words scored below the highest order), log_score (sum of natural
-    logarithms), mean_log_score of every row.
+def _own(doc: np.ndarray, spot: np.ndarray, n: int) -> np.ndarray:
+    """How often each word's n-gram (by its index below ``n``) occurs in its document."""
+    _, inverse, times = np.unique(doc * n + spot, return_inverse=True, return_counts=True)
+    return times[inverse]
+
 
-    A word scores count(n-gram) / count(its context), or ``backoff`` times the score of the next
-    shorter one while the n-gram's count is below ``min_count``; a single word scores its share of
-    all words. Null and blank texts have no words, score 0 and a null mean. Repeated rows count and
-    score each; null ids stay null; other columns are not read; an empty table gives an empty one.
+def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT, block_bytes: int | None = None) -> DataFrame:
+    """doc_id, n_words, n_backoff (words scored below the highest order their place allows), log_score
+    (sum of natural logarithms), mean_log_score of every row.
+
+    All counts are of the other rows. A word scores count(n-gram) / count(its context), or ``backoff``
+    times the score of the next shorter one while the n-gram's count is below ``min_count``; a single
+    word scores its share of the others' words, and one that they do not have ``backoff`` times the
+    share of one word among all. Null and blank texts have no words, score 0 and a null mean. Repeated
+    rows are documents of their own; null ids stay null; other columns are not read; an empty table
+    gives an empty one.
     """
     prepare(docs.sparkSession)
     dealt, words = blocks.deal(docs, block_bytes)
-    buckets = np.uint64(max(1, -(-words * order // blocks.BUCKET_KEYS)))
+    buckets, bits = max(1, -(-words * order // blocks.BUCKET_KEYS)), blocks.key_bits(words * order)
 
     def keys_of(table: pa.Table) -> tuple[list, np.ndarray, np.ndarray]:
-        parts = [_grams(p, order) for batch in table.to_batches() for p in slices(batch, "text")]
+        parts = [_grams(p, order, bits) for batch in table.to_batches() for p in slices(batch, "text")]
         every = [g[g > 0] for _, grams in parts for g in grams]
         keys, n = np.unique(np.concatenate(every) if every else np.zeros(0, np.uint64), return_counts=True)
         return parts, keys, n
 
     def split(keys: np.ndarray):
-        return blocks.by_bucket(keys, ((keys >> np.uint64(8)) % buckets).astype(np.int64))
+        return blocks.by_bucket(keys, blocks.in_range(keys, bits, buckets))
 
     def ask(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         _, keys, n = keys_of(table.combine_chunks())
@@ -64,30 +78,37 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
         keys, place = np.unique(np.concatenate([k for k, _ in asked]), return_inverse=True)
         total = np.bincount(place, np.concatenate([n for _, n in asked]).astype(np.float64), len(keys)).astype(np.uint64)
         for i, (k, _) in enumerate(asked):
-            yield i, blocks.planes(total[np.searchsorted(keys, k)])
+            yield i, blocks.squeeze(blocks.planes(total[np.searchsorted(keys, k)]))
+
+    def values(w: Words, grams: list[np.ndarray], keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log score and number of back-offs of each word."""
+        place = np.arange(len(w.start)) - w.first[:-1][w.doc]
+        seen = []
+        for k, g in enumerate(grams, 1):
+            spot = np.searchsorted(keys, g)
+            seen.append(np.where(g > 0, counts[np.minimum(spot, len(keys) - 1)] - _own(w.doc, np.where(g > 0, spot, 0), len(keys)), 0))
+        most = np.minimum(place + 1, order)
+        value, lost, open_ = np.full(len(place), -np.log(max(words, 1))), most.copy(), np.ones(len(place), bool)
+        for k in range(order, 0, -1):
+            context = words - w.count[w.doc] if k == 1 else np.concatenate([[1], seen[k - 2][:-1]])
+            hit = open_ & (seen[k - 1] >= (min_count if k > 1 else 1)) & (place >= k - 1)
+            value[hit] = np.log(seen[k - 1][hit] / context[hit])
+            lost[hit] = most[hit] - k
+            open_ &= ~hit
+        return np.round((value + lost * math.log(backoff)) * GRID) / GRID, lost
 
     def finish(table: pa.Table, replies: dict[int, bytes]) -> pa.Table:
         table = table.combine_chunks()
         parts, keys, _ = keys_of(table)
         counts = np.zeros(len(keys), np.int64)
         for bucket, k in split(keys):
-            counts[k] = blocks.unplanes(replies[bucket])
+            counts[k] = blocks.unplanes(blocks.unsqueeze(replies[bucket]))
         n_words, n_back, sums = [], [], []
         for w, grams in parts:
-            seen = [np.where(g > 0, counts[np.minimum(np.searchsorted(keys, g), max(len(keys) - 1, 0))], 0) if len(keys) else np.zeros(0, np.int64) for g in grams]
-            place = np.arange(len(w.start)) - w.first[:-1][w.doc]
-            value, open_ = np.zeros(len(place)), np.ones(len(place), bool)
-            used = np.zeros(len(place), np.int64)
-            for k in range(order, 0, -1):
-                context = np.full(len(place), words) if k == 1 else np.concatenate([[1], seen[k - 2][:-1]])[: len(place)]
-                hit = open_ & (seen[k - 1] >= (min_count if k > 1 else 1)) & (place >= k - 1)
-                lost = np.minimum(place + 1, order) - k  # back-offs from the highest order the place allows
-                value[hit] = np.log(seen[k - 1][hit] / context[hit]) + lost[hit] * np.log(backoff)
-                used[hit] = lost[hit]
-                open_ &= ~hit
+            value, lost = values(w, grams, keys, counts) if len(w.start) else (np.zeros(0), np.zeros(0, np.int64))
             total = np.concatenate([[0.0], np.cumsum(value)])
             n_words.append(w.count)
-            n_back.append(per_row(used > 0, w.first))
+            n_back.append(per_row(lost > 0, w.first))
             sums.append(total[w.first[1:]] - total[w.first[:-1]])
         n, back, s = (np.concatenate(x) if x else np.zeros(0) for x in (n_words, n_back, sums))
         mean = np.divide(s, n, out=np.zeros(len(s)), where=n > 0)
@@ -96,4 +117,32 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
             names=["doc_id", "n_words", "n_backoff", "log_score", "mean_log_score"],
         )
 
-    return blocks.exchange(dealt, ask, answer, finish, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+    return blocks.exchange(dealt, buckets, ask, answer, finish, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
+
+
+def score_rows(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
+    """The same rows as ``score`` by relational operators: n-gram count tables partitioned by hash,
+    joined to the exploded n-grams, summed for each document. Rows must differ in ``doc_id``."""
+    split = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
+    grams = split.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("place", "word"), "w")
+    each = F.explode(F.expr(f"transform(sequence(1, least(place + 1, {order})), k -> named_struct('k', k, 'gram', xxhash64(k, slice(w, place - k + 2, k))))"))
+    rows = grams.select("doc_id", "n", "place", each.alias("g")).select("doc_id", "n", "place", "g.*")
+    own = rows.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("own"))
+    total = own.groupBy("gram").agg(F.sum("own").alias("total"))
+    met = rows.join(own, ["doc_id", "gram"]).join(total, "gram").withColumn("c", F.col("total") - F.col("own"))
+    at = met.groupBy("doc_id", "n", "place").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("c"))
+    before = F.lag("c").over(Window.partitionBy("doc_id").orderBy("place"))
+    words = split.agg(F.sum(F.size("w")).alias("words"))  # one row
+    placed = at.withColumns({"before": before, "most": F.least(F.col("place") + 1, F.lit(order))}).join(F.broadcast(words), F.lit(True))
+    value, lost = -F.log("words"), F.col("most")
+    for k in range(1, order + 1):
+        c = F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0))
+        context = F.col("words") - F.col("n") if k == 1 else F.try_element_at("before", F.lit(k - 1))
+        hit = c >= (min_count if k > 1 else 1)
+        value, lost = F.when(hit, F.log(c / context)).otherwise(value), F.when(hit, F.col("most") - k).otherwise(lost)
+    one = placed.select("doc_id", value.alias("v"), lost.alias("lost")).select("doc_id", "lost", (F.round((F.col("v") + F.col("lost") * math.log(backoff)) * GRID) / GRID).alias("v"))
+    summed = one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("lost") > 0).alias("back"), F.sum("v").alias("s"))
+    return docs.select("doc_id").join(summed, "doc_id", "left").select(
+        "doc_id", F.coalesce("m", F.lit(0)).alias("n_words"), F.coalesce("back", F.lit(0)).alias("n_backoff"),
+        F.round(F.coalesce("s", F.lit(0.0)), 6).alias("log_score"), F.round(F.col("s") / F.col("m"), 6).alias("mean_log_score"),
+    )

@@ -95,17 +95,23 @@ SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_i
 FROM named LEFT JOIN sized USING (doc_id)""",
     "op4_lm_scores": rf"""
 WITH split AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-word AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM split),
-pair AS (SELECT doc_id, k, w, lag(w) OVER (PARTITION BY doc_id ORDER BY k) AS before FROM word),
-one AS (SELECT w, count(*) AS n FROM word GROUP BY 1),
-two AS (SELECT before, w, count(*) AS n FROM pair WHERE before IS NOT NULL GROUP BY 1, 2),
+word AS (SELECT doc_id, len(w) AS n, unnest(w) AS w, generate_subscripts(w, 1) AS k FROM split),
+gram AS (
+  SELECT doc_id, n, k, w AS g1, concat(lag(w) OVER d, ' ', w) AS g2, concat(lag(w, 2) OVER d, ' ', lag(w) OVER d, ' ', w) AS g3
+  FROM word WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
 total AS (SELECT count(*) AS n FROM word),
+one AS (SELECT g1, sum(n) AS t, map_from_entries(list((doc_id, n))) AS own FROM (SELECT doc_id, g1, count(*) AS n FROM gram GROUP BY 1, 2) x GROUP BY 1),
+two AS (SELECT g2, sum(n) AS t, map_from_entries(list((doc_id, n))) AS own FROM (SELECT doc_id, g2, count(*) AS n FROM gram WHERE k > 1 GROUP BY 1, 2) x GROUP BY 1),
+three AS (SELECT g3, sum(n) AS t, map_from_entries(list((doc_id, n))) AS own FROM (SELECT doc_id, g3, count(*) AS n FROM gram WHERE k > 2 GROUP BY 1, 2) x GROUP BY 1),
+held AS (
+  SELECT doc_id, n, k, CAST(one.t - one.own[doc_id] AS DOUBLE) AS c1, CAST(two.t - two.own[doc_id] AS DOUBLE) AS c2, CAST(three.t - three.own[doc_id] AS DOUBLE) AS c3
+  FROM gram JOIN one USING (g1) LEFT JOIN two ON gram.k > 1 AND two.g2 = gram.g2 LEFT JOIN three ON gram.k > 2 AND three.g3 = gram.g3),
+near AS (SELECT *, lag(c1) OVER d AS b1, lag(c2) OVER d AS b2, least(k, 3) AS most FROM held WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
 scored AS (
-  SELECT p.doc_id, p.before IS NOT NULL AND two.n < 2 AS back,
-    CASE WHEN p.before IS NULL THEN ln(one.n / total.n) WHEN two.n >= 2 THEN ln(two.n / context.n) ELSE ln(one.n / total.n) + ln(0.4) END AS s
-  FROM pair p CROSS JOIN total JOIN one ON one.w = p.w
-  LEFT JOIN two ON two.before = p.before AND two.w = p.w LEFT JOIN one context ON context.w = p.before),
-summed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (back) AS back, sum(s) AS s FROM scored GROUP BY 1)
+  SELECT doc_id, most - CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS lost,
+    CASE WHEN c3 > 0 THEN ln(c3 / b2) WHEN c2 > 0 THEN ln(c2 / b1) WHEN c1 > 0 THEN ln(c1 / (total.n - near.n)) ELSE -ln(total.n) END AS s
+  FROM near CROSS JOIN total),
+summed AS (SELECT doc_id, count(*) AS n, count(*) FILTER (lost > 0) AS back, sum(round((s + lost * ln(0.4)) * 1048576) / 1048576) AS s FROM scored GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(back, 0) AS BIGINT) AS n_backoff,
   round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log_score
 FROM documents d LEFT JOIN summed USING (doc_id)""",

@@ -171,4 +171,4 @@ def dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP, block_bytes:
         )
 
     ddl = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, repeats array<array<long>>"
-    return blocks.exchange(dealt, ask, answer, finish, ddl)
+    return blocks.exchange(dealt, bins, ask, answer, finish, ddl)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from tests.llm import cases
 
-from kokek.llm import lm_scores, near_dedup, substrings
+from kokek.llm import blocks, lm_scores, near_dedup, substrings
 from kokek.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -130,27 +130,51 @@ def test_substrings_odd_rows(odd, none):
     assert substrings.dedup(none).collect() == []
 
 
-def lm(rows, order, least=2, alpha=0.4):
+def lm(rows, order, least=1, alpha=0.4):
+    """(log score, words scored below their highest order) from counts over the other documents."""
     split = [(i, cases.words(t)) for i, t in rows]
-    count = [Counter(tuple(w[k : k + n]) for _, w in split for k in range(len(w) - n + 1)) for n in range(1, order + 1)]
-    total = sum(count[0].values())
-
-    def value(gram):
-        if len(gram) == 1:
-            return count[0][gram] / total
-        if count[len(gram) - 1][gram] >= least:
-            return count[len(gram) - 1][gram] / count[len(gram) - 2][gram[:-1]]
-        return alpha * value(gram[1:])
-
-    return {i: sum(math.log(value(tuple(w[max(0, k - order + 1) : k + 1]))) for k in range(len(w))) for i, w in split}
-
-
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_scores_against_brute_force(spark, order):
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    count = sum((grams(w) for _, w in split), Counter())
+    words, out = sum(len(w) for _, w in split), {}
+    for i, w in split:
+        own = grams(w)
+
+        def value(gram, n=len(w), own=own):
+            if not gram:
+                return 1 / words
+            seen = count[gram] - own[gram]
+            if seen >= (least if len(gram) > 1 else 1):
+                return seen / (count[gram[:-1]] - own[gram[:-1]] if len(gram) > 1 else words - n)
+            return alpha * value(gram[1:])
+
+        whole = [tuple(w[max(0, k - order + 1) : k + 1]) for k in range(len(w))]
+        out[i] = sum(math.log(value(g)) for g in whole), sum(count[g] - own[g] < (least if len(g) > 1 else 1) for g in whole)
+    return out
+
+
+@pytest.mark.parametrize("order,least", [(1, 1), (2, 2), (3, 1), (4, 1)])
+def test_scores_against_brute_force(spark, order, least):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    want = lm([(r.doc_id, r.text) for r in docs.collect()], order)
-    got = by_id(lm_scores.score(docs, order, block_bytes=100_000))
-    assert all(abs(got[i].log_score - s) < 1e-4 for i, s in want.items())
+    want = lm([(r.doc_id, r.text) for r in docs.collect()], order, least)
+    got = by_id(lm_scores.score(docs, order, min_count=least, block_bytes=100_000))
+    assert all(got[i].n_backoff == n and abs(got[i].log_score - s) < 1e-5 * (1 + got[i].n_words) for i, (s, n) in want.items())
+
+
+def test_scores_by_relational_operators(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"), allowMissingColumns=True)
+    got, want = by_id(lm_scores.score_rows(docs)), by_id(lm_scores.score(docs))
+    assert {i: tuple(r)[:3] for i, r in got.items()} == {i: tuple(r)[:3] for i, r in want.items()}
+    assert all(abs(r.log_score - want[i].log_score) < 1e-5 for i, r in got.items())
+
+
+def test_keys_survive_the_exchange():
+    rng = np.random.default_rng(2)
+    for bits in (56, 64):
+        keys = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) >> np.uint64(64 - bits))
+        bucket = blocks.in_range(keys, bits, 37)
+        assert (np.diff(bucket) >= 0).all() and bucket.min() == 0 and bucket.max() == 36
+        back, n = blocks.unpack(blocks.pack(keys, np.arange(len(keys), dtype=np.uint64)))
+        assert (back == keys).all() and (n == np.arange(len(keys))).all()
 
 
 def test_scores_odd_rows(odd, none):
