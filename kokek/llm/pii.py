@@ -1,29 +1,40 @@
 """Personal data: exact base patterns, and further spans by aggregated weak labels.
 
 Base spans (email, ip, card, phone) follow fixed patterns. Beyond them, candidate spans (numbers,
-accounts, spelled-out addresses, names) get votes from regex, gazetteer and context labelers.
-Votes form a bounded number of patterns, so Spark counts them over every document; expectation
-maximisation on those counts estimates each labeler's reliability, and a logistic span
-classifier trained on the resulting soft labels decides every candidate.
+accounts, spelled-out addresses, names) get votes from regex, gazetteer and context labelers, as
+do the base spans. Votes form a bounded number of patterns, so Spark counts them over every
+document; expectation maximisation on those counts, with the base spans known to be right,
+estimates each labeler's reliability. The soft labels train a logistic span classifier on what the
+labelers do not see: make-up of the span and the words around it. It decides every candidate.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
+from heapq import heappushpop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kokek.llm.common import prepare
+from kokek.llm.common import cut, prepare
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("account", "contact", "name", "number")
 ORDER = {k: i for i, k in enumerate(BASE_KINDS + EXTRA_KINDS)}
 
+#: Different spans of one vote pattern that train the classifier (those of the least hashes); votes
+#: are counted over all documents.
+SAMPLE = 64
+#: Least chance of a candidate to be taken.
+THRESHOLD = 0.6
+#: Classes into which words near a span are hashed.
+NEAR = 64
+
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # Every ip, card and phone lies inside one maximal run of these characters.
@@ -127,8 +138,8 @@ def votes(text: str, start: int, kind: str, end: int) -> tuple[int, ...]:
     inside = {w.lower() for w in _WORD.findall(span)}
     digits = _NOT_DIGIT.sub("", span)
     glued = (start and (text[start - 1].isalnum() or text[start - 1] in "_\"'=/")) or (end < len(text) and (text[end].isalnum() or text[end] in "_\"'=/"))
-    strict = {"number": bool(_NATIONAL.fullmatch(span) or _GROUPED.fullmatch(span)), "account": kind == "account" and mod97(span), "contact": "(" in span or "[" in span, "name": span.count(" ") == 2}[kind]
-    listed = {"number": digits.startswith(DIALLING), "name": bool(inside & FIRST_NAMES), "account": span[:2] in ("DE", "FR", "ES", "GB", "IT", "NL"), "contact": bool(inside & FIRST_NAMES)}[kind]
+    strict = {"number": bool(_NATIONAL.fullmatch(span) or _GROUPED.fullmatch(span)), "account": kind == "account" and mod97(span), "contact": "(" in span or "[" in span, "name": span.count(" ") == 2}.get(kind, True)
+    listed = {"number": digits.startswith(DIALLING), "name": bool(inside & FIRST_NAMES), "account": span[:2] in ("DE", "FR", "ES", "GB", "IT", "NL"), "contact": bool(inside & FIRST_NAMES)}.get(kind, digits.startswith(DIALLING))
     return (
         1 if strict else -1,
         1 if listed else 0,
@@ -138,56 +149,115 @@ def votes(text: str, start: int, kind: str, end: int) -> tuple[int, ...]:
     )
 
 
-def fit(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> dict[tuple[str, tuple[int, ...]], float]:
-    """Probabilities of each (kind, votes) pattern: expectation-maximisation of the labelers'
-    reliabilities on pattern counts, then logistic regression on votes and kind."""
-    if not patterns:
-        return {}
+def features(text: str, start: int, kind: str, end: int, v: tuple[int, ...]) -> np.ndarray:
+    """Votes, kind, make-up of the span, and hashed words before and after it."""
+    span = text[start:end]
+    out = np.zeros(WIDTH, np.float32)
+    n = max(1, len(span))
+    digits, letters, upper = (sum(map(f, span)) / n for f in (str.isdigit, str.isalpha, str.isupper))
+    own = [1.0, *v, digits, letters, upper, len(span) / 20, min(4, len(re.findall(r"[^\W_]+", span))) / 4, "+" in span, "-" in span, "." in span, "(" in span, len(set(span)) / n, start == 0 or text[start - 1] == "\n"]
+    out[: len(own)] = own
+    out[SHAPE + ORDER[kind]] = 1
+    near = [(0, w) for w in _WORD.findall(text[max(0, start - 40) : start])[-3:]] + [(1, w) for w in _WORD.findall(text[end : end + 24])[:2]]
+    for side, w in near:
+        out[SHAPE + len(ORDER) + zlib.crc32(f"{side}{w.lower()}".encode()) % NEAR] = 1
+    return out
+
+
+SHAPE = 17
+WIDTH = SHAPE + len(ORDER) + NEAR
+
+
+def reliabilities(patterns: list[tuple[str, tuple[int, ...], int]], rounds: int = 60) -> np.ndarray:
+    """Probabilities of each (kind, votes, count) pattern by expectation-maximisation of the labelers'
+    reliabilities; patterns of base kinds are right."""
     v = np.array([p[1] for p in patterns]) + 1
     n = np.array([p[2] for p in patterns], dtype=float)
-    soft = 1 / (1 + np.exp(-(2.0 * (v - 1).sum(axis=1) - 1)))
+    base = np.array([p[0] in BASE_KINDS for p in patterns])
+    soft = np.where(base, 1.0, 1 / (1 + np.exp(-(2.0 * (v - 1).sum(axis=1) - 1))))
     for _ in range(rounds):
-        prior = (n @ soft + 1) / (n.sum() + 4)
+        # Base spans teach what right spans get as votes, not how many candidates are right.
+        prior = (n[~base] @ soft[~base] + 1) / (n[~base].sum() + 4)
         odds = np.full(len(n), np.log(prior / (1 - prior)))
         for k in range(v.shape[1]):
-            # Pseudo-counts keep a labeler's vote from turning against its sense on few spans.
-            yes = np.bincount(v[:, k], n * soft, 3) + np.array([1.0, 4.0, 5.0])
-            no = np.bincount(v[:, k], n * (1 - soft), 3) + np.array([5.0, 4.0, 1.0])
+            # Pseudo-counts keep a labeler's vote from turning against its sense on few spans; base
+            # spans say nothing of the first labeler, whose vote they have by their making.
+            use = n * ~base if k == 0 else n
+            yes = np.bincount(v[:, k], use * soft, 3) + np.array([1.0, 4.0, 5.0])
+            no = np.bincount(v[:, k], use * (1 - soft), 3) + np.array([5.0, 4.0, 1.0])
             odds += np.log(yes / yes.sum())[v[:, k]] - np.log(no / no.sum())[v[:, k]]
-        soft = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-    x = np.array([[1.0, *q, *(float(kind == e) for e in EXTRA_KINDS)] for kind, q, _ in patterns])
-    w, weight = np.zeros(x.shape[1]), n / n.sum()
-    for _ in range(400):
+        soft = np.where(base, 1.0, 1 / (1 + np.exp(-np.clip(odds, -30, 30))))
+    return soft
+
+
+def fit(patterns: list[tuple[str, tuple[int, ...], int]], spans: list[tuple[str, np.ndarray]], rounds: int = 300) -> np.ndarray:
+    """Weights of the span classifier: logistic regression of the patterns' probabilities on sampled
+    spans (pattern key, features), each pattern weighing as often as it occurs, to the power 1/2."""
+    if not patterns or not spans:
+        return np.zeros(WIDTH)
+    soft = {_key(k, q): (p, n) for (k, q, n), p in zip(patterns, reliabilities(patterns))}
+    held: dict[str, int] = {}
+    for key, _ in spans:
+        held[key] = held.get(key, 0) + 1
+    x = np.array([f for _, f in spans], float)
+    y = np.array([soft[key][0] for key, _ in spans])
+    weight = np.array([soft[key][1] ** 0.5 / held[key] for key, _ in spans])
+    weight /= weight.sum()
+    w = np.zeros(WIDTH)
+    for _ in range(rounds):  # Newton steps would need few rounds, but this is never singular
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 1.0 * (x.T @ (weight * (p - soft)) + 1e-4 * w)
-    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-    return {(kind, q): float(a) for (kind, q, _), a in zip(patterns, p)}
+        w -= 2.0 * (x.T @ (weight * (p - y)) + 1e-4 * w)
+    return w
 
 
 def _key(kind: str, v: tuple[int, ...]) -> str:
     return kind + ":" + "".join("-0+"[x + 1] for x in v)
 
 
-def train(docs: DataFrame) -> dict[tuple[str, tuple[int, ...]], float]:
-    """Counts vote patterns over all documents (at most 4 kinds x 3^5 of them) and fits them."""
+def train(docs: DataFrame) -> np.ndarray:
+    """Counts vote patterns (at most 8 kinds x 3^5) over all documents, samples spans of each, and
+    fits the classifier. A span's place in the sample goes by a hash of what it is and stands in."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, int] = {}
+        kept: dict[str, list[tuple[int, bytes]]] = {}
         for batch in batches:
             for text in batch.column(0):
                 text = text.as_py() or ""
-                for _, kind, _, v in candidates(text, base_spans(text)):
-                    counts[_key(kind, v)] = counts.get(_key(kind, v), 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-    return fit(sorted((r.pattern.split(":")[0], tuple("-0+".index(c) - 1 for c in r.pattern.split(":")[1]), r.n) for r in rows))
-
-
-def all_spans(text: str, model: dict, threshold: float) -> tuple[list, list]:
+                base = base_spans(text)
+                marked = [(a, k, b, votes(text, a, k, b)) for a, k, b in base]
+                for a, kind, b, v in [*marked, *candidates(text, base)]:
+                    key = _key(kind, v)
+                    counts[key] = counts.get(key, 0) + 1
+                    held, place = kept.setdefault(key, []), zlib.crc32(text[max(0, a - 60) : b + 30].encode())
+                    if len(held) < SAMPLE or -held[0][0] >= place:
+                        item = -place, features(text, a, kind, b, v).tobytes()
+                        if item not in held:
+                            heappush(held, item) if len(held) < SAMPLE else heappushpop(held, item)
+        rows = [(key, n, None, None) for key, n in counts.items()] + [(key, 0, -p, f) for key, held in kept.items() for p, f in held]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, (pa.string(), pa.int64(), pa.int64(), pa.binary()))], ["pattern", "n", "place", "features"])
+
+    found = cut(docs.select("text").mapInArrow(run, "pattern string, n long, place long, features binary"))
+    patterns = sorted((r.pattern.split(":")[0], tuple("-0+".index(c) - 1 for c in r.pattern.split(":")[1]), r.n) for r in found.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
+    offered = found.where("place IS NOT NULL").select("pattern", "place", "features").distinct()
+    first = offered.withColumn("k", F.row_number().over(Window.partitionBy("pattern").orderBy("place", "features"))).where(F.col("k") <= SAMPLE)
+    spans = sorted((r.pattern, bytes(r.features)) for r in first.select("pattern", "features").collect())
+    return fit(patterns, [(k, np.frombuffer(f, np.float32)) for k, f in spans])
+
+
+def chances(weights: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(np.array(rows, float) @ weights, -30, 30)))
+
+
+def all_spans(text: str, model: np.ndarray, threshold: float) -> tuple[list, list]:
+    """Base spans, and they with the candidates that some labeler is for and the classifier accepts."""
     base = base_spans(text)
-    more = [(a, kind, b) for a, kind, b, v in candidates(text, base) if max(v) > 0 and model.get((kind, v), 0.0) >= threshold]
+    backed = [(a, kind, b, v) for a, kind, b, v in candidates(text, base) if max(v) > 0]
+    if not backed:
+        return base, base
+    p = chances(model, [features(text, *c) for c in backed])
+    more = [(a, kind, b) for (a, kind, b, _), x in zip(backed, p) if x >= threshold]
     return base, sorted(base + more, key=lambda s: (s[0], ORDER[s[1]])) if more else base
 
 
@@ -195,7 +265,7 @@ def _joined(spans: list) -> str:
     return ",".join(f"{kind}:{a}:{b}" for a, kind, b in spans)
 
 
-def find_pii(docs: DataFrame, model: dict | None = None, threshold: float = 0.9) -> DataFrame:
+def find_pii(docs: DataFrame, model: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, counts and spans of every row; trains on the same documents without a model.
 
     Null and empty texts have no spans. Offsets are code points of the whole text. Repeated rows
@@ -232,9 +302,10 @@ def redact_text(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, model: dict | None = None, threshold: float = 0.9) -> DataFrame:
+def redact(docs: DataFrame, model: np.ndarray | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The same rows and columns with personal data replaced in ``text`` (and ``n_chars``, where
-    there is one, set to the new length)."""
+    there is one, set to the new length). Null texts stay null; repeated rows are treated alike; no
+    rows give none; without a model it trains on the same documents."""
     model = train(docs) if model is None else model
     names = docs.columns
 

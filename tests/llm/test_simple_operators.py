@@ -239,6 +239,54 @@ def test_pii_votes_add_spans_and_redaction(spark, odd, none):
     assert pii.redact(none).collect() == []
 
 
+def iban(rng, country, size):
+    body = "".join(rng.choice("0123456789") for _ in range(size))
+    number = int("".join(str(int(c, 36)) for c in body + country + "00"))
+    return f"{country}{98 - number % 97:02d}{body}"
+
+
+def planted(rng, right):
+    """(text to plant, the span in it): personal data in wordings of five kinds, or the like that is none."""
+    number = lambda *k: "-".join("".join(rng.choice("0123456789") for _ in range(n)) for n in k)
+    first, last = rng.choice(["Anna", "David", "Maria", "Thomas", "Laura", "Peter"]), rng.choice(["Keller", "Moreau", "Ortega", "Walsh", "Brandt"])
+    kind = rng.randrange(5)
+    if right:
+        span = [number(3, 4, 4), iban(rng, "DE", 18), f"{first.lower()} at {last.lower()} dot com", f"{rng.choice(['Mr.', 'Frau', 'Señora', 'Dr.'])} {first} {last}", number(3, 2, 4)][kind]
+        return ["please call {} today", "account {} at the bank", "mail {} soon", "said {} then", "passport id {} shown"][kind].format(span), span
+    span = [number(3, 4, 4), number(13), number(3, 4, 4), number(9), number(4, 4)][kind]
+    return ["order {} total price", "isbn {} page", "version {} build", "invoice {} page", "chapter {} of"][kind].format(span), span
+
+
+def test_pii_precision_and_recall_on_planted_spans(spark, rows):
+    rng = random.Random(8)
+    docs, want = [], []
+    for i, text in rows:
+        words, spans = text.split(" "), []
+        for right in (True, False) if i % 2 else ():
+            for _ in range(2):
+                line, span = planted(rng, right)
+                words.insert(rng.randrange(len(words) + 1), line)
+                spans += [span] if right else []
+        docs.append((i, " ".join(words)))
+        want.append((i, spans))
+    got = by_id(pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")))
+    text, hit, every, extra = dict(docs), 0, 0, 0
+    for i, spans in want:
+        added = [(int(a), int(b)) for k, a, b in (x.split(":") for x in got[i].spans.split(",") if x) if k in pii.EXTRA_KINDS]
+        shown = [text[i][a:b] for a, b in added]
+        hit += sum(any(s == x or s in x or x in s for x in shown) for s in spans)
+        every += len(spans)
+        extra += sum(not any(s == x or s in x or x in s for s in spans) for x in shown)
+    print("recall", hit / every, "precision", hit / (hit + extra))
+    assert hit >= 0.85 * every and hit >= 0.9 * (hit + extra)
+
+
+def test_pii_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one, other = (sorted(map(tuple, pii.find_pii(d).collect())) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert one == other
+
+
 def test_token_counts_equal_the_library(spark, rows):
     tokenizers = pytest.importorskip("tokenizers")
     own = tokenizers.Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
