@@ -71,14 +71,68 @@ def test_perplexity_rejects_noise(spark):
     assert sum(got[i].kept for i in range(200)) >= 190
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, quality.CODES, 5000))
-    keys, values = quality.kneser_ney(codes, rng.integers(1, 9, len(codes)))
-    model = quality.Model(keys.tobytes(), values.tobytes())
-    for context in (codes[0] >> 5, codes[1] >> 5, 12345):
-        p = np.exp(model.logs((context << 5) + np.arange(32)))
-        assert abs(p.sum() - 1) < 1e-4
+def kneser_ney(texts, order=4, alphabet=1 << 16):
+    """log p(last character | the others) of interpolated modified Kneser-Ney, by dictionaries of strings."""
+    from collections import Counter
+
+    grams = Counter(("\n" * 3 + t)[k : k + order] for t in texts for k in range(len(t)))
+    levels = {order: grams}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cost = {}
+    for k, c in levels.items():
+        n = Counter(min(x, 5) for x in c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        cost[k] = {j: min(max(j - (j + 1) * y * n[j + 1] / n[j] if n[j] else 0.5 * j, 0.05 * j), j - 0.05) for j in (1, 2, 3)}
+
+    def p(g):
+        if not g:
+            return 1 / alphabet
+        c, d = levels[len(g)], cost[len(g)]
+        after = [x for h, x in c.items() if h[:-1] == g[:-1]]
+        if not after:
+            return p(g[1:])
+        spare = sum(d[min(x, 3)] for x in after) / sum(after)
+        return (max(c[g] - d[min(c[g], 3)], 0) / sum(after) if c[g] else 0) + spare * p(g[1:])
+
+    return lambda g: np.log(p(g))
+
+
+def test_perplexity_and_verdict_against_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abé c\nD9") for _ in range(rng.randint(0, 80))) for _ in range(30)] + [" ".join(rng.choice(["ab", "bé", "😀c"]) for _ in range(k)) for k in range(10, 30)]
+    log = kneser_ney(texts)
+    want = [-sum(log(("\n" * 3 + t)[k : k + 4]) for k in range(len(t))) / max(1, len(t)) for t in texts]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = by_id(quality.quality(docs, whiskers=0.1))
+    assert all(np.log(got[i].perplexity) == pytest.approx(w, abs=3e-4) for i, w in enumerate(want))
+    q1, q3 = np.percentile([w for i, w in enumerate(want) if not got[i].base_failed], [25, 75])
+    wide = 0.1 * max(q3 - q1, 0.02)
+    kept = [not cases.base_rules(t)[-1] and q1 - wide <= w <= q3 + wide for t, w in zip(texts, want)]
+    assert [got[i].kept for i in range(len(texts))] == kept and 0 < sum(kept) < sum(not r.base_failed for r in got.values())
+
+
+def models(df):
+    return {r.lang: quality.Model(bytes(r["keys"]), bytes(r.vals)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("limit", [quality.MODEL_GRAMS, 1500])
+def test_kneser_ney_sums_to_one(spark, limit):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = {r.lang: r["size"] for r in quality.train(docs, limit).collect()}
+    held = models(quality.train(docs, limit))
+    assert limit > 10**6 or max(sizes.values()) < min(r["size"] for r in quality.train(docs).collect())
+    for context in ("the", "zqx", "é d"):
+        code = np.uint64(sum(ord(c) << 16 * k for k, c in enumerate(reversed(context + "\0"))))
+        total = np.exp(held["en"].logs(code + np.arange(1 << 16, dtype=np.uint64))).sum()
+        assert abs(total - 1) < (1e-3 if limit > 10**6 else 0.1)
+
+
+def test_counts_are_handed_on_in_parts(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = sorted(map(tuple, quality.count_grams(docs).collect()))
+    monkeypatch.setattr(quality, "HELD_GRAMS", 2000)
+    assert sorted(map(tuple, quality.count_grams(docs).collect())) == want and sum(r[2] for r in want) == sum(len(r.text) for r in docs.collect())
 
 
 def test_media_round_trip(spark, rows):
