@@ -1,4 +1,5 @@
 import hashlib
+import io
 import random
 import zlib
 
@@ -144,6 +145,56 @@ def test_media_round_trip(spark, rows):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:]))
 
 
+def slow_hash(grey):
+    small = np.repeat(np.repeat(grey.astype(float), 8, axis=0), 9, axis=1).reshape(8, grey.shape[0], 9, grey.shape[1]).mean(axis=(1, 3)).round(6)
+    bits = "".join("1" if small[r, c] < small[r, c + 1] else "0" for r in range(8) for c in range(8))
+    return f"{int(bits, 2):016x}"
+
+
+def test_media_stored_form_and_features_against_brute_force(spark):
+    got = by_id(media.text_media(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+    for i, text in [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]:
+        data = text.encode()
+        full = data + b" " * (-len(data) % 192)
+        stored = b"P6\n64 %d\n255\n" % (len(full) // 192) + full
+        r = got[i]
+        assert (bytes(r.media), r.media_bytes, r.media_sha256) == (stored, len(stored), hashlib.sha256(stored).hexdigest())
+        grey = np.frombuffer(full, np.uint8).reshape(-1, 64, 3).mean(axis=2)
+        assert r.feature == slow_hash(grey)
+        tile = np.load(io.BytesIO(bytes(r.tile)))
+        want = np.repeat(np.repeat(grey, 16, axis=0), 16, axis=1).reshape(16, len(grey), 16, 64).mean(axis=(1, 3))
+        assert tile.shape == (16, 16) and tile.dtype == np.uint8 and np.abs(tile - want).max() <= 0.5 + 1e-6
+
+
+def test_a_column_of_stored_images(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rgb = rng.integers(0, 256, (20, 30, 3), dtype=np.uint8)
+    deep = (rgb[:, :, 0].astype(np.uint16) * 257).astype(">u2")
+    files = [
+        media.encode_ppm(rgb), media.encode_bmp(rgb), b"P5\n30 20\n65535\n" + deep.tobytes(), media.encode_ppm(rgb[:, :, 0]),
+        None, b"", b"P6", b"P6\n9 9\n255\nabc", b"P6\n99999999999 99999999999\n255\n", b"P2 # x\n2 2\n9\n0 3 # y\n9 a", b"BM", b"BM" + b"\x00" * 60, b"GIF89a", b"P5\n0 0\n255\n", b"P5\n1 1\n0\n0", b"P5\n2 1\n9\nzz",
+    ]
+    table = spark.createDataFrame([(i, f, "x", b"y") for i, f in enumerate(files)] + [(None, files[0], None, None)], "doc_id long, media binary, id string, tile binary")
+    got = {r.id: r for r in media.media_columns(table).collect()}
+    assert len(got) == len(files) + 1
+    for i in range(4):
+        assert (got[i].error, got[i].height, got[i].width, got[i].samples) == (None, 20, 30, 3 if i < 2 else 1)
+    assert got[0].feature == got[1].feature == got[None].feature == slow_hash(rgb.mean(axis=2)) and bytes(got[0].tile) == bytes(got[1].tile)
+    assert got[2].feature == got[3].feature and bytes(got[2].tile) == bytes(got[3].tile)
+    assert all(got[i].error and got[i].feature is None and got[i].tile is None for i in range(4, len(files)))
+    media.write_tiles(media.media_columns(table), str(tmp_path / "tiles"))
+    tiles = spark.read.parquet(str(tmp_path / "tiles")).collect()
+    assert len(tiles) == 5 and all(np.load(io.BytesIO(bytes(r.tile))).shape == (16, 16) for r in tiles)
+    assert media.media_columns(table.limit(0)).collect() == []
+
+
+def test_integral_images_in_strips(monkeypatch):
+    x = np.random.default_rng(4).random((101, 13))
+    want = media.area_resize(x, 7, 5)
+    monkeypatch.setattr(media, "STRIP", 6)
+    assert np.allclose(media.area_resize(x, 7, 5), want)
+
+
 def test_media_odd_rows(odd, none):
     got = media.text_media(odd).collect()
     assert len(got) == len(cases.ODD)
