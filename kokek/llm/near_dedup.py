@@ -1,12 +1,14 @@
 """Near-duplicate groups by a MinHash LSH forest, confirmed on full shingle sets.
 
-A document's signature is read in several orders (trees of the forest). Documents that share the
-first DEPTH values of an order form a region; a region too heavy for one task is split by longer
-common prefixes until its parts fit, so that depth adapts to density. Inside a region, exact
-Jaccard tests along a breadth-first search join documents into stars; the stars' links are then
-contracted to components. Equal sets are one node from the start, so copies never form pairs.
-
-Longer prefixes lose candidates, so members of split regions are searched once more without loss:
+A document's signature is read in several orders, the trees of the forest. In each order all
+signatures are sorted over the whole cluster; neighbours are compared by their longest common
+prefix, and runs of neighbours that share LEAST values or more are candidate regions. A run too
+heavy for one task is cut where neighbours share less, level by level, so that depth adapts to
+each region. Inside a region, exact Jaccard tests along a breadth-first search join documents into
+stars; the stars' links are then contracted to components. Equal sets are one node from the
+start, so copies never form pairs.
+
+Longer prefixes lose candidates, so members of cut runs are searched once more without loss:
 similar sets share one of their rarest shingles, and only members of different components meet.
 """
 
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +27,20 @@ from kokek.llm.common import cut, maybe_broadcast, prepare
 from kokek.llm.textkit import Words, flat, mix, slices, windows
 
 SHINGLE, PERCENT = 4, 80
-#: Orders of the forest; a pair at similarity 0.8 misses all of them with (1 - 0.8^3)^16 = 1e-5.
-TREES, DEPTH = 16, 3
-HASHES = TREES * DEPTH
-#: Shingles of a region's sets that one task may hold, and the prefix lengths of heavier regions.
-REGION_SHINGLES = 6_000_000
-DEEPER = (4, 6, 9, 14, 24, HASHES)
+#: Orders of the forest, and the values neighbours have to share; a pair at similarity 0.8 misses all
+#: orders with (1 - 0.8^3)^16 = 1e-5.
+TREES, LEAST = 16, 3
+HASHES = TREES * LEAST
+#: Values of an order that are sorted and compared.
+SORTED = 8
+#: Shingles of a region's sets that one task may hold; heavier runs are cut.
+REGION_SHINGLES = 1_000_000
+#: Neighbours of one run that a task holds while it decides where to cut it; longer runs are cut there.
+RUN_ROWS = 500_000
+#: Rows of sorted orders in one partition, once there are many.
+ORDER_ROWS = 1_000_000
+#: Bits of the filter of candidates' ids for each of them, and at most (128 MB).
+FILTER_BITS, MOST_BITS = 16, 1 << 30
 
 _STEPS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ 0xD6E8FEB86659FD93 * (k + 7)) % (1 << 64) | 1 for k in range(HASHES)], np.uint64)
 _S32 = np.uint64(32)
@@ -88,29 +99,40 @@ def sketch(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, sig binary")
 
 
-def _regions(nodes: DataFrame, depth: int) -> DataFrame:
-    """rep, n_shingles, sig, tree, region of nodes, for the first ``depth`` values of each tree's
-    order; nodes with a ``tree`` of their own stay in it."""
-    own = "tree" in nodes.columns
+def _orders(nodes: DataFrame) -> DataFrame:
+    """rep, n_shingles, tree, key of nodes: the first SORTED values of each tree's order as big-endian
+    bytes, which sort like the values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint64)
+            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, HASHES)
             for tree in range(TREES):
-                rows = np.flatnonzero(np.asarray(batch.column(3)) == tree) if own else np.arange(batch.num_rows)
-                order = (np.arange(HASHES) + DEPTH * tree) % HASHES
-                h = np.full(len(rows), tree + TREES * depth, np.uint64)
-                for k in order[:depth]:
-                    h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[rows, k])
-                part = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(np.full(len(rows), tree, np.int32)), pa.array(h.view(np.int64))], ["rep", "n_shingles", "sig", "tree", "region"])
+                own = sig[:, (np.arange(SORTED) + LEAST * tree) % HASHES].astype(">u4")
+                key = pa.Array.from_buffers(pa.binary(4 * SORTED), len(own), [None, pa.py_buffer(own.tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.full(len(own), tree, np.int32)), key], ["rep", "n_shingles", "tree", "key"])
+
+    return nodes.select("rep", "n_shingles", "sig").mapInArrow(run, "rep long, n_shingles long, tree int, key binary")
 
-    named = nodes.select("rep", "n_shingles", "sig", *(["tree"] if own else []))
-    return named.mapInArrow(run, "rep long, n_shingles long, sig binary, tree int, region long")
 
+def common_prefixes(values: np.ndarray) -> np.ndarray:
+    """How many values each row shares with the one before it (0 for the first)."""
+    same = np.logical_and.accumulate(values[1:] == values[:-1], axis=1).sum(axis=1)
+    return np.concatenate([[0], same])
 
-def _weighed(members: DataFrame) -> DataFrame:
-    return members.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
+
+def cut_run(shared: np.ndarray, weight: np.ndarray, limit: int) -> Iterator[tuple[int, int, int]]:
+    """(from, to, depth) of the regions of a run of sorted neighbours: the whole run where it is light
+    enough, else its parts of neighbours that share one value more, and so on. A part that shares
+    all values and is still too heavy is given with depth SORTED + 1, to be sliced by the caller."""
+    total = np.concatenate([[0], np.cumsum(weight)])
+    waiting = [(0, len(weight), LEAST)]
+    while waiting:
+        a, b, depth = waiting.pop()
+        if total[b] - total[a] <= limit or depth > SORTED:
+            yield a, b, depth
+            continue
+        at = [a, *(np.flatnonzero(shared[a + 1 : b] <= depth) + a + 1).tolist(), b]
+        waiting += [(x, y, depth + 1) for x, y in zip(at, at[1:])]
 
 
 def _once(found: DataFrame) -> DataFrame:
@@ -120,30 +142,74 @@ def _once(found: DataFrame) -> DataFrame:
 
 
 def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> tuple[DataFrame, DataFrame | None]:
-    """rep, region: memberships of the regions to be searched; and rep, n_shingles of the members
-    of regions that had to be split, if any."""
-    members = _regions(nodes, DEPTH)
-    weights = cut(_weighed(members.drop("sig")))
-    found = members.drop("sig").join(weights.where(F.col("weight") <= limit), "region").select("rep", "region")
-    heavy, split = weights.where(F.col("weight") > limit), None
-    for depth in DEEPER:
-        if heavy.isEmpty():
-            break
-        inside = cut(members.join(heavy.select("region"), "region", "left_semi"))
-        split = inside.select("rep", "n_shingles").distinct() if split is None else split
-        members = _regions(inside, depth)
-        weights = cut(_weighed(members.drop("sig")))
-        found = found.unionByName(members.join(weights.where(F.col("weight") <= limit), "region").select("rep", "region"))
-        heavy = weights.where(F.col("weight") > limit)
-    else:
-        # Signatures equal in every value: slices of bounded weight, each with the smallest member.
-        rest = members.join(heavy, "region")
-        share = F.pmod(F.xxhash64("rep"), F.ceil(F.col("weight") / limit).cast("long"))
-        first = rest.groupBy("region").agg(F.min("rep").alias("rep"), F.first("weight").alias("weight"))
-        spread = first.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("weight") / limit).cast("long") - 1)))
-        parts = rest.select("rep", F.xxhash64("region", share).alias("region")).unionByName(spread.select("rep", F.xxhash64("region", "share").alias("region")))
-        found = found.unionByName(parts.distinct())
-    return _once(found), split
+    """rep, region: memberships of the regions to be searched; and rep, n_shingles of the members of
+    runs that had to be cut, if any.
+
+    Every order is sorted by ranges of its values, so a run that many documents share spreads over as
+    many partitions as its deeper values allow. A run that goes on in the next partition is cut
+    there as well.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        opened = True  # the first run may have begun in the partition before
+
+        def regions(rows: list[tuple[np.ndarray, ...]], whole: bool) -> Iterator[pa.RecordBatch]:
+            rep, n, tree, values = (np.concatenate(c) for c in zip(*rows))
+            shared = common_prefixes(values)
+            out, depths, split = [], [], []
+            for a, b, depth in cut_run(shared, n, limit):
+                cut_here = not whole or depth > LEAST
+                if b - a > 1 or cut_here:
+                    part = np.zeros(b - a, np.int64)
+                    if depth > SORTED:  # equal in all values: slices of bounded weight
+                        part = (np.cumsum(n[a:b]) - 1) // max(1, limit)
+                    name = hashlib.blake2b(values[a, : min(depth, SORTED)].tobytes() + bytes([int(tree[a])]), digest_size=6).hexdigest()
+                    out += [(int(rep[i]), f"{name}:{rep[a]}:{p}") for i, p in zip(range(a, b), part.tolist())]
+                    if part.any():  # every slice has the smallest member
+                        least = int(rep[a:b].min())
+                        out += [(least, f"{name}:{rep[a]}:{p}") for p in range(1, int(part[-1]) + 1)]
+                    split += [cut_here] * (len(out) - len(split))
+                    depths += [depth] * (len(out) - len(depths))
+            ids, names = zip(*out) if out else ((), ())
+            weights = dict(zip(rep.tolist(), n.tolist()))
+            yield pa.record_batch(
+                [pa.array(ids, pa.int64()), pa.array([weights[i] for i in ids], pa.int64()), pa.array(names, pa.string()), pa.array(split, pa.bool_()), pa.array(depths, pa.int32())],
+                ["rep", "n_shingles", "region", "split", "depth"],
+            )
+
+        size = 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.frombuffer(b"".join(batch.column(3).to_pylist()), ">u4").reshape(-1, SORTED).astype(np.uint32)
+            rep, n, tree = (np.asarray(batch.column(k)).astype(np.int64) for k in range(3))
+            before = held[-1] if held else None
+            first = np.ones(len(rep), bool)
+            first[1:] = (tree[1:] != tree[:-1]) | (values[1:, :LEAST] != values[:-1, :LEAST]).any(axis=1)
+            if before is not None:
+                first[0] = tree[0] != before[2][-1] or (values[0, :LEAST] != before[3][-1, :LEAST]).any()
+            at = [0, *np.flatnonzero(first[1:]) + 1, len(rep)]
+            for k, (a, b) in enumerate(zip(at, at[1:])):
+                if held and (k or first[0]):
+                    if size > 1 or opened:
+                        yield from regions(held, not opened)
+                    held, size, opened = [], 0, False
+                held.append((rep[a:b], n[a:b], tree[a:b], values[a:b]))
+                size += b - a
+                if size >= RUN_ROWS:
+                    yield from regions(held, False)
+                    held, size, opened = [], 0, True
+        if held:
+            yield from regions(held, False)  # the last run may go on in the next partition
+
+    spark = nodes.sparkSession
+    rows = cut(_orders(nodes))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ORDER_ROWS)
+    ordered = rows.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key", "rep")
+    found = cut(ordered.mapInArrow(run, "rep long, n_shingles long, region string, split boolean, depth int"))
+    split = found.where("split").select("rep", "n_shingles").distinct()
+    return _once(found), None if split.isEmpty() else split
 
 
 def _sliced(members: DataFrame, limit: int) -> DataFrame:
@@ -178,7 +244,7 @@ def rarest(split: DataFrame, sets: DataFrame, groups: DataFrame, percent: int, l
 
     fullest = split.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"))  # rows with one id
     named = fullest.join(groups.withColumnRenamed("a", "rep"), "rep", "left").select("rep", "n_shingles", F.coalesce("b", "rep").alias("component"))
-    own = named.join(sets, "rep").where("octet_length(shingles) = 8 * n_shingles").dropDuplicates(["rep"])
+    own = maybe_broadcast(cut(named)).join(sets, "rep").where("octet_length(shingles) = 8 * n_shingles").dropDuplicates(["rep"])
     rows = cut(own.select("rep", "n_shingles", "component", "shingles").mapInArrow(run, "rep long, n_shingles long, component long, shingle long"))
     common = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("n", "shingle"))
@@ -227,18 +293,42 @@ def stars(reps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
     return links
 
 
+def _filter(wanted: DataFrame) -> tuple[int, bytes]:
+    """A bitmap of the hashes of ids in ``rep``, of bounded size: ids that it lacks are not wanted."""
+    n = wanted.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
+    pieces = min(4096, bits >> 13)
+    spot = F.pmod(F.xxhash64("rep"), F.lit(bits)).cast("long")
+    size = bits // pieces
+
+    def piece(key: tuple, rows: pa.Table) -> pa.Table:
+        own = np.zeros(size, np.uint8)
+        own[np.asarray(rows.column("spot")) % size] = 1
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(own).tobytes()], pa.binary())})
+
+    rows = wanted.select(spot.alias("spot")).distinct().withColumn("piece", F.floor(F.col("spot") / size).cast("long"))
+    held = bytearray(bits // 8)
+    for r in rows.groupBy("piece").applyInArrow(piece, "piece long, bits binary").toLocalIterator():
+        held[r.piece * size // 8 : (r.piece + 1) * size // 8] = r.bits
+    return bits, bytes(held)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
     """a, b (a > b): links between representatives, contracted to the smallest of each component."""
     found, split = candidates(nodes, limit)
     members = cut(found)
     wanted = members.select("rep") if split is None else members.select("rep").unionByName(split.select("rep"))
-    wanted = cut(wanted.distinct())
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = named.join(maybe_broadcast(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
+    bits, held = _filter(cut(wanted.distinct()))
+    shared = docs.sparkSession.sparkContext.broadcast(held)
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).cast("long").alias("spot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Shingle sets of candidates only: texts stay where they are, and only these sets are shuffled."""
+        known = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            for part in slices(batch, "text"):
+            spot = np.asarray(batch.column(2))
+            batch = batch.filter(pa.array((known[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool) & np.asarray(pc.is_valid(batch.column(0)))))
+            for part in slices(batch, "text") if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], ["rep", "shingles"])
 
     def search(key: tuple, region: pa.Table) -> pa.Table:
@@ -253,12 +343,12 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: i
     def searched(members: DataFrame) -> DataFrame:
         return members.join(sets, "rep").groupBy("region").applyInArrow(search, "a long, b long").distinct()
 
-    sets = cut(texts.mapInArrow(run, "rep long, shingles binary"))
+    sets = cut(named.mapInArrow(run, "rep long, shingles binary"))
     groups = contract(searched(members))
     if split is None:
         return groups
     again = rarest(split, sets, groups, percent, limit)
-    return contract(groups.unionByName(searched(cut(again))))
+    return contract(groups.unionByName(searched(maybe_broadcast(cut(again)))))
 
 
 def contract(links: DataFrame) -> DataFrame:
@@ -295,14 +385,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, lim
     nodes = cut(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig")))
     groups = _links(docs, nodes, width, percent, limit)
     named = nodes.join(groups.withColumnRenamed("a", "rep"), "rep", "left").select("node", "rep", "n", F.coalesce("b", "rep").alias("component"))
-    # Nodes of one document that is linked with nothing need no join.
-    moved = named.where("n > 1 or component != rep").select("node", "component")
-    joined = rows.select("doc_id", "n_shingles", "node").join(moved, "node", "left")
+    # Nodes of one document that is linked with nothing need no join, nor do rows without a node.
+    moved = maybe_broadcast(cut(named.where("n > 1 or component != rep").select("node", "component")))
+    own = rows.select("doc_id", "n_shingles", "node")
+    joined = own.where("node IS NOT NULL").join(moved, "node", "left").unionByName(own.where("node IS NULL").withColumn("component", F.lit(None).cast("long")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
-    """The rows of kept documents, with all their columns."""
+    """The rows of kept documents, with all their columns: texts without words and rows without id
+    stay; rows of one id stay or go together; no rows give none."""
     out = cut(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct())
     return docs.join(maybe_broadcast(out), "doc_id", "left_anti").select(*docs.columns)

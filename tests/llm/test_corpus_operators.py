@@ -80,6 +80,30 @@ def test_split_regions_lose_no_link(spark):
         assert limit > 10**5 or max(sum(len(own[i]) for i in m) for m in regions.values()) <= 2 * limit
 
 
+def test_runs_are_cut_where_neighbours_share_least():
+    rng = np.random.default_rng(1)
+    values = np.array(sorted(map(tuple, np.concatenate([np.full((400, 3), 7), rng.integers(0, 3, (400, near_dedup.SORTED - 3))], axis=1).tolist())))
+    shared, weight = near_dedup.common_prefixes(values), rng.integers(1, 9, 400)
+    assert all(n == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a)) for n, a, b in zip(shared[1:], values, values[1:]))
+    for limit in (10**6, 300, 40, 1):
+        parts = sorted(near_dedup.cut_run(shared, weight, limit))
+        assert [p[0] for p in parts] == [0, *(p[1] for p in parts[:-1])] and parts[-1][1] == 400
+        for a, b, depth in parts:
+            assert len({tuple(v[: min(depth, near_dedup.SORTED)]) for v in values[a:b]}) == 1
+            assert weight[a:b].sum() <= limit or depth == near_dedup.SORTED + 1
+        assert limit < 10**6 or parts == [(0, 400, near_dedup.LEAST)]
+
+
+def test_near_duplicates_where_the_filter_and_runs_are_small(spark, monkeypatch):
+    """The same components with a filter that passes almost all texts, shuffled joins, and short runs."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want, _, _ = cases.components([(r.doc_id, r.text) for r in docs.collect()])
+    monkeypatch.setattr(near_dedup, "MOST_BITS", 1 << 13)
+    monkeypatch.setattr(near_dedup, "RUN_ROWS", 3)
+    monkeypatch.setattr(near_dedup.maybe_broadcast, "__defaults__", (2,))
+    assert {i: r.component_id for i, r in by_id(near_dedup.near_duplicates(docs, 4)).items()} == want
+
+
 def test_contract(spark):
     rng = random.Random(1)
     links = [(max(a, b), min(a, b)) for a, b in ((rng.randrange(300), rng.randrange(300)) for _ in range(200)) if a != b] + [(i + 1, i) for i in range(1000, 1060)]
