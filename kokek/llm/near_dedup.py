@@ -146,8 +146,8 @@ def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> tuple[DataFram
     runs that had to be cut, if any.
 
     Every order is sorted by ranges of its values, so a run that many documents share spreads over as
-    many partitions as its deeper values allow. A run that goes on in the next partition is cut
-    there as well.
+    many partitions as its deeper values allow. The parts of a light run that lies across two
+    partitions have one name and meet; where a part is cut, all parts of the run count as cut.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,25 +157,26 @@ def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> tuple[DataFram
         def regions(rows: list[tuple[np.ndarray, ...]], whole: bool) -> Iterator[pa.RecordBatch]:
             rep, n, tree, values = (np.concatenate(c) for c in zip(*rows))
             shared = common_prefixes(values)
-            out, depths, split = [], [], []
+            out, split = [], []
+            run_name = hashlib.blake2b(values[0, :LEAST].tobytes() + bytes([int(tree[0])]), digest_size=8).hexdigest()
             for a, b, depth in cut_run(shared, n, limit):
-                cut_here = not whole or depth > LEAST
-                if b - a > 1 or cut_here:
+                cut_here = depth > LEAST or len(n) >= RUN_ROWS
+                if b - a > 1 or cut_here or not whole:
                     part = np.zeros(b - a, np.int64)
                     if depth > SORTED:  # equal in all values: slices of bounded weight
                         part = (np.cumsum(n[a:b]) - 1) // max(1, limit)
                     name = hashlib.blake2b(values[a, : min(depth, SORTED)].tobytes() + bytes([int(tree[a])]), digest_size=6).hexdigest()
-                    out += [(int(rep[i]), f"{name}:{rep[a]}:{p}") for i, p in zip(range(a, b), part.tolist())]
+                    name = f"{run_name}:{name}:{rep[a]}" if cut_here else run_name
+                    out += [(int(rep[i]), f"{name}:{p}") for i, p in zip(range(a, b), part.tolist())]
                     if part.any():  # every slice has the smallest member
                         least = int(rep[a:b].min())
-                        out += [(least, f"{name}:{rep[a]}:{p}") for p in range(1, int(part[-1]) + 1)]
+                        out += [(least, f"{name}:{p}") for p in range(1, int(part[-1]) + 1)]
                     split += [cut_here] * (len(out) - len(split))
-                    depths += [depth] * (len(out) - len(depths))
             ids, names = zip(*out) if out else ((), ())
             weights = dict(zip(rep.tolist(), n.tolist()))
             yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([weights[i] for i in ids], pa.int64()), pa.array(names, pa.string()), pa.array(split, pa.bool_()), pa.array(depths, pa.int32())],
-                ["rep", "n_shingles", "region", "split", "depth"],
+                [pa.array(ids, pa.int64()), pa.array([weights[i] for i in ids], pa.int64()), pa.array(names, pa.string()), pa.array([run_name] * len(ids), pa.string()), pa.array(split, pa.bool_())],
+                ["rep", "n_shingles", "region", "run", "split"],
             )
 
         size = 0
@@ -207,9 +208,11 @@ def candidates(nodes: DataFrame, limit: int = REGION_SHINGLES) -> tuple[DataFram
     rows = cut(_orders(nodes))
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // ORDER_ROWS)
     ordered = rows.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key", "rep")
-    found = cut(ordered.mapInArrow(run, "rep long, n_shingles long, region string, split boolean, depth int"))
-    split = found.where("split").select("rep", "n_shingles").distinct()
-    return _once(found), None if split.isEmpty() else split
+    found = cut(ordered.mapInArrow(run, "rep long, n_shingles long, region string, run string, split boolean"))
+    cut_runs = found.where("split").select("run").distinct()
+    if cut_runs.isEmpty():
+        return _once(found), None
+    return _once(found), found.join(cut_runs, "run", "left_semi").select("rep", "n_shingles").distinct()
 
 
 def _sliced(members: DataFrame, limit: int) -> DataFrame:
@@ -348,7 +351,8 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: i
     if split is None:
         return groups
     again = rarest(split, sets, groups, percent, limit)
-    return contract(groups.unionByName(searched(maybe_broadcast(cut(again)))))
+    more = cut(searched(maybe_broadcast(cut(again))))
+    return groups if more.isEmpty() else contract(groups.unionByName(more))
 
 
 def contract(links: DataFrame) -> DataFrame:
