@@ -6,7 +6,7 @@ tabulated once: the search then joins stems to forms by an equality on the stem'
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import product
@@ -74,8 +74,33 @@ def _soft(x: str) -> str:
     return x[:-1] + x[-1:].translate(_SOFTENED)
 
 
+#: Form rules set by the user, by suffix name, and how often they changed.
+_own: dict[str, Callable[[Suffix, Stem], list[str]]] = {}
+_changes = [0]
+
+
+def set_rule(suffix: str, rule: Callable[[Suffix, Stem], list[str]] | None) -> None:
+    """Gives a suffix a form rule of the user's, a function of suffix and stem features that returns
+    its forms in order; None brings its own rule back. Later searches use the new forms."""
+    if suffix not in BY_NAME:
+        raise KeyError(suffix)
+    _own.pop(suffix, None)
+    if rule is not None:
+        _own[suffix] = rule
+    _changes[0] += 1
+    form_rows.cache_clear()
+    form_lists.cache_clear()
+
+
+def version() -> int:
+    """Changes with every rule set, so that tables of forms can be kept until then."""
+    return _changes[0]
+
+
 def forms(s: Suffix, stem: Stem) -> list[str]:
     """Forms of a suffix after a stem, in order."""
+    if s.name in _own:
+        return list(_own[s.name](s, stem))
 
     def wide(x: str) -> str:  # major harmony only
         return x.translate(_BACKED) if s.major and stem.harmony.startswith("BACK") else x

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import form_rows
+from kokek.functions.forms import form_rows, version
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
 
@@ -25,7 +25,7 @@ _tables: dict[str, DataFrame] = {}
 def form_table(spark: SparkSession) -> DataFrame:
     """The forms of all suffixes (a table of fixed size), with ``head``, the letter the remaining
     text must begin with: the form's own or, for a lone narrowed vowel, that of what follows it."""
-    key = spark.sparkContext.applicationId
+    key = f"{spark.sparkContext.applicationId}:{version()}"
     if key not in _tables:
         rows = spark.createDataFrame(form_rows(), _FORM)
         heads = "explode(IF(form IN ('a', 'e'), array(form, 'ı', 'i', 'u', 'ü'), array(substr(form, 1, 1)))) AS head"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kokek.functions.forms import form_lists
+from kokek.functions.forms import form_lists, version
 from kokek.functions.lexicon import BROADCAST_WORDS, Lexicon
 from kokek.functions.suffixes import INTENSIFIER
 from kokek.operators import decompose as search
@@ -23,7 +23,7 @@ _tables: dict[str, DataFrame] = {}
 
 def list_table(spark: SparkSession) -> DataFrame:
     """fkey, suffix, opts: all forms of each suffix after each kind of stem (a table of fixed size)."""
-    key = spark.sparkContext.applicationId
+    key = f"{spark.sparkContext.applicationId}:{version()}"
     if key not in _tables:
         _tables[key] = search.cut(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
     return _tables[key]

@@ -19,7 +19,7 @@ from kokek.functions import phonology as ph
 from kokek.functions import suffixes as sx
 from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
-from kokek.operators import rank, render
+from kokek.operators import neural, rank, render
 from kokek.plans import oracles as o
 from kokek.plans import searching
 from kokek.session import gold_match, pruned
@@ -357,4 +357,28 @@ def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark, sf_dir)[1]
-QUERIES["score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))
+QUERIES["trained_score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))
+
+
+def scored_by_length(found: DataFrame, _: Lexicon) -> DataFrame:
+    """Scores under weights that follow from the features' lengths."""
+    weights = rank.features(found).select("feature").distinct().withColumn("weight", (F.length("feature") * 7 % 13) / F.lit(10.0))
+    return rank.score(found, weights).select("word", "cand_ord", F.round("score", 6).alias("score"))
+
+
+on_analyses(
+    "score", scored_by_length,
+    """SELECT word, cand_ord, round(list_sum(list_transform(f, lambda x: (length(x) * 7 % 13) / 10.0)), 6) AS score FROM (
+      SELECT word, cand_ord, list_concat(list_transform(chain, lambda c: concat('1:', c)), list_concat(
+        list_transform(generate_series(2, len(chain)), lambda k: concat('2:', chain[k - 1], '+', chain[k])), [concat('n:', len(chain)), concat('r:', length(root))])) AS f FROM analyses) x""",
+)
+
+
+def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the neural ranker after a pass over the confirmed analyses."""
+    found = cut(search.decompose(table_words(spark, sf_dir), dictionary(spark, sf_dir)))
+    labels = gold_match(found, confirmed(found)).where("gold_ord = 0").select("word", "cand_ord")
+    return neural.score(found, neural.fit(found, labels, limit=64)[0])
+
+
+QUERIES["neural_score"] = neural_scores

@@ -6,6 +6,8 @@ never overwritten, so that running queries and lost tasks can read the one they
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,7 @@ class Session:
             return outcome
         source.append_gold(render.gold_rows(taken, self.lexicon).drop("cand_ord"), f"{self.folder}/gold")
         self._learn(found, taken, rank.STEPS)
+        self._counted(taken.select("word").distinct().count())
         if prune:
             self.delete(taken.where("root <> word").select("word").distinct(), infinitives=True)
         return outcome
@@ -138,6 +141,7 @@ class Session:
         labels = search.cut(gold_match(found, rows).select("word", "cand_ord"))
         if not labels.isEmpty():
             self._learn(found, labels, epochs)
+            self._counted(labels.count())
         all_, hit = rows.agg(F.countDistinct("word").alias("n_words")), labels.agg(F.countDistinct("word").alias("n_matched"))
         return all_.join(F.broadcast(hit), F.lit(True)).withColumn("n_skipped", F.col("n_words") - F.col("n_matched"))  # one row each
 
@@ -150,6 +154,25 @@ class Session:
         """doc_id, value: texts annotated by the best analyses."""
         return render.annotate(docs, self.lexicon, self.weights())
 
+    def count(self) -> int:
+        """How many examples have been trained on."""
+        k = self._last("counter")
+        return 0 if k < 0 else source.read_counter(self.spark, f"{self.folder}/counter/{k}")
+
+    def _counted(self, more: int) -> None:
+        source.write_counter(self.spark, self.count() + more, f"{self.folder}/counter/{self._last('counter') + 1}")
+
+    def auto(self, choose: Callable[[DataFrame], DataFrame], n: int, seed: int = 0) -> DataFrame:
+        """Draws ``n`` dictionary words, trains on what ``choose`` picks (word, cand_ord) of their scored
+        analyses, and returns one row: words_processed, words_deleted, words_skipped. Words that
+        ``choose`` leaves out or that cannot be trained on are skipped."""
+        drawn = search.cut(self.analyze(search.cut(source.draw_words(self.words(), n, seed))))
+        before, asked = self.words().count(), min(n, self.words().count())
+        outcome = self.train(choose(drawn))
+        trained = outcome.where("status = 'trained'").count()
+        gone = before - self.words().count()
+        return self.spark.createDataFrame([(asked, gone, asked - trained)], "words_processed long, words_deleted long, words_skipped long")
+
     def stats(self) -> DataFrame:
         """One row: words and analyses logged, and the latest, best and recent mean (of 20) loss."""
         gold = self.gold().agg(F.countDistinct("word").alias("n_words"), F.count(F.lit(1)).alias("n_gold"))

@@ -36,3 +36,40 @@ def test_an_empty_folder(spark, tmp_path):
     session = Session(spark, str(tmp_path / "none"))
     assert session.analyze(words(spark, "ev")).collect() == []
     assert session.relearn().first().n_words == 0
+
+
+def test_commands_and_auto_mode(spark, tmp_path, capsys):
+    from kokek.__main__ import HELP, menu, run
+
+    session = Session(spark, str(tmp_path / "state"), words(spark, "ev", "evler", "kitap", "gelmek"))
+    assert run(session, "") == run(session, "train evler") == HELP.splitlines()
+    options = run(session, "OPTIONS evler")
+    assert len(options) > 2 and options[0].startswith("1. 0.0000")
+    assert run(session, "train evler 99") == ["no such choice", "examples so far: 0"]
+    assert run(session, "train evler 2") == ["evler\ttrained", "examples so far: 1"]
+    assert run(session, "eval evler")[0].startswith("evler\tev+")
+    assert run(session, "relearn")[:2] == ["trained: 1", "skipped: 0"]
+    (tmp_path / "in").write_text("Evler xyz")
+    assert run(session, f"sample {tmp_path}/in {tmp_path}/out") == [f"written: {tmp_path}/out"]
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()][-1] == "xyz"
+    assert run(session, "delete kitap nothing") == ["deleted: 1"]
+    menu(session, ["stats", "Quit", "stats"])
+    assert capsys.readouterr().out.count("n_gold: 1") == 1
+    summary = session.auto(lambda found: found.where("root <> word").select("word", "cand_ord"), 5).first().asDict()
+    left = session.words().count()
+    assert summary["words_processed"] == left + summary["words_deleted"] and 0 <= summary["words_skipped"] <= summary["words_processed"]
+
+
+def test_a_form_rule_of_the_user(spark):
+    from kokek.functions.forms import set_rule
+    from kokek.functions.lexicon import Lexicon
+    from kokek.operators import decompose
+
+    rows, lexicon = words(spark, "evzz"), Lexicon(["ev"])
+    assert decompose.decompose(rows, lexicon).count() == 0
+    set_rule("plural_ler", lambda suffix, stem: ["zz"] if stem.harmony.startswith("FRONT") else [])
+    try:
+        assert [r.chain for r in decompose.decompose(rows, lexicon).collect()] == [["plural_ler"]]
+    finally:
+        set_rule("plural_ler", None)
+    assert decompose.decompose(rows, lexicon).count() == 0
