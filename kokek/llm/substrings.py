@@ -1,14 +1,20 @@
 """Removal of word sequences that an earlier document also has.
 
-Suffixes (word positions) are split by word prefixes of variable length into groups that fit one
-task: a one-word prefix where its suffixes are few enough, else two, four or all 13 words. Each
-group is a subtree of the corpus's suffix tree cut at 13 words; an internal node at that depth
-that several documents reach is a repeat, and runs of such positions are the maximal repeats.
+``trees`` is the method in full: suffixes (word positions) are split by word prefixes of variable
+length into groups that fit one task (a one-word prefix where its suffixes are few enough, else
+two, four or all 13 words), each group's suffixes are sorted by their words, and the intervals of
+their longest common prefixes are the internal nodes of a subtree. Nodes of 13 words and more are
+repeats; those with different words before them are maximal ones. It ships every suffix's words,
+many times the text.
+
+``dedup`` asks the same groups only what removal needs, the least document of every node at 13 words.
+There a node is told by a 63-bit hash of its words, which are not compared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,9 +102,101 @@ class _Block:
         self.key_group = self.group[order][first]
 
 
+_SUFFIX = "group long, doc_id long, pos long, before string, words string"
+_NODE = "doc_id long, pos long, least long, depth long, n long, maximal boolean, words string"
+
+
+def subtree(words: list[list[str]], before: list[str | None]) -> list[tuple[int, int, int, bool]]:
+    """(from, to, depth, maximal) of the internal nodes of sorted suffixes: intervals whose neighbours share
+    at least ``depth`` words and some no more; maximal ones do not all have one and the same word before."""
+    shared = [0]
+    for a, b in zip(words, words[1:]):
+        shared.append(next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))))
+    out, open_ = [], [(0, 0)]
+    for i, depth in enumerate([*shared[1:], -1], 1):
+        start = i - 1
+        while open_ and open_[-1][1] > depth:
+            start, own = open_.pop()
+            differ = len({*before[start:i]}) > 1 or before[start] is None
+            out.append((start, i, own, differ))
+        if depth >= 0 and (not open_ or open_[-1][1] < depth):
+            open_.append((start, depth))
+    return [n for n in out if n[1] - n[0] > 1]
+
+
+def trees(docs: DataFrame, width: int = WIDTH, deep: int = 2 * WIDTH, group: int = GROUP // 8) -> DataFrame:
+    """One row for each suffix in a node of ``width`` words or more: doc_id, pos, least (the smallest
+    doc_id of its outermost such node; nodes are read to ``deep`` words); and for each suffix that is
+    first in a maximal repeat: depth, n (its occurrences), maximal and words of that node.
+
+    Rows without id and texts of fewer words have none; ids are taken to be different.
+    """
+    prepare(docs.sparkSession)
+    words = docs.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]++")))).first()[0] or 0
+    bins = 1 << max(4, (2 * words // group).bit_length())
+    heavy = heavy_prefixes(docs, bins, group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 18):
+                w = Words(*flat(part.column("text")))
+                h = w.hashes()
+                g, keep = windows(h, w, WIDTH)
+                own = np.full(len(keep), -1, np.int64)
+                for level in LEVELS:
+                    prefix = _bins(h, w, level, keep, bins)
+                    own = np.where((own < 0) & ~heavy[level][prefix], prefix * 8 + level % 8, own)
+                own = np.where(own < 0, (g & np.uint64(bins - 1)).astype(np.int64) * 8 + 7, own)
+                data = w.raw.tobytes()
+                text = [data[a:b].decode() for a, b in zip(w.start.tolist(), w.end.tolist())]
+                first, row = w.first.tolist(), w.doc[keep].tolist()
+                ids = part.column("doc_id").to_pylist()
+                cols = (
+                    own, [ids[r] for r in row], [k - first[r] for k, r in zip(keep.tolist(), row)], [text[k - 1] if k > first[r] else None for k, r in zip(keep.tolist(), row)],
+                    [" ".join(text[k : min(k + deep, first[r + 1])]) for k, r in zip(keep.tolist(), row)],
+                )
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["group", "doc_id", "pos", "before", "words"])
+
+    def nodes(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip((w.split(" ") for w in table.column("words").to_pylist()), table.column("doc_id").to_pylist(), table.column("pos").to_pylist(), table.column("before").to_pylist()), key=lambda r: r[:3])
+        found = [n for n in subtree([r[0] for r in rows], [r[3] for r in rows]) if n[2] >= width]
+        least: dict[int, int] = {}
+        for a, b, _, _ in sorted(found, key=lambda n: n[0] - n[1]):  # outermost nodes first
+            low = min(r[1] for r in rows[a:b]) if a not in least else None
+            for i in range(a, b):
+                if low is not None:
+                    least.setdefault(i, low)
+        out = [(rows[i][1], rows[i][2], low, None, None, None, None) for i, low in least.items()]
+        out += [(rows[a][1], rows[a][2], None, depth, b - a, True, " ".join(rows[a][0][:depth])) for a, b, depth, maximal in found if maximal]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, kinds)], names=["doc_id", "pos", "least", "depth", "n", "maximal", "words"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, _SUFFIX).groupBy("group").applyInArrow(nodes, _NODE)
+
+
+def dedup_by_trees(docs: DataFrame, group: int = GROUP // 8) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 as of ``dedup``, by ``trees``; ids are taken to be different."""
+    late = trees(docs, deep=WIDTH, group=group).where("least < doc_id").groupBy("doc_id").agg(F.collect_list("pos").alias("late"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, text, at in zip(*(c.to_pylist() for c in batch.columns)):
+                words = [w.decode() for w in re.findall(rb"[^ \t-\r]+", text.encode())]
+                gone = {k + j for k in at or () for j in range(WIDTH)}
+                kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+                out.append((doc_id, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+            cols = list(zip(*out)) or [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(late, "doc_id", "left")
+    return named.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
 def dedup(docs: DataFrame, width: int = WIDTH, group: int = GROUP, block_bytes: int | None = None) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (the remaining text), repeats (maximal runs of
-    removed words as first and end word positions) of every row.
+    """doc_id, n_words, n_removed, kept_sha256, kept (the remaining text), repeats (runs of removed words
+    as first and end word positions; ``trees`` gives maximal repeats) of every row.
 
     A word goes when a window of 13 words over it also starts in a document with a smaller id.
     Null and short texts keep all; rows with one id never remove from each other; a null id counts

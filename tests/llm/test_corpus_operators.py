@@ -148,6 +148,45 @@ def test_substrings_in_many_small_groups(spark, rows):
         assert sum(b - a for a, b in r.repeats) == r.n_removed and len(cases.words(r.kept)) == r.n_words - r.n_removed
 
 
+def test_trees_remove_the_same(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = cases.substring_dedup([(r.doc_id, r.text) for r in docs.collect()])
+    got = substrings.dedup_by_trees(docs, group=2000).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_maximal_repeats_against_all_pairs(spark):
+    """Every repeat of 13 to 26 words that no common word extends on either side."""
+    rng = random.Random(9)
+    word = lambda: rng.choice("abcdefghij")
+    shared = [[word() for _ in range(n)] for n in (14, 17, 22, 13)]
+    texts = []
+    for _ in range(12):
+        w = []
+        for _ in range(3):
+            w += [word() for _ in range(rng.randint(3, 9))] + rng.choice(shared)[: rng.randint(13, 22)]
+        texts.append(w)
+    spots = [(d, i) for d, w in enumerate(texts) for i in range(len(w))]
+    want = Counter()
+    pairs = {}
+    for x, (d, i) in enumerate(spots):
+        for e, j in spots[x + 1 :]:
+            a, b = texts[d], texts[e]
+            if i and j and a[i - 1] == b[j - 1]:
+                continue
+            n = 0
+            while n < 26 and i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if n >= 13:
+                pairs[tuple(a[i : i + n])] = True
+    for gram in pairs:
+        want[" ".join(gram)] = sum(tuple(w[i : i + len(gram)]) == gram for w in texts for i in range(len(w)))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)] + [(99, None), (98, "a b")], "doc_id long, text string")
+    got = {r.words: r.n for r in substrings.trees(docs, group=40).where("maximal").collect()}
+    assert got == want and len(got) > 5
+    assert substrings.trees(docs.limit(0)).collect() == []
+
+
 def test_substrings_odd_rows(odd, none):
     got = substrings.dedup(odd).collect()
     assert len(got) == len(cases.ODD) and {r.n_removed for r in got} == {0}
