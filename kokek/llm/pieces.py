@@ -243,3 +243,26 @@ def encode_units(units: DataFrame, model_path: str) -> DataFrame:
         best -> if(best is null, b, filter(b, x -> x <= best.s or x >= best.e)))[0])"""
     cut = both.withColumn("b", F.expr(fold))
     return cut.select("unit", F.expr("transform(sequence(1, size(b) - 1), i -> substring(unit, b[i - 1] + 1, b[i] - b[i - 1]))").alias("pieces"))
+
+
+def encode_by_lattice(docs: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, n_pieces, ids_sha256 as of ``encode``, by relational operators alone: units are exploded,
+    the distinct ones encoded by ``encode_units``, and joined back to their places. Ids have to differ."""
+    with open(model_path, "rb") as file:
+        table = PieceTable.parse(file.read())
+    own = Encoder(table)
+    spark = docs.sparkSession
+    text = F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK)))
+    placed = docs.where("length(text) > 0").select("doc_id", F.posexplode(F.regexp_extract_all(text, F.lit(f"({MARK}*[^{MARK}]+|{MARK}+)"), F.lit(1))).alias("place", "unit"))
+    known = F.broadcast(spark.createDataFrame([(p, i) for p, (_, i) in own.rank.items()], "piece string, id int"))  # a fixed vocabulary
+    spelled = F.array(*(F.lit(own.byte.get(b, own.unknown)) for b in range(256))) if own.byte else F.array_repeat(F.lit(own.unknown), 256)
+    size = "octet_length(piece)" if own.byte else "1"
+    # A single unit's pieces, each with its id or, outside the vocabulary, with those of its bytes.
+    each = encode_units(placed.select("unit"), model_path).select("unit", F.posexplode("pieces").alias("k", "piece")).join(known, "piece", "left")
+    each = each.withColumn("spelled", spelled).withColumn("ids", F.expr(f"IF(id IS NOT NULL, array(id), transform(sequence(1, {size}), i -> spelled[int(conv(hex(substring(encode(piece, 'utf-8'), i, 1)), 16, 10))]))"))
+    units = each.groupBy("unit").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x.ids)).alias("ids"))
+    found = placed.join(units, "unit").groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("place", "ids"))), lambda x: x.ids)).alias("ids"))
+    hexed = F.transform("ids", lambda x: F.lpad(F.hex(x), 8, "0"))
+    little = F.array_join(F.transform(hexed, lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))), "")
+    every = docs.select("doc_id").join(found, "doc_id", "left").withColumn("ids", F.coalesce("ids", F.expr("CAST(array() AS array<int>)")))
+    return every.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(F.unhex(little), 256).alias("ids_sha256"))

@@ -52,6 +52,13 @@ def test_lattice_equals_the_library(spark, library):
         assert ids == own.merge(r.unit), r.unit
 
 
+def test_documents_by_the_lattice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(25).select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1, None), (-2, ""), (-3, "  日本 😀x  ▁y\n")], "doc_id long, text string"))
+    want = {r.doc_id: (r.n_pieces, r.ids_sha256) for r in pieces.encode(docs, MODEL).collect()}
+    assert {r.doc_id: (r.n_pieces, r.ids_sha256) for r in pieces.encode_by_lattice(docs, MODEL).collect()} == want
+
+
 def test_pieces_odd_rows(odd, none):
     got = pieces.encode(odd, MODEL)
     assert got.count() == len(cases.ODD) and all(r.round_trip for r in got.collect())
