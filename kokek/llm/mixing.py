@@ -118,16 +118,19 @@ def _planned(rows: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
-    """Each row's rank by hash among its source and length. A group is first split into hash
-    ranges whose counts give the offsets, so that no task sorts more than a RANGES-th of it."""
+    """Each row's rank by hash among its source and length, the first rank of its hash, and how many
+    rows share that. A group is first split into hash ranges whose counts give the offsets, so
+    that no task sorts more than a RANGES-th of it."""
     rows = rows.withColumn("part", F.shiftrightunsigned("h", 64 - RANGES.bit_length() + 1))
     keys = ["source", "size"]
     counts = rows.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select(*keys, "part", (F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).alias("offset"))
-    within = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("h", "doc_id")))
+    group = Window.partitionBy(*keys, "part")
+    alike = F.count(F.lit(1)).over(group.orderBy("h").rangeBetween(0, 0))
+    within = rows.withColumns({"rank": F.row_number().over(group.orderBy("h", "doc_id")), "begin": F.rank().over(group.orderBy("h")), "alike": alike})
     a, b = within.alias("a"), offsets.alias("b")
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.part") == F.col("b.part"))
-    return a.join(b, same).select("a.doc_id", "a.source", "a.size", "a.h", (F.col("rank") + F.col("offset")).alias("rank"))
+    return a.join(b, same).select("a.doc_id", "a.source", "a.size", "a.h", (F.col("rank") + F.col("offset")).alias("rank"), (F.col("begin") + F.col("offset")).alias("begin"), "alike")
 
 
 def _decided(docs: DataFrame, seed: int) -> DataFrame:
@@ -135,7 +138,7 @@ def _decided(docs: DataFrame, seed: int) -> DataFrame:
     a, b = _ranked(rows).alias("a"), maybe_broadcast(cut(_planned(rows))).alias("b")  # one row for each length
     same = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
     times = (F.col("passes") + (F.col("rank") <= F.col("take")).cast("long")).alias("times")
-    return a.join(b, same).select("a.doc_id", "a.source", "a.size", "a.h", "source_size", "target", times)
+    return a.join(b, same).select("a.doc_id", "a.source", "a.size", "a.h", "source_size", "target", times, "take", "begin", "alike")
 
 
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -161,26 +164,24 @@ def mixed(docs: DataFrame, seed: int = 7) -> DataFrame:
     prepare(docs.sparkSession)
     # Ranges and ranks go by unsigned hash, so limits compare as unsigned too.
     flip = lambda c: c.bitwiseXOR(F.lit(-(1 << 63)))
-    keys = ["source", "size"]
-    chosen = cut(_decided(docs, seed).select(*keys, flip(F.col("h")).alias("h"), "times"))
-    span = chosen.groupBy(*keys).agg(F.min("times").alias("low"), F.max("times").alias("high"), F.max_by("h", F.struct("times", "h")).alias("limit"))
-    span = maybe_broadcast(cut(span))
-    c, r = chosen.alias("c"), span.alias("r")
-    here = F.col("c.source").eqNullSafe(F.col("r.source")) & (F.col("c.size") == F.col("r.size")) & (F.col("c.h") == F.col("r.limit"))
-    at = c.join(r, here).groupBy("c.source", "c.size").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("times") == F.col("high")).cast("long")).alias("some"))
-    s, t = span.alias("s"), at.alias("t")
-    both = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source")) & (F.col("s.size") == F.col("t.size")))
-    limits = maybe_broadcast(cut(both.select("s.source", "s.size", "low", "high", "limit", "some", (F.col("some") < F.col("n")).alias("tied"))))
+    chosen = _decided(docs, seed).withColumn("h", flip(F.col("h")))
+    last = F.max_by(F.struct(F.col("h").alias("limit"), "take", "begin", "alike"), F.struct("times", "h")).alias("last")
+    span = chosen.groupBy("source", "size").agg(F.min("times").alias("low"), F.max("times").alias("high"), last).select("source", "size", "low", "high", "last.*")
+    # Of the rows of the last hash that is taken more often, ``some`` are; where not all, they are tied.
+    tied = (F.col("low") < F.col("high")) & (F.col("take") < F.col("begin") + F.col("alike") - 1)
+    limits = cut(span.select("source", "size", "low", "high", "limit", (F.col("take") - F.col("begin") + 1).alias("some"), tied.alias("tied")))
+    ties, limits = not limits.where("tied").isEmpty(), maybe_broadcast(limits)
 
     own = docs.select(whole(docs).alias("row"), F.col("source").alias("own"), sizes_of(docs).alias("n"), flip(F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"))).alias("place"))
     met = own.join(limits, F.col("own").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size")))
     split = F.col("tied") & (F.col("place") == F.col("limit"))
     plain = met.where(~split).select("row", F.when(F.col("place") <= F.col("limit"), F.col("high")).otherwise(F.col("low")).alias("copies"))
-    alike = met.where(split).groupBy("source", "size", "place", F.sha2(F.to_json("row"), 256).alias("key")).agg(
-        F.first("row").alias("row"), F.count(F.lit(1)).alias("m"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("some").alias("some")
-    )
-    before = F.sum("m").over(Window.partitionBy("source", "size", "place").orderBy("key")) - F.col("m")
-    more = F.least(F.greatest(F.col("some") - before, F.lit(0)), F.col("m"))
-    shared = alike.select("row", (F.col("low") * F.col("m") + (F.col("high") - F.col("low")) * more).alias("copies"))
-    every = plain.unionByName(shared).where("copies > 0")
-    return every.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("k")).select("row.*")
+    every = plain
+    if ties:
+        equal = met.where(split).groupBy("source", "size", "place", F.sha2(F.to_json("row"), 256).alias("key")).agg(
+            F.first("row").alias("row"), F.count(F.lit(1)).alias("m"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("some").alias("some")
+        )
+        before = F.sum("m").over(Window.partitionBy("source", "size", "place").orderBy("key")) - F.col("m")
+        more = F.least(F.greatest(F.col("some") - before, F.lit(0)), F.col("m"))
+        every = plain.unionByName(equal.select("row", (F.col("low") * F.col("m") + (F.col("high") - F.col("low")) * more).alias("copies")))
+    return every.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("k")).select("row.*")
