@@ -9,11 +9,11 @@ one row for each n-gram, in DataFrame operators alone; it shuffles many times th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kokek.llm import blocks
@@ -120,29 +120,65 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_cou
     return blocks.exchange(dealt, buckets, ask, answer, finish, "doc_id long, n_words long, n_backoff long, log_score double, mean_log_score double")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used in lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _runs(words: Column, order: int) -> Column:
+    """The distinct n-grams of one document: gram (hash), k (words), places (all it ends at)."""
+
+    def of_hashes(h: Column) -> Column:
+        def ending(k: int) -> Column:
+            def at(x: Column, i: Column) -> Column:
+                parts = [F.get(h, i - j) for j in range(k - 1, 0, -1)]
+                return F.struct(F.xxhash64(F.lit(k), *parts, x).alias("gram"), F.lit(k).alias("k"), i.alias("place"))
+
+            return F.filter(F.transform(h, at), lambda g: g.place >= k - 1)
+
+        return F.sort_array(F.concat(*(ending(k) for k in range(1, order + 1))))
+
+    def of_sorted(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i - 1).gram != F.get(s, i).gram))
+
+        def run(starts: Column) -> Column:
+            def one(a: Column, j: Column) -> Column:
+                places = F.transform(F.slice(s, a + 1, F.coalesce(F.get(starts, j + 1), F.size(s)) - a), lambda e: e.place)
+                return F.struct(F.get(s, a).gram.alias("gram"), F.get(s, a).k.alias("k"), places.alias("places"))
+
+            return F.transform(starts, one)
+
+        return _let(first, run)
+
+    return _let(_let(F.transform(words, lambda w: F.xxhash64(w)), of_hashes), of_sorted)
+
+
 def score_rows(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, min_count: int = MIN_COUNT) -> DataFrame:
     """The same rows as ``score`` by relational operators: n-gram count tables partitioned by hash,
-    joined to the exploded n-grams, summed for each document. Rows must differ in ``doc_id``."""
+    joined to the exploded n-grams, summed for each document. Rows must differ in ``doc_id``.
+
+    A document explodes to its distinct n-grams with the places that each ends at, so that it is
+    counted within itself before anything is shuffled. Only n-grams that others have come back to
+    their document, and single words. An n-gram that most documents have is a skewed key of the
+    join, which adaptive execution splits.
+    """
     split = docs.select("doc_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)).alias("w"))
-    grams = split.select("doc_id", F.size("w").alias("n"), F.posexplode("w").alias("place", "word"), "w")
-    each = F.explode(F.expr(f"transform(sequence(1, least(place + 1, {order})), k -> named_struct('k', k, 'gram', xxhash64(k, slice(w, place - k + 2, k))))"))
-    rows = grams.select("doc_id", "n", "place", each.alias("g")).select("doc_id", "n", "place", "g.*")
-    own = rows.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("own"))
-    total = own.groupBy("gram").agg(F.sum("own").alias("total"))
-    met = rows.join(own, ["doc_id", "gram"]).join(total, "gram").withColumn("c", F.col("total") - F.col("own"))
-    at = met.groupBy("doc_id", "n", "place").agg(F.map_from_entries(F.collect_list(F.struct("k", "c"))).alias("c"))
-    before = F.lag("c").over(Window.partitionBy("doc_id").orderBy("place"))
+    rows = split.select("doc_id", F.size("w").alias("n"), F.inline(_runs(F.col("w"), order)))
+    own = F.size("places")
+    total = rows.groupBy("gram").agg(F.sum(own).alias("total"))
     words = split.agg(F.sum(F.size("w")).alias("words"))  # one row
-    placed = at.withColumns({"before": before, "most": F.least(F.col("place") + 1, F.lit(order))}).join(F.broadcast(words), F.lit(True))
+    met = rows.join(total.hint("shuffle_merge"), "gram").withColumn("c", F.col("total") - own).where("c > 0 OR k = 1")
+    placed = met.select("doc_id", "n", "k", "c", "places").repartition("doc_id").select("doc_id", "n", "k", "c", F.explode("places").alias("place"))
+    at = placed.groupBy("doc_id", "n", "place").agg(*(F.coalesce(F.max(F.when(F.col("k") == k, F.col("c"))), F.lit(0)).alias(f"c{k}") for k in range(1, order + 1)))
+    before = Window.partitionBy("doc_id").orderBy("place")
+    near = at.withColumns({f"b{k}": F.lag(f"c{k}").over(before) for k in range(1, order)} | {"most": F.least(F.col("place") + 1, F.lit(order))}).join(F.broadcast(words))
     value, lost = -F.log("words"), F.col("most")
     for k in range(1, order + 1):
-        c = F.coalesce(F.try_element_at("c", F.lit(k)), F.lit(0))
-        context = F.col("words") - F.col("n") if k == 1 else F.try_element_at("before", F.lit(k - 1))
-        hit = c >= (min_count if k > 1 else 1)
-        value, lost = F.when(hit, F.log(c / context)).otherwise(value), F.when(hit, F.col("most") - k).otherwise(lost)
-    one = placed.select("doc_id", value.alias("v"), lost.alias("lost")).select("doc_id", "lost", (F.round((F.col("v") + F.col("lost") * math.log(backoff)) * GRID) / GRID).alias("v"))
-    summed = one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("lost") > 0).alias("back"), F.sum("v").alias("s"))
-    return docs.select("doc_id").join(summed, "doc_id", "left").select(
-        "doc_id", F.coalesce("m", F.lit(0)).alias("n_words"), F.coalesce("back", F.lit(0)).alias("n_backoff"),
-        F.round(F.coalesce("s", F.lit(0.0)), 6).alias("log_score"), F.round(F.col("s") / F.col("m"), 6).alias("mean_log_score"),
-    )
+        context = F.col("words") - F.col("n") if k == 1 else F.col(f"b{k - 1}")
+        hit = F.col(f"c{k}") >= (min_count if k > 1 else 1)
+        value, lost = F.when(hit, F.log(F.col(f"c{k}") / context)).otherwise(value), F.when(hit, F.col("most") - k).otherwise(lost)
+    one = near.select("doc_id", value.alias("v"), lost.alias("lost")).select("doc_id", "lost", (F.round((F.col("v") + F.col("lost") * math.log(backoff)) * GRID) / GRID).alias("v"))
+    summed = one.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(F.col("lost") > 0).alias("n_backoff"), F.sum("v").alias("s"))
+    scored = summed.select("doc_id", "n_words", "n_backoff", F.round("s", 6).alias("log_score"), F.round(F.col("s") / F.col("n_words"), 6).alias("mean_log_score"))
+    none = split.where(F.size("w") == 0).select("doc_id", F.lit(0).cast("long"), F.lit(0).cast("long"), F.lit(0.0), F.lit(None).cast("double"))
+    return scored.union(none)
