@@ -368,7 +368,7 @@ def contract(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select("a", F.col("m").alias("b")).unionByName(small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         links = cut(small.where("a != b").distinct())
-        now = tuple(links.agg(F.count(F.lit(1)), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("a", "b"))).first())
         if now == state:
             return links
         state = now

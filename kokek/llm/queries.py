@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kokek.llm import lm_scores, media, mixing, near_dedup, pieces, pii, quality, secrets, substrings, token_counts
+from kokek.llm import divergence, lm_scores, media, mixing, near_dedup, pieces, pii, quality, secrets, simhash, substrings, token_counts, vector_codes
 from kokek.llm.common import documents
 
 #: Where the public vocabulary files are; see ``vocabulary``.
@@ -62,6 +62,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scans": op1_secret_scans,
     "op2_quality_rules": op2_quality_rules,
@@ -73,8 +85,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_vector_codes": op13_vector_codes,
 }
 
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """The rounds written out: components as rows, distances by joining them to the entries' ones."""
+    text = f"""WITH vec AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+comp AS MATERIALIZED (SELECT r, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS i, x FROM (SELECT r, len(e) AS n, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM vec) y),
+book0 AS (SELECT p, j, i, x AS c FROM comp JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS j FROM vec ORDER BY vec_id LIMIT {entries}) f USING (r))"""
+    for k in range(rounds + 1):
+        text += f""",
+far{k} AS (SELECT r, p, j, sum((x - c) * (x - c)) AS d FROM comp JOIN book{k} USING (p, i) GROUP BY ALL),
+code{k} AS MATERIALIZED (SELECT r, p, arg_min(j, d * {entries} + j) AS j, min(d) AS d FROM far{k} GROUP BY 1, 2)"""
+        if k < rounds:
+            text += f""",
+sum{k} AS (SELECT p, j, i, sum(x) AS s, count(*) AS n FROM comp JOIN code{k} USING (r, p) GROUP BY ALL),
+book{k + 1} AS MATERIALIZED (SELECT p, j, i, CAST(coalesce((s - ((s % n) + n) % n) // n, c) AS BIGINT) AS c FROM book{k} LEFT JOIN sum{k} USING (p, j, i))"""
+    return text + f""",
+named AS (SELECT r, vec_id, label, string_agg(printf('%02x', j), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM code{rounds} JOIN vec USING (r) GROUP BY 1, 2, 3)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY p, j, i)) FROM book{rounds}) AS codebooks_sha256 FROM named"""
+
+
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -127,4 +163,24 @@ kept AS (
   FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.k = word.k GROUP BY 1)
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
 FROM documents d LEFT JOIN kept USING (doc_id)""",
+    "op12_source_divergence": r"""
+WITH doc AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+word AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[a-z\x{80}-\x{10FFFF}]+')) AS term FROM doc),
+kept AS (SELECT lang, term, count(*) AS n FROM word GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+own AS (SELECT lang, source, term, count(*) AS n FROM word SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM doc),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1),
+part AS (SELECT lang, source, sum(n) AS n FROM own GROUP BY 1, 2),
+cell AS (
+  SELECT lang, source, term, coalesce(own.n, 0) AS c, CAST(1 + 1000000000 * CAST(coalesce(own.n, 0) + 5 AS HUGEINT) // (coalesce(part.n, 0) + 5 * size.v) AS BIGINT) AS p,
+    CAST(1 + 1000000000 * CAST(kept.n + 5 AS HUGEINT) // (size.n + 5 * size.v) AS BIGINT) AS q
+  FROM grp JOIN kept USING (lang) JOIN size USING (lang) LEFT JOIN part USING (lang, source) LEFT JOIN own USING (lang, source, term)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f FROM cell x JOIN cell y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) d ON d.lang = a.lang AND s = a.source AND t = b.source),
+more AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM cell WHERE c > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM (SELECT * FROM pair UNION ALL SELECT * FROM more) x)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR k <= 50""",
+    "op13_vector_codes": _codes_sql(),
 }
