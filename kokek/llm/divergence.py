@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from kokek.llm.common import cut, maybe_broadcast, prepare
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 LEAST_DOCS, SMOOTH, UNIT, TOP = 30, 5, 1_000_000_000, 50
 #: Terms that a task counts before it hands its counts on.
-COUNTED = 200_000
+COUNTED = 400_000
 #: Cells (terms times sources) of a chunk.
 CELLS = 1 << 18
 
@@ -44,7 +45,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([lang] * m, pa.string()), pa.array([source] * m, pa.string()), pa.array(terms, pa.binary()),
-                        pa.array(list(n.values()), pa.int64()), pa.array([rows[t] for t in terms], pa.int64()),
+                        pa.array(list(n.values()), pa.int64()), pa.array(list(map(rows.__getitem__, terms)), pa.int64()),
                     ],
                     ["lang", "source", "term", "n", "docs"],
                 )
@@ -52,10 +53,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = Counter(TERM.findall(text.lower()))  # lower() of bytes changes A-Z alone
+                own = TERM.findall(text.lower())  # lower() of bytes changes A-Z alone
                 n, rows = held.setdefault((lang, source), (Counter(), Counter()))
                 n.update(own)
-                rows.update(own.keys())
+                rows.update(set(own))
             if sum(len(n) for n, _ in held.values()) > COUNTED:
                 yield from handed()
         yield from handed()
@@ -68,21 +69,15 @@ def term_counts(docs: DataFrame) -> DataFrame:
 _CHUNK = "lang string, n_terms long, terms binary, ends binary, sources array<string>, counts binary"
 
 
-def encoded(lang: str, terms: list[bytes], sources: list[str], n: np.ndarray, docs: np.ndarray, least: int) -> pa.RecordBatch | None:
-    """A chunk of _CHUNK from rows of one language in the order of terms; None if no term is kept."""
-    every, spot = np.unique(np.array(terms, object), return_inverse=True)
-    kept = every[np.bincount(spot, weights=docs) >= least]
-    if not len(kept):
-        return None
-    groups, group = np.unique(np.array(sources, object), return_inverse=True)
-    ids = np.searchsorted(kept, np.array(terms, object))
-    there = ids < len(kept)
-    there[there] = kept[ids[there]] == np.array(terms, object)[there]
+def encoded(lang: str, rows: pa.Table) -> pa.RecordBatch:
+    """A chunk of _CHUNK from rows (source, term, n) of kept terms of one language."""
+    terms, sources, n = (rows.column(c).combine_chunks() for c in ("term", "source", "n"))
+    words = np.array(terms.to_pylist(), object)
+    kept, (groups, group) = np.unique(words), np.unique(np.array(sources.to_pylist(), object), return_inverse=True)
+    cell = group * len(kept) + np.searchsorted(kept, words)
     cells = np.zeros(len(groups) * len(kept), np.int64)
-    cell = group[there] * len(kept) + ids[there]
     # Counts go in as two halves, as bincount adds floats: sums below 2^53 are exact.
-    high, low = np.divmod(n[there], 1 << 26)
-    for part, unit in ((high, 1 << 26), (low, 1)):
+    for part, unit in zip(np.divmod(np.asarray(n), 1 << 26), (1 << 26, 1)):
         cells += np.bincount(cell, weights=part, minlength=len(cells)).astype(np.int64) * unit
     ends = np.cumsum([len(t) for t in kept], dtype=np.int64)
     return pa.RecordBatch.from_arrays(
@@ -94,31 +89,61 @@ def encoded(lang: str, terms: list[bytes], sources: list[str], n: np.ndarray, do
     )
 
 
+def _changes(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether each value differs from the one before it."""
+    flat = column.combine_chunks()
+    return np.concatenate([[True], np.asarray(pc.not_equal(flat[1:], flat[:-1]))]) if len(flat) else np.zeros(0, bool)
+
+
 def chunks(counts: DataFrame, least: int, widest: int, cells: int = CELLS) -> DataFrame:
     """lang, n_terms, terms (joined) with ends, sources, counts (sources x terms, int64): the kept terms of
     each language in chunks of about ``cells`` cells; ``widest`` is the most sources of a language."""
     most = max(64, cells // max(1, widest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lang, terms, sources, n, docs, different = None, [], [], [], [], 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            chunk = encoded(lang, terms, sources, np.array(n, np.int64), np.array(docs, np.int64), least) if terms else None
-            if chunk is not None:
-                yield chunk
+        open_, lang, kept, n = None, None, [], 0  # rows of a term that may go on; kept rows of a language
+
+        def taken(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Rows of whole terms."""
+            nonlocal lang, kept, n
+            fresh = _changes(rows.column("lang")) | _changes(rows.column("term"))
+            at = np.flatnonzero(fresh)
+            enough = np.add.reduceat(np.asarray(rows.column("docs")), at) >= least
+            number = np.cumsum(fresh) - 1
+            rows, number = rows.filter(pa.array(enough[number])), number[enough[number]]
+            if not rows.num_rows:
+                return
+            begin = np.concatenate([[True], number[1:] != number[:-1]])
+            group, place = np.cumsum(_changes(rows.column("lang"))), np.cumsum(begin) - 1
+            place -= place[np.searchsorted(group, group)]  # among the kept terms of its language here
+            if rows.column("lang")[0].as_py() == lang:
+                place[group == 1] += n
+            elif kept:
+                yield encoded(lang, pa.concat_tables(kept))
+                kept = []
+            spot = group * (1 << 40) + place // most
+            cuts = [0, *(np.flatnonzero(np.diff(spot)) + 1).tolist(), len(spot)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = rows.column("lang")[a].as_py()
+                if kept and (own != lang or place[a] % most == 0):
+                    yield encoded(lang, pa.concat_tables(kept))
+                    kept = []
+                lang, n = own, int(place[b - 1]) + 1
+                kept.append(rows.slice(a, b - a).select(["source", "term", "n"]))
 
         for batch in batches:
-            for own, source, term, k, d in zip(*(c.to_pylist() for c in batch.columns)):
-                fresh = own != lang or not terms or term != terms[-1]
-                if own != lang or fresh and different >= most:
-                    yield from made()
-                    lang, terms, sources, n, docs, different = own, [], [], [], [], 0
-                different += fresh
-                terms.append(term)
-                sources.append(source)
-                n.append(k)
-                docs.append(d)
-        yield from made()
+            rows = pa.Table.from_batches([batch])
+            rows = rows if open_ is None else pa.concat_tables([open_, rows])
+            if not rows.num_rows:
+                continue
+            last = int(np.flatnonzero(_changes(rows.column("lang")) | _changes(rows.column("term")))[-1])
+            open_ = rows.slice(last)
+            if last:
+                yield from taken(rows.slice(0, last))
+        if open_ is not None:
+            yield from taken(open_)
+        if kept:
+            yield encoded(lang, pa.concat_tables(kept))
 
     # Rows of one term of a language are as many as its sources and are in one range.
     ordered = counts.repartitionByRange(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "lang", "term").sortWithinPartitions("lang", "term")
