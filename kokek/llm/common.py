@@ -32,4 +32,4 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def whole(df: DataFrame) -> Column:
     """All columns of a row as one struct, so that helper columns beside it can clash with none."""
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))

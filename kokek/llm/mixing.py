@@ -8,6 +8,8 @@ chosen in the order of a seeded hash. Only lengths, counts and hashes are shuffl
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,8 +19,9 @@ from kokek.llm.common import cut, maybe_broadcast, prepare, whole
 
 WORDS = r"[^\x20\x09-\x0D]++"
 MAX_EPOCHS = 3
-#: Words of the remaining budget that the dynamic programme covers exactly.
-EXACT_BUDGET = 16_384
+#: Words of the remaining budget that the dynamic programme takes at first, and (in units of the lengths'
+#: common divisor) at most: sums that two bit sets of 8 MB can hold. Every budget up to that is fitted exactly.
+WINDOW, WIDEST = 16_384, 1 << 26
 #: Hash ranges into which the documents of one source and length are split.
 RANGES = 4096
 
@@ -43,48 +46,100 @@ def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
     return out
 
 
-def knapsack(budget: int, lengths: list[int], counts: list[int]) -> dict[int, int]:
-    """Copies of each length whose sum is the largest reachable one up to ``budget``: bit b of
-    an integer says that b is reachable; counts are taken in powers of two."""
-    reach, trail, mask = 1, [], (1 << (budget + 1)) - 1
+def _powers(lengths: list[int], counts: list[int], budget: int) -> list[tuple[int, int]]:
+    """(length, copies) items, each to be taken or left: counts are split into powers of two and a rest."""
+    items = []
     for length, n in sorted(zip(lengths, counts)):
         n, step = min(n, budget // length), 1
         while n > 0:
             k = min(step, n)
-            trail.append((length, k, reach))
-            reach |= (reach << (k * length)) & mask
+            items.append((length, k))
             n, step = n - k, step * 2
-            if reach >> budget & 1:
-                break
-        if reach >> budget & 1:
-            break
-    at, taken = reach.bit_length() - 1, {}
-    for length, k, before in reversed(trail):
-        if not before >> at & 1:
-            at -= k * length
-            taken[length] = taken.get(length, 0) + k
+    return items
+
+
+def _reach(items: list[tuple[int, int]], budget: int) -> int:
+    """Bit b says that b is a sum of some items."""
+    reach, mask = 1, (1 << (budget + 1)) - 1
+    for length, k in items:
+        reach |= (reach << (k * length)) & mask
+    return reach
+
+
+def _chosen(items: list[tuple[int, int]], at: int) -> list[tuple[int, int]]:
+    """Items whose sum is ``at``, which some items reach: halves are searched for the two parts of it, so
+    that no more than two reaches of a half are held."""
+    if at == 0 or len(items) == 1:
+        return items if at else []
+    middle = len(items) // 2
+    left, right = items[:middle], items[middle:]
+    both = _reach(left, at) & _turned(_reach(right, at), at + 1)  # bit s: left reaches s, right the rest
+    s = both.bit_length() - 1
+    return _chosen(left, s) + _chosen(right, at - s)
+
+
+def _turned(x: int, bits: int) -> int:
+    """The lowest ``bits`` bits in the opposite order."""
+    size = -(-bits // 8)
+    flat = np.unpackbits(np.frombuffer(x.to_bytes(size, "little"), np.uint8), bitorder="little")[:bits]
+    return int.from_bytes(np.packbits(flat[::-1], bitorder="little").tobytes(), "little")
+
+
+def knapsack(budget: int, lengths: list[int], counts: list[int]) -> dict[int, int]:
+    """Copies of each length whose sum is the largest reachable one up to ``budget``, by bounded-knapsack
+    dynamic programming; lengths are divided by their greatest common divisor first."""
+    if not lengths:
+        return {}
+    unit = math.gcd(*lengths)
+    lengths, budget = [n // unit for n in lengths], budget // unit
+    items, taken = _powers(lengths, counts, budget), {}
+    reach, mask, used = 1, (1 << (budget + 1)) - 1, 0
+    while used < len(items) and not reach >> budget & 1:
+        reach |= (reach << (items[used][0] * items[used][1])) & mask
+        used += 1
+    for length, k in _chosen(items[:used], reach.bit_length() - 1):
+        taken[length * unit] = taken.get(length * unit, 0) + k
     return taken
 
 
-def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
-    """Whole passes, and how many documents of each length a partial pass adds."""
-    total = int(lengths @ counts)
-    if total == 0:
-        return 0, np.zeros(len(lengths), np.int64)
-    passes = min(MAX_EPOCHS, int(target // total))
-    budget = 0 if passes == MAX_EPOCHS else max(0, min(total, round(target - passes * total)))
-    take = np.where(lengths > 0, (counts * (budget / total)).astype(np.int64), 0)
+def _partial(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int) -> np.ndarray:
+    """Documents of each length (all above 0): a proportional share, longest ones until at most ``window``
+    words are left, and dynamic programming for these."""
+    take = (counts * (max(0, budget - window) / max(1, int(lengths @ counts)))).astype(np.int64)
     rest = budget - int(lengths @ take)
     for i in np.argsort(-lengths, kind="stable"):
-        if rest <= EXACT_BUDGET or lengths[i] == 0:
+        if rest <= window:
             break
         length = int(lengths[i])
-        k = min(int(counts[i] - take[i]), rest // length, -((EXACT_BUDGET - rest) // length))
+        k = min(int(counts[i] - take[i]), rest // length, -((window - rest) // length))
         take[i] += k
         rest -= k * length
-    fits = (lengths > 0) & (lengths <= rest) & (counts > take)
+    fits = (lengths <= rest) & (counts > take)
     chosen = knapsack(rest, lengths[fits].tolist(), (counts - take)[fits].tolist())
-    return passes, take + np.array([chosen.get(int(n), 0) for n in lengths], np.int64)
+    return take + np.array([chosen.get(int(n), 0) for n in lengths], np.int64)
+
+
+def plan(lengths: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.ndarray]:
+    """Whole passes, and how many documents of each length a partial pass adds: the largest sum up to the
+    budget. A small window nearly always meets the budget (rounded down to the lengths' common divisor), which
+    no sum can exceed; where it does not, the window is widened, up to the whole budget."""
+    total, out = int(lengths @ counts), np.zeros(len(lengths), np.int64)
+    if total == 0:
+        return 0, out
+    passes = min(MAX_EPOCHS, int(target // total))
+    budget = 0 if passes == MAX_EPOCHS else max(0, min(total, round(target - passes * total)))
+    some = lengths > 0
+    own, n = lengths[some], counts[some]
+    best, window, unit = np.zeros(len(own), np.int64), WINDOW, int(np.gcd.reduce(own))
+    while True:
+        take = _partial(own, n, budget, window)
+        if own @ take > own @ best:
+            best = take
+        if own @ best == budget // unit * unit or window >= min(budget, WIDEST * unit):
+            break
+        window *= 64
+    out[some] = best
+    return passes, out
 
 
 def sizes_of(docs: DataFrame) -> Column:
