@@ -186,7 +186,7 @@ def described(data: bytes | None) -> tuple:
     try:
         pixels = decode(data)
         grey = grey_of(pixels, greatest(data))
-    except (ValueError, IndexError, struct.error, UnicodeDecodeError) as error:
+    except (ValueError, IndexError, OverflowError, struct.error) as error:  # samples beyond 64 bits overflow
         return None, None, None, None, None, str(error)
     return pixels.shape[0], pixels.shape[1], pixels.shape[2] if pixels.ndim == 3 else 1, difference_hash(grey), npy_tile(grey), None
 
