@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kokek.llm.common import cut, maybe_broadcast, prepare
+from kokek.llm.common import BROADCAST_ROWS, cut, maybe_broadcast, prepare
 from kokek.llm.textkit import Words, flat, mix, slices, windows
 
 SHINGLE, PERCENT = 4, 80
@@ -296,12 +296,12 @@ def stars(reps: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> l
     return links
 
 
-def _filter(wanted: DataFrame) -> tuple[int, bytes]:
+def _filter(wanted: DataFrame, seed: int = 0) -> tuple[int, bytes]:
     """A bitmap of the hashes of ids in ``rep``, of bounded size: ids that it lacks are not wanted."""
     n = wanted.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * n).bit_length()))
-    pieces = min(4096, bits >> 13)
-    spot = F.pmod(F.xxhash64("rep"), F.lit(bits)).cast("long")
+    pieces = max(1, min(4096, bits >> 13))
+    spot = _spot(F.col("rep"), bits, seed)
     size = bits // pieces
 
     def piece(key: tuple, rows: pa.Table) -> pa.Table:
@@ -316,6 +316,65 @@ def _filter(wanted: DataFrame) -> tuple[int, bytes]:
     return bits, bytes(held)
 
 
+def _spot(name: Column, bits: int, seed: int) -> Column:
+    place = F.xxhash64(name.cast("long")) if not seed else F.xxhash64(F.lit(seed), name.cast("long"))
+    return F.pmod(place, F.lit(bits)).cast("long")
+
+
+def _set(known: bytes, spot: np.ndarray) -> np.ndarray:
+    """Whether the bit of each spot is set."""
+    return (np.frombuffer(known, np.uint8)[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _told_apart(out: DataFrame, other: DataFrame) -> list[tuple[int, object]] | None:
+    """Bitmaps (bits, broadcast) by which every id of ``out`` is told from every one of ``other`` (column
+    rep of both): ids in the first that are not out are in the second, those among them that are out after
+    all in the third, and so on until none is left. None where the ids are too many for bitmaps of bounded
+    size to tell apart."""
+    held: list[tuple[int, object]] = []
+    wanted, rest, before = cut(out), cut(other), None
+    while True:
+        bits, known = _filter(wanted, len(held) + 1)
+        shared = out.sparkSession.sparkContext.broadcast(known)
+        held.append((bits, shared))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(_set(shared.value, np.asarray(batch.column(1))))).select([0])
+
+        wrong = cut(rest.select("rep", _spot(F.col("rep"), bits, len(held)).alias("spot")).mapInArrow(run, "rep long"))
+        n = wrong.count()
+        if not n:
+            return held
+        if before is not None and n > before // 2:
+            return None
+        wanted, rest, before = wrong, wanted, n
+
+
+def without(docs: DataFrame, out: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``out``; ``other`` has all other ids that there are (column
+    rep). While ids can be told apart by bitmaps of bounded size, rows are judged where they are and no
+    text is shuffled; beyond that they are joined."""
+    held = _told_apart(out, other)
+    if held is None:
+        return docs.join(out.hint("shuffle_merge"), docs["doc_id"] == out["rep"], "left_anti")
+    spots = F.array(*(_spot(F.col("doc_id"), bits, k + 1) for k, (bits, _) in enumerate(held)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Adds whether a row stays: it goes if it is in an odd number of bitmaps before the first that lacks it."""
+        for batch in batches:
+            spot = np.asarray(batch.column(batch.num_columns - 1).flatten()).reshape(-1, len(held))
+            inside, live = np.zeros(len(spot), np.int64), np.asarray(pc.is_valid(batch.column(batch.schema.get_field_index("doc_id"))))
+            for k, (_, shared) in enumerate(held):
+                live = live & _set(shared.value, spot[:, k])
+                inside += live
+            yield batch.filter(pa.array(inside % 2 == 0)).select(list(range(batch.num_columns - 1)))
+
+    own = [f"c{k}" for k in range(len(docs.columns))]  # whatever the columns are called
+    named = docs.toDF(*("doc_id" if c == "doc_id" else o for c, o in zip(docs.columns, own)))
+    return named.withColumn("spots", spots).mapInArrow(run, named.schema).toDF(*docs.columns)
+
+
 def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: int) -> DataFrame:
     """a, b (a > b): links between representatives, contracted to the smallest of each component."""
     found, split = candidates(nodes, limit)
@@ -323,14 +382,12 @@ def _links(docs: DataFrame, nodes: DataFrame, width: int, percent: int, limit: i
     wanted = members.select("rep") if split is None else members.select("rep").unionByName(split.select("rep"))
     bits, held = _filter(cut(wanted.distinct()))
     shared = docs.sparkSession.sparkContext.broadcast(held)
-    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).cast("long").alias("spot"))
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _spot(F.col("doc_id"), bits, 0).alias("spot"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shingle sets of candidates only: texts stay where they are, and only these sets are shuffled."""
-        known = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            spot = np.asarray(batch.column(2))
-            batch = batch.filter(pa.array((known[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool) & np.asarray(pc.is_valid(batch.column(0)))))
+            batch = batch.filter(pa.array(_set(shared.value, np.asarray(batch.column(2))) & np.asarray(pc.is_valid(batch.column(0)))))
             for part in slices(batch, "text") if batch.num_rows else ():
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in shingle_sets(part, width)], pa.binary())], ["rep", "shingles"])
 
@@ -400,5 +457,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, lim
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """The rows of kept documents, with all their columns: texts without words and rows without id
     stay; rows of one id stay or go together; no rows give none."""
-    out = cut(near_duplicates(docs, width, percent).where("not kept").select("doc_id").distinct())
-    return docs.join(maybe_broadcast(out), "doc_id", "left_anti").select(*docs.columns)
+    found = cut(near_duplicates(docs, width, percent).select(F.col("doc_id").alias("rep"), "kept").distinct())
+    out = cut(found.where("not kept").select("rep"))
+    if out.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return docs.join(F.broadcast(out), docs["doc_id"] == out["rep"], "left_anti")
+    return without(docs, out, found.where("kept AND rep IS NOT NULL").select("rep"))
