@@ -89,6 +89,7 @@ def set_rule(suffix: str, rule: Callable[[Suffix, Stem], list[str]] | None) -> N
         _own[suffix] = rule
     _changes[0] += 1
     form_rows.cache_clear()
+    automaton.cache_clear()
     form_lists.cache_clear()
 
 
@@ -235,6 +236,19 @@ def form_rows() -> list[tuple]:
     return out
 
 
+@cache
+def automaton() -> tuple[list[tuple], list[tuple]]:
+    """The forms as a minimised finite-state table: (stem key, part of speech, node) and (node, target,
+    suffix id, name, group, unique, order among arcs, form order, form). Stems of one node have equal
+    forms; what a form leads to follows from the stem it makes."""
+    arcs_of: dict[tuple, list[tuple]] = {}
+    for key, start, *arc in form_rows():
+        arcs_of.setdefault((key, start), []).append(tuple(arc))
+    numbers: dict[tuple, int] = {}
+    nodes = [(key, start, numbers.setdefault(tuple(sorted(own)), len(numbers) + 1)) for (key, start), own in arcs_of.items()]
+    return nodes, [(node, *arc) for own, node in numbers.items() for arc in own]
+
+
 @cache
 def form_lists() -> list[tuple]:
     """(stem key, name, forms): all forms of every suffix after every stem, in order, empty ones too."""

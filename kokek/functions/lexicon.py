@@ -1,9 +1,11 @@
-"""A dictionary as two tables that words are joined to.
+"""A dictionary as tables that words are joined to.
 
 ``flags`` has one row for each text that is a root: whether it may be a noun, a verb, and whether
-its final l is soft. ``surfaces`` lists, for each surface stem that an altered root can show, the
-roots behind it. Both have the size of the dictionary and are computed from it once, so looking a
-word up is an equi-join: broadcast while the table is counted to be small, shuffled beyond that.
+its final l is soft. ``surfaces`` lists, for each surface stem that is no root but that an altered root
+can show, the roots behind it. Both have the size of the dictionary and are computed from it once, so
+looking a word up is an equi-join: broadcast while the table is counted to be small, shuffled beyond
+that. ``profile`` has the lengths of roots and of surfaces by their first two letters: of a word, only
+prefixes that some entry could be are made, so that a long word costs no more than its letters.
 """
 
 from __future__ import annotations
@@ -49,7 +51,28 @@ def _surface_table(flags: DataFrame) -> DataFrame:
     surfaces = voiced.unionByName(dropped).unionByName(shorter).where("surface <> ''").distinct()
     made = ", ".join(f"CASE WHEN {ok} THEN named_struct('cand_ord', {k}, 'lemma', {lemma}) END" for k, (ok, lemma) in enumerate(ph.root_candidates("surface")))
     led = surfaces.selectExpr("surface", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS c").select("surface", "c.*")
-    return led.join(flags.where("noun OR verb").select(F.col("word").alias("lemma"), "noun", "verb"), "lemma").select("surface", "cand_ord", "lemma", "noun", "verb")
+    known = flags.where("noun OR verb")
+    led = led.join(known.select(F.col("word").alias("surface")), "surface", "left_anti")
+    return led.join(known.select(F.col("word").alias("lemma"), "noun", "verb"), "lemma").select("surface", "cand_ord", "lemma", "noun", "verb")
+
+
+def _profile_table(flags: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """kind (root or surface), head (the first two letters, or the only one), lengths."""
+    texts = flags.where("(noun OR verb) AND word <> ''").selectExpr("'root' AS kind", "word AS text")
+    texts = texts.unionByName(surfaces.selectExpr("'surface' AS kind", "surface AS text"))
+    return texts.groupBy("kind", F.substring("text", 1, 2).alias("head")).agg(F.array_sort(F.collect_set(F.length("text"))).alias("lengths"))
+
+
+def _free(rows: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``rows`` does not have."""
+    taken = {c.lower() for c in rows.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 class Lexicon:
@@ -68,8 +91,10 @@ class Lexicon:
         if key not in self._held:
             if name == "flags":
                 made = _flag_table(self._words if frame else spark.createDataFrame([(w,) for w in self._words], "word string"))
-            else:
+            elif name == "surfaces":
                 made = _surface_table(self._table("flags")[0])
+            else:
+                made = _profile_table(self._table("flags")[0], self._table("surfaces")[0])
             made = cut(made)
             self._held[key] = made, made.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
         return self._held[key]
@@ -92,14 +117,23 @@ class Lexicon:
 
     def altered(self, rows: DataFrame, column: str) -> DataFrame:
         """The rows whose text in ``column`` is no root but shows altered ones, with cand_ord, lemma, noun and verb."""
-        none = rows.join(self._side("flags").where("noun OR verb").select(F.col("word").alias(column)), column, "left_anti")
-        return none.join(self._side("surfaces").withColumnRenamed("surface", column), column)
+        return rows.join(self._side("surfaces").withColumnRenamed("surface", column), column)
+
+    def prefixes(self, rows: DataFrame, column: str, kind: str, name: str) -> DataFrame:
+        """``rows`` with split and ``name``, the first split letters of the text in ``column``, for every
+        length that an entry of this kind (root or surface) with the same first letters has."""
+        head, lengths = _free(rows, "head", "lengths")
+        side = self._side("profile").where(F.col("kind") == kind).select(F.col("head").alias(head), F.col("lengths").alias(lengths))
+        heads = rows.withColumn(head, F.explode(F.expr(f"array_distinct(array(substr({column}, 1, 1), substr({column}, 1, 2)))")))
+        cuts = heads.join(side, head).select(*rows.columns, F.explode(F.expr(f"filter({lengths}, n -> n <= length({column}))")).alias("split"))
+        return cuts.withColumn(name, F.expr(f"substr({column}, 1, split)"))
 
     def keyed(self, rows: DataFrame, column: str, name: str = "fkey") -> DataFrame:
         """``rows`` with the form key of the stem in ``column``: its last letters and dictionary flags."""
         side = self._side("flags")
-        first = side.select(F.col("word").alias(column), F.col("soft").alias("__soft"), F.col("verb").alias("__verb"))
-        second = side.where("verb").select(F.col("word").alias("__less"), F.lit(True).alias("__verb2"))
-        met = rows.withColumn("__less", F.expr(f"substr({column}, 1, greatest(length({column}) - 2, 0))")).join(first, column, "left").join(second, "__less", "left")
-        key = stem_key(column, "coalesce(__soft, false)", "coalesce(__verb, false)", "coalesce(__verb2, false)")
-        return met.withColumn(name, F.expr(key)).drop("__less", "__soft", "__verb", "__verb2")
+        less, soft, verb, verb2 = _free(rows, "less", "soft", "verb", "verb2")
+        first = side.select(F.col("word").alias(column), F.col("soft").alias(soft), F.col("verb").alias(verb))
+        second = side.where("verb").select(F.col("word").alias(less), F.lit(True).alias(verb2))
+        met = rows.withColumn(less, F.expr(f"substr({column}, 1, greatest(length({column}) - 2, 0))")).join(first, column, "left").join(second, less, "left")
+        key = stem_key(column, f"coalesce({soft}, false)", f"coalesce({verb}, false)", f"coalesce({verb2}, false)")
+        return met.withColumn(name, F.expr(key)).drop(less, soft, verb, verb2)

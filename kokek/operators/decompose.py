@@ -1,9 +1,11 @@
 """All root-and-suffix analyses of words.
 
-The search runs level by level: a state is a stem, the text after it and the chain so far. One
-level joins states to the form table on (features of the stem, part of speech, next letter),
-keeps forms the remaining text starts with, and drops states another path has reached already.
-States stay where their word is, so that a level groups them without a shuffle.
+The search runs level by level: a state is a stem, the text after it and the chain so far. The forms
+are one minimised finite-state table: a stem's features and part of speech name its node, and one
+level joins states to the arcs on (node, next letter), keeps arcs whose form the remaining text starts
+with, and drops states another path has reached already. Complete states stay where they are through an
+arc of no letters, so that a few levels run between two checkpoints: words are dealt once for each of them,
+and levels group the states of a word without another shuffle.
 """
 
 from __future__ import annotations
@@ -13,23 +15,28 @@ from pyspark.sql import functions as F
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import form_rows, version
+from kokek.functions.forms import automaton, version
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
 
 NARROWED = "(iyor|ıyor|uyor|üyor)"
-_FORM = "fkey string, start string, target string, suffix_id int, suffix string, grp int, only_once boolean, arc int, form_ord int, form string"
-_tables: dict[str, DataFrame] = {}
+#: Levels before the first checkpoint, which most words end in, and between later ones.
+LEVELS, MORE = 2, 4
+_ARC = "node int, target string, suffix_id int, suffix string, grp int, only_once boolean, arc int, form_ord int, form string"
+_tables: dict[str, tuple[DataFrame, DataFrame]] = {}
 
 
-def form_table(spark: SparkSession) -> DataFrame:
-    """The forms of all suffixes (a table of fixed size), with ``head``, the letter the remaining
-    text must begin with: the form's own or, for a lone narrowed vowel, that of what follows it."""
+def form_tables(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """fkey, at, node; and the arcs of each node with ``head``, the letter the remaining text must begin
+    with: the form's own or, for a lone narrowed vowel, that of what follows it. Node 0 is a complete
+    state's, its one arc has no form. Both tables are of fixed size."""
     key = f"{spark.sparkContext.applicationId}:{version()}"
     if key not in _tables:
-        rows = spark.createDataFrame(form_rows(), _FORM)
+        nodes, arcs = automaton()
+        rows = spark.createDataFrame(arcs, _ARC)
         heads = "explode(IF(form IN ('a', 'e'), array(form, 'ı', 'i', 'u', 'ü'), array(substr(form, 1, 1)))) AS head"
-        _tables[key] = cut(rows.selectExpr("*", heads))
+        stay = spark.createDataFrame([(0, None, None, None, None, None, None, None, None, "")], f"{_ARC}, head string")
+        _tables[key] = cut(spark.createDataFrame(nodes, "fkey string, at string, node int").coalesce(1)), cut(rows.selectExpr("*", heads).unionByName(stay).coalesce(1))
     return _tables[key]
 
 
@@ -44,14 +51,16 @@ _KINDS = "filter(array(if(noun, 'noun', null), if(verb, 'verb', null)), x -> x i
 
 def root_lookup(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Prefixes that are dictionary roots, once for each part of speech."""
-    return lexicon.roots(prefix_splits(words), "root").select("word", "split", "root", "rest", F.explode(F.expr(_KINDS)).alias("pos"))
+    found = lexicon.roots(lexicon.prefixes(words.select("word"), "word", "root", "root"), "root")
+    return found.select("word", "split", "root", F.expr("substr(word, split + 1)").alias("rest"), F.explode(F.expr(_KINDS)).alias("pos"))
 
 
 def altered_roots(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Lemmas behind prefixes that are no roots themselves: word, split, surface, cand_ord, lemma,
     pos, virtual_word. A lemma reached twice is listed twice."""
-    found = lexicon.altered(prefix_splits(words).withColumnRenamed("root", "surface"), "surface")
-    return found.select("word", "split", "surface", "cand_ord", "lemma", F.explode(F.expr(_KINDS)).alias("pos"), F.concat("lemma", "rest").alias("virtual_word"))
+    found = lexicon.altered(lexicon.prefixes(words.select("word"), "word", "surface", "surface"), "surface")
+    whole = F.expr("concat(lemma, substr(word, split + 1))").alias("virtual_word")
+    return found.select("word", "split", "surface", "cand_ord", "lemma", F.explode(F.expr(_KINDS)).alias("pos"), whole)
 
 
 def intensified(words: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -61,10 +70,9 @@ def intensified(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     rows = rows.where("v >= 0 AND v + 1 < length(word) AND substr(word, v + 2, 1) IN ('p', 's', 'r', 'm')")
     extended = "IF(substr(word, v + 3, 1) IN ('a', 'e') AND v + 3 < length(word), array(v + 2, v + 3), array(v + 2))"
     tails = rows.select("word", "v", F.expr(f"explode({extended})").alias("p")).selectExpr("word", "v", "p", "substr(word, p + 1) AS tail")
-    tails = tails.where("length(tail) > 1 AND startswith(tail, substr(word, 1, v + 1))")
-    roots = tails.select("word", "p", F.expr("explode(transform(sequence(2, length(tail)), k -> substr(tail, 1, k)))").alias("root"))
-    roots = lexicon.roots(roots, "root").where("noun")
-    return roots.groupBy("word").agg(F.max_by(F.struct("p", "root"), F.struct(-F.col("p"), F.length("root"))).alias("best")).selectExpr("word", "substr(word, 1, best.p) AS prefix", "best.root AS root")
+    tails = tails.where("length(tail) > 1 AND startswith(tail, substr(word, 1, v + 1))").select("word", "p", "tail")
+    roots = lexicon.roots(lexicon.prefixes(tails, "tail", "root", "root").where("split > 1"), "root").where("noun")
+    return roots.groupBy("word").agg(F.max_by(F.struct("p", "root"), F.struct(-F.col("p"), "split")).alias("best")).selectExpr("word", "substr(word, 1, best.p) AS prefix", "best.root AS root")
 
 
 def starts(words: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -82,40 +90,50 @@ def _allowed() -> str:
     return f"(last_group IS NULL OR last_group * 100 + grp IN ({', '.join(map(str, pairs))}))"
 
 
+def _stepped(states: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Open states with one suffix more, by every path, and complete ones as they are."""
+    nodes, arcs = (F.broadcast(t) for t in form_tables(states.sparkSession))
+    names = states.columns
+    keyed = lexicon.keyed(states, "stem").join(nodes, ["fkey", "at"], "left")
+    open_ = keyed.select(*names, F.expr("IF(rest = '', 0, node)").alias("node"), F.substring("rest", 1, 1).alias("head"))
+    whole = "startswith(rest, form)"
+    narrow = f"right(form, 1) IN ('a', 'e') AND startswith(rest, substr(form, 1, length(form) - 1)) AND substr(rest, length(form), 4) RLIKE '^{NARROWED}$'"
+    fits = f"{_allowed()} AND NOT (only_once AND array_contains(chain, suffix)) AND length(form) <= length(rest) AND ({whole} OR ({narrow}))"
+    met = open_.join(arcs, ["node", "head"]).where(f"form IS NULL OR ({fits})")
+    new = {
+        "rest": f"IF({whole}, substr(rest, length(form) + 1), substr(rest, length(form)))", "at": "target", "stem": "concat(stem, form)", "last_group": "grp",
+        "path": "concat(path, array(arc, form_ord))", "chain": "concat(chain, array(suffix))", "makes": "concat(makes, array(target))", "forms": "concat(forms, array(form))",
+    }
+    return met.selectExpr(*(f"IF(form IS NULL, {n}, {new[n]}) AS {n}" if n in new else n for n in names))
+
+
+def _once(step: DataFrame) -> DataFrame:
+    """The first path (in search order) to a stem length, part of speech and chain stands for all."""
+    same = step.groupBy("word", "start", "at", F.length("stem").alias("n"), "chain").agg(F.min_by(F.struct(*step.columns), "path").alias("s"))
+    return same.select("s.*")
+
+
 def suffix_chains(begun: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Complete chains of the searches in ``begun`` (columns as of ``starts``): word, start, root, pos,
     intensified, path, chain, makes, final_pos, forms."""
-    table = F.broadcast(form_table(begun.sparkSession))
-    nothing = "array()"
-    states = begun.selectExpr("*", "pos AS at", "root AS stem", "CAST(NULL AS int) AS last_group", f"CAST({nothing} AS array<int>) AS path", f"CAST({nothing} AS array<string>) AS chain", f"CAST({nothing} AS array<string>) AS makes", f"CAST({nothing} AS array<string>) AS forms")
-    names = states.columns
-    states = cut(states.repartition("word"))
-    # A form takes a letter at least, but for a lone narrowed vowel, whose next form takes four.
-    most = 2 * (states.agg(F.max(F.length("rest"))).first()[0] or 0) + 2
-    done = []
-    for level in range(most + 1):
-        done.append(states.where("rest = ''").drop("rest", "stem", "last_group"))
-        open_ = lexicon.keyed(states.where("rest <> ''"), "stem").withColumn("head", F.substring("rest", 1, 1))
-        met = open_.alias("o").join(table.alias("t"), (F.col("o.fkey") == F.col("t.fkey")) & (F.col("o.at") == F.col("t.start")) & (F.col("o.head") == F.col("t.head")))
-        met = met.where(f"{_allowed()} AND NOT (only_once AND array_contains(chain, suffix)) AND length(form) <= length(rest)")
-        whole = "startswith(rest, form)"
-        narrow = f"right(form, 1) IN ('a', 'e') AND startswith(rest, substr(form, 1, length(form) - 1)) AND substr(rest, length(form), 4) RLIKE '^{NARROWED}$'"
-        step = met.where(f"{whole} OR ({narrow})").selectExpr(
-            "word", "o.start AS start", "o.pos AS pos", "root", f"IF({whole}, substr(rest, length(form) + 1), substr(rest, length(form))) AS rest", "intensified",
-            "target AS at", "concat(stem, form) AS stem", "grp AS last_group", "concat(path, array(arc, form_ord)) AS path", "concat(chain, array(suffix)) AS chain",
-            "concat(makes, array(target)) AS makes", "concat(forms, array(form)) AS forms",
-        )
-        # The first path (in search order) to a stem length, part of speech and chain stands for all.
-        same = step.groupBy("word", "start", "at", F.length("stem").alias("n"), "chain").agg(F.min_by(F.struct(*names), "path").alias("s"))
-        states = cut(same.select("s.*"))
-        if states.isEmpty():
+    none = lambda kind: f"CAST(array() AS array<{kind}>)"
+    states = begun.selectExpr("*", "pos AS at", "root AS stem", "CAST(NULL AS int) AS last_group", f"{none('int')} AS path", f"{none('string')} AS chain", f"{none('string')} AS makes", f"{none('string')} AS forms")
+    # Most searches end at their first letter after the root, so that is looked at before words are dealt.
+    states = _once(_stepped(states, lexicon).repartition("word"))
+    levels, most = 1, None
+    while True:
+        states = states if levels == 1 else states.repartition("word")  # a checkpoint does not know how it is dealt
+        for _ in range(LEVELS - 1 if levels == 1 else MORE):
+            states, levels = _once(_stepped(states, lexicon)), levels + 1
+        states = cut(states)
+        left = states.where("rest <> ''").agg(F.max(F.length("rest"))).first()[0]
+        if left is None:
             break
-        if level == most:
+        # A form takes a letter at least, but for a lone narrowed vowel, whose next form takes four.
+        most = levels + 2 * left + 2 if most is None else most
+        if levels > most:
             raise RuntimeError("states remain beyond the longest possible chain")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.selectExpr("word", "start", "root", "pos", "intensified", "path", "chain", "makes", "at AS final_pos", "forms")
+    return states.selectExpr("word", "start", "root", "pos", "intensified", "path", "chain", "makes", "at AS final_pos", "forms")
 
 
 def decompose(words: DataFrame, lexicon: Lexicon) -> DataFrame:

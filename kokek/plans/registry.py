@@ -9,7 +9,6 @@ documents have, so that both grow out of the table. The DuckDB statements are wr
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,20 +70,26 @@ def words_of(spark: SparkSession, held: DataFrame) -> DataFrame:
     return held.select(F.col("token").alias("word")).union(listed(spark, WORDS)).distinct()
 
 
-def table_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of(spark, tokens(spark, sf_dir))
+def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n (documents that have it), asked (a token or one of WORDS), known (one of LISTED). The documents
+    are read once for both the words and the dictionary of a query."""
+    each = docs(spark, sf_dir).select(F.explode(F.array_distinct(source.tokens_of(F.col("text")))).alias("word"), F.lit(1).alias("n"), F.lit(True).alias("asked"), F.lit(False).alias("known"))
+    own = spark.createDataFrame([(w, 0, w in WORDS, w in LISTED) for w in sorted({*WORDS, *LISTED})], "word string, n int, asked boolean, known boolean")
+    return cut(each.unionByName(own).groupBy("word").agg(F.sum("n").alias("n"), F.bool_or("asked").alias("asked"), F.bool_or("known").alias("known")))
 
 
-def dictionary_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words_in(held: DataFrame) -> DataFrame:
+    return held.where("asked").select("word")
+
+
+def dictionary_in(spark: SparkSession, sf_dir: str, held: DataFrame) -> DataFrame:
     """LISTED and the tokens of three letters or more that a twentieth of the documents have."""
-    held = tokens(spark, sf_dir).where("length(token) > 2").distinct().select("doc_id", "token").distinct()
-    least = docs(spark, sf_dir).agg((F.count(F.lit(1)) / 20).alias("least"))  # one row
-    often = held.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(least), F.col("n") >= F.col("least"))
-    return often.select(F.col("token").alias("word")).union(listed(spark, LISTED)).distinct()
+    return held.where((F.col("n") * 20 >= docs(spark, sf_dir).count()) & (F.length("word") > 2) | F.col("known")).select("word")
 
 
-def dictionary(spark: SparkSession, sf_dir: str) -> Lexicon:
-    return Lexicon(dictionary_words(spark, sf_dir))
+def words_and_dictionary(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Lexicon]:
+    held = vocabulary(spark, sf_dir)
+    return words_in(held), Lexicon(dictionary_in(spark, sf_dir, held))
 
 
 def shared(name: str, statement: str, oracle: str | None = None) -> None:
@@ -104,7 +109,8 @@ def phonology(name: str, columns: dict[str, tuple[str, str]]) -> None:
     """Expressions on every word: (the engine's, over word and its flag soft; DuckDB's)."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        marked = dictionary(spark, sf_dir).marked(table_words(spark, sf_dir), "word", "soft")
+        words, lexicon = words_and_dictionary(spark, sf_dir)
+        marked = lexicon.marked(words, "word", "soft")
         return marked.selectExpr("word", *(f"{own} AS {c}" for c, (own, _) in columns.items()))
 
     QUERIES[name] = run
@@ -121,7 +127,14 @@ phonology("apply_minor", {f"b{k}": (ph.apply_minor("word", repr(b), "soft"), o.a
 phonology("harden", {f"b{k}": (ph.harden("word", repr(b)), o.harden("word", repr(b)) if b else "''") for k, b in enumerate(("de", "ci", "gi", "ğe", "ler", ""))})
 phonology("soften", {"soft_form": (ph.soften("word"), o.soften("word")), "hard_form": (ph.unsoften("word"), o.unsoften("word"))})
 phonology("infinitive", {"infinitive": (ph.infinitive("word", "soft"), o.infinitive("word"))})
-QUERIES["stem_features"] = lambda spark, sf_dir: dictionary(spark, sf_dir).keyed(table_words(spark, sf_dir), "word").select("word", "fkey")
+
+
+def on_words(name: str, plan: Callable[[DataFrame, Lexicon], DataFrame]) -> None:
+    """``plan`` over the words and the dictionary of a table."""
+    QUERIES[name] = lambda spark, sf_dir: plan(*words_and_dictionary(spark, sf_dir))
+
+
+on_words("stem_features", lambda words, lexicon: lexicon.keyed(words, "word").select("word", "fkey"))
 ORACLE_SQL["stem_features"] = f"WITH {_COMMON} SELECT word, {o.stem_key('word')} AS fkey FROM words"
 
 shared("tokenize", "SELECT doc_id, CAST(pos AS INTEGER) AS pos, token FROM @tokens")
@@ -139,18 +152,15 @@ def lexicon_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["lexicon_scan"] = lexicon_scan
 ORACLE_SQL["lexicon_scan"] = f"WITH {_TOKENS} SELECT DISTINCT token AS word FROM tokens"
-QUERIES["lexicon_delete"] = lambda spark, sf_dir: source.delete_words(table_words(spark, sf_dir), tokens(spark, sf_dir).where("length(token) > 6").select(F.col("token").alias("word")))
+QUERIES["lexicon_delete"] = lambda spark, sf_dir: source.delete_words(words_of(spark, tokens(spark, sf_dir)), tokens(spark, sf_dir).where("length(token) > 6").select(F.col("token").alias("word")))
 ORACLE_SQL["lexicon_delete"] = f"WITH {_COMMON} SELECT word FROM words EXCEPT SELECT token FROM tokens WHERE length(token) > 6"
 
 
-def looked_up(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dictionary(spark, sf_dir).marked(table_words(spark, sf_dir), "word", kind).where(kind).select("word")
-
-
-QUERIES["noun_lookup"], QUERIES["verb_lookup"] = partial(looked_up, "noun"), partial(looked_up, "verb")
+for _kind in ("noun", "verb"):
+    on_words(f"{_kind}_lookup", lambda words, lexicon, kind=_kind: lexicon.marked(words, "word", kind).where(kind).select("word"))
 ORACLE_SQL["noun_lookup"] = f"WITH {_COMMON} SELECT word FROM words WHERE {o.noun('word')}"
 ORACLE_SQL["verb_lookup"] = f"WITH {_COMMON} SELECT word FROM words WHERE {o.verb('word')}"
-QUERIES["root_candidates"] = lambda spark, sf_dir: dictionary(spark, sf_dir).altered(table_words(spark, sf_dir), "word").select("word", "cand_ord", "lemma")
+on_words("root_candidates", lambda words, lexicon: lexicon.altered(words, "word").select("word", "cand_ord", "lemma"))
 ORACLE_SQL["root_candidates"] = f"WITH {_COMMON} " + " UNION ALL ".join(f"SELECT word, {k} AS cand_ord, {lemma} AS lemma FROM words WHERE NOT {o.noun('word')} AND NOT {o.verb('word')} AND {ok}" for k, (ok, lemma) in enumerate(o.root_candidates("word")))
 
 _SCORED = "SELECT CAST(doc_id AS VARCHAR(30)) AS word, pos AS cand_ord, ((length(token) * 31 + pos * 17) % 101) / CAST(10 AS DOUBLE) AS score, CASE WHEN pos = doc_id % 7 THEN 1 ELSE 0 END AS label FROM tokens"
@@ -225,9 +235,9 @@ SELECT line, array_to_string(list_transform(list_filter(n, lambda x, i: list_pos
 QUERIES["prefix_splits"] = lambda spark, sf_dir: search.prefix_splits(tokens(spark, sf_dir).select(F.col("token").alias("word")).distinct())
 _CUTS = "cuts AS (SELECT word, CAST(split AS INTEGER) AS split, substr(word, 1, split) AS root, substr(word, split + 1) AS rest FROM (SELECT word, unnest(generate_series(1, length(word))) AS split FROM words) x)"
 ORACLE_SQL["prefix_splits"] = f"WITH {_TOKENS}, words AS (SELECT DISTINCT token AS word FROM tokens), {_CUTS} SELECT * FROM cuts"
-QUERIES["root_lookup"] = lambda spark, sf_dir: search.root_lookup(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+on_words("root_lookup", search.root_lookup)
 ORACLE_SQL["root_lookup"] = f"WITH {_COMMON}, {_CUTS} SELECT *, 'noun' AS pos FROM cuts WHERE {o.noun('root')} UNION ALL SELECT *, 'verb' AS pos FROM cuts WHERE {o.verb('root')}"
-QUERIES["altered_roots"] = lambda spark, sf_dir: search.altered_roots(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+on_words("altered_roots", search.altered_roots)
 _ALTERED = " UNION ALL ".join(f"SELECT word, split, root AS surface, rest, {k} AS cand_ord, {lemma} AS lemma FROM cuts WHERE NOT {o.noun('root')} AND NOT {o.verb('root')} AND {ok}" for k, (ok, lemma) in enumerate(o.root_candidates("root")))
 ORACLE_SQL["altered_roots"] = f"WITH {_COMMON}, {_CUTS}, c AS ({_ALTERED}) " + " UNION ALL ".join(f"SELECT word, split, surface, cand_ord, lemma, '{p}' AS pos, concat(lemma, rest) AS virtual_word FROM c WHERE {f('lemma')}" for p, f in (("noun", o.noun), ("verb", o.verb)))
 
@@ -242,7 +252,7 @@ def _joined(*names: str) -> str:
 
 def searched(name: str, plan: Callable[[DataFrame, Lexicon], DataFrame], ask: str) -> None:
     """``plan`` over the words and the dictionary of a table; ``ask`` of ``searching.search_sql``."""
-    QUERIES[name] = lambda spark, sf_dir: plan(table_words(spark, sf_dir), dictionary(spark, sf_dir))
+    on_words(name, plan)
     ORACLE_SQL[name] = searching.search_sql(_COMMON, ask)
 
 
@@ -283,9 +293,10 @@ searched("ambiguity", ambiguity, "SELECT CASE WHEN n IS NULL THEN 'none' WHEN n
 
 def prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dictionary after each word's first analysis is confirmed: derived words and their infinitives go."""
-    held = cut(dictionary_words(spark, sf_dir))
+    read = vocabulary(spark, sf_dir)
+    held = cut(dictionary_in(spark, sf_dir, read))
     lexicon = Lexicon(held)
-    derived = search.decompose(table_words(spark, sf_dir), lexicon).where("cand_ord = 0 AND root <> word").select("word")
+    derived = search.decompose(words_in(read), lexicon).where("cand_ord = 0 AND root <> word").select("word")
     return source.delete_words(held, pruned(held, derived, lexicon))
 
 
@@ -320,22 +331,23 @@ on_analyses(
     "SELECT word, root, final_pos, unnest([array_to_string(chain, '+'), '']) AS names FROM analyses",
 )
 
-QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), dictionary(spark, sf_dir))
+QUERIES["annotate_text"] = lambda spark, sf_dir: render.annotate(docs(spark, sf_dir), words_and_dictionary(spark, sf_dir)[1])
 ORACLE_SQL["annotate_text"] = searching.search_sql(
     _COMMON,
     """SELECT d.doc_id, coalesce(value, '') AS value FROM documents d LEFT JOIN (
       SELECT doc_id, string_agg(coalesce(analysis, token), chr(10) ORDER BY pos) AS value
       FROM tokens t LEFT JOIN (SELECT word, array_to_string(list_concat([root], chain), '+') AS analysis FROM analyses WHERE cand_ord = 0) a ON a.word = token GROUP BY doc_id) v USING (doc_id)""",
 )
-QUERIES["sample_word"] = lambda spark, sf_dir: source.draw_words(table_words(spark, sf_dir), 5, seed=7)
+QUERIES["sample_word"] = lambda spark, sf_dir: source.draw_words(words_of(spark, tokens(spark, sf_dir)), 5, seed=7)
 ORACLE_SQL["sample_word"] = f"WITH {_COMMON} SELECT word FROM words ORDER BY md5(concat('7:', word)), word LIMIT 5"
 
 
 def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All forms of every suffix after the first word of each kind of stem, among the table's words and STEMS."""
     verbs = listed(spark, [w + ending for w in STEMS[::2] for ending in ("mak", "mek")])
-    lexicon = Lexicon(dictionary_words(spark, sf_dir).union(verbs))
-    keyed = lexicon.keyed(table_words(spark, sf_dir).union(listed(spark, STEMS)), "word")
+    read = vocabulary(spark, sf_dir)
+    lexicon = Lexicon(dictionary_in(spark, sf_dir, read).union(verbs))
+    keyed = lexicon.keyed(words_in(read).union(listed(spark, STEMS)), "word")
     stems = keyed.groupBy("fkey").agg(F.min("word").alias("stem"))
     return stems.join(F.broadcast(render.list_table(spark)), "fkey").select("stem", "suffix", F.posexplode("opts").alias("form_ord", "form"))
 
@@ -351,7 +363,7 @@ SELECT w AS stem, suffix, CAST(unnest(generate_series(0, len(l) - 1)) AS INTEGER
 
 
 def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = cut(search.decompose(table_words(spark, sf_dir), dictionary(spark, sf_dir)))
+    found = cut(search.decompose(*words_and_dictionary(spark, sf_dir)))
     labels = gold_match(found, confirmed(found)).where("gold_ord = 0").select("word", "cand_ord")
     return found, rank.fit(found, labels)
 
@@ -376,7 +388,7 @@ on_analyses(
 
 def neural_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of the neural ranker after a pass over the confirmed analyses."""
-    found = cut(search.decompose(table_words(spark, sf_dir), dictionary(spark, sf_dir)))
+    found = cut(search.decompose(*words_and_dictionary(spark, sf_dir)))
     labels = gold_match(found, confirmed(found)).where("gold_ord = 0").select("word", "cand_ord")
     return neural.score(found, neural.fit(found, labels, limit=64)[0])
 
