@@ -6,6 +6,7 @@ tabulated once: the search then joins stems to forms by an equality on the stem'
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -77,6 +78,7 @@ def _soft(x: str) -> str:
 #: Form rules set by the user, by suffix name, and how often they changed.
 _own: dict[str, Callable[[Suffix, Stem], list[str]]] = {}
 _changes = [0]
+_PROCESS = uuid.uuid4().hex
 
 
 def set_rule(suffix: str, rule: Callable[[Suffix, Stem], list[str]] | None) -> None:
@@ -93,6 +95,12 @@ def set_rule(suffix: str, rule: Callable[[Suffix, Stem], list[str]] | None) -> N
     form_lists.cache_clear()
 
 
+def rules() -> str:
+    """A name for the rules in force, by which results can be kept: rules of the user's are functions, so
+    what they give holds for this process only."""
+    return f"own-{_PROCESS}-{_changes[0]}" if _own else "base"
+
+
 def version() -> int:
     """Changes with every rule set, so that tables of forms can be kept until then."""
     return _changes[0]

@@ -1,28 +1,34 @@
 """The neural ranker: a transformer encoder over suffix chains, in numpy.
 
-Scoring runs in Arrow batches on the executors with broadcast weights (about 1 M numbers). Training
-takes a bounded number of labelled words to the driver, as a model of this size needs no more. The
-gradients come from a small tape: every step of the forward pass notes how to run it backwards.
+Scoring runs in Arrow batches on the executors with broadcast weights (about 1 M numbers), once for
+each distinct chain. Training takes labelled words in chunks, and some chunks a round: each task sums the
+gradients of its chunks, Spark sums those of the tasks, and the driver, which holds the weights and the
+optimiser's moments and nothing else, takes one step. A few labelled words are trained on where the
+driver is, by the same rounds. The gradients come from a small tape: every step of the forward pass
+notes how to run it backwards.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut
 from kokek.functions.suffixes import SUFFIXES
 from kokek.operators.rank import MARGIN, STEPS, TEMPERATURE, encode_chain
 
-#: Most labelled words (with all their candidates) that training takes, in the order of a hash.
+#: Most labelled words (with all their candidates) that ``fit`` takes to the driver, in the order of a hash.
 TRAIN_WORDS = 2_000
-#: Candidates scored together, and words of one training batch.
+#: Candidates scored together, and labelled words of one chunk on average.
 SCORED, BATCH = 512, 16
+#: Numbers in one row of gradients, and distinct chains up to which their scores are broadcast.
+PIECE, BROADCAST_CHAINS = 8192, 500_000
 
 Weights = dict[str, np.ndarray]
 
@@ -261,24 +267,65 @@ class AdamW:
             weights[name] -= self.rate * (a / (1 - 0.9**self.n)) / (np.sqrt(b / (1 - 0.999**self.n)) + 1e-8)
 
 
-def train(words: list[tuple[list, list[int]]], weights: Weights, shape: Shape = Shape(), steps: int = STEPS, epochs: int = 1, rate: float = 1e-4, seed: int = 0) -> float:
-    """Trains ``weights`` in place on (chains of all candidates, labels) of words, batch after batch: up to
-    ``steps`` steps each, ended when all margins hold. Returns the last loss; 0 without words."""
-    optimiser, rng, last = AdamW(rate), np.random.default_rng(seed), 0.0
-    for epoch in range(epochs):
-        optimiser.rate = restarted_rate(epoch, rate)
-        for at in range(0, len(words), BATCH):
-            part = words[at : at + BATCH]
-            batch = padded_batch([c for chains, _ in part for c in chains])
-            labels, counts = np.array([y for _, ys in part for y in ys], float), [len(c) for c, _ in part]
-            for _ in range(steps):
-                tape = Tape(weights, shape, rng)
-                end = tape.scores(*batch)
-                last, g, held = loss(end[0][:, 0], labels, counts)
+@dataclass
+class State:
+    """What training goes on from: weights, the optimiser with its moments, the last loss, and the epoch
+    and round that come next."""
+
+    weights: Weights
+    optimiser: AdamW = field(default_factory=AdamW)
+    loss: float = 0.0
+    epoch: int = 0
+    round: int = 0
+
+    def copy(self) -> State:
+        own = replace(self.optimiser, means={k: (a.copy(), b.copy()) for k, (a, b) in self.optimiser.means.items()})
+        return replace(self, weights={k: v.copy() for k, v in self.weights.items()}, optimiser=own)
+
+
+#: Chains of all candidates of a word, and their labels.
+Example = tuple[list, list[int]]
+#: Sum of the losses of some words, their number, whether all margins hold, and the sum of gradients.
+Sums = tuple[float, int, bool, Weights]
+
+
+def chunk_sums(weights: Weights, words: list[Example], shape: Shape, seeds: tuple[int, ...]) -> Sums:
+    """Of the words of one chunk, whose dropout is drawn from its own seeds, wherever it is worked on."""
+    labels, counts = np.array([y for _, ys in words for y in ys], float), [len(c) for c, _ in words]
+    tape = Tape(weights, shape, np.random.default_rng(seeds))
+    end = tape.scores(*padded_batch([c for chains, _ in words for c in chains]))
+    value, g, held = loss(end[0][:, 0], labels, counts)
+    return value * len(counts), len(counts), held, tape.back(end, g[:, None] * len(counts))
+
+
+def _added(parts: Iterator[Sums]) -> Sums:
+    total, n, held, grads = 0.0, 0, True, {}
+    for value, k, ok, g in parts:
+        total, n, held = total + value, n + k, held and ok
+        grads = {name: grads[name] + g[name] if name in grads else g[name] for name in g}
+    return total, n, held, grads
+
+
+def trained(state: State, rounds: int, gather: Callable[[State, int], Sums], steps: int = STEPS, epochs: int = 1, rate: float = 1e-4, save: Callable[[State], None] | None = None) -> State:
+    """Goes on from ``state``, in place, to the end of ``epochs``: each round takes up to ``steps`` steps and is
+    ended when all margins hold. ``save`` gets the state after each round; a run that goes on from a saved
+    state ends with the same weights as one that was never stopped."""
+    while state.epoch < epochs:
+        state.optimiser.rate = restarted_rate(state.epoch, rate)
+        while state.round < rounds:
+            for step in range(steps):
+                total, n, held, grads = gather(state, step)
+                if not n:
+                    break
+                state.loss = total / n
                 if held:
                     break
-                optimiser.step(weights, tape.back(end, g[:, None]))
-    return last
+                state.optimiser.step(state.weights, {name: g / n for name, g in grads.items()})
+            state.round += 1
+            if save:
+                save(state)
+        state.epoch, state.round = state.epoch + 1, 0
+    return state
 
 
 def _encoded(candidates: DataFrame) -> DataFrame:
@@ -286,32 +333,163 @@ def _encoded(candidates: DataFrame) -> DataFrame:
     return candidates.select("word", "cand_ord", F.transform(code, lambda x: x.sid).alias("sids"), F.transform(code, lambda x: x.cid + 1).alias("cids"))
 
 
-def fit(candidates: DataFrame, labels: DataFrame, begun: Weights | None = None, shape: Shape = Shape(), steps: int = STEPS, epochs: int = 1, limit: int = TRAIN_WORDS) -> tuple[Weights, float]:
-    """Weights and last loss after training on the words of ``labels`` (word, cand_ord of right candidates),
-    at most ``limit`` of them by hash; words with no or one candidate teach nothing."""
-    chosen = labels.select("word").distinct().orderBy(F.md5("word"), "word").limit(limit)
+def examples(candidates: DataFrame, labels: DataFrame, limit: int | None = None) -> tuple[DataFrame, int]:
+    """chunk, word, own (sids, cids, label of all its candidates in order) of the words in ``labels`` (word,
+    cand_ord of right candidates), and how many chunks of about BATCH words there are. Words with no or
+    one candidate teach nothing. With ``limit``, that many words by hash."""
+    chosen = labels.select("word").distinct()
+    chosen = F.broadcast(chosen.orderBy(F.md5("word"), "word").limit(limit)) if limit is not None else chosen
     right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
-    rows = _encoded(candidates.join(F.broadcast(chosen), "word", "left_semi")).join(right, ["word", "cand_ord"], "left")
-    held: dict[str, list] = {}
-    for r in rows.orderBy(F.md5("word"), "word", "cand_ord").collect():
-        held.setdefault(r.word, []).append((list(zip(r.sids, r.cids)), int(r.label or 0)))
-    words = [([c for c, _ in own], [y for _, y in own]) for own in held.values() if len(own) > 1]
-    weights = {k: v.copy() for k, v in (begun or begin(shape)).items()}
-    return weights, train(words, weights, shape, steps, epochs)
+    rows = _encoded(candidates.join(chosen, "word", "left_semi")).join(right, ["word", "cand_ord"], "left")
+    own = F.array_sort(F.collect_list(F.struct("cand_ord", "sids", "cids", F.coalesce("label", F.lit(0)).alias("label"))))
+    words = cut(rows.groupBy("word").agg(own.alias("own")).where(F.size("own") > 1))
+    chunks = -(-words.count() // BATCH)
+    return words.select(F.pmod(F.xxhash64("word"), F.lit(max(1, chunks))).cast("long").alias("chunk"), "word", "own"), chunks
+
+
+def _read(own: list) -> Example:
+    """An example from the candidates of a row, as rows or as dictionaries."""
+    return [list(zip(r["sids"], r["cids"])) for r in own], [int(r["label"]) for r in own]
+
+
+def local_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
+    """The rounds of bounded ``words`` where the driver is."""
+    held: dict[int, list[Example]] = {}
+    for r in words.orderBy("chunk", "word").collect():
+        held.setdefault(r.chunk, []).append(_read(r.own))
+
+    def gather(state: State, step: int) -> Sums:
+        own = [c for c in range(state.round * width, (state.round + 1) * width) if c in held]
+        return _added(chunk_sums(state.weights, held[c], shape, (seed, state.epoch, step, c)) for c in own)
+
+    return gather
+
+
+def spark_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
+    """The rounds of any number of words: a job for each step, in which tasks sum the gradients of their
+    chunks and the sums are added piece by piece, in a fixed order. The driver gets one row for each piece
+    of the weights. Chunks stay with their tasks, so that sums are the same in every run."""
+    session = words.sparkSession
+    rows = cut(words.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "chunk").sortWithinPartitions("chunk", "word"))
+
+    def gather(state: State, step: int) -> Sums:
+        names = sorted(state.weights)
+        shared = session.sparkContext.broadcast(state.weights)
+        key, first, last = (seed, state.epoch, step), state.round * width, (state.round + 1) * width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def chunks() -> Iterator[tuple[int, list[Example]]]:
+                number, held = None, []
+                for batch in batches:
+                    for chunk, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                        if held and chunk != number:
+                            yield number, held
+                            held = []
+                        number = chunk
+                        held.append(_read(own))
+                if held:
+                    yield number, held
+
+            begun: list[int] = []
+
+            def sums() -> Iterator[Sums]:
+                for number, held in chunks():
+                    begun.append(number)
+                    yield chunk_sums(shared.value, held, shape, (*key, number))
+
+            total, n, ok, grads = _added(sums())
+            if not n:
+                return
+            flat = np.concatenate([grads[name].ravel() for name in names])
+            parts = [np.array([total, n, float(ok)]).tobytes(), *(flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([min(begun)] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["piece", "place", "data"])
+
+        def added(group: pa.Table) -> pa.Table:
+            order = np.argsort(np.asarray(group.column("place")), kind="stable")
+            data = group.column("data").to_pylist()
+            own = [np.frombuffer(data[i], "<f8") for i in order]
+            out = sum(own[1:], own[0].copy())
+            if group.column("piece")[0].as_py() < 0:
+                out[2] = min(x[2] for x in own)
+            return pa.table({"piece": group.column("piece")[:1], "data": pa.array([out.tobytes()], pa.binary())})
+
+        own = rows.where((F.col("chunk") >= first) & (F.col("chunk") < last)).select("chunk", "own")
+        parts = own.mapInArrow(run, "piece int, place long, data binary").groupBy("piece").applyInArrow(added, "piece int, data binary").collect()
+        shared.unpersist()
+        found = {r.piece: np.frombuffer(bytes(r.data), "<f8") for r in parts}  # as many as the weights have pieces
+        if not found:
+            return 0.0, 0, True, {}
+        total, n, ok = found.pop(-1)
+        flat, grads, at = np.concatenate([found[k] for k in sorted(found)]), {}, 0
+        for name in names:
+            size = state.weights[name].size
+            grads[name] = flat[at : at + size].reshape(state.weights[name].shape)
+            at += size
+        return float(total), int(n), bool(ok), grads
+
+    return gather
+
+
+def fit_state(
+    candidates: DataFrame, labels: DataFrame, begun: State | None = None, shape: Shape = Shape(), steps: int = STEPS, epochs: int = 1,
+    width: int = 1, seed: int = 0, limit: int | None = None, save: Callable[[State], None] | None = None,
+) -> State:
+    """The state after training on the words of ``labels`` (word, cand_ord of right candidates), ``width``
+    chunks a round. With ``limit`` the driver takes that many words by hash; without, all words take part
+    and stay on the executors."""
+    words, chunks = examples(candidates, labels, limit)
+    gather = (spark_rounds if limit is None else local_rounds)(words, shape, width, seed)
+    state = begun.copy() if begun else State(begin(shape))
+    return trained(state, -(-chunks // width), gather, steps, epochs, save=save)
+
+
+def fit(candidates: DataFrame, labels: DataFrame, begun: Weights | None = None, shape: Shape = Shape(), steps: int = STEPS, epochs: int = 1, limit: int = TRAIN_WORDS) -> tuple[Weights, float]:
+    """Weights and last loss (0 without words) after training on at most ``limit`` words where the driver is."""
+    state = fit_state(candidates, labels, State(begun) if begun else None, shape, steps, epochs, limit=limit)
+    return state.weights, state.loss
 
 
 def score(candidates: DataFrame, weights: Weights, shape: Shape = Shape()) -> DataFrame:
-    """word, cand_ord, score of every candidate."""
+    """word, cand_ord, score of every candidate. Candidates with one encoded chain share its score, so each
+    distinct chain is scored once and joined back, by a broadcast while there are few."""
     shared = candidates.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SCORED):
                 part = batch.slice(at, SCORED)
-                chains = [list(zip(s, c)) for s, c in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(forward(shared.value, chains, shape))], ["word", "cand_ord", "score"])
-
-    return _encoded(candidates).mapInArrow(run, "word string, cand_ord int, score double")
+                chains = [list(zip(s, c)) for s, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(forward(shared.value, chains, shape))], ["sids", "cids", "score"])
+
+    rows = _encoded(candidates)
+    known = cut(rows.select("sids", "cids").distinct().mapInArrow(run, "sids array<int>, cids array<int>, score double"))
+    known = F.broadcast(known) if known.limit(BROADCAST_CHAINS + 1).count() <= BROADCAST_CHAINS else known
+    return rows.join(known, ["sids", "cids"]).select("word", "cand_ord", "score")
+
+
+_STATE = "part string, name string, shape array<int>, data binary, number double"
+
+
+def state_rows(spark: SparkSession, state: State) -> DataFrame:
+    """A state as rows of fixed number: part (weight, mean, spread or meta), name, shape, data, number."""
+    rows = [("weight", name, list(w.shape), w.astype("<f8").tobytes(), None) for name, w in state.weights.items()]
+    for name, pair in state.optimiser.means.items():
+        rows += [(part, name, list(m.shape), m.astype("<f8").tobytes(), None) for part, m in zip(("mean", "spread"), pair)]
+    o = state.optimiser
+    meta = {"n": o.n, "rate": o.rate, "decay": o.decay, "clip": o.clip, "loss": state.loss, "epoch": state.epoch, "round": state.round}
+    return spark.createDataFrame(rows + [("meta", name, None, None, float(x)) for name, x in meta.items()], _STATE)
+
+
+def state_of(rows: DataFrame) -> State | None:
+    """The state that ``state_rows`` wrote, None without one."""
+    held: dict[str, dict] = {"weight": {}, "mean": {}, "spread": {}, "meta": {}}
+    for r in rows.where(F.col("part").isin(*held)).collect():  # fixed size
+        held[r.part][r.name] = r.number if r.part == "meta" else np.frombuffer(bytes(r.data), "<f8").reshape(r["shape"]).copy()
+    if not held["weight"]:
+        return None
+    m = held["meta"]
+    optimiser = AdamW(m["rate"], m["decay"], m["clip"], int(m["n"]), {k: (held["mean"][k], held["spread"][k]) for k in held["mean"]})
+    return State(held["weight"], optimiser, m["loss"], int(m["epoch"]), int(m["round"]))
 
 
 def save(spark: SparkSession, weights: Weights, path: str) -> None:

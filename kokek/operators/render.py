@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from kokek.functions.lexicon import BROADCAST_WORDS, Lexicon
 from kokek.functions.suffixes import INTENSIFIER
 from kokek.operators import decompose as search
 from kokek.operators import rank
-from kokek.sources.text import tokenize, tokens_of
+from kokek.sources.text import files_in, fresh, tokenize, tokens_of
 
 
 def format_analysis(root: Column, chain: Column) -> Column:
@@ -117,7 +119,11 @@ def option_view(scored: DataFrame) -> DataFrame:
     return rank.rank_candidates(scored).select("word", "cand_ord", F.format_string("%d. %.4f", F.col("shown"), F.col("score")).alias("line"))
 
 
-def best_analyses(words: DataFrame, lexicon: Lexicon, weights: DataFrame | None = None) -> DataFrame:
+#: Weights of the linear ranker, or a function that scores candidates (word, cand_ord, score).
+Scorer = DataFrame | Callable[[DataFrame], DataFrame] | None
+
+
+def best_analyses(words: DataFrame, lexicon: Lexicon, weights: Scorer = None) -> DataFrame:
     """word, n, analysis: one analysis for each word that has any; only ambiguous words are ranked."""
     found = search.cut(search.decompose(words, lexicon))
     text = format_analysis(F.col("root"), F.col("chain")).alias("analysis")
@@ -125,20 +131,50 @@ def best_analyses(words: DataFrame, lexicon: Lexicon, weights: DataFrame | None
     if weights is None:  # all scores tie, so the first candidate wins
         return counts.join(found.where("cand_ord = 0").select("word", text), "word")
     many = found.join(counts.where("n > 1").select("word"), "word", "left_semi")
-    best = rank.best_per_word(rank.score(many, weights)).select("word", "cand_ord")
+    best = rank.best_per_word(weights(many) if callable(weights) else rank.score(many, weights)).select("word", "cand_ord")
     single = counts.where("n = 1").select("word", F.lit(0).alias("cand_ord"))
     return counts.join(found.join(best.unionByName(single), ["word", "cand_ord"]).select("word", text), "word")
 
 
-def annotate(docs: DataFrame, lexicon: Lexicon, weights: DataFrame | None = None) -> DataFrame:
+class Known:
+    """Best analyses of words that have been searched before, kept in a folder shared by all executors.
+
+    ``version`` names what they depend on (dictionary, ranker, form rules); another version has a folder of
+    its own. Words without analysis are kept too. Every search adds files and changes none, so a reader
+    never loses what it began with; a word that two searches added at once counts once.
+    """
+
+    SCHEMA = "word string, analysis string"
+
+    def __init__(self, spark: SparkSession, folder: str, version: str):
+        self.spark, self.path = spark, f"{folder}/{version}"
+
+    def table(self) -> DataFrame:
+        found = files_in(self.spark, self.path)
+        return self.spark.read.schema(self.SCHEMA).parquet(*found) if found else self.spark.createDataFrame([], self.SCHEMA)
+
+    def best(self, words: DataFrame, search_new: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """word, analysis of the ``words`` that have one; ``search_new`` (word, analysis) is asked for words
+        that are not kept yet, and not at all if there are none."""
+        words = search.cut(words.select("word").distinct())
+        new = search.cut(words.join(self.table(), "word", "left_anti"))
+        if not new.isEmpty():
+            found = search_new(new).select("word", "analysis")
+            new.join(found, "word", "left").select("word", "analysis").write.parquet(f"{self.path}/{fresh('words')}")
+        return self.table().join(words, "word", "left_semi").dropDuplicates(["word"]).where("analysis IS NOT NULL")
+
+
+def annotate(docs: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> DataFrame:
     """doc_id, value: every token by its best analysis (or itself), newline-joined in token order.
-    Each distinct token is analysed once; a document without tokens has an empty value."""
+    Each distinct token is analysed once, and one that is ``known`` not again; a document without tokens has
+    an empty value."""
     tokens = tokenize(docs)
-    best = best_analyses(tokens.select(F.col("token").alias("word")).distinct(), lexicon, weights)
+    words = tokens.select(F.col("token").alias("word")).distinct()
+    best = known.best(words, lambda new: best_analyses(new, lexicon, weights)) if known else best_analyses(words, lexicon, weights)
     # Only tokens that have an analysis are joined; few of a text's words, and broadcast while few.
-    known = search.cut(best.select(F.col("word").alias("token"), "analysis"))
-    small = known.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    lines = tokens.join(F.broadcast(known) if small else known, "token", "left").withColumn("line", F.coalesce("analysis", "token"))
+    met = search.cut(best.select(F.col("word").alias("token"), "analysis"))
+    small = met.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    lines = tokens.join(F.broadcast(met) if small else met, "token", "left").withColumn("line", F.coalesce("analysis", "token"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("value"))
     bare = docs.where(F.coalesce(F.size(tokens_of(F.col("text"))), F.lit(0)) <= 0).select("doc_id", F.lit("").alias("value"))

@@ -1,7 +1,9 @@
 """A working session: a dictionary, confirmed analyses and a ranker kept in one folder.
 
-Every mode takes and gives DataFrames. Dictionary and weights are kept as numbered snapshots that are
-never overwritten, so that running queries and lost tasks can read the one they began with.
+Every mode takes and gives DataFrames. The dictionary is kept as numbered snapshots that are never
+overwritten, so that running queries and lost tasks can read the one they began with. So is the ranker:
+weights, the optimiser's moments, how far training has come, the loss and the counter of examples are one
+output of one job, which counts once it is complete, so that no failure leaves them apart.
 """
 
 from __future__ import annotations
@@ -10,14 +12,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
+from kokek.functions.forms import rules
 from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
-from kokek.operators import rank, render
+from kokek.operators import neural, rank, render
 from kokek.sources import text as source
+from kokek.streaming.annotate import annotate_stream
 
-EPOCHS = 5
+#: Passes of ``relearn`` over all logged words, and chunks of words between two steps of the neural ranker.
+EPOCHS, ROUND = 5, 64
+_ROWS = "name string, shape array<int>, data binary, number double"
 
 
 def gold_match(candidates: DataFrame, gold: DataFrame) -> DataFrame:
@@ -40,25 +48,22 @@ def pruned(words: DataFrame, gone: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 class Session:
-    """State under ``folder`` (shared by all executors): lexicon/, weights/, gold/ and losses/."""
-
-    def __init__(self, spark: SparkSession, folder: str, words: DataFrame | None = None):
-        """Opens a folder; ``words`` (column word) becomes the first dictionary of a new one."""
-        self.spark, self.folder = spark, folder
+    """State under ``folder`` (shared by all executors): lexicon/, gold/, known/, and linear/ or neural/."""
+
+    def __init__(self, spark: SparkSession, folder: str, words: DataFrame | None = None, ranker: str = "linear", shape: neural.Shape = neural.Shape()):
+        """Opens a folder; ``words`` (column word) becomes the first dictionary of a new one. Every mode uses
+        the ranker named, ``linear`` or ``neural``; the two keep their snapshots apart."""
+        if ranker not in ("linear", "neural"):
+            raise ValueError(f"no such ranker: {ranker}")
+        self.spark, self.folder, self.ranker, self.shape = spark, folder, ranker, shape
         if words is not None and self._last("lexicon") < 0:
             words.select("word").write.text(f"{folder}/lexicon/0")
         self.reload()
 
     def _last(self, part: str) -> int:
         """The number of the newest complete snapshot, -1 without one."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}")
-        files = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
-        if not files.exists(at):
-            return -1
-        names = [s.getPath() for s in files.listStatus(at)]
-        done = [int(p.getName()) for p in names if p.getName().isdigit() and files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-        return max(done, default=-1)
+        names = [path.rsplit("/", 1)[-1] for path in source.files_in(self.spark, f"{self.folder}/{part}")]
+        return max((int(n) for n in names if n.isdigit()), default=-1)
 
     def words(self) -> DataFrame:
         return source.read_lexicon(self.spark, f"{self.folder}/lexicon/{max(self._last('lexicon'), 0)}")
@@ -67,9 +72,45 @@ class Session:
         """Reads the newest dictionary."""
         self.lexicon = Lexicon(self.words())
 
+    def _snapshot(self) -> DataFrame | None:
+        """The newest snapshot of the ranker: part, name, shape, data, number."""
+        k = self._last(self.ranker)
+        return None if k < 0 else self.spark.read.schema(f"{_ROWS}, part string").parquet(f"{self.folder}/{self.ranker}/{k}")
+
+    def _save(self, rows: DataFrame, **numbers: float | None) -> None:
+        """Writes a snapshot of the ranker's ``rows`` and the session's own ``numbers``."""
+        k = self._last(self.ranker) + 1
+        own = self.spark.createDataFrame([("session", name, [k], None, float(x)) for name, x in numbers.items() if x is not None], f"part string, {_ROWS}")
+        # What a failed run has left under this number is not complete, and is replaced.
+        rows.unionByName(own).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/{self.ranker}/{k}")
+
+    def _number(self, name: str) -> float | None:
+        rows = self._snapshot()
+        row = rows.where(F.col("part").eqNullSafe("session") & (F.col("name") == name)).first() if rows is not None else None
+        return row.number if row else None
+
     def weights(self) -> DataFrame | None:
-        k = self._last("weights")
-        return None if k < 0 else rank.load_weights(self.spark, f"{self.folder}/weights/{k}")
+        """feature, weight of the linear ranker, None before any training."""
+        rows = self._snapshot() if self.ranker == "linear" else None
+        return None if rows is None else rows.where("part = 'feature'").select(F.col("name").alias("feature"), F.col("number").alias("weight"))
+
+    def state(self) -> neural.State | None:
+        """The neural ranker's state, None before any training."""
+        rows = self._snapshot() if self.ranker == "neural" else None
+        return None if rows is None else neural.state_of(rows)
+
+    def scorer(self) -> Callable[[DataFrame], DataFrame] | None:
+        """A function that scores candidates (word, cand_ord, score), None before any training."""
+        if self.ranker == "neural":
+            state = self.state()
+            return None if state is None else lambda found: neural.score(found, state.weights, self.shape)
+        weights = self.weights()
+        return None if weights is None else lambda found: rank.score(found, weights)
+
+    def known(self) -> render.Known:
+        """Best analyses kept for the present dictionary, ranker and form rules."""
+        version = f"lexicon-{self._last('lexicon')}-{self.ranker}-{self._last(self.ranker)}-{rules()}"
+        return render.Known(self.spark, f"{self.folder}/known", version)
 
     def gold(self) -> DataFrame:
         return source.read_gold(self.spark, f"{self.folder}/gold")
@@ -77,10 +118,10 @@ class Session:
     def analyze(self, words: DataFrame) -> DataFrame:
         """Every analysis with its score (null before any training)."""
         found = search.cut(search.decompose(words, self.lexicon))
-        weights = self.weights()
-        if weights is None:
+        scorer = self.scorer()
+        if scorer is None:
             return found.withColumn("score", F.lit(None).cast("double"))
-        return found.join(rank.score(found, weights), ["word", "cand_ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return found.join(scorer(found), ["word", "cand_ord"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
 
     def evaluate(self, words: DataFrame) -> DataFrame:
         """word, analysis, score, and the surface pieces of each word's best analysis."""
@@ -90,14 +131,36 @@ class Session:
         chosen = scored.join(best, ["word", "cand_ord"]).select("word", "cand_ord", render.format_analysis(F.col("root"), F.col("chain")).alias("analysis"), "score")
         return chosen.join(shown, ["word", "cand_ord"])
 
-    def _learn(self, found: DataFrame, labels: DataFrame, steps: int) -> None:
-        weights = rank.fit(found, labels, steps, begun=self.weights())
-        k = self._last("weights") + 1
-        rank.save_weights(weights, f"{self.folder}/weights/{k}")
-        scored = rank.score(found, rank.load_weights(self.spark, f"{self.folder}/weights/{k}")).join(labels.select("word").distinct(), "word", "left_semi")
+    def _loss(self, scored: DataFrame, labels: DataFrame) -> float:
+        """The loss over the words that have labels."""
         right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
-        loss = rank.listwise_loss(scored.join(right, ["word", "cand_ord"], "left").withColumn("label", F.coalesce("label", F.lit(0))))
-        loss.select(F.lit(k).alias("step"), "loss").write.mode("append").parquet(f"{self.folder}/losses")
+        own = scored.join(labels.select("word").distinct(), "word", "left_semi").join(right, ["word", "cand_ord"], "left")
+        return rank.listwise_loss(own.withColumn("label", F.coalesce("label", F.lit(0)))).first().loss
+
+    def _learn(self, found: DataFrame, labels: DataFrame, steps: int, epochs: int, more: int) -> None:
+        """Trains on ``labels`` and saves a snapshot in which the counter is ``more`` higher. The neural ranker
+        saves after every round too: the same training, asked for again after it was stopped, goes on from
+        there. Those snapshots go once the last one is complete."""
+        count = self.count() + more
+        if self.ranker == "linear":
+            weights = cut(rank.fit(found, labels, steps * epochs, begun=self.weights()))
+            rows = weights.select(F.lit("feature").alias("part"), F.col("feature").alias("name"), F.lit(None).cast("array<int>").alias("shape"), F.lit(None).cast("binary").alias("data"), F.col("weight").alias("number"))
+            self._save(rows, count=count, loss=self._loss(rank.score(found, weights), labels))
+            return
+        task = labels.agg(F.coalesce(F.bit_xor(F.xxhash64("word", "cand_ord")), F.lit(0))).first()[0] * 31 + steps * 7 + epochs
+        state, since, task = self.state(), self._last(self.ranker) + 1, task % (1 << 52)  # which a double holds
+        if state is not None and self._number("task") == task:
+            since = int(self._number("since"))
+        elif state is not None:
+            state.epoch = state.round = 0
+
+        def save(now: neural.State) -> None:
+            self._save(neural.state_rows(self.spark, now), count=count - more, task=task, since=since)
+
+        done = neural.fit_state(found, labels, state, self.shape, steps, epochs, width=ROUND, save=save)
+        self._save(neural.state_rows(self.spark, done), count=count, loss=self._loss(neural.score(found, done.weights, self.shape), labels))
+        for k in range(since, self._last(self.ranker)):
+            source.remove(self.spark, f"{self.folder}/{self.ranker}/{k}")
 
     def train(self, choices: DataFrame, prune: bool = True) -> DataFrame:
         """Takes confirmed analyses (word, cand_ord) of ambiguous words: logs them, trains on them, and
@@ -115,8 +178,7 @@ class Session:
         if taken.isEmpty():
             return outcome
         source.append_gold(render.gold_rows(taken, self.lexicon).drop("cand_ord"), f"{self.folder}/gold")
-        self._learn(found, taken, rank.STEPS)
-        self._counted(taken.select("word").distinct().count())
+        self._learn(found, taken, rank.STEPS, 1, taken.select("word").distinct().count())
         if prune:
             self.delete(taken.where("root <> word").select("word").distinct(), infinitives=True)
         return outcome
@@ -140,8 +202,7 @@ class Session:
         found = search.cut(search.decompose(rows.select("word").distinct(), self.lexicon))
         labels = search.cut(gold_match(found, rows).select("word", "cand_ord"))
         if not labels.isEmpty():
-            self._learn(found, labels, epochs)
-            self._counted(labels.count())
+            self._learn(found, labels, *((epochs, 1) if self.ranker == "linear" else (1, epochs)), labels.count())
         all_, hit = rows.agg(F.countDistinct("word").alias("n_words")), labels.agg(F.countDistinct("word").alias("n_matched"))
         return all_.join(F.broadcast(hit), F.lit(True)).withColumn("n_skipped", F.col("n_words") - F.col("n_matched"))  # one row each
 
@@ -151,16 +212,16 @@ class Session:
         return self.analyze(drawn)
 
     def sample(self, docs: DataFrame) -> DataFrame:
-        """doc_id, value: texts annotated by the best analyses."""
-        return render.annotate(docs, self.lexicon, self.weights())
+        """doc_id, value: texts annotated by the best analyses; words that were searched before are not again."""
+        return render.annotate(docs, self.lexicon, self.scorer(), self.known())
 
-    def count(self) -> int:
-        """How many examples have been trained on."""
-        k = self._last("counter")
-        return 0 if k < 0 else source.read_counter(self.spark, f"{self.folder}/counter/{k}")
+    def stream(self, docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+        """Annotates a stream of documents as ``sample`` does, with the dictionary and ranker it begins with."""
+        return annotate_stream(docs, self.lexicon, path, checkpoint, self.scorer(), self.known())
 
-    def _counted(self, more: int) -> None:
-        source.write_counter(self.spark, self.count() + more, f"{self.folder}/counter/{self._last('counter') + 1}")
+    def count(self) -> int:
+        """How many examples the ranker has been trained on."""
+        return int(self._number("count") or 0)
 
     def auto(self, choose: Callable[[DataFrame], DataFrame], n: int, seed: int = 0) -> DataFrame:
         """Draws ``n`` dictionary words, trains on what ``choose`` picks (word, cand_ord) of their scored
@@ -176,8 +237,9 @@ class Session:
     def stats(self) -> DataFrame:
         """One row: words and analyses logged, and the latest, best and recent mean (of 20) loss."""
         gold = self.gold().agg(F.countDistinct("word").alias("n_words"), F.count(F.lit(1)).alias("n_gold"))
-        if self._last("weights") < 0:
+        done = [path for path in source.files_in(self.spark, f"{self.folder}/{self.ranker}")]
+        if not done:
             none = F.lit(None).cast("double")
             return gold.select("*", none.alias("latest"), none.alias("best"), none.alias("recent"))
-        losses = self.spark.read.parquet(f"{self.folder}/losses").groupBy("step").agg(F.first("loss").alias("loss"))
+        losses = self.spark.read.schema(_ROWS).parquet(*(f"{path}/part=session" for path in done)).where("name = 'loss'").select(F.get("shape", 0).alias("step"), F.col("number").alias("loss"))
         return gold.join(F.broadcast(rank.loss_stats(losses)), F.lit(True)).select("n_words", "n_gold", "latest", "best", "recent")  # one row each

@@ -81,6 +81,22 @@ def fresh(name: str) -> str:
     return f"{name}-{uuid.uuid4().hex}"
 
 
+def files_in(spark: SparkSession, folder: str) -> list[str]:
+    """The complete outputs of Spark (folders with _SUCCESS) in a folder; none if it is not there."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not files.exists(at):
+        return []
+    found = [s.getPath() for s in files.listStatus(at)]
+    return sorted(str(p) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def write_text(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("overwrite").text(path)
 

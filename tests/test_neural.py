@@ -92,3 +92,70 @@ def test_training_prefers_confirmed_analyses(spark, tmp_path):
     assert set(back) == set(weights) and all((back[k] == weights[k]).all() for k in back)
     assert neural.fit(found, gold.limit(0))[1] == 0.0
     assert neural.score(found.limit(0), weights).collect() == []
+
+
+def labelled(spark):
+    """Analyses of some words with labels for most of them."""
+    names = [r + e for r in ("ev", "kitap", "okul", "göz", "araba", "su") for e in ("", "ler", "lar", "lerimiz", "larımız", "de", "da", "leri", "ları", "im", "ım")]
+    words = spark.createDataFrame([(w,) for w in names], "word string")
+    found = decompose.cut(decompose.decompose(words, Lexicon(["ev", "kitap", "okul", "göz", "araba", "su"])))
+    return found, decompose.cut(found.where("cand_ord = pmod(xxhash64(word), 3)").select("word", "cand_ord"))
+
+
+TINY = neural.Shape(dim=16, layers=1, heads=2, positions=8, dropout=0.2)
+
+
+def far(a, b):
+    return max(float(np.abs(a.weights[k] - b.weights[k]).max()) for k in a.weights)
+
+
+def test_training_by_spark_equals_training_by_the_driver(spark, monkeypatch):
+    found, labels = labelled(spark)
+    monkeypatch.setattr(neural, "BATCH", 3)
+    monkeypatch.setattr(neural, "PIECE", 100)
+    run = lambda limit, width: neural.fit_state(found, labels, shape=TINY, steps=3, epochs=2, width=width, seed=5, limit=limit)
+    for width in (2, 100):
+        one, other = run(10_000, width), run(None, width)
+        assert far(one, other) < 1e-9 and abs(one.loss - other.loss) < 1e-9
+        assert one.optimiser.n == other.optimiser.n > 0 and far(one, neural.State(neural.begin(TINY))) > 1e-5
+    assert neural.examples(found, labels, limit=4)[0].count() <= 4 < neural.examples(found, labels)[0].count()
+
+
+def test_a_stopped_training_goes_on_to_the_same_weights(spark, tmp_path, monkeypatch):
+    found, labels = labelled(spark)
+    monkeypatch.setattr(neural, "BATCH", 6)
+    fit = lambda **more: neural.fit_state(found, labels, shape=TINY, steps=2, epochs=2, width=2, seed=1, **more)
+    whole = fit()
+    saved = []
+
+    def stop(state):
+        path = str(tmp_path / f"{len(saved)}")
+        neural.state_rows(spark, state).write.parquet(path)
+        saved.append(path)
+        if len(saved) % 2:
+            raise InterruptedError
+
+    state, stops = None, 0
+    while stops < 20:
+        try:
+            done = fit(begun=state, save=stop)
+            break
+        except InterruptedError:
+            stops += 1
+            state = neural.state_of(spark.read.parquet(saved[-1]))
+    assert stops > 1 and all((done.weights[k] == whole.weights[k]).all() for k in whole.weights)
+    assert done.loss == whole.loss and done.optimiser.n == whole.optimiser.n
+    assert neural.state_of(spark.createDataFrame([], neural._STATE)) is None
+
+
+def test_each_row_has_the_score_of_its_own_chain(spark, monkeypatch):
+    found, _ = labelled(spark)
+    w = shaken(TINY)
+    monkeypatch.setattr(neural, "BROADCAST_CHAINS", 2)
+    got = {(r.word, r.cand_ord): r.score for r in neural.score(found, w, TINY).collect()}
+    ids = {s.name: s.id for s in neural.SUFFIXES}
+    rows = found.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        chain = [(ids.get(c, 0), 2 if m == "verb" else 1) for c, m in zip(r.chain, r.makes)]
+        assert got[r.word, r.cand_ord] == pytest.approx(plain(w, chain, TINY), abs=1e-5)
