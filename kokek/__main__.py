@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut
 from kokek.operators.render import option_view, parse_choices
 from kokek.session import Session
 from kokek.sources import text as source
@@ -20,7 +21,14 @@ relearn              learns all confirmed analyses again
 sample FILE OUT      annotates a text file
 delete WORD ...      removes words from the dictionary
 stats                counts and losses
-help, quit"""
+save                 keeps what was learnt so far, whatever is answered on leaving
+help, quit
+
+A word by itself lists its analyses and asks for the numbers of the right ones (s skips it, q leaves). On leaving,
+what was learnt since the last save is kept or forgotten; every tenth example saves."""
+
+#: Examples after which the menu saves.
+SAVED = 10
 
 
 def _table(rows: DataFrame) -> list[str]:
@@ -48,12 +56,13 @@ def run(session: Session, line: str) -> list[str]:
         out = _table(session.train(chosen))
         return [*(out or ["no such choice"]), f"examples so far: {session.count()}"]
     if name == "auto" and len(rest) == 1 and rest[0].isdigit():
-        return _table(_options(session, source.draw_words(session.words(), int(rest[0]), seed=session.count())).select("word", "line"))
+        drawn = cut(source.draw_words(session.words(), int(rest[0]), seed=session.count()))
+        return _table(_options(session, drawn).select("word", "line"))
     if name == "relearn" and not rest:
         r = session.relearn().first()
-        return [f"trained: {r.n_matched}", f"skipped: {r.n_skipped}", f"final loss: {session.stats().first().latest}", f"examples so far: {session.count()}"]
+        return ["batch training complete", f"trained: {r.n_matched}", f"skipped: {r.n_skipped}", f"final loss: {session.stats().first().latest}", f"examples so far: {session.count()}"]
     if name == "sample" and len(rest) == 2:
-        source.write_text(session.sample(source.read_text(spark, rest[0])), rest[1])
+        session.sample_file(rest[0], rest[1])
         return [f"written: {rest[1]}"]
     if name == "delete" and rest:
         return [f"deleted: {session.delete(words())}"]
@@ -62,12 +71,66 @@ def run(session: Session, line: str) -> list[str]:
     return HELP.splitlines()
 
 
+def _asked(session: Session, word: str, lines: Iterator[str]) -> str | None:
+    """Lists a word's analyses and confirms those that the next line names: deleted, trained or skipped; None
+    to leave."""
+    answer = run(session, f"options {word}")
+    if len(answer) < 2:
+        print(f"{word}: {'one analysis only' if answer else 'no analysis'}")
+        return "skipped"
+    print("\n".join([word, *answer, "numbers of the right ones, s to skip, q to leave:"]))
+    chosen = next(lines, "q").strip().lower()
+    if chosen in ("q", "quit"):
+        return None
+    if chosen in ("s", "skip"):
+        return "skipped"
+    before = session.words().count()
+    out = run(session, f"train {word} {chosen}")
+    print("\n".join(out))
+    return "skipped" if out[0] == "no such choice" else "deleted" if session.words().count() < before else "trained"
+
+
+def _auto(session: Session, n: int, lines: Iterator[str]) -> list[str]:
+    """Asks about words drawn from the dictionary, one after another, until ``n`` are done or it is left."""
+    done: list[str] = []
+    for r in cut(source.draw_words(session.words(), n, seed=session.count())).collect():  # as many as are asked about
+        how = _asked(session, r.word, lines)
+        if how is None:
+            break
+        done.append(how)
+    return ["auto mode summary", f"processed: {len(done)}", f"deleted: {done.count('deleted')}", f"skipped: {done.count('skipped')}"]
+
+
 def menu(session: Session, lines: Iterable[str]) -> None:
+    """Answers commands and words; on leaving, the next line says whether to keep what was learnt (y or n)."""
     print(HELP)
+    lines = iter(lines)
+    kept, counted = session.snapshot(), session.count()
+    names = {"eval", "options", "train", "relearn", "sample", "delete", "stats", "help"}
     for line in lines:
-        if line.strip().lower() in ("quit", "q"):
+        words = line.strip().lower().split()
+        how: str | None = ""
+        if not words:
+            continue
+        if words[0] in ("quit", "q"):
+            how = None
+        elif words == ["save"]:
+            kept, counted = session.snapshot(), session.count()
+            print(f"saved: {kept}")
+        elif words[0] == "auto" and len(words) == 2 and words[1].isdigit():
+            print("\n".join(_auto(session, int(words[1]), lines)))
+        elif len(words) == 1 and words[0] not in names:
+            how = _asked(session, words[0], lines)
+        else:
+            print("\n".join(run(session, line)))
+        if session.count() // SAVED > counted // SAVED or words[0] == "relearn":
+            kept, counted = session.snapshot(), session.count()
+        if how is None:
             break
-        print("\n".join(run(session, line)))
+    if session.snapshot() > kept:
+        print("keep what was learnt? (y/n)")
+        if next(lines, "y").strip().lower() != "y":
+            print(f"forgotten: {session.discard(kept)}")
 
 
 if __name__ == "__main__":

@@ -106,6 +106,16 @@ def version() -> int:
     return _changes[0]
 
 
+#: A form rule of the user's that sees the stem itself: its text and features give the forms, in order.
+StemRule = Callable[[str, Stem], list[str]]
+
+
+def stem_of(key: str) -> Stem:
+    """The features that a stem key names."""
+    harmony, ending, flags = key.split(":")
+    return Stem(harmony, ending, *(c == "1" for c in flags))
+
+
 def forms(s: Suffix, stem: Stem) -> list[str]:
     """Forms of a suffix after a stem, in order."""
     if s.name in _own:

@@ -10,6 +10,7 @@ prefixes that some entry could be are made, so that a long word costs no more th
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import stem_key
+from kokek.functions.forms import StemRule, stem_key
+from kokek.functions.suffixes import BY_NAME
 
 #: Rows of a dictionary table (a short word and three flags each) up to which it is broadcast.
 BROADCAST_WORDS = 1_000_000
@@ -77,9 +79,21 @@ def _free(rows: DataFrame, *names: str) -> list[str]:
 
 class Lexicon:
     """The tables of a dictionary given as words or as a DataFrame with a column ``word``; they are
-    made when first asked for and kept as checkpoints for the running application."""
-
-    def __init__(self, words: Iterable[str] | DataFrame):
+    made when first asked for and kept as checkpoints for the running application.
+
+    ``rules`` are form rules of the user's by suffix name, which see the stem itself: functions of its text
+    and features that give its forms in order. Searches and rendering with this dictionary ask them, in
+    Arrow batches over distinct stems, in place of the suffixes' own rules; so they have to be functions
+    that can be sent to the executors.
+    """
+
+    def __init__(self, words: Iterable[str] | DataFrame, rules: dict[str, StemRule] | None = None):
+        unknown = set(rules or {}) - set(BY_NAME)
+        if unknown:
+            raise KeyError(", ".join(sorted(unknown)))
+        self.rules = dict(rules or {})
+        #: By what name results under these rules can be kept.
+        self.rules_name = f"stems-{uuid.uuid4().hex}" if rules else "closed"
         self._words = words if isinstance(words, DataFrame) else sorted({w.strip() for w in words if w.strip()})
         self._held: dict[tuple[str, str], tuple[DataFrame, bool]] = {}
 

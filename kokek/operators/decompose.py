@@ -10,14 +10,18 @@ and levels group the states of a word without another shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import automaton, version
+from kokek.functions.forms import StemRule, automaton, stem_of, version
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
+from kokek.functions.suffixes import arcs as arcs_in_order
 
 NARROWED = "(iyor|ıyor|uyor|üyor)"
 #: Levels before the first checkpoint, which most words end in, and between later ones.
@@ -95,11 +99,18 @@ def _stepped(states: DataFrame, lexicon: Lexicon) -> DataFrame:
     nodes, arcs = (F.broadcast(t) for t in form_tables(states.sparkSession))
     names = states.columns
     keyed = lexicon.keyed(states, "stem").join(nodes, ["fkey", "at"], "left")
-    open_ = keyed.select(*names, F.expr("IF(rest = '', 0, node)").alias("node"), F.substring("rest", 1, 1).alias("head"))
+    open_ = keyed.select(*names, F.expr("IF(rest = '', 0, node)").alias("node"), F.substring("rest", 1, 1).alias("head"), "fkey")
     whole = "startswith(rest, form)"
     narrow = f"right(form, 1) IN ('a', 'e') AND startswith(rest, substr(form, 1, length(form) - 1)) AND substr(rest, length(form), 4) RLIKE '^{NARROWED}$'"
     fits = f"{_allowed()} AND NOT (only_once AND array_contains(chain, suffix)) AND length(form) <= length(rest) AND ({whole} OR ({narrow}))"
-    met = open_.join(arcs, ["node", "head"]).where(f"form IS NULL OR ({fits})")
+    if lexicon.rules:
+        own = open_arcs(open_.where("rest <> ''").select("stem", "fkey", "at").distinct(), lexicon.rules)
+        closed = open_.join(arcs.where(F.col("suffix").isNull() | ~F.col("suffix").isin(list(lexicon.rules))), ["node", "head"])
+        columns = [*names, *own.columns[2:]]
+        met = closed.select(*columns).unionByName(open_.where("rest <> ''").join(own, ["stem", "at"]).select(*columns))
+    else:
+        met = open_.join(arcs, ["node", "head"])
+    met = met.where(f"form IS NULL OR ({fits})")
     new = {
         "rest": f"IF({whole}, substr(rest, length(form) + 1), substr(rest, length(form)))", "at": "target", "stem": "concat(stem, form)", "last_group": "grp",
         "path": "concat(path, array(arc, form_ord))", "chain": "concat(chain, array(suffix))", "makes": "concat(makes, array(target))", "forms": "concat(forms, array(form))",
@@ -107,6 +118,27 @@ def _stepped(states: DataFrame, lexicon: Lexicon) -> DataFrame:
     return met.selectExpr(*(f"IF(form IS NULL, {n}, {new[n]}) AS {n}" if n in new else n for n in names))
 
 
+def open_arcs(stems: DataFrame, rules: dict[str, StemRule]) -> DataFrame:
+    """Arcs whose forms are the user's: stem, at, and the columns of an arc, for distinct (stem, fkey, at)."""
+    own = [(start, target, s.id, s.name, s.group, s.unique, {"noun": 0, "verb": 1}[target] * 1000 + k) for start, target, k, s in arcs_in_order() if s.name in rules]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for stem, key, at in zip(*(c.to_pylist() for c in batch.columns)):
+                made: dict[str, list[str]] = {}
+                for start, *arc in own:
+                    if start == at:
+                        if arc[2] not in made:
+                            made[arc[2]] = list(rules[arc[2]](stem, stem_of(key)))
+                        rows += [(stem, at, *arc, k, form) for k, form in enumerate(made[arc[2]]) if form]
+            kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
+            names = ["stem", "at", "target", "suffix_id", "suffix", "grp", "only_once", "arc", "form_ord", "form"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
+
+    return stems.mapInArrow(run, f"stem string, at string, {_ARC.split(', ', 1)[1]}")
+
+
 def _once(step: DataFrame) -> DataFrame:
     """The first path (in search order) to a stem length, part of speech and chain stands for all."""
     same = step.groupBy("word", "start", "at", F.length("stem").alias("n"), "chain").agg(F.min_by(F.struct(*step.columns), "path").alias("s"))

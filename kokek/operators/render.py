@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kokek.functions.forms import form_lists, version
+from kokek.checkpoints import cut
+from kokek.functions.forms import StemRule, form_lists, stem_of, version
 from kokek.functions.lexicon import BROADCAST_WORDS, Lexicon
 from kokek.functions.suffixes import INTENSIFIER
 from kokek.operators import decompose as search
 from kokek.operators import rank
-from kokek.sources.text import files_in, fresh, tokenize, tokens_of
+from kokek.sources.text import files_in, fresh, read_tokens, tokenize, tokens_of, write_ordered
 
 
 def format_analysis(root: Column, chain: Column) -> Column:
@@ -27,16 +29,30 @@ def list_table(spark: SparkSession) -> DataFrame:
     """fkey, suffix, opts: all forms of each suffix after each kind of stem (a table of fixed size)."""
     key = f"{spark.sparkContext.applicationId}:{version()}"
     if key not in _tables:
-        _tables[key] = search.cut(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
+        _tables[key] = cut(spark.createDataFrame(form_lists(), "fkey string, suffix string, opts array<string>"))
     return _tables[key]
 
 
 def _offered(rows: DataFrame, lexicon: Lexicon, k: int) -> DataFrame:
     """Adds ``suffix``, the ``k``-th of the chain, and ``opts``, all its forms after ``stem``."""
     met = lexicon.keyed(rows, "stem").withColumn("suffix", F.expr(f"get(chain, {k})")).join(F.broadcast(list_table(rows.sparkSession)), ["fkey", "suffix"], "left")
+    if lexicon.rules:
+        own = open_forms(met.where(F.col("suffix").isin(list(lexicon.rules))).select("stem", "fkey", "suffix").distinct(), lexicon.rules)
+        met = met.join(own, ["stem", "suffix"], "left").withColumn("opts", F.coalesce("own", "opts")).drop("own")
     return met.withColumn("opts", F.expr(f"CASE WHEN suffix = '{INTENSIFIER}' THEN array(suffix) ELSE coalesce(opts, CAST(array() AS array<string>)) END"))
 
 
+def open_forms(stems: DataFrame, rules: dict[str, StemRule]) -> DataFrame:
+    """stem, suffix, own: what the user's rules give for distinct (stem, fkey, suffix)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [list(rules[suffix](stem, stem_of(key))) for stem, key, suffix in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(made, pa.list_(pa.string()))], ["stem", "suffix", "own"])
+
+    return stems.mapInArrow(run, "stem string, suffix string, own array<string>")
+
+
 def _longest(rows: DataFrame) -> int:
     return rows.agg(F.max(F.size("chain"))).first()[0] or 0
 
@@ -45,7 +61,7 @@ def gold_rows(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
     """word, cand_ord, root, suffixes (name, form, makes), final_pos: confirmed analyses as they are
     logged. A form is the suffix's first one after the stem so far, whatever the word shows; it
     is empty where the suffix has none."""
-    rows = search.cut(analyses.selectExpr("word", "cand_ord", "root", "chain", "makes", "final_pos", "root AS stem", "CAST(array() AS array<string>) AS made"))
+    rows = cut(analyses.selectExpr("word", "cand_ord", "root", "chain", "makes", "final_pos", "root AS stem", "CAST(array() AS array<string>) AS made"))
     for k in range(_longest(rows)):
         met = _offered(rows, lexicon, k).withColumn("form", F.expr("coalesce(get(opts, 0), '')"))
         rows = met.selectExpr("word", "cand_ord", "root", "chain", "makes", "final_pos", "concat(stem, form) AS stem", f"IF(size(chain) > {k}, array_append(made, form), made) AS made")
@@ -83,7 +99,7 @@ def segments(analyses: DataFrame, lexicon: Lexicon) -> DataFrame:
         f"IF(twice, array(substr(word, 1, {at} - 1)), CAST(array() AS array<string>)) AS shown", "IF(twice, array(chain[0]), CAST(array() AS array<string>)) AS names",
         "concat(root, IF(pos = 'verb', '-', '')) AS bare", f"IF(twice, array(concat(substr(word, 1, {at} - 1), root)), CAST(array() AS array<string>)) AS made",
     )
-    rows = search.cut(rows)
+    rows = cut(rows)
     carried = [c for c in rows.columns if c not in ("cursor", "stem", "shown", "names", "made")]
     for k in range(_longest(rows)):
         met = _offered(rows, lexicon, k)
@@ -125,7 +141,7 @@ Scorer = DataFrame | Callable[[DataFrame], DataFrame] | None
 
 def best_analyses(words: DataFrame, lexicon: Lexicon, weights: Scorer = None) -> DataFrame:
     """word, n, analysis: one analysis for each word that has any; only ambiguous words are ranked."""
-    found = search.cut(search.decompose(words, lexicon))
+    found = cut(search.decompose(words, lexicon))
     text = format_analysis(F.col("root"), F.col("chain")).alias("analysis")
     counts = found.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     if weights is None:  # all scores tie, so the first candidate wins
@@ -156,26 +172,54 @@ class Known:
     def best(self, words: DataFrame, search_new: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """word, analysis of the ``words`` that have one; ``search_new`` (word, analysis) is asked for words
         that are not kept yet, and not at all if there are none."""
-        words = search.cut(words.select("word").distinct())
-        new = search.cut(words.join(self.table(), "word", "left_anti"))
+        words = cut(words.select("word").distinct())
+        new = cut(words.join(self.table(), "word", "left_anti"))
         if not new.isEmpty():
             found = search_new(new).select("word", "analysis")
             new.join(found, "word", "left").select("word", "analysis").write.parquet(f"{self.path}/{fresh('words')}")
         return self.table().join(words, "word", "left_semi").dropDuplicates(["word"]).where("analysis IS NOT NULL")
 
 
-def annotate(docs: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> DataFrame:
-    """doc_id, value: every token by its best analysis (or itself), newline-joined in token order.
-    Each distinct token is analysed once, and one that is ``known`` not again; a document without tokens has
-    an empty value."""
-    tokens = tokenize(docs)
-    words = tokens.select(F.col("token").alias("word")).distinct()
+#: A token with at least one of so many places is frequent: there are at most as many such tokens.
+FREQUENT = 1000
+
+
+def _dealt(tokens: DataFrame, best: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens with ``hot`` (the analysis of a frequent one) and ``key``, by which the others are joined, and
+    the analyses of the others. A frequent token takes its analysis from a broadcast of at most FREQUENT
+    rows, and a key of its own at every place, so that no task gets all of its places."""
+    least = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) / FREQUENT).first()[0]
+    often = cut(counts.where(F.col("n") >= least).select("token").join(best, "token", "left").select(F.col("token").alias("named"), F.col("analysis").alias("hot"), F.lit(True).alias("often")))
+    met = tokens.join(F.broadcast(often), F.col("token") == F.col("named"), "left")
+    key = F.when(F.col("often"), F.concat(F.lit("\0"), F.xxhash64(*tokens.columns).cast("string"))).otherwise(F.col("token"))
+    return met.select(*tokens.columns, "hot", key.alias("key")), best.select(F.col("token").alias("key"), "analysis")
+
+
+def lines_of(tokens: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> DataFrame:
+    """The rows of ``tokens`` with ``line``, the best analysis of the token or itself. Each distinct token is
+    analysed once, and one that is ``known`` not again."""
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    words = counts.select(F.col("token").alias("word"))
     best = known.best(words, lambda new: best_analyses(new, lexicon, weights)) if known else best_analyses(words, lexicon, weights)
     # Only tokens that have an analysis are joined; few of a text's words, and broadcast while few.
-    met = search.cut(best.select(F.col("word").alias("token"), "analysis"))
-    small = met.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
-    lines = tokens.join(F.broadcast(met) if small else met, "token", "left").withColumn("line", F.coalesce("analysis", "token"))
+    met = cut(best.select(F.col("word").alias("token"), "analysis"))
+    if met.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return tokens.join(F.broadcast(met), "token", "left").withColumn("line", F.coalesce("analysis", "token")).select(*tokens.columns, "line")
+    dealt, rest = _dealt(tokens, met, counts)
+    return dealt.join(rest, "key", "left").select(*tokens.columns, F.coalesce("hot", "analysis", "token").alias("line"))
+
+
+def annotate(docs: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> DataFrame:
+    """doc_id, value: every token by its best analysis (or itself), newline-joined in token order; a document
+    without tokens has an empty value."""
+    lines = lines_of(tokenize(docs), lexicon, weights, known)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("value"))
     bare = docs.where(F.coalesce(F.size(tokens_of(F.col("text"))), F.lit(0)) <= 0).select("doc_id", F.lit("").alias("value"))
     return texts.unionByName(bare)
+
+
+def annotate_file(spark: SparkSession, path: str, out: str, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> None:
+    """Writes the tokens of a text file of any size by their best analyses, one a line, in order."""
+    lines = lines_of(read_tokens(spark, path), lexicon, weights, known)
+    write_ordered(lines.select("pos", F.col("line").alias("value")), out)

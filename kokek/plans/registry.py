@@ -27,8 +27,11 @@ from kokek.sources import text as source
 Query = Callable[[SparkSession, str], DataFrame]
 
 WORDS = """ev kitap kitabı burun burnu gelmek geliyor beklemek bekliyor mavi masmavi okul göz hał hal al almak evler
-evlerimizden okulumuzdakiler gelmeyecek arasında ası su suyu gözlükçü güzel güzelleşiyor araba arabadan brr git gidecek""".split()
-LISTED = "ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak gitmek".split()
+evlerimizden okulumuzdakiler gelmeyecek arasında ası su suyu gözlükçü güzel güzelleşiyor araba arabadan brr git gidecek
+ağaç ağacı ağaçlar rengi renkli ağzı ağızda oğlu oğul şehri şehirden aklı akılsız istiyor istemek söylüyor söyledi okuyor okudu yazıyor
+yazmak görüyoruz bilmiyorum veriyorlar oturuyorum ediyor yapıyor yaptı kıpkırmızı kırmızı bembeyaz beyaz dolu dopdolu""".split()
+LISTED = """ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak gitmek ağaç renk ağız oğul şehir akıl
+istemek söylemek okumak yazmak görmek bilmek vermek oturmak etmek yapmak kırmızı beyaz dolu""".split()
 #: Stems of every harmony, ending and length that a form rule can ask for; every other one is a verb.
 STEMS = [f"{a}{v}{b}" for a in ("", "b", "br") for v in ph.VOWELS for b in ("", "n", "l", "r", "k", "z", "di", "dı", "tu", "tü", "se", "sa", "me", "ma", "bin", "bın", "bun", "bün", "bi", "be")] + ["b", "br", "brk", "brl", "brn", "bdr"]
 
@@ -206,18 +209,6 @@ on_scores(
 )
 
 
-QUERIES["transition_matrix"] = lambda spark, sf_dir: spark.createDataFrame([(a, b, sx.may_follow(a, b)) for a in sx.GROUPS for b in sx.GROUPS], "last int, following int, valid boolean")
-_G = "(VALUES " + ", ".join(f"({g})" for g in sx.GROUPS) + ")"
-ORACLE_SQL["transition_matrix"] = f"""SELECT a.g AS last, b.g AS following, CASE WHEN a.g = 45 AND b.g <= 45 THEN true WHEN a.g = 10 AND b.g <= 10 THEN true WHEN a.g = 8 AND b.g <= 8 THEN true
-WHEN a.g = 35 AND b.g <> 45 THEN false WHEN b.g = 35 AND a.g NOT IN (10, 45, 30) THEN false WHEN a.g = 15 AND b.g < 50 THEN false WHEN b.g < a.g THEN false
-WHEN a.g = 50 AND b.g <> 60 THEN false WHEN a.g = b.g THEN a.g IN (10, 5, 50) ELSE true END AS valid FROM {_G} a(g) CROSS JOIN {_G} b(g)"""
-
-QUERIES["suffix_arcs"] = lambda spark, sf_dir: spark.createDataFrame([(a, b, k, s.id, s.name) for a, b, k, s in sx.arcs()], "start_pos string, target_pos string, arc_ord int, suffix_id int, name string")
-_S = "(VALUES " + ", ".join(f"({s.id}, '{s.list}', '{s.comes_to}', '{s.name}')" for s in sx.SUFFIXES) + ") s(id, list, comes_to, name)"
-_A = "(VALUES ('noun', 'noun', 'n2n', 'v2n'), ('noun', 'verb', 'n2v', 'v2v'), ('verb', 'noun', 'v2n', 'n2n'), ('verb', 'verb', 'v2v', 'n2v')) a(start_pos, target_pos, own, other)"
-ORACLE_SQL["suffix_arcs"] = f"SELECT start_pos, target_pos, CAST(row_number() OVER (PARTITION BY start_pos, target_pos ORDER BY list <> own, id) - 1 AS INTEGER) AS arc_ord, id AS suffix_id, name FROM {_A} JOIN {_S} ON list = own OR (list = other AND comes_to = 'both')"
-
-
 def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of numbers, and tokens as they are, for choosing among five."""
     made = "IF(pos % 4 = 0, token, concat(' ', pos % 7, IF(pos % 3 = 0, ',', '/'), length(token), '-', doc_id % 4, ' ', pos % 7))"
@@ -281,6 +272,49 @@ on_analyses(
 )
 
 
+def _steps(found: DataFrame) -> DataFrame:
+    """before (null at the first), name, start, target of each suffix of each analysis."""
+    step = "struct(IF(k > 0, chain[k - 1], null) AS before, chain[k] AS name, IF(k > 0, makes[k - 1], pos) AS start, makes[k] AS target)"
+    return found.where("size(chain) > 0").selectExpr(f"explode(transform(sequence(0, size(chain) - 1), k -> {step})) AS s").select("s.*")
+
+
+_DUCK_STEPS = "steps AS (SELECT CASE WHEN k > 1 THEN chain[k - 1] END AS before, chain[k] AS name, CASE WHEN k > 1 THEN makes[k - 1] ELSE pos END AS start, makes[k] AS target FROM (SELECT *, unnest(generate_series(1, len(chain))) AS k FROM analyses) x)"
+
+
+def transition_matrix(found: DataFrame, _: Lexicon) -> DataFrame:
+    """Which group may follow which, and how often it does in the analyses."""
+    spark = found.sparkSession
+    groups = F.broadcast(spark.createDataFrame([(s.name, s.group) for s in sx.SUFFIXES], "name string, grp int"))
+    pairs = _steps(found).where("before IS NOT NULL").join(groups.selectExpr("name AS before", "grp AS last"), "before").join(groups.withColumnRenamed("grp", "following"), "name")
+    valid = spark.createDataFrame([(a, b, sx.may_follow(a, b)) for a in sx.GROUPS for b in sx.GROUPS], "last int, following int, valid boolean")
+    return valid.join(pairs.groupBy("last", "following").agg(F.count(F.lit(1)).alias("n")), ["last", "following"], "left").fillna(0, ["n"])
+
+
+def suffix_arcs(found: DataFrame, _: Lexicon) -> DataFrame:
+    """The suffixes that lead from one part of speech to another, in order, and how often they do in the analyses."""
+    arcs = found.sparkSession.createDataFrame([(a, b, k, s.id, s.name) for a, b, k, s in sx.arcs()], "start_pos string, target_pos string, arc_ord int, suffix_id int, name string")
+    used = _steps(found).groupBy(F.col("start").alias("start_pos"), F.col("target").alias("target_pos"), "name").agg(F.count(F.lit(1)).alias("n"))
+    return arcs.join(used, ["start_pos", "target_pos", "name"], "left").fillna(0, ["n"])
+
+
+_G = "(VALUES " + ", ".join(f"({g})" for g in sx.GROUPS) + ")"
+_S = "(VALUES " + ", ".join(f"({s.id}, '{s.list}', '{s.comes_to}', '{s.name}', {s.group})" for s in sx.SUFFIXES) + ") s(id, list, comes_to, name, grp)"
+_A = "(VALUES ('noun', 'noun', 'n2n', 'v2n'), ('noun', 'verb', 'n2v', 'v2v'), ('verb', 'noun', 'v2n', 'n2n'), ('verb', 'verb', 'v2v', 'n2v')) a(start_pos, target_pos, own, other)"
+on_analyses(
+    "transition_matrix", transition_matrix,
+    f""", {_DUCK_STEPS}, met AS (SELECT x.grp AS last, y.grp AS following, count(*) AS n FROM steps JOIN {_S.replace(" s(", " x(")} ON x.name = before JOIN {_S.replace(" s(", " y(")} ON y.name = steps.name GROUP BY ALL)
+SELECT a.g AS last, b.g AS following, coalesce(n, 0) AS n, CASE WHEN a.g = 45 AND b.g <= 45 THEN true WHEN a.g = 10 AND b.g <= 10 THEN true WHEN a.g = 8 AND b.g <= 8 THEN true
+WHEN a.g = 35 AND b.g <> 45 THEN false WHEN b.g = 35 AND a.g NOT IN (10, 45, 30) THEN false WHEN a.g = 15 AND b.g < 50 THEN false WHEN b.g < a.g THEN false
+WHEN a.g = 50 AND b.g <> 60 THEN false WHEN a.g = b.g THEN a.g IN (10, 5, 50) ELSE true END AS valid FROM {_G} a(g) CROSS JOIN {_G} b(g) LEFT JOIN met ON met.last = a.g AND met.following = b.g""",
+)
+on_analyses(
+    "suffix_arcs", suffix_arcs,
+    f""", {_DUCK_STEPS}, used AS (SELECT start, target, name, count(*) AS n FROM steps GROUP BY ALL)
+SELECT start_pos, target_pos, CAST(row_number() OVER (PARTITION BY start_pos, target_pos ORDER BY list <> own, id) - 1 AS INTEGER) AS arc_ord, id AS suffix_id, s.name, coalesce(n, 0) AS n
+FROM {_A} JOIN {_S} ON list = own OR (list = other AND comes_to = 'both') LEFT JOIN used ON used.start = start_pos AND used.target = target_pos AND used.name = s.name""",
+)
+
+
 def ambiguity(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Words by their number of analyses."""
     n = words.join(search.decompose(words, lexicon).groupBy("word").agg(F.count(F.lit(1)).alias("n")), "word", "left")
@@ -368,6 +402,28 @@ def fit_weights(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return found, rank.fit(found, labels)
 
 
+def gradient_steps(found: DataFrame, _: Lexicon) -> DataFrame:
+    """Weights after two gradient steps of the training that ``fit`` goes on with."""
+    labels = gold_match(found, confirmed(found)).where("gold_ord = 0").select("word", "cand_ord")
+    return rank.fit(found, labels, steps=2).select("feature", F.round("weight", 6).alias("weight"))
+
+
+def _step_sql(k: int) -> str:
+    """The ``k``-th step: scores, probabilities and slopes of candidates, then weights, unless all margins hold."""
+    return f"""scored{k} AS (SELECT word, cand_ord, any_value(label) AS label, sum(weight) AS score FROM used JOIN w{k} USING (feature) GROUP BY 1, 2),
+soft{k} AS (SELECT word, cand_ord, label, exp(score / 0.7) / sum(exp(score / 0.7)) OVER (PARTITION BY word) AS p FROM scored{k}),
+done{k} AS (SELECT bool_and(coalesce(good > other + 0.5, good IS NOT NULL)) AS ok FROM (SELECT max(score) FILTER (label = 1) AS good, max(score) FILTER (label = 0) AS other FROM scored{k} GROUP BY word) x),
+w{k + 1} AS (SELECT feature, weight - CASE WHEN (SELECT ok FROM done{k}) THEN 0 ELSE 0.5 * g END AS weight FROM w{k} JOIN (SELECT feature, sum(p - soft{k}.label) AS g FROM used JOIN soft{k} USING (word, cand_ord) GROUP BY 1) x USING (feature))"""
+
+
+on_analyses(
+    "gradient_steps", gradient_steps,
+    f""", first AS (SELECT g.word, min(a.cand_ord) AS right_ord FROM ({_CONFIRMED.format("analyses")}) g JOIN analyses a ON a.word = g.word AND a.root = g.root AND a.chain = g.names WHERE g.gold_ord = 0 GROUP BY 1),
+used AS (SELECT word, cand_ord, CASE WHEN cand_ord = right_ord THEN 1 ELSE 0 END AS label, unnest(list_concat(list_transform(chain, lambda c: concat('1:', c)), list_concat(
+    list_transform(generate_series(2, len(chain)), lambda k: concat('2:', chain[k - 1], '+', chain[k])), [concat('n:', len(chain)), concat('r:', length(root))]))) AS feature FROM analyses JOIN first USING (word)),
+w0 AS (SELECT DISTINCT feature, CAST(0 AS DOUBLE) AS weight FROM used), {_step_sql(0)}, {_step_sql(1)}
+SELECT feature, round(weight, 6) AS weight FROM w2""",
+)
 QUERIES["fit"] = lambda spark, sf_dir: fit_weights(spark, sf_dir)[1]
 QUERIES["trained_score"] = lambda spark, sf_dir: rank.score(*fit_weights(spark, sf_dir))
 

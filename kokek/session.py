@@ -16,7 +16,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import rules
+from kokek.functions.forms import StemRule
+from kokek.functions.forms import rules as rules_in_force
 from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
 from kokek.operators import neural, rank, render
@@ -50,12 +51,13 @@ def pruned(words: DataFrame, gone: DataFrame, lexicon: Lexicon) -> DataFrame:
 class Session:
     """State under ``folder`` (shared by all executors): lexicon/, gold/, known/, and linear/ or neural/."""
 
-    def __init__(self, spark: SparkSession, folder: str, words: DataFrame | None = None, ranker: str = "linear", shape: neural.Shape = neural.Shape()):
+    def __init__(self, spark: SparkSession, folder: str, words: DataFrame | None = None, ranker: str = "linear", shape: neural.Shape = neural.Shape(), rules: dict[str, StemRule] | None = None):
         """Opens a folder; ``words`` (column word) becomes the first dictionary of a new one. Every mode uses
-        the ranker named, ``linear`` or ``neural``; the two keep their snapshots apart."""
+        the ranker named, ``linear`` or ``neural``; the two keep their snapshots apart. ``rules`` are form
+        rules of the user's, as ``Lexicon`` takes them."""
         if ranker not in ("linear", "neural"):
             raise ValueError(f"no such ranker: {ranker}")
-        self.spark, self.folder, self.ranker, self.shape = spark, folder, ranker, shape
+        self.spark, self.folder, self.ranker, self.shape, self.rules = spark, folder, ranker, shape, rules
         if words is not None and self._last("lexicon") < 0:
             words.select("word").write.text(f"{folder}/lexicon/0")
         self.reload()
@@ -70,7 +72,7 @@ class Session:
 
     def reload(self) -> None:
         """Reads the newest dictionary."""
-        self.lexicon = Lexicon(self.words())
+        self.lexicon = Lexicon(self.words(), self.rules)
 
     def _snapshot(self) -> DataFrame | None:
         """The newest snapshot of the ranker: part, name, shape, data, number."""
@@ -109,7 +111,7 @@ class Session:
 
     def known(self) -> render.Known:
         """Best analyses kept for the present dictionary, ranker and form rules."""
-        version = f"lexicon-{self._last('lexicon')}-{self.ranker}-{self._last(self.ranker)}-{rules()}"
+        version = f"lexicon-{self._last('lexicon')}-{self.ranker}-{self._last(self.ranker)}-{rules_in_force()}-{self.lexicon.rules_name}"
         return render.Known(self.spark, f"{self.folder}/known", version)
 
     def gold(self) -> DataFrame:
@@ -215,6 +217,10 @@ class Session:
         """doc_id, value: texts annotated by the best analyses; words that were searched before are not again."""
         return render.annotate(docs, self.lexicon, self.scorer(), self.known())
 
+    def sample_file(self, path: str, out: str) -> None:
+        """Annotates a text file, or all files of a folder, of any size: one token a line, in order."""
+        render.annotate_file(self.spark, path, out, self.lexicon, self.scorer(), self.known())
+
     def stream(self, docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         """Annotates a stream of documents as ``sample`` does, with the dictionary and ranker it begins with."""
         return annotate_stream(docs, self.lexicon, path, checkpoint, self.scorer(), self.known())
@@ -223,6 +229,18 @@ class Session:
         """How many examples the ranker has been trained on."""
         return int(self._number("count") or 0)
 
+    def snapshot(self) -> int:
+        """The number of the ranker's newest snapshot, -1 before any training."""
+        return self._last(self.ranker)
+
+    def discard(self, number: int) -> int:
+        """Removes the ranker's snapshots after ``number``, so that what was learnt since is forgotten, and
+        returns how many there were. Logged analyses and the dictionary stay."""
+        gone = range(number + 1, self.snapshot() + 1)
+        for k in reversed(gone):  # the newest first: those that are left are whole at any moment
+            source.remove(self.spark, f"{self.folder}/{self.ranker}/{k}")
+        return len(gone)
+
     def auto(self, choose: Callable[[DataFrame], DataFrame], n: int, seed: int = 0) -> DataFrame:
         """Draws ``n`` dictionary words, trains on what ``choose`` picks (word, cand_ord) of their scored
         analyses, and returns one row: words_processed, words_deleted, words_skipped. Words that

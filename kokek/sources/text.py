@@ -6,9 +6,11 @@ import re
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kokek.checkpoints import cut
+
 #: ASCII punctuation other than the apostrophe, which is deleted; Unicode blanks.
 PUNCTUATION = r"""[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"""
 BLANKS = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
@@ -48,6 +50,30 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.lit(0).cast("long").alias("doc_id"), F.col("value").alias("text"))
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """pos (from 0), token of a text file or of all files of a folder in the order of their names. Files are
+    read in splits by all cores: tokens are counted for each split, whose place in the file Spark knows, and
+    sums of the counts before it give the positions."""
+    lines = read_lines(spark, path)
+    if "value" not in lines.columns or not lines.inputFiles():
+        return spark.createDataFrame([], "pos long, token string")
+    at = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    own = at.select("file", "block", "line", tokens_of(F.col("value")).alias("tokens")).where("size(tokens) > 0")
+    # A row for each split; a window over them sees as many rows as there are splits.
+    splits = own.groupBy("file", "block").agg(F.sum(F.size("tokens")).alias("n"), F.min("line").alias("least"))
+    before = F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1))
+    splits = cut(splits.select("file", "block", F.coalesce(before, F.lit(0)).alias("before")))
+    inside = F.coalesce(F.sum(F.size("tokens")).over(Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begun = own.withColumn("inside", inside).join(F.broadcast(splits), ["file", "block"])
+    return begun.select((F.col("before") + F.col("inside")).alias("begin"), F.posexplode("tokens").alias("k", "token")).select((F.col("begin") + F.col("k")).alias("pos"), "token")
+
+
+def write_ordered(lines: DataFrame, path: str) -> None:
+    """Writes ``value`` in the order of ``pos``: part files follow each other by their names."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, "pos").sortWithinPartitions("pos").select("value").write.mode("overwrite").text(path)
+
+
 def parse_gold(lines: DataFrame) -> DataFrame:
     """Gold rows of JSON lines in ``value``; blank and malformed ones are skipped, missing suffixes
     are an empty list."""
