@@ -60,7 +60,7 @@ def run(session: Session, line: str) -> list[str]:
         return _table(_options(session, drawn).select("word", "line"))
     if name == "relearn" and not rest:
         r = session.relearn().first()
-        return ["batch training complete", f"trained: {r.n_matched}", f"skipped: {r.n_skipped}", f"final loss: {session.stats().first().latest}", f"examples so far: {session.count()}"]
+        return [f"trained: {r.n_matched}", f"skipped: {r.n_skipped}", f"final loss: {session.stats().first().latest}", f"examples so far: {session.count()}", "batch training complete"]
     if name == "sample" and len(rest) == 2:
         session.sample_file(rest[0], rest[1])
         return [f"written: {rest[1]}"]
