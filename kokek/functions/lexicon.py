@@ -11,7 +11,7 @@ prefixes that some entry could be are made, so that a long word costs no more th
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,10 +39,8 @@ def _flag_table(words: DataFrame) -> DataFrame:
     return every.groupBy("word").agg(*(F.bool_or(k).alias(k) for k in kinds))
 
 
-def _surface_table(flags: DataFrame) -> DataFrame:
-    """surface, cand_ord, lemma, noun, verb: what a stem that is no root may stand for. The surfaces
-    that can lead to a root are made from it; what each leads to follows the rules forwards."""
-    roots = flags.where("(noun OR verb) AND length(word) > 0").select("word")
+def _shown(roots: DataFrame) -> DataFrame:
+    """surface: what the roots in ``word``, altered, can show, and those roots themselves."""
     tail = ph.last("word")
     voiced = roots.selectExpr(
         f"explode(concat(array(word), transform(split(CASE {tail} WHEN 'p' THEN 'b' WHEN 'ç' THEN 'c' WHEN 't' THEN 'd' WHEN 'k' THEN 'ğ,g' ELSE '' END, ','),"
@@ -50,14 +48,28 @@ def _surface_table(flags: DataFrame) -> DataFrame:
     ).where("surface <> ''")
     dropped = voiced.where(f"length(surface) > 2 AND substr(surface, -2, 1) IN {ph.listed('ıiuü')}").selectExpr(f"concat(substr(surface, 1, length(surface) - 2), {ph.last('surface')}) AS surface")
     shorter = roots.where(f"{tail} IN ('a', 'e')").selectExpr(f"{ph.cut_last('word')} AS surface")
-    surfaces = voiced.unionByName(dropped).unionByName(shorter).where("surface <> ''").distinct()
+    return voiced.unionByName(dropped).unionByName(shorter).where("surface <> ''").distinct()
+
+
+def _candidates(surfaces: DataFrame) -> DataFrame:
+    """surface, cand_ord, lemma: every text that a surface may stand for, be it a root or not."""
     made = ", ".join(f"CASE WHEN {ok} THEN named_struct('cand_ord', {k}, 'lemma', {lemma}) END" for k, (ok, lemma) in enumerate(ph.root_candidates("surface")))
-    led = surfaces.selectExpr("surface", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS c").select("surface", "c.*")
+    return surfaces.selectExpr("surface", f"explode(filter(array({made}), x -> x IS NOT NULL)) AS c").select("surface", "c.*")
+
+
+def _led(candidates: DataFrame, flags: DataFrame) -> DataFrame:
+    """The candidates that are roots, of surfaces that are none."""
     known = flags.where("noun OR verb")
-    led = led.join(known.select(F.col("word").alias("surface")), "surface", "left_anti")
+    led = candidates.join(known.select(F.col("word").alias("surface")), "surface", "left_anti")
     return led.join(known.select(F.col("word").alias("lemma"), "noun", "verb"), "lemma").select("surface", "cand_ord", "lemma", "noun", "verb")
 
 
+def _surface_table(flags: DataFrame) -> DataFrame:
+    """surface, cand_ord, lemma, noun, verb: what a stem that is no root may stand for. The surfaces
+    that can lead to a root are made from it; what each leads to follows the rules forwards."""
+    return _led(_candidates(_shown(flags.where("(noun OR verb) AND length(word) > 0").select("word"))), flags)
+
+
 def _profile_table(flags: DataFrame, surfaces: DataFrame) -> DataFrame:
     """kind (root or surface), head (the first two letters, or the only one), lengths."""
     texts = flags.where("(noun OR verb) AND word <> ''").selectExpr("'root' AS kind", "word AS text")
@@ -65,6 +77,50 @@ def _profile_table(flags: DataFrame, surfaces: DataFrame) -> DataFrame:
     return texts.groupBy("kind", F.substring("text", 1, 2).alias("head")).agg(F.array_sort(F.collect_set(F.length("text"))).alias("lengths"))
 
 
+#: The tables, what makes each of the words and the tables before it, and the columns that name its rows.
+MADE: dict[str, Callable[[DataFrame, dict[str, DataFrame]], DataFrame]] = {
+    "flags": lambda words, made: _flag_table(words),
+    "surfaces": lambda words, made: _surface_table(made["flags"]),
+    "profile": lambda words, made: _profile_table(made["flags"], made["surfaces"]),
+}
+KEYS = {"flags": ["word"], "surfaces": ["surface"], "profile": ["kind", "head"]}
+
+
+def overlaid(table: DataFrame, keys: DataFrame, rows: DataFrame) -> DataFrame:
+    """``table`` with ``rows`` in place of those of its rows that ``keys``, a small table, names."""
+    return table.join(F.broadcast(keys), keys.columns, "left_anti").unionByName(rows)
+
+
+def changes(left: DataFrame, gone: DataFrame, tables: dict[str, DataFrame]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """What the tables of a dictionary become when the words in ``gone`` leave it and those in ``left``
+    stay: for each table the keys whose rows may change, and those keys' new rows. Both are as small as
+    ``gone``, and are broadcast: ``left`` and ``tables`` are read, but neither shuffled nor written.
+
+    A word decides on itself, on the stem that it is the infinitive of and on the text that it writes with a
+    soft l; each text on the surfaces that it can show; and both on the lengths under their first letters.
+    """
+    near = lambda table, keys: table.join(F.broadcast(keys), keys.columns, "left_semi")
+    decided = f"filter(array(word, CASE WHEN word LIKE '%ł' THEN concat({ph.cut_last('word')}, 'l') END, CASE WHEN word LIKE '%mak' OR word LIKE '%mek' THEN substr(word, 1, length(word) - 3) END), x -> x IS NOT NULL)"
+    texts = cut(gone.selectExpr(f"explode({decided}) AS word").distinct())
+    asked = texts.selectExpr(f"explode(array(word, concat(word, 'mak'), concat(word, 'mek'), CASE WHEN word LIKE '%l' THEN concat({ph.cut_last('word')}, 'ł') ELSE word END)) AS word").distinct()
+    flags = cut(near(_flag_table(near(left, asked)), texts))
+    now = {"flags": overlaid(tables["flags"], texts, flags)}
+
+    written = texts.where("word <> ''")
+    shown = cut(_shown(written).unionByName(written.select(F.col("word").alias("surface"))).distinct())
+    candidates = cut(_candidates(shown))
+    met = shown.select(F.col("surface").alias("word")).unionByName(candidates.select(F.col("lemma").alias("word"))).distinct()
+    surfaces = cut(_led(candidates, cut(near(now["flags"], met))))
+    now["surfaces"] = overlaid(tables["surfaces"], shown, surfaces)
+
+    head = lambda text: F.substring(text, 1, 2).alias("head")
+    heads = written.select(F.lit("root").alias("kind"), head("word")).unionByName(shown.select(F.lit("surface").alias("kind"), head("surface")))
+    heads = cut(heads.distinct())
+    own = {"flags": "word", "surfaces": "surface"}
+    under = [near(now[name].withColumn("head", head(text)), heads.select("head").distinct()).drop("head") for name, text in own.items()]
+    return {"flags": (texts, flags), "surfaces": (shown, surfaces), "profile": (heads, near(_profile_table(*under), heads))}
+
+
 def _free(rows: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``rows`` does not have."""
     taken = {c.lower() for c in rows.columns}
@@ -85,9 +141,11 @@ class Lexicon:
     and features that give its forms in order. Searches and rendering with this dictionary ask them, in
     Arrow batches over distinct stems, in place of the suffixes' own rules; so they have to be functions
     that can be sent to the executors.
+
+    ``tables`` gives a table by its name where it is kept elsewhere; it is then not made here.
     """
 
-    def __init__(self, words: Iterable[str] | DataFrame, rules: dict[str, StemRule] | None = None):
+    def __init__(self, words: Iterable[str] | DataFrame, rules: dict[str, StemRule] | None = None, tables: Callable[[str], DataFrame] | None = None):
         unknown = set(rules or {}) - set(BY_NAME)
         if unknown:
             raise KeyError(", ".join(sorted(unknown)))
@@ -95,6 +153,7 @@ class Lexicon:
         #: By what name results under these rules can be kept.
         self.rules_name = f"stems-{uuid.uuid4().hex}" if rules else "closed"
         self._words = words if isinstance(words, DataFrame) else sorted({w.strip() for w in words if w.strip()})
+        self._tables = tables
         self._held: dict[tuple[str, str], tuple[DataFrame, bool]] = {}
 
     def _table(self, name: str) -> tuple[DataFrame, bool]:
@@ -103,13 +162,11 @@ class Lexicon:
         spark = self._words.sparkSession if frame else SparkSession.getActiveSession()
         key = spark.sparkContext.applicationId, name
         if key not in self._held:
-            if name == "flags":
-                made = _flag_table(self._words if frame else spark.createDataFrame([(w,) for w in self._words], "word string"))
-            elif name == "surfaces":
-                made = _surface_table(self._table("flags")[0])
+            if self._tables is not None:
+                made = self._tables(name)
             else:
-                made = _profile_table(self._table("flags")[0], self._table("surfaces")[0])
-            made = cut(made)
+                before = {k: self._table(k)[0] for k in list(MADE)[: list(MADE).index(name)]}
+                made = cut(MADE[name](self._words if frame else spark.createDataFrame([(w,) for w in self._words], "word string"), before))
             self._held[key] = made, made.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
         return self._held[key]
 

@@ -1,8 +1,8 @@
 """A working session: a dictionary, confirmed analyses and a ranker kept in one folder.
 
-Every mode takes and gives DataFrames. The dictionary is kept as numbered snapshots that are never
-overwritten, so that running queries and lost tasks can read the one they began with. So is the ranker:
-weights, the optimiser's moments, how far training has come, the loss and the counter of examples are one
+Every mode takes and gives DataFrames. The dictionary is kept as numbered outputs that are never
+overwritten (``kokek.sources.dictionary``), so that running queries and lost tasks can read what they began
+with. So is the ranker: weights, the optimiser's moments, how far training has come, the loss and the counter of examples are one
 output of one job, which counts once it is complete, so that no failure leaves them apart.
 """
 
@@ -22,6 +22,7 @@ from kokek.functions.lexicon import Lexicon
 from kokek.operators import decompose as search
 from kokek.operators import neural, rank, render
 from kokek.sources import text as source
+from kokek.sources.dictionary import Dictionary
 from kokek.streaming.annotate import annotate_stream
 
 #: Passes of ``relearn`` over all logged words, and chunks of words between two steps of the neural ranker.
@@ -49,7 +50,7 @@ def pruned(words: DataFrame, gone: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 class Session:
-    """State under ``folder`` (shared by all executors): lexicon/, gold/, known/, and linear/ or neural/."""
+    """State under ``folder`` (shared by all executors): lexicon/, tables/, log/, gold/, known/, and linear/ or neural/."""
 
     def __init__(self, spark: SparkSession, folder: str, words: DataFrame | None = None, ranker: str = "linear", shape: neural.Shape = neural.Shape(), rules: dict[str, StemRule] | None = None):
         """Opens a folder; ``words`` (column word) becomes the first dictionary of a new one. Every mode uses
@@ -58,21 +59,21 @@ class Session:
         if ranker not in ("linear", "neural"):
             raise ValueError(f"no such ranker: {ranker}")
         self.spark, self.folder, self.ranker, self.shape, self.rules = spark, folder, ranker, shape, rules
-        if words is not None and self._last("lexicon") < 0:
-            words.select("word").write.text(f"{folder}/lexicon/0")
+        self.dictionary = Dictionary(spark, folder)
+        if words is not None:
+            self.dictionary.create(words)
         self.reload()
 
     def _last(self, part: str) -> int:
         """The number of the newest complete snapshot, -1 without one."""
-        names = [path.rsplit("/", 1)[-1] for path in source.files_in(self.spark, f"{self.folder}/{part}")]
-        return max((int(n) for n in names if n.isdigit()), default=-1)
+        return source.last_output(self.spark, f"{self.folder}/{part}")
 
     def words(self) -> DataFrame:
-        return source.read_lexicon(self.spark, f"{self.folder}/lexicon/{max(self._last('lexicon'), 0)}")
+        return self.dictionary.words()
 
     def reload(self) -> None:
         """Reads the newest dictionary."""
-        self.lexicon = Lexicon(self.words(), self.rules)
+        self.lexicon = self.dictionary.lexicon(self.rules)
 
     def _snapshot(self) -> DataFrame | None:
         """The newest snapshot of the ranker: part, name, shape, data, number."""
@@ -111,7 +112,7 @@ class Session:
 
     def known(self) -> render.Known:
         """Best analyses kept for the present dictionary, ranker and form rules."""
-        version = f"lexicon-{self._last('lexicon')}-{self.ranker}-{self._last(self.ranker)}-{rules_in_force()}-{self.lexicon.rules_name}"
+        version = f"lexicon-{self.dictionary.version()}-{self.ranker}-{self._last(self.ranker)}-{rules_in_force()}-{self.lexicon.rules_name}"
         return render.Known(self.spark, f"{self.folder}/known", version)
 
     def gold(self) -> DataFrame:
@@ -186,13 +187,10 @@ class Session:
         return outcome
 
     def delete(self, gone: DataFrame, infinitives: bool = False) -> int:
-        """Writes a dictionary without the words in ``gone`` that it has (and those words' infinitives) and
-        returns by how many it is smaller."""
-        old = self.words()
-        hit = search.cut(pruned(old, gone, self.lexicon) if infinitives else old.join(gone.select("word"), "word", "left_semi"))
-        n = hit.count()
+        """Takes the words in ``gone`` that the dictionary has (and those words' infinitives) out of it and
+        returns by how many it is smaller. Only rows that depend on them are written."""
+        n = self.dictionary.delete(pruned(self.words(), gone, self.lexicon) if infinitives else gone)
         if n:
-            source.delete_words(old, hit).write.text(f"{self.folder}/lexicon/{self._last('lexicon') + 1}")
             self.reload()
         return n
 

@@ -118,6 +118,12 @@ def files_in(spark: SparkSession, folder: str) -> list[str]:
     return sorted(str(p) for p in found if files.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
+def last_output(spark: SparkSession, folder: str) -> int:
+    """The greatest number that names a complete output in a folder, -1 without one."""
+    names = [path.rsplit("/", 1)[-1] for path in files_in(spark, folder)]
+    return max((int(n) for n in names if n.isdigit()), default=-1)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
