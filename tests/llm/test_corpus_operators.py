@@ -9,6 +9,7 @@ from tests.llm import cases
 
 from kokek.llm import blocks, lm_scores, near_dedup, substrings
 from kokek.llm.queries import QUERIES
+from kokek.llm.textkit import Words, flat
 
 SF = "/root/testdata/sf0.01"
 
@@ -187,6 +188,21 @@ def test_maximal_repeats_against_all_pairs(spark):
     assert substrings.trees(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("bins", [16, 1 << 20])
+def test_heavy_prefixes_against_counters(spark, rows, bins):
+    """Also where a task touches few of very many bins, so that it does not hold a counter for each."""
+    texts = [text or "" for _, text in rows[:200]]
+    batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
+    w = Words(*flat(batch.column(0)))
+    h = w.hashes()
+    _, keep = substrings.windows(h, w, substrings.WIDTH)
+    heavy = substrings.heavy_prefixes(spark.createDataFrame([(t,) for t in texts], "text string"), bins, 2)
+    every = np.arange(bins)
+    for level in substrings.LEVELS:
+        n = np.bincount(substrings._bins(h, w, level, keep, bins), minlength=bins)
+        assert (heavy[level](every) == (n > 2)).all() and (n > 2).any()
+
+
 def test_substrings_odd_rows(odd, none):
     got = substrings.dedup(odd).collect()
     assert len(got) == len(cases.ODD) and {r.n_removed for r in got} == {0}
