@@ -30,6 +30,8 @@ WIDTH = 13
 LEVELS = (1, 2, 4)
 #: Suffixes of one group; heavier prefixes are made longer.
 GROUP = 1_000_000
+#: Counters of prefixes that a task holds at once.
+HELD = 1 << 20
 NEVER = (1 << 63) - 1
 
 _MASK = np.uint64((1 << 63) - 1)
@@ -55,24 +57,28 @@ class Heavy:
 
 
 def heavy_prefixes(docs: DataFrame, bins: int, group: int = GROUP) -> Heavy:
-    """For each prefix length, whether the suffixes of a hashed prefix are too many for a group. Tasks send
-    the bins that a batch touches and Spark adds them up, so that no task holds a counter for every bin."""
+    """For each prefix length, whether the suffixes of a hashed prefix are too many for a group. Tasks add up
+    the bins that their texts touch and send them once they hold ``HELD``; no task has a counter for every bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 w = Words(*flat(part.column(0)))
                 h = w.hashes()
                 _, keep = windows(h, w, WIDTH)
-                for level in LEVELS:
-                    own = _bins(h, w, level, keep, bins)
-                    if bins <= len(own):  # a counter for each is smaller than the batch itself
-                        n = np.bincount(own, minlength=bins)
-                        at = np.flatnonzero(n)
-                        n = n[at]
-                    else:
-                        at, n = np.unique(own, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), level)), pa.array(at), pa.array(n)], ["level", "bin", "n"])
+                # Bins of all levels in one numbering.
+                own = np.concatenate([_bins(h, w, level, keep, bins) + k * bins for k, level in enumerate(LEVELS)])
+                new, first = np.unique(own, return_counts=True)
+                at, where = np.unique(np.concatenate([at, new]), return_inverse=True)
+                n = np.bincount(where, np.concatenate([n, first]), len(at)).astype(np.int64)
+                if len(at) > HELD:
+                    yield counted(at, n)
+                    at, n = at[:0], n[:0]
+        yield counted(at, n)
+
+    def counted(at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array(LEVELS)[at // bins]), pa.array(at % bins), pa.array(n)], ["level", "bin", "n"])
 
     counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "level long, bin long, n long")
     # At most the number of words divided by ``group`` are heavy, for each level.

@@ -188,9 +188,10 @@ def test_maximal_repeats_against_all_pairs(spark):
     assert substrings.trees(docs.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("bins", [16, 1 << 20])
-def test_heavy_prefixes_against_counters(spark, rows, bins):
-    """Also where a task touches few of very many bins, so that it does not hold a counter for each."""
+@pytest.mark.parametrize(("bins", "held"), [(16, 1 << 20), (1 << 20, 1 << 20), (1 << 20, 100)])
+def test_heavy_prefixes_against_counters(spark, rows, monkeypatch, bins, held):
+    """Also where a task touches few of very many bins, and where it sends its counters several times."""
+    monkeypatch.setattr(substrings, "HELD", held)
     texts = [text or "" for _, text in rows[:200]]
     batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
     w = Words(*flat(batch.column(0)))
