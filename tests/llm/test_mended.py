@@ -32,6 +32,20 @@ def test_quality_keeps_rows_of_languages_without_text(spark):
     assert names == {"", "\0", "\0\0"} == {quality.lang_key(x) for x in ("", None, "\0")}
 
 
+def test_quality_prunes_nothing_whatever_the_broadcast_holds(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(spark.createDataFrame([(-1, None, None), (-2, "xx", "")], "doc_id long, lang string, text string"), allowMissingColumns=True)
+    rows = lambda: sorted(map(tuple, quality.quality(docs).collect()))
+    want, kept = rows(), sorted(r.doc_id for r in quality.passing(docs).collect())
+    assert kept == sorted(r[0] for r in want if r[7])
+    kept_grams = quality.kept_grams  # pruning, as beyond MODEL_GRAMS, must not reach the verdicts
+    monkeypatch.setattr(quality, "kept_grams", lambda grams, limit=0: kept_grams(grams, 1500))
+    assert rows() == want
+    for held in (0, 3000):  # n-grams whose scores are broadcast; all others are joined
+        monkeypatch.setattr(quality, "HELD_SCORES", held)
+        assert rows() == want
+        assert sorted(r.doc_id for r in quality.passing(docs).collect()) == kept
+
+
 def subset_sum(lengths, counts, budget):
     reach = {0}
     for length, n in zip(lengths, counts):
