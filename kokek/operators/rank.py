@@ -20,10 +20,24 @@ def encode_chain(chain: Column, makes: Column, compat: bool = False) -> Column:
 
 def pad_batch(rows: DataFrame, ids: str = "ids") -> DataFrame:
     """Right-pads id arrays with 0 to the longest one, with the mask of padded places."""
+    wide, missing = _widened(rows, ids), F.col("missing")
+    mask = F.concat(F.array_repeat(F.lit(False), F.size(ids)), F.array_repeat(F.lit(True), missing))
+    return wide.withColumns({"padded": F.concat(F.col(ids), F.array_repeat(F.lit(0), missing)), "mask": mask}).drop("missing")
+
+
+def _widened(rows: DataFrame, ids: str) -> DataFrame:
+    """``rows`` with ``missing``, how many places an id array has less than the longest one."""
     longest = rows.agg(F.coalesce(F.max(F.size(ids)), F.lit(0)).alias("width"))
     wide = rows.crossJoin(F.broadcast(longest))  # one row
-    fill = F.array_repeat(F.lit(0), (F.col("width") - F.size(ids)).cast("int"))
-    return wide.withColumns({"padded": F.concat(F.col(ids), fill), "mask": F.expr(f"transform(concat({ids}, array_repeat(0, int(width - size({ids})))), (x, i) -> i >= size({ids}))")}).drop("width")
+    return wide.withColumn("missing", (F.col("width") - F.size(ids)).cast("int")).drop("width")
+
+
+def pad_text(rows: DataFrame, ids: str = "ids") -> DataFrame:
+    """The padded ids as text (``padded``, comma-joined) and the number of padded places (``n_masked``): what
+    ``pad_batch`` gives, written without an array of the full width for each row."""
+    zeros = F.expr("repeat(',0', missing)")
+    text = F.when(F.size(ids) > 0, F.concat(F.array_join(F.col(ids).cast("array<string>"), ","), zeros)).otherwise(F.substring(zeros, 2, 2**31 - 1))
+    return _widened(rows, ids).withColumns({"padded": text, "n_masked": F.col("missing").cast("long")}).drop("missing")
 
 
 def best_per_word(scored: DataFrame) -> DataFrame:
