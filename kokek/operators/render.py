@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -199,20 +200,60 @@ def lines_of(tokens: DataFrame, lexicon: Lexicon, weights: Scorer = None, known:
     """The rows of ``tokens`` with ``line``, the best analysis of the token or itself. Each distinct token is
     analysed once, and one that is ``known`` not again."""
     counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")))
-    words = counts.select(F.col("token").alias("word"))
-    best = known.best(words, lambda new: best_analyses(new, lexicon, weights)) if known else best_analyses(words, lexicon, weights)
+    met = _analysed(counts.select(F.col("token").alias("word")), lexicon, weights, known)
     # Only tokens that have an analysis are joined; few of a text's words, and broadcast while few.
-    met = cut(best.select(F.col("word").alias("token"), "analysis"))
     if met.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
         return tokens.join(F.broadcast(met), "token", "left").withColumn("line", F.coalesce("analysis", "token")).select(*tokens.columns, "line")
+    return _joined(tokens, met, counts)
+
+
+def _analysed(words: DataFrame, lexicon: Lexicon, weights: Scorer, known: Known | None) -> DataFrame:
+    """token, analysis of the ``words`` that have any."""
+    best = known.best(words, lambda new: best_analyses(new, lexicon, weights)) if known else best_analyses(words, lexicon, weights)
+    return cut(best.select(F.col("word").alias("token"), "analysis"))
+
+
+def _joined(tokens: DataFrame, met: DataFrame, counts: DataFrame) -> DataFrame:
     dealt, rest = _dealt(tokens, met, counts)
     return dealt.join(rest, "key", "left").select(*tokens.columns, F.coalesce("hot", "analysis", "token").alias("line"))
 
 
-def annotate(docs: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None) -> DataFrame:
+#: Documents in one Arrow batch.
+ARROW_DOCS = 512
+
+
+def _written(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """doc_id, value of every document, from a broadcast of the few analyses: no text is shuffled."""
+    spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_DOCS))
+    held = met.toArrow().combine_chunks()  # BROADCAST_WORDS at most
+    shared = spark.sparkContext.broadcast([pa.concat_arrays(held.column(name).chunks or [pa.array([], pa.string())]) for name in ("token", "analysis")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, analyses = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            tokens = lists.flatten()
+            lines = pc.coalesce(analyses.take(pc.index_in(tokens, words)), tokens)
+            ends = pc.cumulative_sum(pc.list_value_length(lists))
+            at = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pc.binary_join(pa.ListArray.from_arrays(at, lines), "\n")], ["doc_id", "value"])
+
+    rows = docs.select("doc_id", F.coalesce(tokens_of(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, value string")
+
+
+def annotate(docs: DataFrame, lexicon: Lexicon, weights: Scorer = None, known: Known | None = None, words: DataFrame | None = None) -> DataFrame:
     """doc_id, value: every token by its best analysis (or itself), newline-joined in token order; a document
-    without tokens has an empty value."""
-    lines = lines_of(tokenize(docs), lexicon, weights, known)
+    without tokens has an empty value. ``words`` are the documents' distinct tokens, and perhaps others, where
+    they are at hand."""
+    if words is None:
+        words = cut(docs.select(F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("word")).distinct())
+    met = _analysed(words, lexicon, weights, known)
+    if met.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        return _written(docs, met)
+    tokens = tokenize(docs)
+    lines = _joined(tokens, met, cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     texts = lines.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x.line), "\n").alias("value"))
     bare = docs.where(F.coalesce(F.size(tokens_of(F.col("text"))), F.lit(0)) <= 0).select("doc_id", F.lit("").alias("value"))

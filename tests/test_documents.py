@@ -34,6 +34,20 @@ def test_one_token_in_most_places_is_in_no_single_task(spark, monkeypatch):
     assert per_task < n / 16 * 2
 
 
+def test_documents_are_written_where_they_are(spark, monkeypatch):
+    rows = [(1, "Evler, xyz geliyor."), (2, None), (3, ""), (4, " . "), (5, "ev"), (6, "x" * 70_000 + " evler")] + [(k, "ev kitaplar y " * (k % 9)) for k in range(7, 1300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    made = render.annotate(docs, Lexicon(LEXICON))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()  # no text is shuffled
+    got = {r.doc_id: r.value for r in made.collect()}
+    assert got[1] == "ev+plural_ler\nxyz\ngel+continuous_iyor" and [got[k] for k in (2, 3, 4, 5)] == ["", "", "", "ev"] and got[6].endswith("\nev+plural_ler")
+    monkeypatch.setattr(render, "BROADCAST_WORDS", 0)
+    assert {r.doc_id: r.value for r in render.annotate(docs, Lexicon(LEXICON)).collect()} == got and len(got) == len(rows)
+    assert {r.value for r in render.annotate(docs.where("doc_id IN (2, 3)"), Lexicon(LEXICON)).collect()} == {""}
+    monkeypatch.undo()
+    assert {r.value for r in render.annotate(docs.where("doc_id IN (2, 3)"), Lexicon(LEXICON)).collect()} == {""}
+
+
 def test_a_file_is_read_in_splits_and_in_order(spark, tmp_path):
     rng = random.Random(2)
     words = [rng.choice(["Ev", "ev'ler", "x,y", "\n", "\n\n", "\r\n", "  ", "ığüş", "12"]) + rng.choice([" ", "\n"]) for _ in range(20_000)]
