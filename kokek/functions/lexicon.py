@@ -173,6 +173,14 @@ class Lexicon:
     def flags(self) -> DataFrame:
         return self._table("flags")[0]
 
+    def root_keys(self) -> DataFrame:
+        """word, fkey of every root, marked for a broadcast while there are few."""
+        flags, small = self._table("flags")
+        key = flags.sparkSession.sparkContext.applicationId, "keys"
+        if key not in self._held:
+            self._held[key] = cut(self.keyed(flags.where("noun OR verb").select("word"), "word")), small
+        return F.broadcast(self._held[key][0]) if small else self._held[key][0]
+
     def _side(self, name: str) -> DataFrame:
         table, small = self._table(name)
         return F.broadcast(table) if small else table

@@ -94,11 +94,16 @@ def _allowed() -> str:
     return f"(last_group IS NULL OR last_group * 100 + grp IN ({', '.join(map(str, pairs))}))"
 
 
-def _stepped(states: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Open states with one suffix more, by every path, and complete ones as they are."""
+def _stepped(states: DataFrame, lexicon: Lexicon, first: bool = False) -> DataFrame:
+    """Open states with one suffix more, by every path, and complete ones as they are. The stems of the ``first``
+    level are roots of the dictionary, whose keys are worked out once for each."""
     nodes, arcs = (F.broadcast(t) for t in form_tables(states.sparkSession))
     names = states.columns
-    keyed = lexicon.keyed(states, "stem").join(nodes, ["fkey", "at"], "left")
+    if first:
+        keys = lexicon.root_keys().withColumnRenamed("word", "stem")
+        keyed = states.join(keys, "stem", "left").join(nodes, ["fkey", "at"], "left")
+    else:
+        keyed = lexicon.keyed(states, "stem").join(nodes, ["fkey", "at"], "left")
     open_ = keyed.select(*names, F.expr("IF(rest = '', 0, node)").alias("node"), F.substring("rest", 1, 1).alias("head"), "fkey")
     whole = "startswith(rest, form)"
     narrow = f"right(form, 1) IN ('a', 'e') AND startswith(rest, substr(form, 1, length(form) - 1)) AND substr(rest, length(form), 4) RLIKE '^{NARROWED}$'"
@@ -146,12 +151,12 @@ def _once(step: DataFrame) -> DataFrame:
 
 
 def suffix_chains(begun: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Complete chains of the searches in ``begun`` (columns as of ``starts``): word, start, root, pos,
+    """Complete chains of the searches in ``begun`` (columns as of ``starts``, roots being the dictionary's): word, start, root, pos,
     intensified, path, chain, makes, final_pos, forms."""
     none = lambda kind: f"CAST(array() AS array<{kind}>)"
     states = begun.selectExpr("*", "pos AS at", "root AS stem", "CAST(NULL AS int) AS last_group", f"{none('int')} AS path", f"{none('string')} AS chain", f"{none('string')} AS makes", f"{none('string')} AS forms")
     # Most searches end at their first letter after the root, so that is looked at before words are dealt.
-    states = _once(_stepped(states, lexicon).repartition("word"))
+    states = _once(_stepped(states, lexicon, first=True).repartition("word"))
     levels, most = 1, None
     while True:
         states = states if levels == 1 else states.repartition("word")  # a checkpoint does not know how it is dealt

@@ -89,11 +89,23 @@ def masked_mean(rows: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg((F.coalesce(F.sum(live), F.lit(0.0)) / F.greatest(F.count(live), F.lit(1))).alias("mean"))
 
 
+def _features() -> Column:
+    pairs = F.expr("transform(slice(chain, 2, greatest(size(chain) - 1, 0)), (c, i) -> concat('2:', chain[i], '+', c))")
+    return F.concat(F.transform("chain", lambda c: F.concat(F.lit("1:"), c)), pairs, F.array(F.concat(F.lit("n:"), F.size("chain").cast("string")), F.concat(F.lit("r:"), F.length("root").cast("string"))))
+
+
 def features(candidates: DataFrame) -> DataFrame:
     """word, cand_ord, feature: suffixes, adjacent suffix pairs, chain and root lengths."""
-    pairs = F.expr("transform(slice(chain, 2, greatest(size(chain) - 1, 0)), (c, i) -> concat('2:', chain[i], '+', c))")
-    all_ = F.concat(F.transform("chain", lambda c: F.concat(F.lit("1:"), c)), pairs, F.array(F.concat(F.lit("n:"), F.size("chain").cast("string")), F.concat(F.lit("r:"), F.length("root").cast("string"))))
-    return candidates.select("word", "cand_ord", F.explode(all_).alias("feature"))
+    return candidates.select("word", "cand_ord", F.explode(_features()).alias("feature"))
+
+
+def alike(candidates: DataFrame, right: DataFrame) -> DataFrame:
+    """word, times, cand_ord, label, features: one word (the least) for all ``times`` words whose candidates have the
+    same features and labels in the same order, as training sees no more of them. ``right`` has word, cand_ord, label."""
+    rows = candidates.select("word", "cand_ord", _features().alias("features")).join(right, ["word", "cand_ord"], "left")
+    own = F.array_sort(F.collect_list(F.struct("cand_ord", F.coalesce("label", F.lit(0)).alias("label"), "features")))
+    same = rows.groupBy("word").agg(own.alias("own")).groupBy("own").agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("times"))
+    return same.select("word", "times", F.explode("own").alias("c")).select("word", "times", "c.*")
 
 
 def score(candidates: DataFrame, weights: DataFrame) -> DataFrame:
@@ -105,20 +117,21 @@ def fit(candidates: DataFrame, labels: DataFrame, steps: int = STEPS, rate: floa
     """feature, weight after gradient steps on the listwise loss, ended when all margins hold.
     Training goes on from the weights in ``begun`` where it is given.
 
-    ``labels`` has word and cand_ord of the right candidates; one step is one aggregate.
+    ``labels`` has word and cand_ord of the right candidates; one step is one aggregate. Words that are ``alike``
+    are worked on once and count as often as there are.
     """
-    rows = cut(candidates.join(labels.select("word").distinct(), "word", "left_semi"))
     right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
-    used = cut(features(rows))
+    rows = cut(alike(candidates.join(labels.select("word").distinct(), "word", "left_semi"), right))
+    used = cut(rows.select("word", "cand_ord", "times", "label", F.explode("features").alias("feature")))
     weights = used.select("feature").distinct().withColumn("weight", F.lit(0.0))
     if begun is not None:
         weights = cut(weights.unionByName(begun).groupBy("feature").agg(F.sum("weight").alias("weight")))
     for _ in range(steps):
-        scored = cut(score(rows, weights).join(right, ["word", "cand_ord"], "left").withColumn("label", F.coalesce("label", F.lit(0))))
+        scored = cut(used.join(weights, "feature").groupBy("word", "cand_ord", "label").agg(F.sum("weight").alias("score")))
         if margin_check(scored).where("not ok").isEmpty():
             break
         slope = _soft(scored).select("word", "cand_ord", (F.col("p") - F.col("label")).alias("g"))
-        step = used.join(slope, ["word", "cand_ord"]).groupBy("feature").agg(F.sum("g").alias("g"))
+        step = used.join(slope, ["word", "cand_ord"]).groupBy("feature").agg(F.sum(F.col("g") * F.col("times")).alias("g"))
         weights = cut(weights.join(step, "feature", "left").select("feature", (F.col("weight") - rate * F.coalesce("g", F.lit(0.0))).alias("weight")))
     return weights
 

@@ -1,5 +1,6 @@
 """The search against hand-traced analyses and against all ways to cut a word's remainder into pieces."""
 
+import math
 from collections import Counter
 from itertools import pairwise, product
 
@@ -9,6 +10,7 @@ from kokek.functions.forms import Stem, form_lists, forms
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import BY_NAME, INTENSIFIER, arcs, may_follow
 from kokek.operators import decompose as d
+from kokek.operators import rank
 
 LISTED = set("ev kitap burun gelmek beklemek mavi okul göz hał al almak gel araba demek güzel su ası aramak".split())
 LEXICON = Lexicon(LISTED)
@@ -137,3 +139,41 @@ def test_a_dictionary_beyond_the_broadcast_gives_the_same(spark, monkeypatch):
     want = sorted(map(str, d.decompose(rows(spark, WORDS), LEXICON).collect()))
     monkeypatch.setattr(lexicon, "BROADCAST_WORDS", 3)
     assert sorted(map(str, d.decompose(rows(spark, WORDS), Lexicon(rows(spark, sorted(LISTED)))).collect())) == want
+
+
+def test_training_works_on_alike_words_once(spark):
+    """Words whose candidates have the same features count as often as there are, in weights worked out here by dictionaries."""
+    roots = [c + "e" + d for c in "bcdg" for d in "klmn"]
+    words = spark.createDataFrame([(r + e,) for r in roots for e in ("ler", "lerde")] + [("evler",)], "word string")
+    found = d.cut(d.decompose(words, Lexicon([*roots, "ev"])))
+    labels = found.where("cand_ord = 0").select("word", "cand_ord")
+    right = labels.selectExpr("word", "cand_ord", "1 AS label")
+    kinds = rank.alike(found, right).select("word", "times").distinct().collect()
+    n = found.select("word").distinct().count()
+    assert len(kinds) * 4 < n == sum(r.times for r in kinds)
+    used = {}
+    for r in rank.features(found).collect():
+        used.setdefault(r.word, {}).setdefault(r.cand_ord, []).append(r.feature)
+    want = {f: 0.0 for cands in used.values() for fs in cands.values() for f in fs}
+    for _ in range(3):
+        slope = dict.fromkeys(want, 0.0)
+        scores = [{k: sum(want[f] for f in fs) for k, fs in cands.items()} for cands in used.values()]
+        if all(x[0] > max((s for k, s in x.items() if k), default=-math.inf) + rank.MARGIN for x in scores):
+            break
+        for cands in used.values():
+            e = {k: math.exp(sum(want[f] for f in fs) / rank.TEMPERATURE) for k, fs in cands.items()}
+            for k, fs in cands.items():
+                for f in fs:
+                    slope[f] += e[k] / sum(e.values()) - (k == 0)
+        want = {f: w - 0.5 * slope[f] for f, w in want.items()}
+    got = {r.feature: r.weight for r in rank.fit(found, labels, steps=3).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_root_keys_are_those_of_every_start(spark):
+    lexicon = Lexicon("ev kitap gelmek hał hal al almak mavi".split())
+    words = spark.createDataFrame([(w,) for w in ("evler", "kitabı", "geliyor", "halde", "masmavi", "alır")], "word string")
+    begun = d.starts(words, lexicon)
+    keys = {r.word: r.fkey for r in lexicon.root_keys().collect()}
+    rows = lexicon.keyed(begun.select("root"), "root").collect()
+    assert len(rows) > 5 and all(keys[r.root] == r.fkey for r in rows)
