@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from kokek.llm import media, mixing, near_dedup, quality
 from tests.llm.cases import base_rules
 
@@ -117,3 +118,16 @@ def test_ids_are_told_apart_without_moving_texts(spark, monkeypatch):
 def test_mixing_with_a_back_tick_in_a_name(spark):
     docs = spark.createDataFrame([(k, "a b c", "s", "x") for k in range(4)], "doc_id long, text string, source string, `a``b` string")
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == 4
+
+
+def test_quality_stage_of_the_pipeline_prunes_nothing(spark, monkeypatch):
+    """The stage keeps the same whole rows when all n-grams are joined, repeated and null rows and odd columns included."""
+    rows = [(k, ["en", "de", None][k % 3], " ".join(f"w{(k * 7 + j * j) % 41} is {j}" for j in range(20 + k)), "x") for k in range(40)] + [(3, "en", None, "y"), (41, None, "", "y"), (42, "en", "zq" * 300 + " a" * 12, "y")]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, lang string, text string, key string")
+    kept = lambda: sorted(map(str, corpus_pipeline.quality_rules(spark, docs, "").collect()))
+    want, kept_grams = kept(), quality.kept_grams
+    monkeypatch.setattr(quality, "kept_grams", lambda grams, limit=0: kept_grams(grams, 50))
+    assert kept() == want and 30 < len(want) < len(rows)
+    for held in (0, 100):
+        monkeypatch.setattr(quality, "HELD_SCORES", held)
+        assert kept() == want
