@@ -13,7 +13,7 @@ from functools import cache
 from itertools import product
 
 from kokek.functions.phonology import HARD, VOWELS, is_in, last, listed, minor
-from kokek.functions.suffixes import BY_NAME, Suffix, arcs
+from kokek.functions.suffixes import BY_NAME, Suffix, arcs, may_follow
 
 # Stem endings that some rules ask for.
 PAST = ("di", "dı", "du", "dü", "ti", "tı", "tu", "tü")
@@ -267,6 +267,61 @@ def automaton() -> tuple[list[tuple], list[tuple]]:
     return nodes, [(node, *arc) for own, node in numbers.items() for arc in own]
 
 
+@cache
+def tails() -> tuple[str, list[list[int]], dict[str, int], int]:
+    """A deterministic automaton of the texts that suffixes can use up after a root: its letters, the next state
+    of each state by letter (0 is the state of no return), the first state of each part of speech, and the
+    number up to which states from 1 accept. It follows parts of speech, groups and narrowed vowels, but neither
+    the stems' features nor suffixes that may come only once: it accepts whatever a search can use up, and more."""
+    nodes, rows = automaton()
+    starts: dict[int, set[str]] = {}
+    for _, at, node in nodes:
+        starts.setdefault(node, set()).add(at)
+    steps: dict[str, set[tuple]] = {}
+    for node, target, _, _, group, _, _, _, form in rows:
+        for at in starts[node]:
+            own = steps.setdefault(at, set())
+            own.add((target, group, form, False))
+            if form[-1] in "ae":
+                own.add((target, group, form[:-1], True))
+    letters, wanted = "".join(sorted({c for own in steps.values() for *_, text, _ in own for c in text})), ("", CLOSE, "y", "o", "r")
+
+    @cache
+    def entered(at: str, last: int | None, due: int) -> frozenset[tuple]:
+        """Where a text may be between two suffixes and within the next: part of speech, group, what is left of the form,
+        whether it is narrowed, and which letter of iyor, that has to follow a narrowed vowel, is ``due`` (0: none)."""
+        out, todo = {(at, last, "", False, due)}, [(at, last, due)]
+        while todo:
+            at, last, due = todo.pop()
+            for target, group, text, narrow in steps[at]:
+                here = (target, group, text, narrow, due) if text else (target, group, "", False, due or 1)  # a lone vowel takes no letter
+                if (last is None or may_follow(last, group)) and here not in out:
+                    out.add(here)
+                    if not text:
+                        todo.append((target, group, due or 1))
+        return frozenset(out)
+
+    def moved(state: frozenset[tuple], c: str) -> frozenset[tuple]:
+        out: set[tuple] = set()
+        for at, group, text, narrow, due in state:
+            if text[:1] == c and (not due or c in wanted[due]):
+                due = (due + 1) % 5 if due else 0
+                out |= {(at, group, text[1:], narrow, due)} if len(text) > 1 else entered(at, group, due or int(narrow))
+        return frozenset(out)
+
+    begun = {at: entered(at, None, 0) for at in steps}
+    found, todo = {frozenset(): [frozenset()] * len(letters)}, list(begun.values())
+    while todo:
+        state = todo.pop()
+        if state not in found:
+            found[state] = [moved(state, c) for c in letters]
+            todo += found[state]
+    accepts = {state for state in found if any(not text and not due for *_, text, _, due in state)}
+    order = [frozenset(), *(s for s in found if s in accepts), *(s for s in found if s and s not in accepts)]
+    number = {state: k for k, state in enumerate(order)}
+    return letters, [[number[t] for t in found[s]] for s in order], {at: number[s] for at, s in begun.items()}, len(accepts)
+
+
 @cache
 def form_lists() -> list[tuple]:
     """(stem key, name, forms): all forms of every suffix after every stem, in order, empty ones too."""

@@ -203,7 +203,7 @@ class Lexicon:
         length that an entry of this kind (root or surface) with the same first letters has."""
         head, lengths = _free(rows, "head", "lengths")
         side = self._side("profile").where(F.col("kind") == kind).select(F.col("head").alias(head), F.col("lengths").alias(lengths))
-        heads = rows.withColumn(head, F.explode(F.expr(f"array_distinct(array(substr({column}, 1, 1), substr({column}, 1, 2)))")))
+        heads = rows.withColumn(head, F.explode(F.expr(f"IF(length({column}) > 1, array(substr({column}, 1, 1), substr({column}, 1, 2)), array({column}))")))
         cuts = heads.join(side, head).select(*rows.columns, F.explode(F.expr(f"filter({lengths}, n -> n <= length({column}))")).alias("split"))
         return cuts.withColumn(name, F.expr(f"substr({column}, 1, split)"))
 

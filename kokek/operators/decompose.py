@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from kokek.checkpoints import cut
 from kokek.functions import phonology as ph
-from kokek.functions.forms import StemRule, automaton, stem_of, version
+from kokek.functions.forms import StemRule, automaton, stem_of, tails, version
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import GROUPS, INTENSIFIER, may_follow
 from kokek.functions.suffixes import arcs as arcs_in_order
@@ -70,7 +70,9 @@ def altered_roots(words: DataFrame, lexicon: Lexicon) -> DataFrame:
 def intensified(words: DataFrame, lexicon: Lexicon) -> DataFrame:
     """word, prefix, root of reduplicated intensifiers: the longest dictionary root after a copied
     first syllable closed by p, s, r or m (and a or e, where that alone gives no root)."""
-    rows = words.where("length(word) >= 4").select("word", F.expr(ph.first_vowel("word")).alias("v"))
+    # One test that few words pass stands before the places, which Spark works out anew wherever they are named.
+    copied = f"word RLIKE '^([^{ph.VOWELS}]*[{ph.VOWELS}])[psrm][ae]?\\\\1'"
+    rows = words.where("length(word) >= 4").where(copied).select("word", F.expr(ph.first_vowel("word")).alias("v"))
     rows = rows.where("v >= 0 AND v + 1 < length(word) AND substr(word, v + 2, 1) IN ('p', 's', 'r', 'm')")
     extended = "IF(substr(word, v + 3, 1) IN ('a', 'e') AND v + 3 < length(word), array(v + 2, v + 3), array(v + 2))"
     tails = rows.select("word", "v", F.expr(f"explode({extended})").alias("p")).selectExpr("word", "v", "p", "substr(word, p + 1) AS tail")
@@ -144,6 +146,16 @@ def open_arcs(stems: DataFrame, rules: dict[str, StemRule]) -> DataFrame:
     return stems.mapInArrow(run, f"stem string, at string, {_ARC.split(', ', 1)[1]}")
 
 
+def _usable() -> str:
+    """Whether suffixes can use up ``rest`` at all, by the automaton of ``tails``: most texts after a root have none that
+    do, and need no level. Texts that pass may still fail at a level."""
+    letters, moves, begun, accepting = tails()
+    flat = ",".join(str(t) for row in moves for t in (0, *row))  # the first is of all other letters
+    first = " ".join(f"WHEN '{at}' THEN {k}" for at, k in begun.items())
+    state = f"get(CAST(split('{flat}', ',') AS array<int>), s * {len(letters) + 1} + instr('{letters}', c))"
+    return f"rest = '' OR aggregate(split(rest, ''), CASE pos {first} END, (s, c) -> IF(s = 0, 0, {state})) BETWEEN 1 AND {accepting}"
+
+
 def _once(step: DataFrame) -> DataFrame:
     """The first path (in search order) to a stem length, part of speech and chain stands for all."""
     same = step.groupBy("word", "start", "at", F.length("stem").alias("n"), "chain").agg(F.min_by(F.struct(*step.columns), "path").alias("s"))
@@ -154,6 +166,7 @@ def suffix_chains(begun: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Complete chains of the searches in ``begun`` (columns as of ``starts``, roots being the dictionary's): word, start, root, pos,
     intensified, path, chain, makes, final_pos, forms."""
     none = lambda kind: f"CAST(array() AS array<{kind}>)"
+    begun = begun if lexicon.rules else begun.where(_usable())  # rules of the user's can make any form
     states = begun.selectExpr("*", "pos AS at", "root AS stem", "CAST(NULL AS int) AS last_group", f"{none('int')} AS path", f"{none('string')} AS chain", f"{none('string')} AS makes", f"{none('string')} AS forms")
     # Most searches end at their first letter after the root, so that is looked at before words are dealt.
     states = _once(_stepped(states, lexicon, first=True).repartition("word"))

@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,22 +79,30 @@ def begin(shape: Shape = Shape(), seed: int = 0) -> Weights:
 def erf(x: np.ndarray) -> np.ndarray:
     """The error function by a rational approximation (absolute error below 1.5e-7)."""
     t = 1 / (1 + 0.3275911 * np.abs(x))
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    return np.sign(x) * (1 - poly * np.exp(-x * x))
+    poly = t * 1.061405429
+    for c in (-1.453152027, 1.421413741, -0.284496736, 0.254829592):  # in place, as these arrays are the largest
+        poly += c
+        poly *= t
+    np.multiply(x, x, out=t)
+    poly *= np.exp(np.negative(t, out=t), out=t)
+    return np.multiply(np.sign(x), np.subtract(1, poly, out=poly), out=poly)
 
 
 @dataclass
 class Tape:
-    """A forward pass over ``weights``; ``back`` gives the gradients of all of them."""
+    """A forward pass over ``weights``; ``back`` gives the gradients of all of them, if the pass is to ``learn``."""
 
     weights: Weights
     shape: Shape
     rng: np.random.Generator | None = None
     steps: list[Callable[[], None]] = field(default_factory=list)
     grads: Weights = field(default_factory=dict)
+    learn: bool = True
 
     def note(self, value: np.ndarray, backwards: Callable[[np.ndarray], None]) -> list:
         """A node (value, gradient) whose ``backwards`` runs once its gradient is complete."""
+        if not self.learn:
+            return [value]
         node = [value, np.zeros_like(value)]
         self.steps.append(lambda: backwards(node[1]))
         return node
@@ -103,14 +112,15 @@ class Tape:
 
     def linear(self, x: list, name: str) -> list:
         w, b = self.weights[f"{name}.w"], self.weights[f"{name}.b"]
+        rows = x[0].reshape(-1, x[0].shape[-1])  # one product for all chains: numpy would take one for each
 
         def backwards(g: np.ndarray) -> None:
             flat = g.reshape(-1, g.shape[-1])
-            self.add_grad(f"{name}.w", x[0].reshape(-1, x[0].shape[-1]).T @ flat)
+            self.add_grad(f"{name}.w", rows.T @ flat)
             self.add_grad(f"{name}.b", flat.sum(axis=0))
-            x[1] += g @ w.T
+            x[1] += (flat @ w.T).reshape(x[0].shape)
 
-        return self.note(x[0] @ w + b, backwards)
+        return self.note((rows @ w + b).reshape(*x[0].shape[:-1], w.shape[1]), backwards)
 
     def plus(self, x: list, y: list) -> list:
         def backwards(g: np.ndarray) -> None:
@@ -220,7 +230,7 @@ def padded_batch(chains: list[list[tuple[int, int]]]) -> tuple[np.ndarray, np.nd
 
 
 def forward(weights: Weights, chains: list[list[tuple[int, int]]], shape: Shape = Shape()) -> np.ndarray:
-    return Tape(weights, shape).scores(*padded_batch(chains))[0][:, 0]
+    return Tape(weights, shape, learn=False).scores(*padded_batch(chains))[0][:, 0]
 
 
 def loss(scores: np.ndarray, labels: np.ndarray, counts: list[int]) -> tuple[float, np.ndarray, bool]:
@@ -451,18 +461,22 @@ def fit(candidates: DataFrame, labels: DataFrame, begun: Weights | None = None,
 
 def score(candidates: DataFrame, weights: Weights, shape: Shape = Shape()) -> DataFrame:
     """word, cand_ord, score of every candidate. Candidates with one encoded chain share its score, so each
-    distinct chain is scored once and joined back, by a broadcast while there are few."""
+    distinct chain is scored once and joined back, by a broadcast while there are few. Chains are few bytes and
+    much work, so they are dealt once more (by a key that ``distinct`` does not deal by, or Spark leaves it out) to tasks
+    that are not put together by their size; a task takes chains of like lengths together, so that little is padded."""
     shared = candidates.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(pc.list_value_length(batch.column(0)), kind="stable")))
             for at in range(0, batch.num_rows, SCORED):
                 part = batch.slice(at, SCORED)
                 chains = [list(zip(s, c)) for s, c in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(forward(shared.value, chains, shape))], ["sids", "cids", "score"])
 
     rows = _encoded(candidates)
-    known = cut(rows.select("sids", "cids").distinct().mapInArrow(run, "sids array<int>, cids array<int>, score double"))
+    tasks = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    known = cut(rows.select("sids", "cids").distinct().repartition(tasks, F.xxhash64("cids", "sids")).mapInArrow(run, "sids array<int>, cids array<int>, score double"))
     known = F.broadcast(known) if known.limit(BROADCAST_CHAINS + 1).count() <= BROADCAST_CHAINS else known
     return rows.join(known, ["sids", "cids"]).select("word", "cand_ord", "score")
 

@@ -1,12 +1,13 @@
 """The search against hand-traced analyses and against all ways to cut a word's remainder into pieces."""
 
 import math
+import random
 from collections import Counter
 from itertools import pairwise, product
 
 import pytest
 
-from kokek.functions.forms import Stem, form_lists, forms
+from kokek.functions.forms import Stem, automaton, form_lists, forms
 from kokek.functions.lexicon import Lexicon
 from kokek.functions.suffixes import BY_NAME, INTENSIFIER, arcs, may_follow
 from kokek.operators import decompose as d
@@ -177,3 +178,21 @@ def test_root_keys_are_those_of_every_start(spark):
     keys = {r.word: r.fkey for r in lexicon.root_keys().collect()}
     rows = lexicon.keyed(begun.select("root"), "root").collect()
     assert len(rows) > 5 and all(keys[r.root] == r.fkey for r in rows)
+
+
+def test_texts_that_no_suffix_can_use_up_are_dropped_first(spark, monkeypatch):
+    """The automaton of tails drops most states before the first level, and none that leads to an analysis."""
+    rng = random.Random(5)
+    forms = sorted({arc[-1] for arc in automaton()[1]})
+    roots = ["gel", "bekle", "ev", "araba", "oku", "kitap", "su"]
+    words = [rng.choice(roots) + "".join(rng.choice(forms) for _ in range(rng.randrange(4))) for _ in range(300)]
+    words += [rng.choice(roots) + "".join(rng.choice("aeıiklmnrty") for _ in range(rng.randrange(1, 7))) for _ in range(300)]
+    words += ["bekliyor", "bekliyorum", "gelmiyor", "gelmiyorlar", "okuyor", "arıyor", "masmavi", "bembeyazlar", "evwx", "geldi\n"]
+    lexicon = Lexicon(["ev", "araba", "kitap", "su", "mavi", "beyaz", "gelmek", "beklemek", "okumak", "aramak"])
+    df = spark.createDataFrame([(w,) for w in sorted(set(words))], "word string")
+    found = lambda: sorted(map(str, d.decompose(df, lexicon).collect()))
+    begun = d.starts(df, lexicon)
+    left, every = begun.where(d._usable()).count(), begun.count()
+    got = found()
+    monkeypatch.setattr(d, "_usable", lambda: "true")
+    assert got == found() and len(got) > 90 and left < every

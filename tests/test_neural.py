@@ -159,3 +159,16 @@ def test_each_row_has_the_score_of_its_own_chain(spark, monkeypatch):
     for r in rows:
         chain = [(ids.get(c, 0), 2 if m == "verb" else 1) for c, m in zip(r.chain, r.makes)]
         assert got[r.word, r.cand_ord] == pytest.approx(plain(w, chain, TINY), abs=1e-5)
+
+
+def test_distinct_chains_are_scored_by_several_tasks(spark, monkeypatch):
+    """Chains are few bytes, so that Spark alone would make one task of them."""
+    rows = [(f"w{k}", k % 3, ["plural_ler"] * (k % 7) + ["active_it"] * (k % 5), ["noun"] * (k % 7) + ["verb"] * (k % 5)) for k in range(200)]
+    found = spark.createDataFrame(rows, "word string, cand_ord int, chain array<string>, makes array<string>")
+    made, w, shape = [], shaken(neural.Shape(dim=16, layers=1, heads=2)), neural.Shape(dim=16, layers=1, heads=2)
+    monkeypatch.setattr(neural, "cut", lambda df: made.append(df.localCheckpoint()) or made[-1])
+    got = {(r.word, r.cand_ord): r.score for r in neural.score(found, w, shape).collect()}
+    tasks = [n for n in made[0].rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]
+    assert len(tasks) > 1 and sum(tasks) == 35
+    for r in neural._encoded(found).collect():
+        assert got[r.word, r.cand_ord] == pytest.approx(neural.forward(w, [list(zip(r.sids, r.cids))], shape)[0], abs=1e-9)
