@@ -212,8 +212,8 @@ class Tape:
 
     def back(self, end: list, g: np.ndarray) -> Weights:
         end[1] += g
-        for step in reversed(self.steps):
-            step()
+        while self.steps:
+            self.steps.pop()()  # what a step holds goes with it: steps and tape hold each other, and would stay for long
         return self.grads
 
 

@@ -1,6 +1,8 @@
 """The neural ranker against finite differences, a plain forward pass, and on a small task."""
 
+import gc
 import math
+import weakref
 
 import numpy as np
 import pytest
@@ -172,3 +174,17 @@ def test_distinct_chains_are_scored_by_several_tasks(spark, monkeypatch):
     assert len(tasks) > 1 and sum(tasks) == 35
     for r in neural._encoded(found).collect():
         assert got[r.word, r.cand_ord] == pytest.approx(neural.forward(w, [list(zip(r.sids, r.cids))], shape)[0], abs=1e-9)
+
+
+def test_a_tape_goes_once_it_has_run_back():
+    """Else the arrays of many steps of training stay until Python looks for cycles."""
+    tape = neural.Tape(shaken(SMALL), SMALL)
+    end = tape.scores(*neural.padded_batch(CHAINS))
+    gone = weakref.ref(tape)
+    gc.disable()
+    try:
+        tape.back(end, np.ones((len(CHAINS), 1)))
+        del tape
+        assert gone() is None
+    finally:
+        gc.enable()
