@@ -1,11 +1,11 @@
 """The neural ranker: a transformer encoder over suffix chains, in numpy.
 
 Scoring runs in Arrow batches on the executors with broadcast weights (about 1 M numbers), once for
-each distinct chain. Training takes labelled words in chunks, and some chunks a round: each task sums the
-gradients of its chunks, Spark sums those of the tasks, and the driver, which holds the weights and the
-optimiser's moments and nothing else, takes one step. A few labelled words are trained on where the
-driver is, by the same rounds. The gradients come from a small tape: every step of the forward pass
-notes how to run it backwards.
+each distinct chain. Training takes labelled words in chunks, and some chunks a round: each of a few tasks sums
+the gradients of its chunks, and the driver, which holds the weights and the optimiser's moments, adds those
+sums and takes one step. Words that training sees no difference between are worked on once, with their number
+as weight. A few labelled words are trained on where the driver is, by the same rounds. The gradients come
+from a small tape: every step of the forward pass notes how to run it backwards.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ from kokek.operators.rank import MARGIN, STEPS, TEMPERATURE, encode_chain
 
 #: Most labelled words (with all their candidates) that ``fit`` takes to the driver, in the order of a hash.
 TRAIN_WORDS = 2_000
-#: Candidates scored together, and labelled words of one chunk on average.
-SCORED, BATCH = 512, 16
+#: Candidates scored together, candidates trained on together (a word's stay together), and labelled words of one chunk on average.
+SCORED, LEARNT, BATCH = 512, 128, 16
+#: Chunks of a round that a task takes, and most tasks of a round: each sends as many numbers to the driver as there are weights.
+DEALT, TASKS = 8, 16
 #: Numbers in one row of gradients, and distinct chains up to which their scores are broadcast.
 PIECE, BROADCAST_CHAINS = 8192, 500_000
 
@@ -233,20 +235,22 @@ def forward(weights: Weights, chains: list[list[tuple[int, int]]], shape: Shape
     return Tape(weights, shape, learn=False).scores(*padded_batch(chains))[0][:, 0]
 
 
-def loss(scores: np.ndarray, labels: np.ndarray, counts: list[int]) -> tuple[float, np.ndarray, bool]:
-    """Mean over words of -log(probability of the labelled candidates + 1e-8), its gradient, and
-    whether every labelled score beats the others of its word by the margin."""
+def loss(scores: np.ndarray, labels: np.ndarray, counts: list[int], times: list[int] | None = None) -> tuple[float, np.ndarray, bool]:
+    """Mean over words, each of which stands for ``times``, of -log(probability of the labelled candidates + 1e-8),
+    its gradient, and whether every labelled score beats the others of its word by the margin."""
     total, g, held, at = 0.0, np.zeros_like(scores), True, 0
-    for n in counts:
+    times = [1] * len(counts) if times is None else times
+    words = max(1, sum(times))
+    for n, k in zip(counts, times):
         s, y = scores[at : at + n], labels[at : at + n]
         p = np.exp((s - s.max()) / TEMPERATURE)
         p /= p.sum()
         right = float(p @ y)
-        total -= math.log(right + 1e-8)
-        g[at : at + n] = -(p * y - p * right) / (right + 1e-8) / TEMPERATURE / len(counts)
+        total -= k * math.log(right + 1e-8)
+        g[at : at + n] = -(p * y - p * right) / (right + 1e-8) / TEMPERATURE * k / words
         held &= bool(y.any()) and (y.all() or s[y > 0].max() > s[y == 0].max() + MARGIN)
         at += n
-    return total / max(1, len(counts)), g, held
+    return total / words, g, held
 
 
 def restarted_rate(epoch: int, rate: float = 1e-4, first: int = 10, times: int = 2, least: float = 0.01) -> float:
@@ -293,19 +297,47 @@ class State:
         return replace(self, weights={k: v.copy() for k, v in self.weights.items()}, optimiser=own)
 
 
-#: Chains of all candidates of a word, and their labels.
-Example = tuple[list, list[int]]
+#: Chains of all candidates of a word, their labels, and for how many words it stands.
+Example = tuple[list, list[int], int]
 #: Sum of the losses of some words, their number, whether all margins hold, and the sum of gradients.
 Sums = tuple[float, int, bool, Weights]
 
 
 def chunk_sums(weights: Weights, words: list[Example], shape: Shape, seeds: tuple[int, ...]) -> Sums:
-    """Of the words of one chunk, whose dropout is drawn from its own seeds, wherever it is worked on."""
-    labels, counts = np.array([y for _, ys in words for y in ys], float), [len(c) for c, _ in words]
-    tape = Tape(weights, shape, np.random.default_rng(seeds))
-    end = tape.scores(*padded_batch([c for chains, _ in words for c in chains]))
-    value, g, held = loss(end[0][:, 0], labels, counts)
-    return value * len(counts), len(counts), held, tape.back(end, g[:, None] * len(counts))
+    """Of the words of one chunk, whose dropout is drawn from its own seeds, wherever it is worked on. Words are taken
+    together up to LEARNT candidates, as a tape holds much for each."""
+    rng = np.random.default_rng(seeds)
+
+    def parts() -> Iterator[Sums]:
+        part: list[Example] = []
+        for word in words:
+            if part and sum(len(w[0]) for w in (*part, word)) > LEARNT:
+                yield _part_sums(weights, part, shape, rng)
+                part = []
+            part.append(word)
+        if part:
+            yield _part_sums(weights, part, shape, rng)
+
+    return _added(parts())
+
+
+def _part_sums(weights: Weights, words: list[Example], shape: Shape, rng: np.random.Generator) -> Sums:
+    """Each tape takes the candidates of like lengths, so that little is padded; a word's probabilities need the scores of all."""
+    chains = [c for own, _, _ in words for c in own]
+    labels, counts, times = np.array([y for _, ys, _ in words for y in ys], float), [len(own) for own, _, _ in words], [n for *_, n in words]
+    scores, runs, lengths = np.zeros(len(chains)), [], np.array([(len(c) + 1) // 2 for c in chains])
+    for length in np.unique(lengths):
+        at, tape = np.flatnonzero(lengths == length), Tape(weights, shape, rng)
+        end = tape.scores(*padded_batch([chains[i] for i in at]))
+        scores[at] = end[0][:, 0]
+        runs.append((at, tape, end))
+    value, g, held = loss(scores, labels, counts, times)
+    grads: Weights = {}
+    while runs:
+        at, tape, end = runs.pop(0)
+        for name, own in tape.back(end, g[at, None] * sum(times)).items():
+            grads[name] = grads[name] + own if name in grads else own
+    return value * sum(times), sum(times), held, grads
 
 
 def _added(parts: Iterator[Sums]) -> Sums:
@@ -344,29 +376,31 @@ def _encoded(candidates: DataFrame) -> DataFrame:
 
 
 def examples(candidates: DataFrame, labels: DataFrame, limit: int | None = None) -> tuple[DataFrame, int]:
-    """chunk, word, own (sids, cids, label of all its candidates in order) of the words in ``labels`` (word,
-    cand_ord of right candidates), and how many chunks of about BATCH words there are. Words with no or
-    one candidate teach nothing. With ``limit``, that many words by hash."""
+    """chunk, word, own (sids, cids, label of all its candidates in order), times: one word (the least) for all ``times``
+    words of ``labels`` (word, cand_ord of right candidates) with the same chains and labels in the same order, as
+    training sees no more of them. And how many chunks of about BATCH words there are. Words with no or one
+    candidate teach nothing. With ``limit``, the examples of that many words by hash."""
     chosen = labels.select("word").distinct()
     chosen = F.broadcast(chosen.orderBy(F.md5("word"), "word").limit(limit)) if limit is not None else chosen
     right = labels.select("word", "cand_ord", F.lit(1).alias("label")).distinct()
     rows = _encoded(candidates.join(chosen, "word", "left_semi")).join(right, ["word", "cand_ord"], "left")
     own = F.array_sort(F.collect_list(F.struct("cand_ord", "sids", "cids", F.coalesce("label", F.lit(0)).alias("label"))))
-    words = cut(rows.groupBy("word").agg(own.alias("own")).where(F.size("own") > 1))
+    seen = F.transform(own, lambda c: F.struct(c.sids.alias("sids"), c.cids.alias("cids"), c.label.alias("label")))
+    words = cut(rows.groupBy("word").agg(seen.alias("own")).where(F.size("own") > 1).groupBy("own").agg(F.min("word").alias("word"), F.count(F.lit(1)).alias("times")))
     chunks = -(-words.count() // BATCH)
-    return words.select(F.pmod(F.xxhash64("word"), F.lit(max(1, chunks))).cast("long").alias("chunk"), "word", "own"), chunks
+    return words.select(F.pmod(F.xxhash64("word"), F.lit(max(1, chunks))).cast("long").alias("chunk"), "word", "own", "times"), chunks
 
 
-def _read(own: list) -> Example:
+def _read(own: list, times: int) -> Example:
     """An example from the candidates of a row, as rows or as dictionaries."""
-    return [list(zip(r["sids"], r["cids"])) for r in own], [int(r["label"]) for r in own]
+    return [list(zip(r["sids"], r["cids"])) for r in own], [int(r["label"]) for r in own], times
 
 
-def local_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
+def local_rounds(words: DataFrame, chunks: int, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
     """The rounds of bounded ``words`` where the driver is."""
     held: dict[int, list[Example]] = {}
     for r in words.orderBy("chunk", "word").collect():
-        held.setdefault(r.chunk, []).append(_read(r.own))
+        held.setdefault(r.chunk, []).append(_read(r.own, r.times))
 
     def gather(state: State, step: int) -> Sums:
         own = [c for c in range(state.round * width, (state.round + 1) * width) if c in held]
@@ -375,12 +409,13 @@ def local_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Calla
     return gather
 
 
-def spark_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
-    """The rounds of any number of words: a job for each step, in which tasks sum the gradients of their
-    chunks and the sums are added piece by piece, in a fixed order. The driver gets one row for each piece
-    of the weights. Chunks stay with their tasks, so that sums are the same in every run."""
+def spark_rounds(words: DataFrame, chunks: int, shape: Shape, width: int, seed: int) -> Callable[[State, int], Sums]:
+    """The rounds of any number of words: a job for each step, in which a few tasks, as many as ``width`` asks for, sum the
+    gradients of their chunks. The driver adds their sums in a fixed order. Chunks are dealt by their number alone, so
+    that sums are the same in every run and under every setting, and nothing is shuffled between steps."""
     session = words.sparkSession
-    rows = cut(words.repartition(int(session.conf.get("spark.sql.shuffle.partitions")), "chunk").sortWithinPartitions("chunk", "word"))
+    tasks = max(1, min(TASKS, -(-min(width, chunks) // DEALT)))
+    rows = cut(words.repartitionById(tasks, F.pmod("chunk", F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "word"))
 
     def gather(state: State, step: int) -> Sums:
         names = sorted(state.weights)
@@ -388,22 +423,22 @@ def spark_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Calla
         key, first, last = (seed, state.epoch, step), state.round * width, (state.round + 1) * width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def chunks() -> Iterator[tuple[int, list[Example]]]:
+            def grouped() -> Iterator[tuple[int, list[Example]]]:
                 number, held = None, []
                 for batch in batches:
-                    for chunk, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for chunk, own, times in zip(*(c.to_pylist() for c in batch.columns)):
                         if held and chunk != number:
                             yield number, held
                             held = []
                         number = chunk
-                        held.append(_read(own))
+                        held.append(_read(own, times))
                 if held:
                     yield number, held
 
             begun: list[int] = []
 
             def sums() -> Iterator[Sums]:
-                for number, held in chunks():
+                for number, held in grouped():
                     begun.append(number)
                     yield chunk_sums(shared.value, held, shape, (*key, number))
 
@@ -412,30 +447,25 @@ def spark_rounds(words: DataFrame, shape: Shape, width: int, seed: int) -> Calla
                 return
             flat = np.concatenate([grads[name].ravel() for name in names])
             parts = [np.array([total, n, float(ok)]).tobytes(), *(flat[a : a + PIECE].tobytes() for a in range(0, len(flat), PIECE))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array([min(begun)] * len(parts), pa.int64()), pa.array(parts, pa.binary())], ["piece", "place", "data"])
-
-        def added(group: pa.Table) -> pa.Table:
-            order = np.argsort(np.asarray(group.column("place")), kind="stable")
-            data = group.column("data").to_pylist()
-            own = [np.frombuffer(data[i], "<f8") for i in order]
-            out = sum(own[1:], own[0].copy())
-            if group.column("piece")[0].as_py() < 0:
-                out[2] = min(x[2] for x in own)
-            return pa.table({"piece": group.column("piece")[:1], "data": pa.array([out.tobytes()], pa.binary())})
-
-        own = rows.where((F.col("chunk") >= first) & (F.col("chunk") < last)).select("chunk", "own")
-        parts = own.mapInArrow(run, "piece int, place long, data binary").groupBy("piece").applyInArrow(added, "piece int, data binary").collect()
-        shared.unpersist()
-        found = {r.piece: np.frombuffer(bytes(r.data), "<f8") for r in parts}  # as many as the weights have pieces
-        if not found:
-            return 0.0, 0, True, {}
-        total, n, ok = found.pop(-1)
-        flat, grads, at = np.concatenate([found[k] for k in sorted(found)]), {}, 0
-        for name in names:
+            yield pa.RecordBatch.from_arrays([pa.array([min(begun)] * len(parts), pa.int64()), pa.array(range(-1, len(parts) - 1), pa.int32()), pa.array(parts, pa.binary())], ["place", "piece", "data"])
+
+        own = rows.where((F.col("chunk") >= first) & (F.col("chunk") < last)).select("chunk", "own", "times")
+        sent = own.mapInArrow(run, "place long, piece int, data binary").toArrow()  # of at most TASKS tasks
+        shared.destroy()
+        total, n, ok, flat = 0.0, 0, True, np.zeros(sum(w.size for w in state.weights.values()))
+        places, pieces, data = (sent.column(k) for k in range(3))
+        for k in np.lexsort((np.asarray(pieces), np.asarray(places))):
+            piece, numbers = pieces[int(k)].as_py(), np.frombuffer(data[int(k)].as_buffer(), "<f8")
+            if piece < 0:
+                total, n, ok = total + float(numbers[0]), n + int(numbers[1]), ok and bool(numbers[2])
+            else:
+                flat[piece * PIECE : piece * PIECE + len(numbers)] += numbers
+        grads, at = {}, 0
+        for name in names if n else ():
             size = state.weights[name].size
             grads[name] = flat[at : at + size].reshape(state.weights[name].shape)
             at += size
-        return float(total), int(n), bool(ok), grads
+        return total, n, ok, grads
 
     return gather
 
@@ -448,7 +478,7 @@ def fit_state(
     chunks a round. With ``limit`` the driver takes that many words by hash; without, all words take part
     and stay on the executors."""
     words, chunks = examples(candidates, labels, limit)
-    gather = (spark_rounds if limit is None else local_rounds)(words, shape, width, seed)
+    gather = (spark_rounds if limit is None else local_rounds)(words, chunks, shape, width, seed)
     state = begun.copy() if begun else State(begin(shape))
     return trained(state, -(-chunks // width), gather, steps, epochs, save=save)
 

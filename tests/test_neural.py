@@ -188,3 +188,37 @@ def test_a_tape_goes_once_it_has_run_back():
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_the_query_trains_on_all_confirmed_words(spark, tmp_path, monkeypatch):
+    """Its scores are those after training by the driver on every confirmed word, of which there are more than 64."""
+    from kokek.plans import registry
+    from kokek.session import ROUND
+
+    roots, endings = "ev kitap okul göz araba su ağız oğul şehir renk".split(), "ler lar de da im ım leri ları lerde larda imiz ımız".split()
+    spark.createDataFrame([(k, " ".join(r + e for e in endings)) for k, r in enumerate(roots)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept, made, fit_state = neural.examples, [], neural.fit_state
+    monkeypatch.setattr(neural, "examples", lambda *a, **k: made.append(kept(*a, **k)) or made[-1])
+    monkeypatch.setattr(neural, "fit_state", lambda *a, **k: fit_state(*a, **{"steps": 2} | k))
+    got = {(r.word, r.cand_ord): r.score for r in registry.QUERIES["neural_score"](spark, str(tmp_path)).collect()}
+    found = decompose.cut(decompose.decompose(*registry.words_and_dictionary(spark, str(tmp_path))))
+    several = found.groupBy("word").count().where("count > 1").count()
+    assert several > 64 and made[0][0].selectExpr("sum(times)").first()[0] == several
+    weights = fit_state(found, registry.first_labels(found), steps=2, width=ROUND, limit=10_000).weights
+    want = {(r.word, r.cand_ord): r.score for r in neural.score(found, weights).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+
+
+def test_words_that_are_alike_count_as_often_as_there_are(monkeypatch):
+    """Weights, and tapes by length and by number of candidates, give the sums of every word alone in one padded batch."""
+    w, words = shaken(SMALL), [(CHAINS, [0, 1, 0, 0], 3), (CHAINS[:2], [1, 0], 1), (CHAINS[2:], [1, 1], 2)]
+    each = [(chains, labels) for chains, labels, n in words for _ in range(n)]
+    tape = neural.Tape(w, SMALL)
+    end = tape.scores(*neural.padded_batch([c for chains, _ in each for c in chains]))
+    value, g, _ = neural.loss(end[0][:, 0], np.array([y for _, labels in each for y in labels], float), [len(c) for c, _ in each])
+    grads = tape.back(end, g[:, None] * 6)
+    for most in (1, 6, 100):
+        monkeypatch.setattr(neural, "LEARNT", most)
+        total, n, _, own = neural.chunk_sums(w, words, SMALL, (0,))
+        assert n == 6 and total == pytest.approx(value * 6, abs=1e-9) and set(own) == set(grads)
+        assert all(np.abs(own[k] - grads[k]).max() < 1e-9 for k in grads)
